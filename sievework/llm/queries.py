@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import jaccard, quality
+from sievework.llm import jaccard, packing, quality, store, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,21 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op8_ngram_jaccard_join)}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.scratch_path(spark, "tokens")
+    tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end=0)
+    return tokenfiles.token_digest(tokenfiles.read_tokens(spark, path))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut_pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end=1))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_token_orc, op6_best_fit_packing, op8_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
