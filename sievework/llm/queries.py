@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import jaccard, packing, quality, store, tokenfiles
+from sievework.llm import jaccard, language, packing, quality, store, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_query(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -35,5 +43,5 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_token_orc, op6_best_fit_packing, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_token_orc, op6_best_fit_packing, op8_ngram_jaccard_join, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
