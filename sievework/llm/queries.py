@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import jaccard, language, packing, quality, store, tokenfiles, toxicity
+from sievework.llm import decontaminate, jaccard, language, packing, quality, secrets, store, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(_table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_query(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_query(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_token_orc, op6_best_fit_packing, op8_ngram_jaccard_join, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_language_id, op4_secret_scans, op5_token_orc, op6_best_fit_packing, op8_ngram_jaccard_join, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
