@@ -93,7 +93,7 @@ def _slices_kernel(ranges: int):
                 out["part"].append(int(r))
                 out["kinds"].append(kind[own].tobytes())
                 out["sizes"].append(n[own].astype(np.int32).tobytes())
-                out["counts"].append(np.diff(np.append(first, len(d))).astype(np.int32).tobytes())
+                out["counts"].append(np.diff(np.append(first, len(d))).astype(np.uint16 if len(d) < 1 << 16 else np.int32).tobytes())
                 out["low"].append(p.astype(np.uint32).tobytes())
                 out["high"].append((p >> np.uint64(32)).astype(np.uint8).tobytes())
             if out["part"]:
@@ -109,7 +109,9 @@ def _joined(values: list[bytes], kind: type) -> np.ndarray:
 def _listed_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of the shingles that two classes or more have, of the ranges of this partition."""
     for part, rows in _by_key(batches, ["part"]):
-        kinds, sizes, counts = (_joined(rows[k], t) for k, t in (("kinds", np.int64), ("sizes", np.int32), ("counts", np.int32)))
+        kinds, sizes = _joined(rows["kinds"], np.int64), _joined(rows["sizes"], np.int32)
+        narrow = [len(low) < 4 << 16 for low in rows["low"]]  # counts of few shingles are written as 16 bits
+        counts = np.concatenate([np.frombuffer(c, np.uint16 if x else np.int32).astype(np.int64) for c, x in zip(rows["counts"], narrow, strict=True)])
         token = _joined(rows["low"], np.uint32).astype(np.int64) | _joined(rows["high"], np.uint8).astype(np.int64) << 32
         which = np.repeat(np.arange(len(kinds)), counts)
         order = np.lexsort((kinds[which], token))
@@ -241,7 +243,7 @@ def _searched(stars: DataFrame, queries: DataFrame, sets: DataFrame, percent: in
 def linked_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the classes that are linked with another class."""
     spark = docs.sparkSession
-    ranges = 1 << max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) * 2 - 1).bit_length())
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = _ranked_classes(_listed_classes(docs, percent, ranges), percent)
     # Of the n - ceil(t n) + 1 rarest shingles, those in no list come first.
     prefix = F.expr(f"slice(tokens, 1, cast(size(tokens) - ceil({percent} * n / 100) + 1 AS int))")
