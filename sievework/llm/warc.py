@@ -101,7 +101,7 @@ def _write_kernel(folder: str):
                     system, at = _open(folder)
                     system.create_dir(at, recursive=True)
                     system, at = _open(files[-1][0])
-                    out = system.open_output_stream(at)
+                    out = system.open_output_stream(at, compression=None)
                 data = member(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), kind, refers_to)
                 out.write(data)
                 files[-1][1] += len(data)
