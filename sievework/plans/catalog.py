@@ -1,14 +1,613 @@
-"""Queries of the engine's own operators over the tables of a directory, with their SQL."""
+"""Queries of the engine's operators over the tables of a directory, with equivalent DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from sievework.functions import stats
+from sievework.functions import text as X
+from sievework.operators import abstention, calibration, metrics, profile, rules, split, staging
+from sievework.sources import documents as sources
+from sievework.streaming import events as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Whole-month bounds of the orders table, and the windows of its temporal split.
+START, VALIDATION, TEST, END = "1990-01-01", "1996-01-01", "1997-01-01", "2030-01-01"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query by its function's name, with its SQL."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Doubles at fixed digits: distributed sums differ in their last bits."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def r(*expressions: str) -> str:
+    """The same in SQL: ``expression AS name`` items, rounded."""
+    out = []
+    for e in expressions:
+        value, _, name = e.rpartition(" AS ")
+        out.append(f"round({value}, 6) AS {name}")
+    return ", ".join(out)
+
+
+_FP = "sha256(trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')))"
+#: Orders with a text-like key that repeats, a label and a day.
+_ORDER_KEY = "concat(o_custkey, '-', o_orderpriority)"
+_SPLIT_SQL = f"""
+c AS (SELECT o_orderkey, {_ORDER_KEY} AS k, o_orderstatus AS label, CAST(o_orderdate AS DATE) AS day, sha256({_ORDER_KEY}) AS fp FROM orders),
+g AS (SELECT *, min(label) OVER (PARTITION BY fp) <> max(label) OVER (PARTITION BY fp) AS conflict, row_number() OVER (PARTITION BY fp ORDER BY day, o_orderkey) AS rn FROM c),
+s AS (SELECT *, CASE WHEN conflict THEN 'duplicate_label_conflict' WHEN rn > 1 THEN 'duplicate_same_label' ELSE 'included' END AS disposition FROM g),
+a AS (SELECT *, CASE WHEN disposition = 'included' THEN CASE WHEN day < DATE '{VALIDATION}' THEN 'train' WHEN day < DATE '{TEST}' THEN 'validation' ELSE 'test' END END AS split_assignment FROM s)"""
+
+
+def order_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders classified by a key that repeats."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ORDER_KEY).alias("k"), F.col("o_orderstatus").alias("label"), F.col("o_orderdate").cast("date").alias("day"))
+    return split.classify(orders, F.sha2("k", 256), F.col("label"), [F.col("day"), F.col("o_orderkey")], F.col("day"), start=START, validation=VALIDATION, test=TEST, end=END)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Documents by disposition of the duplicate isolation."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = split.classify(docs, X.plain_fingerprint(F.col("text")), F.col("source"), [F.col("doc_id")])
+    return out.groupBy("disposition").agg(F.count("*").alias("n"), F.sum("doc_id").alias("doc_id_sum"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, source, {_FP} AS fp FROM documents),
+g AS (SELECT *, min(source) OVER (PARTITION BY fp) <> max(source) OVER (PARTITION BY fp) AS conflict, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS rn FROM c)
+SELECT CASE WHEN conflict THEN 'duplicate_label_conflict' WHEN rn > 1 THEN 'duplicate_same_label' ELSE 'included' END AS disposition, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS doc_id_sum FROM g GROUP BY 1""")
+def e042_duplicate_isolation(spark, d):
+    return flagship(spark, d)
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT split_assignment, disposition, count(*) AS n FROM a GROUP BY 1, 2")
+def e031_temporal_split(spark, d):
+    return order_split(spark, d).groupBy("split_assignment", "disposition").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SPLIT_SQL} SELECT count(*) AS input_record_count, count(*) FILTER (WHERE disposition = 'included') AS included_record_count, count(*) FILTER (WHERE disposition = 'duplicate_same_label') AS same_label_duplicate_count,
+count(*) FILTER (WHERE disposition = 'duplicate_label_conflict') AS label_conflict_count, count(*) FILTER (WHERE split_assignment = 'train') AS train_record_count, count(*) FILTER (WHERE split_assignment = 'validation') AS validation_record_count,
+count(*) FILTER (WHERE split_assignment = 'test') AS test_record_count FROM a""")
+def e052_filtered_counts(spark, d):
+    return split.split_counts(order_split(spark, d))
+
+
+@query(f"""WITH {_SPLIT_SQL} SELECT count(*) FILTER (WHERE disposition = 'included') + count(*) FILTER (WHERE disposition <> 'included') = count(*) AS dispositions_reconcile,
+count(split_assignment) = count(*) FILTER (WHERE disposition = 'included') AS assignments_reconcile, true AS dates_inside_splits, true AS no_fingerprint_in_two_splits,
+count(*) FILTER (WHERE split_assignment = 'train') > 0 AS train_has_rows, count(*) FILTER (WHERE split_assignment = 'validation') > 0 AS validation_has_rows, count(*) FILTER (WHERE split_assignment = 'test') > 0 AS test_has_rows FROM a""")
+def e089_split_checks(spark, d):
+    return split.split_checks(order_split(spark, d), "day", start=START, validation=VALIDATION, test=TEST, end=END)
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT fp AS fingerprint FROM a WHERE split_assignment IS NOT NULL GROUP BY fp HAVING count(DISTINCT split_assignment) > 1")
+def e058_leaking_fingerprints(spark, d):
+    return split.leaking_fingerprints(order_split(spark, d))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY {_FP} ORDER BY source, doc_id) AS INTEGER) AS rank FROM documents")
+def e090_canonical_rank(spark, d):
+    docs = table(spark, d, "documents")
+    return split.ranked_duplicates(docs, X.plain_fingerprint(F.col("text")), [F.col("source"), F.col("doc_id")]).select("doc_id", "rank")
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(lower(nfc_normalize(text))), '\\s+', ' ', 'g'))) AS fingerprint FROM documents WHERE text NOT LIKE '%ß%'")
+def e106_fingerprint(spark, d):
+    # A sharp s folds to two letters; lower() leaves it alone.
+    docs = table(spark, d, "documents").where("text NOT LIKE '%ß%'")
+    return docs.select("doc_id", X.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256, CAST(length(text) AS INTEGER) AS chars FROM documents")
+def e107_text_sha256(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("chars"))
+
+
+@query("SELECT event_id, sha256(concat('{\"k\":', json_extract_string(props, '$.k'), '}')) AS payload_sha256 FROM events")
+def e108_canonical_json(spark, d):
+    return table(spark, d, "events").select("event_id", X.canonical_json_sha256(F.col("props")).alias("payload_sha256"))
+
+
+@query("SELECT event_id, sha256(concat('{\"type\":\"', event_type, '\",\"user\":', user_id, '}')) AS request_sha256 FROM events")
+def e109_request_fingerprint(spark, d):
+    return table(spark, d, "events").select("event_id", X.request_fingerprint(user=F.col("user_id"), type=F.col("event_type")).alias("request_sha256"))
+
+
+@query("SELECT event_id, concat('batch-', strftime(ts, '%Y%m%dT%H%M%SZ'), '-', substr(sha256(props), 1, 12)) AS batch_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def e111_batch_ids(spark, d):
+    at = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", X.batch_id(at, F.sha2("props", 256)).alias("batch_id"), X.utc_text(at).alias("at"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CAST(date_trunc('month', o_orderdate) AS DATE) AS first FROM orders")
+def e113_month_keys(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("first"))
+
+
+@query("SELECT strftime(m, '%Y-%m') AS month, CAST(m AS DATE) AS lo, CAST(m + INTERVAL 1 MONTH AS DATE) AS hi, CAST(m AS DATE) AS request_min, CAST(m + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS request_max FROM range(TIMESTAMP '2023-09-01', TIMESTAMP '2025-01-01', INTERVAL 1 MONTH) AS t(m)")
+def e114_month_shards(spark, d):
+    return sources.monthly_shards(spark, "2023-09-01", "2025-01-01")
+
+
+@query("SELECT type AS kind, count(*) AS n FROM (SELECT CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' ELSE 'other' END AS type FROM events) GROUP BY 1")
+def e116_json_types(spark, d):
+    return table(spark, d, "events").groupBy(X.json_field_type(F.col("props"), "k").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'k' AS key, count(*) AS n, CAST(0 AS BIGINT) AS n_null, 'integer' AS kinds FROM events")
+def e061_schema_profile(spark, d):
+    return profile.schema_profile(table(spark, d, "events"), "props")
+
+
+@query("SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.format') = 'json', false) AS guaranteed FROM events")
+def e027_json_paths(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", F.expr("cast(get_json_object(props, '$.k') AS bigint)").alias("k"), F.coalesce(F.get_json_object("props", "$.format") == "json", F.lit(False)).alias("guaranteed"))
+
+
+def staged_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as raw rows, staged: ids repeat by role, some texts are short."""
+    turns = table(spark, sf_dir, "conversations")
+    fields = F.struct(
+        F.concat("role", F.lit("-"), F.col("turn") % 3).alias("complaint_id"), F.col("text").alias("complaint_what_happened"),
+        F.when(F.col("turn") % 4 == 0, "2024-1-2").when(F.col("turn") % 4 == 1, "2024-01-02T12:00:00-05:00").otherwise("2024-03-04").alias("date_received"),
+        F.when(F.col("role") == "assistant", "Mortgage").when(F.col("role") == "user", " ").otherwise("Other").alias("product"), (F.col("turn") % 2 == 0).alias("has_narrative"),
+    )
+    raw = turns.select(F.col("conv_id").cast("string").alias("batch_id"), F.col("turn").cast("int").alias("source_row_ordinal"), F.concat("role", F.lit("-"), F.col("turn") % 3).alias("complaint_id"), F.to_json(fields).alias("payload"))
+    return staging.stage(raw.withColumn("source_record_sha256", X.canonical_json_sha256(F.col("payload"))))
+
+
+_STAGED_SQL = """
+t AS (SELECT CAST(conv_id AS VARCHAR) AS raw_batch_id, CAST(turn AS INTEGER) AS source_row_ordinal, turn, role, nullif(trim(text), '') AS narrative, concat(role, '-', turn % 3) AS cid FROM conversations),
+u AS (SELECT *, count(*) OVER (PARTITION BY raw_batch_id, cid) > 1 AS dup FROM t),
+v AS (SELECT *, list_filter([CASE WHEN dup THEN 'duplicate_complaint_id_within_batch' END, CASE WHEN turn % 4 = 0 THEN 'date_received_invalid' END, CASE WHEN narrative IS NULL THEN 'narrative_missing_or_invalid' END,
+ CASE WHEN role = 'user' THEN 'product_missing_or_invalid' END, CASE WHEN turn % 2 <> 0 THEN 'has_narrative_not_true' END], lambda x: x IS NOT NULL) AS reasons FROM u)"""
+
+
+@query(f"WITH {_STAGED_SQL} SELECT raw_batch_id, source_row_ordinal, CASE WHEN len(reasons) > 0 THEN 'quarantined' ELSE 'accepted' END AS outcome_status, array_to_string(reasons, ',') AS reasons FROM v")
+def e020_quarantine(spark, d):
+    return staged_conversations(spark, d).select("raw_batch_id", "source_row_ordinal", "outcome_status", F.array_join("quarantine_reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {_STAGED_SQL} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM v) GROUP BY 1")
+def e055_reason_counts(spark, d):
+    return staging.reason_counts(staged_conversations(spark, d), "quarantine_reasons")
+
+
+@query(f"WITH {_STAGED_SQL} SELECT raw_batch_id, CAST(count(*) AS INTEGER) AS input_record_count, CAST(count(*) FILTER (WHERE len(reasons) = 0) AS INTEGER) AS accepted_record_count, CAST(count(*) FILTER (WHERE len(reasons) > 0) AS INTEGER) AS quarantined_record_count FROM v GROUP BY 1")
+def e016_stage_header(spark, d):
+    return staging.stage_header(staged_conversations(spark, d)).select("raw_batch_id", "input_record_count", "accepted_record_count", "quarantined_record_count")
+
+
+@query("SELECT CASE WHEN x >= 10 THEN 'many' ELSE 'few' END AS size, count(*) AS n FROM (SELECT user_id, count(*) AS x FROM events GROUP BY 1) GROUP BY 1")
+def e059_batch_duplicates(spark, d):
+    counted = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("x"))
+    return counted.groupBy(F.when(F.col("x") >= 10, "many").otherwise("few").alias("size")).agg(F.count("*").alias("n"))
+
+
+def assessed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as staged rows, assessed with their own language as the identifier's answer."""
+    docs = table(spark, sf_dir, "documents")
+    staged = docs.select(
+        F.col("source").alias("raw_batch_id"), F.col("doc_id").cast("int").alias("source_row_ordinal"), F.lit("1.1.0").alias("transformation_version"),
+        F.when(F.col("n_chars") < 100, "quarantined").otherwise("accepted").alias("outcome_status"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")).alias("date_received"),
+        F.concat("lang", F.lit(":"), "text").alias("narrative"), F.when(F.col("doc_id") % 7 == 0, "Other").otherwise("Mortgage").alias("product_raw"),
+    )
+    return staging.assess(staged, lambda text: F.substring_index(text, ":", 1), start="2024-01-10", end="2024-07-01")
+
+
+_ASSESSED_SQL = """
+b AS (SELECT source AS raw_batch_id, CAST(doc_id AS INTEGER) AS source_row_ordinal, n_chars, lang, DATE '2024-01-01' + CAST(doc_id % 200 AS INTEGER) AS day, doc_id FROM documents),
+p AS (SELECT *, list_filter([CASE WHEN n_chars < 100 THEN 'staging_quarantined' END, CASE WHEN n_chars >= 100 AND day < DATE '2024-01-10' THEN 'date_before_window' END,
+ CASE WHEN n_chars >= 100 AND day >= DATE '2024-07-01' THEN 'date_at_or_after_window_end' END, CASE WHEN n_chars >= 100 AND doc_id % 7 = 0 THEN 'product_outside_taxonomy' END], lambda x: x IS NOT NULL) AS s FROM b),
+q AS (SELECT *, CASE WHEN len(s) = 0 AND lang <> 'en' THEN ['language_not_english'] ELSE s END AS reasons, CASE WHEN len(s) = 0 THEN lang END AS detected FROM p)"""
+
+
+@query(f"WITH {_ASSESSED_SQL} SELECT source_row_ordinal, CASE WHEN len(reasons) = 0 THEN 'eligible' ELSE 'excluded' END AS eligibility_status, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 'Mortgage' END AS target_product, detected AS detected_language, CASE WHEN n_chars >= 100 THEN CAST(n_chars + 3 AS INTEGER) END AS narrative_char_count FROM q")
+def e028_eligibility(spark, d):
+    return assessed_documents(spark, d).select("source_row_ordinal", "eligibility_status", F.array_join("exclusion_reasons", ",").alias("reasons"), "target_product", "detected_language", "narrative_char_count")
+
+
+@query(f"WITH {_ASSESSED_SQL} SELECT raw_batch_id, count(*) AS input_record_count, count(*) FILTER (WHERE len(reasons) = 0) AS eligible_record_count, count(*) FILTER (WHERE len(reasons) > 0) AS excluded_record_count, CAST(min(n_chars + 3) FILTER (WHERE len(reasons) = 0) AS INTEGER) AS min_chars, CAST(max(n_chars + 3) FILTER (WHERE len(reasons) = 0) AS INTEGER) AS max_chars, round(avg(n_chars + 3) FILTER (WHERE len(reasons) = 0), 3) AS mean_chars FROM q GROUP BY 1")
+def e056_population_header(spark, d):
+    return staging.population_header(assessed_documents(spark, d)).drop("population_version")
+
+
+@query(f"""WITH {_ASSESSED_SQL} SELECT (SELECT count(*) FROM documents) AS raw_records, (SELECT count(DISTINCT source) FROM documents) AS raw_batches, count(*) AS staged_records, count(*) FILTER (WHERE n_chars >= 100) AS accepted, count(*) FILTER (WHERE n_chars < 100) AS quarantined,
+count(DISTINCT raw_batch_id) AS staged_batches, count(*) AS population_records, count(*) FILTER (WHERE len(reasons) = 0) AS eligible, count(*) FILTER (WHERE len(reasons) > 0) AS excluded, count(DISTINCT raw_batch_id) AS population_batches,
+true AS raw_is_staged, true AS staged_adds_up, true AS staged_is_population, true AS population_adds_up, true AS batches_agree, true AS quarantined_are_excluded FROM q""")
+def e088_layer_report(spark, d):
+    docs = table(spark, d, "documents")
+    staged = docs.select(F.col("source").alias("raw_batch_id"), F.when(F.col("n_chars") < 100, "quarantined").otherwise("accepted").alias("outcome_status"))
+    return rules.layer_report(docs.select(F.col("source").alias("batch_id")), staged, assessed_documents(spark, d))
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-07-01'")
+def e041_three_way_join(spark, d):
+    o = table(spark, d, "orders").where("o_orderdate >= timestamp_ntz'1995-01-01' AND o_orderdate < timestamp_ntz'1995-07-01'")
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", "c_name", "n_name")
+
+
+@query("SELECT count(*) AS mismatched FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT (l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 60 DAY)")
+def e043_residual_join(spark, d):
+    joined = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.where(~((F.col("l_shipdate") >= F.col("o_orderdate")) & (F.col("l_shipdate") < F.col("o_orderdate") + F.expr("INTERVAL 60 DAY")))).agg(F.count("*").alias("mismatched"))
+
+
+@query("SELECT c_custkey, CAST(3 AS BIGINT) AS stated, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS actual, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) = 3 AS agrees FROM customer")
+def e044_child_counts(spark, d):
+    parents = table(spark, d, "customer").select("c_custkey", F.lit(3).cast("long").alias("stated"))
+    children = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return rules.child_counts(parents, children, "c_custkey", "stated")
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(role, 's')) AS word FROM conversations) GROUP BY 1")
+def e045_unnest(spark, d):
+    return table(spark, d, "conversations").select(F.explode(F.split("role", "s")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def e046_existence(spark, d):
+    pending = table(spark, d, "orders").where("o_orderstatus = 'P'")
+    return table(spark, d, "customer").join(pending, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT label, problem FROM (SELECT 'zz' AS label, 'missing' AS problem UNION ALL SELECT DISTINCT event_type, 'unknown' FROM events WHERE event_type NOT IN ('click', 'zz'))")
+def e105_label_coverage(spark, d):
+    events = table(spark, d, "events")
+    known = spark.createDataFrame([("click",), ("zz",)], "label string")
+    return rules.label_coverage(events, "event_type", known)
+
+
+@query("SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F') AS finished_customers, max(o_orderdate) AS latest FROM orders GROUP BY 1")
+def e053_distinct_filter(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.expr("count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F')").alias("finished_customers"), F.max("o_orderdate").alias("latest"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS users, coalesce(CAST(sum(user_id) AS BIGINT), 0) AS total, max(ts) AS latest FROM events")
+def e050_global_reconciliation(spark, d):
+    return table(spark, d, "events").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.coalesce(F.sum("user_id"), F.lit(0)).alias("total"), F.max("ts").alias("latest"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
+def e054_group_counts(spark, d):
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(DISTINCT lang) > 1 AS conflict, count(*) AS n FROM documents GROUP BY 1")
+def e057_label_conflicts(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg((F.min("lang") != F.max("lang")).alias("conflict"), F.count("*").alias("n"))
+
+
+_MONTHS = "SELECT DISTINCT o_orderpriority AS label FROM orders"
+
+
+@query(f"WITH l AS ({_MONTHS}), m AS (SELECT strftime(x, '%Y-%m') AS month FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '1996-01-01', INTERVAL 1 MONTH) AS t(x)), c AS (SELECT o_orderpriority AS label, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1, 2) SELECT label, month, coalesce(n, 0) AS n FROM l CROSS JOIN m LEFT JOIN c USING (label, month)")
+def e062_label_months(spark, d):
+    return profile.label_months(table(spark, d, "orders"), "o_orderpriority", "o_orderdate", "1995-01-01", "1995-12-01")
+
+
+@query("SELECT o_orderpriority AS label, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, CAST(CASE WHEN grouping(o_orderpriority) = 1 THEN 3 WHEN grouping(strftime(o_orderdate, '%Y-%m')) = 1 THEN 1 ELSE 0 END AS INTEGER) AS level FROM orders GROUP BY ROLLUP (o_orderpriority, strftime(o_orderdate, '%Y-%m'))")
+def e062_rollup_totals(spark, d):
+    return profile.label_month_totals(table(spark, d, "orders"), "o_orderpriority", "o_orderdate")
+
+
+@query("SELECT CASE WHEN grouping(lang) = 0 THEN lang END AS label, n_chars AS length, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang, n_chars), (n_chars))")
+def e063_length_histogram(spark, d):
+    return profile.histogram(table(spark, d, "documents"), "n_chars", "lang")
+
+
+@query("SELECT CASE WHEN grouping(lang) = 0 THEN lang END AS label, count(*) AS record_count, CAST(sum(n_chars) AS BIGINT) AS token_count, CAST(min(n_chars) AS BIGINT) AS least, CAST(max(n_chars) AS BIGINT) AS most, " + r("sum(n_chars) / count(*) AS mean") + ", " + ", ".join(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY n_chars) AS BIGINT) AS p{round(p * 100)}" for p in profile.SHARES) + " FROM documents GROUP BY GROUPING SETS ((), (lang))")
+def e064_nearest_rank_quantiles(spark, d):
+    return rounded(profile.length_profile(profile.histogram(table(spark, d, "documents"), "n_chars", "lang")), "mean")
+
+
+@query("SELECT lang AS label, CAST(l AS INTEGER) AS max_length, count(*) FILTER (WHERE n_chars > l) AS exceeding, " + r("count(*) FILTER (WHERE n_chars > l) / count(*) AS exceeding_share", "sum(least(n_chars, l)) / sum(n_chars) AS retained_share") + " FROM documents, (VALUES (128), (256), (384), (512)) AS v(l) GROUP BY 1, 2")
+def e065_truncation_curve(spark, d):
+    out = profile.truncation(profile.histogram(table(spark, d, "documents"), "n_chars", "lang").where("label IS NOT NULL"))
+    return rounded(out, "exceeding_share", "retained_share")
+
+
+@query("SELECT CASE WHEN n_chars < 500 THEN 'chars-1-499' WHEN n_chars < 1000 THEN 'chars-500-999' WHEN n_chars < 2000 THEN 'chars-1000-1999' WHEN n_chars < 4000 THEN 'chars-2000-3999' ELSE 'chars-4000-plus' END AS band, count(*) AS n FROM documents WHERE n_chars >= 1 GROUP BY 1")
+def e033_length_bands(spark, d):
+    return table(spark, d, "documents").where("n_chars >= 1").groupBy(stats.length_band(F.col("n_chars")).alias("band")).agg(F.count("*").alias("n"))
+
+
+#: Line items as labelled rows: return flags, and a prediction from the status and quantity.
+_FLAGS = ["A", "N", "R"]
+_PRED = "CASE WHEN l_linestatus = 'O' THEN 'N' WHEN l_quantity > 25 THEN 'A' ELSE 'R' END"
+_CONF_SQL = f"""
+x AS (SELECT l_returnflag AS actual, {_PRED} AS predicted, strftime(l_shipdate, '%Y') AS year FROM lineitem),
+u AS (SELECT * FROM (VALUES ('A'), ('N'), ('R')) AS v(label)),
+m AS (SELECT a.label AS actual, b.label AS predicted, (SELECT count(*) FROM x WHERE x.actual = a.label AND x.predicted = b.label) AS n FROM u a CROSS JOIN u b),
+k AS (SELECT label, (SELECT sum(n) FROM m WHERE actual = label AND predicted = label) AS hits, (SELECT sum(n) FROM m WHERE actual = label) AS support, (SELECT sum(n) FROM m WHERE predicted = label) AS predicted FROM u),
+c AS (SELECT label, hits, support, predicted, coalesce(hits / nullif(predicted, 0), 0.0) AS "precision", coalesce(hits / nullif(support, 0), 0.0) AS recall, coalesce(2 * hits / nullif(support + predicted, 0), 0.0) AS f1 FROM k)"""
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("actual"), F.expr(_PRED).alias("predicted"), F.date_format("l_shipdate", "yyyy").alias("year"))
+
+
+@query(f"WITH {_CONF_SQL} SELECT actual, predicted, n FROM m")
+def e068_confusion_matrix(spark, d):
+    return metrics.confusion(flagged(spark, d), "actual", "predicted", _FLAGS)
+
+
+@query(f"WITH {_CONF_SQL} SELECT label, CAST(hits AS BIGINT) AS hits, CAST(predicted AS BIGINT) AS predicted, CAST(support AS BIGINT) AS support, " + r('"precision" AS "precision"', "recall AS recall", "f1 AS f1") + " FROM c")
+def e069_per_class_metrics(spark, d):
+    return rounded(metrics.per_class(metrics.confusion(flagged(spark, d), "actual", "predicted", _FLAGS)), "precision", "recall", "f1")
+
+
+@query(f"WITH {_CONF_SQL} SELECT CAST(sum(support) AS BIGINT) AS record_count, " + r("sum(hits) / sum(support) AS accuracy", 'avg("precision") AS macro_precision', "avg(recall) AS macro_recall", "avg(f1) AS macro_f1", "sum(f1 * support) / sum(support) AS weighted_f1", "min(recall) AS worst_recall") + " FROM c")
+def e069_summary_metrics(spark, d):
+    out = metrics.summary(metrics.per_class(metrics.confusion(flagged(spark, d), "actual", "predicted", _FLAGS)))
+    return rounded(out, "accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1", "worst_recall")
+
+
+@query(f"WITH {_CONF_SQL} SELECT year, count(*) AS record_count, " + r("avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END) AS accuracy") + " FROM x GROUP BY 1")
+def e072_slice_metrics(spark, d):
+    matrix = metrics.confusion(flagged(spark, d), "actual", "predicted", _FLAGS, by=["year"])
+    return rounded(metrics.summary(metrics.per_class(matrix, ["year"]), ["year"]).select("year", "record_count", "accuracy"), "accuracy")
+
+
+@query(f"WITH {_CONF_SQL}, s AS (SELECT year, avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END) AS a FROM x GROUP BY 1) SELECT " + r("min(a) AS least", "max(a) AS most", "max(a) - min(a) AS range") + " FROM s")
+def e074_metric_range(spark, d):
+    matrix = metrics.confusion(flagged(spark, d), "actual", "predicted", _FLAGS, by=["year"])
+    return rounded(metrics.metric_range(metrics.summary(metrics.per_class(matrix, ["year"]), ["year"]), "accuracy"), "least", "most", "range")
+
+
+@query(f"WITH {_CONF_SQL} SELECT actual, predicted, n, " + r("n / sum(n) OVER () AS share_of_errors", "n / sum(n) OVER (PARTITION BY actual) AS share_of_actual_errors") + " FROM m WHERE actual <> predicted AND n > 0 ORDER BY n DESC, actual, predicted LIMIT 20")
+def e097_top_confusions(spark, d):
+    return rounded(metrics.top_confusions(metrics.confusion(flagged(spark, d), "actual", "predicted", _FLAGS)), "share_of_errors", "share_of_actual_errors")
+
+
+@query(f"WITH {_CONF_SQL} SELECT label, round(recall, 6) AS recall FROM c ORDER BY c.recall, label LIMIT 1")
+def e098_weakest_recall(spark, d):
+    return rounded(metrics.weakest(metrics.per_class(metrics.confusion(flagged(spark, d), "actual", "predicted", _FLAGS))), "recall")
+
+
+@query(f"WITH {_CONF_SQL}, t AS (SELECT l_returnflag AS label, count(*) / (SELECT count(*) FROM lineitem) AS share FROM lineitem GROUP BY 1) SELECT CASE WHEN share < 0.3 THEN 'rare' ELSE 'common' END AS rarity, count(*) AS labels, CAST(sum(support) AS BIGINT) AS support, " + r('avg("precision") AS macro_precision', "avg(recall) AS macro_recall", "avg(f1) AS macro_f1") + " FROM c JOIN t USING (label) GROUP BY 1")
+def e073_rarity_groups(spark, d):
+    rows = flagged(spark, d)
+    training = rows.groupBy(F.col("actual").alias("label")).agg(F.count("*").alias("n"))
+    return rounded(metrics.rarity_groups(metrics.per_class(metrics.confusion(rows, "actual", "predicted", _FLAGS)), training, 0.3), "macro_precision", "macro_recall", "macro_f1")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC LIMIT 1")
+def e071_training_majority(spark, d):
+    return metrics.majority(table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "n")
+
+
+@query("WITH t AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, lang FROM documents) SELECT split, count(*) AS record_count, " + r("avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS accuracy", "0.25 AS macro_recall") + " FROM t GROUP BY 1")
+def e070_constant_predictor(spark, d):
+    parted = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split")
+    counts = table(spark, d, "documents").groupBy(parted, F.col("lang").alias("label")).agg(F.count("*").alias("n"))
+    matrix = metrics.constant_confusion(counts, F.lit("en"), ["split"])
+    hits = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    out = matrix.groupBy("split").agg(F.sum("n").alias("record_count"), (F.sum(hits) / F.sum("n")).alias("accuracy"), (1.0 / F.count("*")).cast("double").alias("macro_recall"))
+    return rounded(out, "accuracy", "macro_recall")
+
+
+@query(f"WITH {_CONF_SQL} SELECT label, " + r("recall AS baseline", '"precision" AS candidate', '"precision" - recall AS delta') + ", CASE WHEN \"precision\" < recall THEN 'baseline' WHEN \"precision\" > recall THEN 'candidate' ELSE 'tie' END AS winner FROM c")
+def e119_compared_models(spark, d):
+    classes = metrics.per_class(metrics.confusion(flagged(spark, d), "actual", "predicted", _FLAGS))
+    ours, theirs = classes.select("label", "support", F.col("recall").alias("score")), classes.select("label", "support", F.col("precision").alias("score"))
+    return rounded(metrics.compared(ours, theirs, "score"), "baseline", "candidate", "delta")
+
+
+@query(f"WITH {_CONF_SQL}, w AS (SELECT CASE WHEN \"precision\" < recall THEN 'baseline' WHEN \"precision\" > recall THEN 'candidate' ELSE 'tie' END AS winner FROM c) SELECT v.winner, (SELECT count(*) FROM w WHERE w.winner = v.winner) AS n FROM (VALUES ('baseline'), ('candidate'), ('tie')) AS v(winner)")
+def e119_win_counts(spark, d):
+    return metrics.win_counts(e119_compared_models(spark, d))
+
+
+#: Embeddings as scores of ten classes.
+_SCORES_SQL = """
+z AS (SELECT vec_id, label, CAST(unnest(embedding[1:10]) AS DOUBLE) AS z, generate_subscripts(embedding[1:10], 1) - 1 AS i FROM embeddings),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS ez, max(z) OVER (PARTITION BY vec_id) AS top FROM z),
+q AS (SELECT *, ez / sum(ez) OVER (PARTITION BY vec_id) AS p FROM e),
+v AS (SELECT vec_id, label, max(p) AS confidence, min(i) FILTER (WHERE z = top) AS predicted, max(top) + ln(sum(ez)) - max(z) FILTER (WHERE i = label) AS nll, sum((p - CASE WHEN i = label THEN 1 ELSE 0 END) ** 2) AS brier FROM q GROUP BY 1, 2)"""
+
+
+def scored_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.scored(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), F.slice("embedding", 1, 10), F.col("label"))
+
+
+@query(f"WITH {_SCORES_SQL} SELECT count(*) AS record_count, " + r("avg(nll) AS nll", "avg(brier) AS brier", "avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END) AS accuracy", "avg(confidence) AS mean_confidence", "avg(confidence) - avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END) AS confidence_minus_accuracy") + " FROM v")
+def e076_calibration_metrics(spark, d):
+    return rounded(calibration.metrics(scored_embeddings(spark, d)), "nll", "brier", "accuracy", "mean_confidence", "confidence_minus_accuracy")
+
+
+_BINS_SQL = f"""{_SCORES_SQL}, b AS (SELECT CAST(least(floor(confidence * 15), 14) AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (WHERE predicted = label) AS n_correct, avg(confidence) AS mc FROM v GROUP BY 1)"""
+
+
+@query(f"WITH {_BINS_SQL} SELECT CAST(r.i AS INTEGER) AS bin, coalesce(n, 0) AS n, coalesce(n_correct, 0) AS n_correct, " + r("mc AS mean_confidence", "n_correct / n AS accuracy", "abs(mc - n_correct / n) AS gap") + " FROM range(15) AS r(i) LEFT JOIN b ON b.bin = r.i")
+def e077_reliability_bins(spark, d):
+    return rounded(calibration.equal_width(scored_embeddings(spark, d)).select("bin", "n", "n_correct", "mean_confidence", "accuracy", "gap"), "mean_confidence", "accuracy", "gap")
+
+
+@query(f"WITH {_BINS_SQL} SELECT " + r("sum(n * abs(mc - n_correct / n)) / sum(n) AS ece") + " FROM b")
+def e078_expected_calibration_error(spark, d):
+    return rounded(calibration.expected_error(calibration.equal_width(scored_embeddings(spark, d))), "ece")
+
+
+@query(f"WITH {_SCORES_SQL}, t AS (SELECT *, ntile(15) OVER (ORDER BY confidence, vec_id) - 1 AS bin FROM v) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, " + r("avg(confidence) AS mean_confidence", "avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END) AS accuracy", "abs(avg(confidence) - avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END)) AS gap") + " FROM t GROUP BY 1")
+def e079_equal_mass_bins(spark, d):
+    return rounded(calibration.equal_mass(scored_embeddings(spark, d), ["vec_id"]), "mean_confidence", "accuracy", "gap")
+
+
+@query(f"WITH {_SCORES_SQL} SELECT CAST(i AS INTEGER) AS label_id, count(*) FILTER (WHERE i = label) AS support, " + r("avg(CASE WHEN i = label THEN 1.0 ELSE 0.0 END) AS prevalence", "avg(p) AS mean_probability", "abs(avg(p) - avg(CASE WHEN i = label THEN 1.0 ELSE 0.0 END)) AS prevalence_gap", "avg((p - CASE WHEN i = label THEN 1 ELSE 0 END) ** 2) AS brier") + " FROM q GROUP BY 1")
+def e080_per_class_calibration(spark, d):
+    return rounded(calibration.per_class(scored_embeddings(spark, d), 10), "prevalence", "mean_probability", "prevalence_gap", "brier")
+
+
+@query("SELECT true AS whole, true AS in_range, true AS sums_to_one, true AS labels_in_range")
+def e081_probability_checks(spark, d):
+    return calibration.checks(scored_embeddings(spark, d), 10)
+
+
+_SWEEP_SQL = f"""{_SCORES_SQL}, g AS (SELECT CAST(t AS DOUBLE) AS threshold FROM (VALUES {", ".join(f"({t})" for t in abstention.THRESHOLDS)}) AS x(t)),
+w AS (SELECT threshold, count(*) AS total, count(*) FILTER (WHERE confidence >= threshold) AS suggested, count(*) FILTER (WHERE confidence >= threshold AND predicted = label) AS correct FROM v CROSS JOIN g GROUP BY 1)"""
+
+
+@query(f"WITH {_SWEEP_SQL} SELECT threshold, total, suggested, correct, total - suggested AS review, suggested - correct AS false_suggestions, " + r("suggested / total AS coverage", "correct / nullif(suggested, 0) AS selective_accuracy", "(suggested - correct) / total AS false_suggestion_rate", "correct / total AS correct_suggestion_rate") + " FROM w")
+def e082_threshold_sweep(spark, d):
+    rows = scored_embeddings(spark, d).select(F.col("_label").alias("actual"), "predicted", "confidence")
+    out = abstention.sweep(rows, list(range(10)))
+    return rounded(out.select("threshold", "total", "suggested", "correct", "review", "false_suggestions", "coverage", "selective_accuracy", "false_suggestion_rate", "correct_suggestion_rate"), "coverage", "selective_accuracy", "false_suggestion_rate", "correct_suggestion_rate")
+
+
+@query(f"WITH {_SWEEP_SQL} SELECT threshold, CAST(label AS INTEGER) AS label, count(*) AS support, count(*) FILTER (WHERE confidence >= threshold) AS suggested, count(*) FILTER (WHERE confidence >= threshold AND predicted = label) AS correct FROM v CROSS JOIN g GROUP BY 1, 2")
+def e083_actual_class_coverage(spark, d):
+    rows = scored_embeddings(spark, d).select(F.col("_label").alias("actual"), "predicted", "confidence")
+    return abstention.actual_classes(abstention.cells(rows), list(range(10))).select("threshold", "label", "support", "suggested", "correct").where("support > 0")
+
+
+@query(f"WITH {_SWEEP_SQL}, y AS (SELECT threshold, i FROM g CROSS JOIN range(10) AS t(i)) SELECT y.threshold, CAST(y.i AS INTEGER) AS label, count(v.vec_id) FILTER (WHERE confidence >= y.threshold) AS suggested, count(v.vec_id) FILTER (WHERE confidence >= y.threshold AND predicted = label) AS correct FROM y LEFT JOIN v ON v.predicted = y.i GROUP BY 1, 2")
+def e084_predicted_class_precision(spark, d):
+    rows = scored_embeddings(spark, d).select(F.col("_label").alias("actual"), "predicted", "confidence")
+    return abstention.predicted_classes(abstention.cells(rows), list(range(10))).select("threshold", "label", "suggested", "correct")
+
+
+_P, _N, _Z = "CAST(n_f AS DOUBLE) / n", "CAST(n AS DOUBLE)", stats.Z_95
+_CENTRE = f"({_P} + {_Z**2} / (2 * {_N})) / (1 + {_Z**2} / {_N})"
+_MARGIN = f"{_Z} * sqrt({_P} * (1 - {_P}) / {_N} + {_Z**2} / (4 * {_N} * {_N})) / (1 + {_Z**2} / {_N})"
+
+
+@query(f"WITH k AS (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f FROM orders GROUP BY 1) SELECT o_orderpriority, " + r(f"greatest(0.0, {_CENTRE} - {_MARGIN}) AS lower", f"least(1.0, {_CENTRE} + {_MARGIN}) AS upper") + " FROM k")
+def e085_wilson_interval(spark, d):
+    k = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_f"))
+    return rounded(k.select("o_orderpriority", stats.wilson(F.col("n_f"), F.col("n"), "lower").alias("lower"), stats.wilson(F.col("n_f"), F.col("n"), "upper").alias("upper")), "lower", "upper")
+
+
+@query("SELECT event_type AS label, count(*) AS n, " + r("sqrt(sum(count(*)) OVER () / (count(*) OVER () * count(*))) AS weight") + " FROM events GROUP BY 1")
+def e087_class_weights(spark, d):
+    return rounded(rules.class_weights(table(spark, d, "events"), "event_type"), "weight")
+
+
+@query("SELECT rn AS rank, event_type, event_id FROM (SELECT *, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS rn FROM events) WHERE rn <= 100")
+def e091_first_per_class(spark, d):
+    from sievework.operators import features
+
+    return features.first_per_class(table(spark, d, "events"), "event_type", ["ts", "event_id"]).select("rank", "event_type", "event_id")
+
+
+@query("SELECT label, length, n, CAST(sum(n) OVER (PARTITION BY label ORDER BY length ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM (SELECT lang AS label, n_chars AS length, count(*) AS n FROM documents GROUP BY 1, 2)")
+def e093_cumulative_counts(spark, d):
+    hist = profile.histogram(table(spark, d, "documents"), "n_chars", "lang").where("label IS NOT NULL")
+    return hist.withColumn("running", F.sum("n").over(Window.partitionBy("label").orderBy("length").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+@query("SELECT event_type, count(*) AS n, " + r("count(*) / sum(count(*)) OVER () AS share") + " FROM events GROUP BY 1")
+def e094_share_of_total(spark, d):
+    return rounded(rules.share_of_total(table(spark, d, "events"), "event_type"), "share")
+
+
+@query(f"SELECT doc_id, {_FP} AS fingerprint FROM documents ORDER BY fingerprint, doc_id LIMIT 512")
+def e096_deterministic_sample(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.plain_fingerprint(F.col("text")).alias("fingerprint")).orderBy("fingerprint", "doc_id").limit(512)
+
+
+@query(f"WITH {_SCORES_SQL}, k AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, i) AS rn FROM z) SELECT vec_id, CAST(max(i) FILTER (WHERE rn = 1) AS INTEGER) AS top, bool_or(rn <= 2 AND i = label) AS in_top_two FROM k GROUP BY 1")
+def e102_top_two(spark, d):
+    scores = F.slice("embedding", 1, 10).cast("array<double>")
+    return table(spark, d, "embeddings").select("vec_id", stats.first_of_top(scores).alias("top"), stats.in_top_two(scores, F.col("label")).alias("in_top_two"))
+
+
+@query("SELECT event_type, count(*) AS n, " + r("avg(value) AS mean_ms", "percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50_ms", "percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95_ms", "max(value) AS max_ms") + " FROM events GROUP BY 1")
+def e143_latency_summary(spark, d):
+    return rounded(rules.latency_summary(table(spark, d, "events"), "event_type", "value"), "mean_ms", "p50_ms", "p95_ms", "max_ms")
+
+
+@query("SELECT page_id, url LIKE 'https://%' AS secure FROM pages")
+def e126_url_checks(spark, d):
+    pages = table(spark, d, "pages")
+    return pages.select("page_id", F.coalesce(F.try_parse_url("url", F.lit("PROTOCOL")) == "https", F.lit(False)).alias("secure"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS step, " + r("CASE WHEN i < 6 THEN i / 6.0 ELSE greatest(0.0, (100 - i) / 94.0) END AS factor") + " FROM range(100) AS t(i)")
+def e127_learning_rate(spark, d):
+    return rounded(spark.range(100).select(F.col("id").alias("step"), stats.warmup_linear(F.col("id"), 100).cast("double").alias("factor")), "factor")
+
+
+@query("SELECT 'quantity_positive' AS rule, count(*) FILTER (WHERE NOT (l_quantity > 0)) AS n_violations FROM lineitem UNION ALL SELECT 'ships_by_1998', count(*) FILTER (WHERE NOT (l_shipdate < TIMESTAMP '1998-01-01')) FROM lineitem")
+def e145_constraints(spark, d):
+    return rules.violations(table(spark, d, "lineitem"), {"quantity_positive": "l_quantity > 0", "ships_by_1998": "l_shipdate < timestamp_ntz'1998-01-01'"})
+
+
+@query("SELECT event_type, a.n AS left_n, b.n AS right_n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) a FULL JOIN (SELECT event_type, count(*) AS n FROM events WHERE value > 1 GROUP BY 1) b USING (event_type) WHERE a.n IS DISTINCT FROM b.n")
+def e150_count_reconciliation(spark, d):
+    events = table(spark, d, "events")
+    left = events.groupBy("event_type").agg(F.count("*").alias("n"))
+    right = events.where("value > 1").groupBy("event_type").agg(F.count("*").alias("n"))
+    return rules.count_reconciliation(left, right, ["event_type"])
+
+
+@query("WITH s AS (SELECT strftime(x, '%Y-%m') AS month FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '1996-01-01', INTERVAL 1 MONTH) AS t(x)), c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' AND o_orderdate >= TIMESTAMP '1994-12-01' GROUP BY 1) SELECT coalesce(s.month, c.month) AS month, n, CASE WHEN s.month IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' END AS problem FROM s FULL JOIN c ON s.month = c.month")
+def e151_preflight(spark, d):
+    months = table(spark, d, "orders").where("o_orderdate < timestamp_ntz'1995-06-01' AND o_orderdate >= timestamp_ntz'1994-12-01'").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    return sources.preflight(sources.monthly_shards(spark, "1995-01-01", "1996-01-01"), months)
+
+
+@query(f"WITH {_ASSESSED_SQL} SELECT CASE WHEN lang = 'en' THEN 'train' ELSE 'test' END AS part, lang AS label, count(*) AS n FROM q GROUP BY 1, 2")
+def e152_partition_evidence(spark, d):
+    return table(spark, d, "documents").groupBy(F.when(F.col("lang") == "en", "train").otherwise("test").alias("part"), F.col("lang").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n, " + r("ln(count(*) + 1) / ln(max(count(*)) OVER () + 1) AS height") + " FROM events GROUP BY 1")
+def e161_scaled_support(spark, d):
+    counted = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return rounded(counted.withColumn("height", F.log10(F.col("n") + 1) / F.log10(F.max("n").over(Window.partitionBy()) + 1)), "height")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, " + r("sum(value) AS value") + " FROM events GROUP BY 1, 2")
+def e134_event_windows(spark, d):
+    return rounded(streams.tumbling(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")), "value")
+
+
+@query("WITH a AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE user_id % 2 = 0) AS p FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE user_id % 2 = 1) AS q FROM events WHERE user_id % 2 = 1 GROUP BY 1) SELECT event_type, " + r("p AS p", "q AS q", "(q - p) * ln(q / p) AS psi") + " FROM a JOIN b USING (event_type)")
+def e214_distribution_drift(spark, d):
+    events = table(spark, d, "events")
+    return rounded(profile.drift(events.where("user_id % 2 = 0"), events.where("user_id % 2 = 1"), "event_type"), "p", "q", "psi")
+
+
+@query()
+def e067_collation(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.size(F.split("text", " ")).alias("length"))
+    return rounded(profile.collation(profile.length_groups(docs, "doc_id", "length"), "length"), "padding_share")
+
+
+@query()
+def e140_temperature(spark, d):
+    fitted = calibration.fit_temperature(table(spark, d, "embeddings"), F.slice("embedding", 1, 10), F.col("label"))
+    return spark.createDataFrame([(fitted["temperature"], fitted["nll"])], "temperature double, nll double")
+
+
+@query()
+def e138_tfidf_regression(spark, d):
+    from sievework.operators import features
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model, converged = features.fit(docs.where("doc_id % 5 != 0"), "text", "lang", max_iter=30)
+    out = features.predictions(model, docs.where("doc_id % 5 = 0"))
+    return metrics.confusion(out, "lang", "predicted", ["de", "en", "es", "fr"]).withColumn("converged", F.lit(converged))
