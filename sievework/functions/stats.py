@@ -18,7 +18,8 @@ def wilson(successes: Column, total: Column, side: str) -> Column:
     centre = p + z2 / (2 * n)
     margin = Z_95 * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
     value = (centre - margin if side == "lower" else centre + margin) / (1 + z2 / n)
-    return F.greatest(F.lit(0.0), value) if side == "lower" else F.least(F.lit(1.0), value)
+    clamped = F.greatest(F.lit(0.0), value) if side == "lower" else F.least(F.lit(1.0), value)
+    return F.when(n.isNotNull(), clamped)
 
 
 def nearest_rank(column: str, share: float) -> Column:

@@ -9,24 +9,25 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space by which words are split: what str.split() takes; fixed values.
 WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition; nulls stay."""
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFC, full case folding and single spaces between words; null where no word is left."""
     return text.map(lambda x: " ".join(unicodedata.normalize("NFC", x).casefold().split()) or None, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_sha256(text: pd.Series) -> pd.Series:
     """SHA-256 of the document with sorted keys and no spaces; null where it isn't JSON or has NaN."""
     import hashlib

@@ -13,11 +13,12 @@ LIMITS = (128, 256, 384, 512)
 
 def histogram(rows: DataFrame, length: str, label: str | None = None) -> DataFrame:
     """Counts by length, of all rows (label null) and of each label, in one pass."""
-    counted = rows.groupBy(*([label] if label else []), length).agg(F.count("*").alias("n"))
-    if not label:
-        return counted.select(F.lit(None).cast("string").alias("label"), F.col(length).alias("length"), "n")
-    sets = counted.groupingSets([[label, length], [length]], label, length).agg(F.sum("n").alias("n"), F.grouping(label).alias("_all"))
-    return sets.select(F.when(F.col("_all") == 0, F.col(label)).alias("label"), F.col(length).alias("length"), "n")
+    own = F.lit(None).cast("string") if label is None else F.col(label)
+    counted = rows.select(own.alias("label"), F.col(length).alias("length")).groupBy("label", "length").agg(F.count("*").alias("n"))
+    if label is None:
+        return counted
+    sets = counted.groupingSets([["label", "length"], ["length"]], "label", "length").agg(F.sum("n").alias("n"), F.grouping("label").alias("_all"))
+    return sets.select(F.when(F.col("_all") == 0, F.col("label")).alias("label"), "length", "n")
 
 
 def length_profile(hist: DataFrame) -> DataFrame:

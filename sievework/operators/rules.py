@@ -38,11 +38,11 @@ CONSTRAINTS: dict[str, dict[str, str]] = {
         "undetermined_has_no_language": "NOT array_contains(exclusion_reasons, 'language_undetermined') OR detected_language IS NULL",
     },
     "analytical.split_runs": {
-        "boundaries_ordered": "train_start < validation_start AND validation_start < test_start AND test_start < window_end_exclusive",
-        "dispositions_add_up": "included_record_count + same_label_duplicate_count + label_conflict_count = input_record_count",
+        "boundaries_ordered": "window_start < train_end_exclusive AND train_end_exclusive < validation_end_exclusive AND validation_end_exclusive < window_end_exclusive",
+        "dispositions_add_up": "included_record_count + duplicate_same_label_count + duplicate_label_conflict_count = input_eligible_count",
         "assignments_add_up": "train_record_count + validation_record_count + test_record_count = included_record_count",
-        "commit_is_hex": "git_commit_sha rlike '^[0-9a-f]{40}$'",
-        "manifest_is_sha256": f"run_manifest_sha256 {_SHA}",
+        "commit_is_hex": "implementation_commit_sha rlike '^[0-9a-f]{40}$'",
+        "manifest_is_sha256": f"source_run_manifest_sha256 {_SHA}",
     },
     "analytical.split_outcomes": {
         "disposition_known": "disposition IN ('included', 'duplicate_same_label', 'duplicate_label_conflict')",

@@ -80,7 +80,11 @@ def stop_word_language(text: Column) -> Column:
     """A plain identifier by counts of common words; null without a winner."""
     words = {"en": ("the", "and", "of", "to"), "de": ("der", "und", "die", "das"), "fr": ("le", "les", "des", "et"), "es": ("el", "los", "que", "y")}  # fixed values
     tokens = F.split(F.lower(text), "[^\\p{L}]+")
-    counts = F.array(*[F.struct(F.size(F.filter(tokens, lambda t, w=w: t.isin(*w))).alias("n"), F.lit(lang).alias("lang")) for lang, w in words.items()])
+
+    def hits(common: tuple[str, ...]) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(*common)))
+
+    counts = F.array(*[F.struct(hits(common).alias("n"), F.lit(lang).alias("lang")) for lang, common in words.items()])
     best = F.element_at(F.array_sort(counts, lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).otherwise(0)), 1)
     rivals = F.size(F.filter(counts, lambda c: c["n"] == best["n"]))
     return F.when((best["n"] > 0) & (rivals == 1), best["lang"])

@@ -50,18 +50,22 @@ EXCLUSION_REASONS = (
 DISPOSITIONS = ("included", "duplicate_same_label", "duplicate_label_conflict")
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def struct(text: str) -> T.StructType:
+    """A schema of ``name type`` items, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (item.split() for item in text.split(", "))])
 
 
 #: The eight stored tables by schema and name.
 TABLES: dict[str, T.StructType] = {
-    "raw.ingestion_batches": _struct("batch_id string, manifest_version string, is_synthetic boolean, request_fingerprint_sha256 string, artifact_sha256 string, artifact_relative_path string, artifact_byte_count long, retrieved_at timestamp, returned_record_count int, inserted_record_count int, retention_policy_id string, manifest string, inserted_at timestamp"),
-    "raw.complaints": _struct("batch_id string, source_row_ordinal int, complaint_id string, source_record_sha256 string, payload string, inserted_at timestamp"),
-    "staging.transformation_batches": _struct("raw_batch_id string, transformation_version string, input_record_count int, accepted_record_count int, quarantined_record_count int, output_record_count int, transformed_at timestamp"),
-    "staging.complaint_outcomes": _struct("raw_batch_id string, source_row_ordinal int, transformation_version string, source_record_sha256 string, outcome_status string, quarantine_reasons array<string>, complaint_id string, date_received date, narrative string, narrative_sha256 string, product_raw string, sub_product_raw string, issue_raw string, sub_issue_raw string, submitted_via_raw string, transformed_at timestamp"),
-    "analytical.population_runs": _struct("raw_batch_id string, staging_transformation_version string, population_version string, taxonomy_version string, window_start date, window_end_exclusive date, language_detector string, input_record_count int, eligible_record_count int, excluded_record_count int, output_record_count int, reported_at timestamp"),
-    "analytical.population_outcomes": _struct("raw_batch_id string, source_row_ordinal int, staging_transformation_version string, population_version string, eligibility_status string, exclusion_reasons array<string>, target_product string, detected_language string, narrative_char_count int, reported_at timestamp"),
-    "analytical.split_runs": _struct("run_id string, population_version string, split_version string, fingerprint_version string, train_start date, validation_start date, test_start date, window_end_exclusive date, git_commit_sha string, run_manifest_sha256 string, input_record_count long, included_record_count long, same_label_duplicate_count long, label_conflict_count long, train_record_count long, validation_record_count long, test_record_count long, created_at timestamp"),
-    "analytical.split_outcomes": _struct("run_id string, raw_batch_id string, source_row_ordinal int, population_version string, split_version string, staging_transformation_version string, disposition string, split_assignment string, exclusion_reason string, narrative_fingerprint_sha256 string, assigned_at timestamp"),
+    "raw.ingestion_batches": struct("batch_id string, manifest_version string, is_synthetic boolean, request_fingerprint_sha256 string, artifact_sha256 string, artifact_relative_path string, artifact_byte_count long, retrieved_at timestamp, returned_record_count int, inserted_record_count int, retention_policy_id string, manifest string, inserted_at timestamp"),
+    "raw.complaints": struct("batch_id string, source_row_ordinal int, complaint_id string, source_record_sha256 string, payload string, inserted_at timestamp"),
+    "staging.transformation_batches": struct("raw_batch_id string, transformation_version string, input_record_count int, accepted_record_count int, quarantined_record_count int, output_record_count int, transformed_at timestamp"),
+    "staging.complaint_outcomes": struct("raw_batch_id string, source_row_ordinal int, transformation_version string, source_record_sha256 string, outcome_status string, quarantine_reasons array<string>, complaint_id string, date_received date, narrative string, narrative_sha256 string, product_raw string, sub_product_raw string, issue_raw string, sub_issue_raw string, submitted_via_raw string, transformed_at timestamp"),
+    "analytical.population_runs": struct("raw_batch_id string, staging_transformation_version string, population_version string, taxonomy_version string, window_start date, window_end_exclusive date, language_detector string, input_record_count int, eligible_record_count int, excluded_record_count int, output_record_count int, reported_at timestamp"),
+    "analytical.population_outcomes": struct("raw_batch_id string, source_row_ordinal int, staging_transformation_version string, population_version string, eligibility_status string, exclusion_reasons array<string>, target_product string, detected_language string, narrative_char_count int, reported_at timestamp"),
+    "analytical.split_runs": struct("run_id string, staging_transformation_version string, population_version string, split_version string, fingerprint_version string, taxonomy_version string, window_start date, train_end_exclusive date, validation_end_exclusive date, window_end_exclusive date, implementation_commit_sha string, source_run_manifest_sha256 string, input_eligible_count int, included_record_count int, duplicate_same_label_count int, duplicate_label_conflict_count int, train_record_count int, validation_record_count int, test_record_count int, created_at timestamp"),
+    "analytical.split_outcomes": struct("run_id string, raw_batch_id string, source_row_ordinal int, population_version string, split_version string, staging_transformation_version string, disposition string, split_assignment string, exclusion_reason string, narrative_fingerprint_sha256 string, assigned_at timestamp"),
 }

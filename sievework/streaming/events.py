@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-EVENTS = T.StructType.fromDDL("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+from sievework.schemas import struct
+
+EVENTS = struct("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
