@@ -144,3 +144,20 @@ def retention(expires: Column, now: Column, due_days: int = 30) -> Column:
     left = F.unix_timestamp(expires) - F.unix_timestamp(now)
     days = F.ceil(left / 86400)
     return F.struct(F.when(left < 0, "overdue").when(days <= due_days, "due_soon").otherwise("scheduled").alias("status"), days.alias("days_left"))
+
+
+def run_manifest_checks(shards: DataFrame, expected: DataFrame) -> DataFrame:
+    """Checks of a run's shards (month, batch_id, artifact_sha256, returned, unique_ids) in one row."""
+    both = expected.select("month", F.lit(True).alias("_wanted")).join(shards, "month", "full_outer")
+    return both.agg(
+        F.bool_and(F.col("_wanted").isNotNull() & F.col("batch_id").isNotNull()).alias("months_complete"),
+        (F.count("batch_id") == F.count_distinct("batch_id")).alias("batches_unique"),
+        (F.count("artifact_sha256") == F.count_distinct("artifact_sha256")).alias("artifacts_unique"),
+        F.bool_and(F.coalesce(F.col("returned") == F.col("unique_ids"), F.lit(False))).alias("counts_equal"),
+        F.sum("returned").alias("returned"),
+    )
+
+
+def cleanup_inventory(spark: SparkSession, files: str, manifest: DataFrame) -> DataFrame:
+    """What a cleanup of a run would remove: each stated artifact, and whether it is there. Nothing is deleted."""
+    return verified_artifacts(spark, files, manifest).select("relative_path", "exists", F.when(F.col("exists") & F.col("hash_agrees"), "would_delete").when(F.col("exists"), "differs").otherwise("absent").alias("action"))

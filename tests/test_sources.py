@@ -97,3 +97,51 @@ def test_stream_equals_batch(spark, small, tmp_path):
     assert found and all(batch[k] == v for k, v in found.items())
     assert events.sessions(table).agg(F.sum("n")).first()[0] == table.count()
     assert events.sliding(table).agg(F.sum("n")).first()[0] == 2 * table.count()
+
+
+def test_http_source(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from sievework.sources import http
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = b'{"hits": {"hits": []}}' if "big" not in self.path else b"1" * 500
+            self.send_response(302 if "move" in self.path else 200)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Location", "/else")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(http.BoundedHttp)
+    read = lambda *urls, **options: spark.read.format("bounded_http").options(urls=json.dumps(urls), host="127.0.0.1", scheme="http", maxbytes="100", **options).load()
+    got = read(f"{base}/a", f"{base}/b").collect()
+    assert [r.status for r in got] == [200, 200] and json.loads(got[0].document) == {"hits": {"hits": []}}
+    for bad in (f"{base}/big", f"{base}/move", "http://other/a"):
+        with pytest.raises(Exception):  # noqa: B017
+            read(bad).collect()
+    server.shutdown()
+    http.check_url("https://h/p?a=1", "h", "/p", {"a": "1"})
+    for url in ("http://h/p?a=1", "https://u@h/p?a=1", "https://h:99/p?a=1", "https://h/p?a=1&b=2", "https://h/q?a=1", "https://h/p?a=1#f", "https://h:x/p?a=1"):
+        with pytest.raises(D.SourceError):
+            http.check_url(url, "h", "/p", {"a": "1"})
+    assert "size=5" in http.export_url("https://h/p", "2024-01-01", "2024-01-31", 5)
+    with pytest.raises(D.SourceError):
+        http.export_url("https://h/p", "2024-01-01", "2024-01-31", 100_000)
+
+
+def test_run_manifest(spark, tmp_path):
+    expected = D.monthly_shards(spark, "2024-01-01", "2024-03-01")
+    shards = spark.createDataFrame([("2024-01", "a", "x", 3, 3), ("2024-02", "b", "y", 4, 4)], "month string, batch_id string, artifact_sha256 string, returned long, unique_ids long")
+    assert D.run_manifest_checks(shards, expected).first() == (True, True, True, True, 7)
+    assert not D.run_manifest_checks(shards.where("month = '2024-01'"), expected).first().months_complete
+    (tmp_path / "z.json").write_text("{}")
+    stated = spark.createDataFrame([("z.json", 2, "0" * 64), ("q.json", 2, "0" * 64)], "relative_path string, byte_count long, sha256 string")
+    assert {r.relative_path: r.action for r in D.cleanup_inventory(spark, str(tmp_path), stated).collect()} == {"z.json": "differs", "q.json": "absent"}
