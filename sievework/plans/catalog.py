@@ -399,7 +399,7 @@ def e071_training_majority(spark, d):
     return metrics.majority(table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "n")
 
 
-@query("WITH t AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, lang FROM documents) SELECT split, count(*) AS record_count, " + r("avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS accuracy", "0.25 AS macro_recall") + " FROM t GROUP BY 1")
+@query("WITH t AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, lang FROM documents) SELECT split, count(*) AS record_count, " + r("avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS accuracy", "CAST(0.25 AS DOUBLE) AS macro_recall") + " FROM t GROUP BY 1")
 def e070_constant_predictor(spark, d):
     parted = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split")
     counts = table(spark, d, "documents").groupBy(parted, F.col("lang").alias("label")).agg(F.count("*").alias("n"))

@@ -135,7 +135,7 @@ def e103_ordered_map(spark, d):
     return counted.agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("m")).select(F.array_join(F.transform("m", lambda x: F.concat(x["lang"], F.lit("="), x["n"])), ",").alias("counts"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS id, 0.501 AS best, CAST(0 AS INTEGER) AS flat, false AS stop")
+@query("SELECT CAST(1 AS BIGINT) AS id, CAST(0.501 AS DOUBLE) AS best, CAST(0 AS INTEGER) AS flat, false AS stop")
 def e104_early_stopping(spark, d):
     scores = F.array(F.lit(0.5), F.lit(0.5009), F.lit(0.501))
     return spark.range(1, 2).select("id", metrics.early_stopping(scores).alias("e")).select("id", "e.*")
