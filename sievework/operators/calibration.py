@@ -11,6 +11,8 @@ from sievework.functions import stats
 from sievework.operators.metrics import universe
 
 BINS = 15
+#: Cells of confidence in which rows are ranked.
+CELLS = 1 << 14
 LOWEST, HIGHEST = 0.05, 20.0
 
 
@@ -58,16 +60,15 @@ def expected_error(bins: DataFrame) -> DataFrame:
 def equal_mass(rows: DataFrame, order: list[str], bins: int = BINS) -> DataFrame:
     """Reliability bins of equal counts, the larger ones first.
 
-    Ranks are global without a single-task window: rows are dealt by ranges of confidence, numbered in
-    each range, and shifted by the counts of the ranges before, one number a range.
+    Ranks are global without a single-task window over rows: they are counted inside ``CELLS`` cells of
+    confidence and shifted by the counts of the cells before, one number a cell.
     """
-    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("confidence", F.col("correct").cast("int").alias("hit"), *order).repartitionByRange(n_parts, "confidence", *order)
-    parts = dealt.withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy("confidence", *order)))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    ranked = local.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + F.col("_rn") - 1)  # a row for each partition
+    cell = F.floor(F.col("confidence") * CELLS).cast("int").alias("_cell")
+    dealt = rows.select("confidence", F.col("correct").cast("int").alias("hit"), *order, cell)
+    sizes = dealt.groupBy("_cell").agg(F.count("*").alias("_n"))
+    before = sizes.select("_cell", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_cell").orderBy("confidence", *order)))
+    ranked = local.join(F.broadcast(before), "_cell").withColumn("_rank", F.col("_before") + F.col("_rn") - 1)  # CELLS + 1 rows at most
     size, extra = F.floor(F.col("_total") / bins), F.col("_total") % bins
     head = extra * (size + 1)
     tile = F.when(F.col("_rank") < head, F.floor(F.col("_rank") / (size + 1))).otherwise(extra + F.floor(F.try_divide(F.col("_rank") - head, size)))
