@@ -60,7 +60,7 @@ def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bound = np.searchsorted(doc, np.arange(n + 1))
     place = np.concatenate((bound[:-1], bound[1:]))
     ends = np.concatenate((np.arange(n), np.arange(n)))
-    order = np.lexsort((np.repeat([1, 0], n), place)) if n else place
+    order = np.lexsort((np.repeat([0, 1], n), ends, place)) if n else place
     symbol = np.insert(symbol, place[order], np.uint64(SPACE))
     doc = np.insert(doc, place[order], ends[order])
     keep = np.ones(len(symbol), bool)
