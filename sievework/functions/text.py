@@ -135,3 +135,14 @@ def html_escaped(text: Column) -> Column:
     for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(plain), F.lit(safe))
     return text
+
+
+def content_sha256(content: Column, *, any_line_ends: bool = False) -> Column:
+    """SHA-256 of bytes; with ``any_line_ends``, of the text with CRLF read as LF."""
+    return F.sha2(F.replace(content.cast("string"), F.lit("\r\n"), F.lit("\n")) if any_line_ends else content, 256)
+
+
+def short_label(label: Column, names: dict[str, str]) -> Column:
+    """A label's short name, or the label itself."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return F.coalesce(F.create_map(*pairs)[label], label) if pairs else label

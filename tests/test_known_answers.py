@@ -157,3 +157,11 @@ def test_tokenised(spark):
     out = features.tokenized(rows, "text", lambda texts: [[len(w) for w in t.split()] for t in texts], limit=2).collect()
     assert [r.input_ids for r in out] == [[1, 1], []]
     assert rows.select(features.whitespace_length("text")).first()[0] == 5
+
+
+def test_small_text_functions(spark):
+    rows = spark.createDataFrame([("a\r\nb", "Mortgage"), ("a\nb", "Other")], "t string, label string")
+    got = rows.select(X.content_sha256(F.col("t"), any_line_ends=True).alias("h"), X.content_sha256(F.col("t")).alias("g"), X.short_label(F.col("label"), {"Mortgage": "Mort."}).alias("s"), X.html_escaped(F.lit("<a&'>")).alias("e")).collect()
+    assert got[0].h == got[1].h == got[1].g != got[0].g and [r.s for r in got] == ["Mort.", "Other"] and got[0].e == "&lt;a&amp;&#x27;&gt;"
+    urls = spark.createDataFrame([("https://h/p/x",), ("http://h/p/x",), ("https://u@h/p/x",), ("https://h/q",), ("https://h:1/p",), (None,)], "u string")
+    assert [r[0] for r in urls.select(X.url_accepted(F.col("u"), "h", "/p")).collect()] == [True, False, False, False, False, False]
