@@ -6,9 +6,10 @@ other set bound what it can reach. The steps, all exact:
 1. Documents of equal sets are one class from the first block on; a class is the set's fingerprint.
 2. Inverted lists: tasks cut the shingles by hash ranges and ship packed slices (five bytes a
    shingle). A range knows which shingles have lists of two classes or more; only their entries
-   return. A class with fewer listed shingles than 0.8 of its set has no partner and goes.
-3. The rest is listed again among itself, rarest lists first. Each class's n - ceil(0.8 n) + 1 rarest
-   shingles name the lists in which every partner must meet it; a list's smallest class leads it, and
+   return, with the lists' lengths. A class with fewer listed shingles than 0.8 of its set has no
+   partner and goes.
+3. Each class's n - ceil(0.8 n) + 1 rarest shingles, those in no list first, then by the lengths of
+   lists, name the lists in which every partner must meet it; a list's smallest class leads it, and
    all members of lists with one leader are its star. Any two linked classes have a star in common.
 4. A star is searched by DivideSkip, in salted chunks of bounded size: the leader is the first query;
    members that it does not reach are queries of the second search. A query merges its short lists by
@@ -40,8 +41,8 @@ SIZE = 5
 PERCENT = 80
 #: Bits of a shingle's hash that a slice keeps, beside those of its range.
 KEPT_BITS = 40
-#: Members of a star that are searched at once.
-CHUNK = 512
+#: Listed shingles of a star's members that are searched at once, about.
+CHUNK = 150_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +108,7 @@ def _joined(values: list[bytes], kind: type) -> np.ndarray:
 
 
 def _listed_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of the shingles that two classes or more have, of the ranges of this partition."""
+    """Shingles that two classes or more have, with their lists' lengths, packed by class for each range."""
     for part, rows in _by_key(batches, ["part"]):
         kinds, sizes = _joined(rows["kinds"], np.int64), _joined(rows["sizes"], np.int32)
         narrow = [len(low) < 4 << 16 for low in rows["low"]]  # counts of few shingles are written as 16 bits
@@ -119,19 +120,27 @@ def _listed_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         kind = kinds[which]
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])))
         token, which, kind = token[new], which[new], kind[new]
-        first = np.concatenate(([True], token[1:] != token[:-1]))
-        many = ~first | np.concatenate((~first[1:], [False]))
-        token, which, kind = token[many], which[many], kind[many]
-        for a in range(0, len(token), 1 << 16):
-            b = slice(a, a + (1 << 16))
-            yield K.table(kind=kind[b], n=sizes[which[b]].astype(np.int32), token=token[b] | (part[0] << KEPT_BITS))
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        length = np.diff(np.append(start, len(token)))
+        length = np.repeat(length, length)
+        many = length >= 2
+        token, which, kind, length = token[many], which[many], kind[many], length[many]
+        order = np.argsort(kind, kind="stable")
+        token, which, kind, length = token[order] | (part[0] << KEPT_BITS), which[order], kind[order], length[order]
+        start = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))) if len(kind) else np.zeros(0, np.int64)
+        for at in range(0, len(start), 1 << 13):
+            own = start[at : at + (1 << 13)]
+            end = start[at + (1 << 13)] if at + (1 << 13) < len(start) else len(kind)
+            off = pa.array(np.append(own, end).astype(np.int32) - np.int32(own[0]))
+            lists = [pa.ListArray.from_arrays(off, pa.array(x[own[0] : end])) for x in (token, length.astype(np.int32))]
+            yield K.table(kind=kind[own], n=sizes[which[own]].astype(np.int32), tokens=lists[0], lengths=lists[1])
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
     """Rows of a partition sorted by ``key``, a group at a time."""
     now, held = None, {}
     for batch in batches:
-        columns = batch.to_pydict()
+        columns = {name: _arrays(column) if pa.types.is_list(column.type) else column.to_pylist() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
         keys = list(zip(*(columns[k] for k in key), strict=True))
         a = 0
         while a < len(keys):
@@ -149,19 +158,28 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple
         yield now, held
 
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """Each list as an array."""
+    off, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
 class DivideSkip:
     """Inverted lists of some sets, searched for those that share T elements or more with a query."""
 
     def __init__(self, sets: list[np.ndarray]):
-        lists: dict[int, list[int]] = {}
-        for i, members in enumerate(sets):
-            for token in members.tolist():
-                lists.setdefault(token, []).append(i)
-        self.lists = lists
+        token = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        holder = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(token, kind="stable")
+        self.holder = holder[order]
+        self.token, self.start = np.unique(token[order], return_index=True)
+        self.end = np.append(self.start[1:], len(order))
 
     def search(self, query: np.ndarray, least: int) -> dict[int, int]:
         """Index of each set that shares at least ``least`` elements with the query, and how many."""
-        found = sorted((x for x in map(self.lists.get, query.tolist()) if x), key=len)
+        place = np.minimum(np.searchsorted(self.token, query), max(len(self.token) - 1, 0))
+        known = place[self.token[place] == query] if len(self.token) else place[:0]
+        found = sorted((self.holder[a:b].tolist() for a, b in zip(self.start[known].tolist(), self.end[known].tolist(), strict=True)), key=len)
         if len(found) < least or least < 1:
             return {}
         longest = len(found[-1])
@@ -194,11 +212,11 @@ def _search_kernel(percent: int):
         for (leader, _), rows in _by_key(batches, ["leader", "salt"]):
             mine = [i for i, q in enumerate(rows["query"]) if not q]
             asked = [i for i, q in enumerate(rows["query"]) if q]
-            index = DivideSkip([np.array(rows["tokens"][i], np.int64) for i in mine])
+            index = DivideSkip([rows["tokens"][i] for i in mine])
             a, b = [], []
             for q in asked:
                 size = rows["n"][q]
-                for i, shared in index.search(np.array(rows["tokens"][q], np.int64), -(-percent * size // 100)).items():
+                for i, shared in index.search(rows["tokens"][q], -(-percent * size // 100)).items():
                     x = mine[i]
                     if rows["kind"][x] != rows["kind"][q] and 100 * shared >= percent * (size + rows["n"][x] - shared):
                         a.append(rows["kind"][q])
@@ -214,23 +232,16 @@ def _listed_classes(docs: DataFrame, percent: int, ranges: int) -> DataFrame:
     slices = K.map_blocks(docs.select("text"), _slices_kernel(ranges), "part int, kinds binary, sizes binary, counts binary, low binary, high binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = slices.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
-    entries = dealt.mapInArrow(_listed_kernel, "kind long, n int, token long")
-    sets = entries.groupBy("kind", "n").agg(F.collect_list("token").alias("tokens"))
-    return store.written(sets.where(100 * F.size("tokens") >= percent * F.col("n")), "listed")
-
-
-def _ranked_classes(sets: DataFrame, percent: int) -> DataFrame:
-    """The same, listed among themselves: tokens by rising list length, those of one class gone."""
-    entries = sets.select("kind", "n", F.explode("tokens").alias("token"))
-    lengths = entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    ranked = entries.join(lengths, "token").groupBy("kind", "n").agg(F.sort_array(F.collect_list(F.struct("length", "token"))).alias("ranked"))
-    ranked = ranked.where(100 * F.size("ranked") >= percent * F.col("n"))
-    return store.written(ranked.select("kind", "n", F.col("ranked.token").alias("tokens")), "ranked")
+    packed = dealt.mapInArrow(_listed_kernel, "kind long, n int, tokens array<long>, lengths array<int>")
+    sets = packed.groupBy("kind", "n").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("lengths")).alias("lengths"))
+    sets = sets.where(100 * F.size("tokens") >= percent * F.col("n"))
+    ranked = F.sort_array(F.arrays_zip(F.col("lengths").alias("length"), F.col("tokens").alias("token")))
+    return store.written(sets.select("kind", "n", ranked.alias("ranked")).select("kind", "n", F.col("ranked.token").alias("tokens")), "listed")
 
 
 def _searched(stars: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the queries of stars and their members, (leader, a, b)."""
-    chunks = stars.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunks = stars.groupBy("leader").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
     members = stars.join(chunks, "leader").select("leader", F.pmod("kind", F.col("chunks")).cast("int").alias("salt"), "kind", F.lit(False).alias("query"))
     asked = queries.join(chunks, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), "kind", F.lit(True).alias("query"))
     rows = members.union(asked).join(sets, "kind")
@@ -244,12 +255,12 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the classes that are linked with another class."""
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = _ranked_classes(_listed_classes(docs, percent, ranges), percent)
+    sets = _listed_classes(docs, percent, ranges)
     # Of the n - ceil(t n) + 1 rarest shingles, those in no list come first.
     prefix = F.expr(f"slice(tokens, 1, cast(size(tokens) - ceil({percent} * n / 100) + 1 AS int))")
-    met = sets.select("kind", F.explode(prefix).alias("token"))
+    met = sets.select("kind", F.size("tokens").alias("size"), F.explode(prefix).alias("token"))
     leaders = met.groupBy("token").agg(F.min("kind").alias("leader"), F.max("kind").alias("last")).where("leader != last")
-    stars = met.join(leaders.select("token", "leader"), "token").select("leader", "kind").where("kind != leader").distinct()
+    stars = met.join(leaders.select("token", "leader"), "token").select("leader", "kind", "size").where("kind != leader").distinct()
     stars = store.written(stars, "stars")
     heads = stars.select("leader").distinct().select("leader", F.col("leader").alias("kind"))
     first = store.written(_searched(stars, heads, sets, percent), "links")
@@ -271,7 +282,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = K.map_blocks(docs, _sets_kernel, "doc_id long, n_shingles long, kind long")
     own = own.join(roots.select(F.col("node").alias("kind"), "root"), "kind", "left").select("doc_id", "n_shingles", F.coalesce("root", "kind").alias("root"))
     own = store.written(own, "classes")
-    least = own.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join reads two shuffles, of which the larger can be split at a common root.
+    least = store.written(own.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return own.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
