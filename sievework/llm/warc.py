@@ -55,14 +55,16 @@ def classify(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     # The maximum combines before the shuffle; pages come to it by a join whose large side can be split.
-    largest = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
-    joined = rows.join(largest, "digest")
-    own = F.expr("page_id <=> refers_to")
-    single = joined.where(F.expr("copies = 1") | ~own).withColumn("first", own)
-    # A page_id that is there more than once with the same payload: one of the rows responds.
-    rank = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-    shared = joined.where(F.expr("copies > 1") & own).withColumn("first", rank == 1)
-    return single.unionByName(shared).select("page_id", "url", "payload", "digest", F.when(F.col("first"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("first"), F.col("refers_to")).alias("refers_to"))
+    counted = rows.groupBy("digest", "page_id").agg(F.count("*").alias("n")).groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("top"))
+    largest = store.written(counted.select("digest", F.col("top.page_id").alias("refers_to"), F.col("top.n").alias("ties")), "largest")
+    joined = rows.join(largest, "digest").withColumn("first", F.expr("page_id <=> refers_to"))
+    if not largest.where("ties > 1").isEmpty():
+        # Rows repeat the largest page_id of their payload: one of them responds. Payloads are dealt a
+        # second time only here.
+        rank = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
+        shared = joined.where("ties > 1 AND first").withColumn("first", rank == 1)
+        joined = joined.where("ties = 1 OR NOT first").unionByName(shared)
+    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("first"), F.col("refers_to")).alias("refers_to"))
 
 
 def _name(page_id: int | None) -> str:
