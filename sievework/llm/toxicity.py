@@ -32,7 +32,7 @@ from sievework.llm import textkit as K
 from sievework.llm.language import held_out
 
 #: Labelled documents, and documents of any kind, that fitting reads at most.
-SAMPLE = 6000
+SAMPLE = 3000
 #: Words that the sample adds to the lexicon at most.
 LEARNED = 40
 #: Hashed word features.
@@ -95,7 +95,7 @@ def votes(doc: np.ndarray, names: np.ndarray, n: int, lexicon: np.ndarray) -> np
 def features(doc: np.ndarray, names: np.ndarray, n: int, ballots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (document, feature, weight) of word frequencies, and the votes."""
     words = np.maximum(K.per_doc(doc, n), 1)
-    return doc, (names >> np.uint64(50)).astype(np.int64) % WIDTH, (10.0 / words[doc]).astype(np.float32), ballots
+    return doc.astype(np.int32), (names >> np.uint64(50)).astype(np.int32) % WIDTH, (10.0 / words[doc]).astype(np.float32), ballots
 
 
 def _moments_kernel(lexicon: np.ndarray):
@@ -212,10 +212,10 @@ def _gather(rows: list, lexicon: np.ndarray) -> tuple[np.ndarray, ...]:
         n = len(off) - 1
         doc, names = block_words(buf, off)
         d, f, w, b = features(doc, names, n, votes(doc, names, n, lexicon))
-        parts.append((d + at, f, w, b))
+        parts.append((d + np.int32(at), f, w, b))
         at += n
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, len(lexicon) + len(PATTERNS)), np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, len(lexicon) + len(PATTERNS)), np.float32)
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
 
 
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     model = fit_label_model(moments.reshape(m, m), labelled[3], np.array([r["toxic"] for r in rows], np.int64))
     others = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(spread, "doc_id").limit(SAMPLE)
     others = _sample(docs, others.distinct()).orderBy("doc_id").collect()
-    both = [np.concatenate(x) for x in zip(labelled, (lambda x: (x[0] + len(rows), *x[1:]))(_gather(others, lexicon)), strict=True)]
+    both = [np.concatenate(x) for x in zip(labelled, (lambda x: (x[0] + np.int32(len(rows)), *x[1:]))(_gather(others, lexicon)), strict=True)]
     return Fitted(lexicon, model, fit_linear(*both, model.posterior(both[3])))
 
 
