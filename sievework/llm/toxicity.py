@@ -1,15 +1,21 @@
 """Toxicity by weak supervision.
 
-Voters look at a text's words: one for each entry of a lexicon (fixed entries, and words that a
-bounded labelled sample finds typical), and some for patterns. A generative label model takes the
-votes' first and second moments over all documents: covariances of voters that are independent given
-the label factor into accuracies (the triplet identity), what the factors leave over is correlation,
-and correlated voters share one weight. Labelled votes of the sample steady the rates. Its posteriors
-label a bounded sample of texts, on which a linear classifier over votes and hashed word frequencies
-is trained; that classifier scores all documents.
-
-Bounds: ``SAMPLE`` labelled and ``SAMPLE`` unlabelled documents, the smallest by a hash of doc_id, are
-all that fitting reads beside the moments, which are a few thousand sums over all documents.
+Voters look at a text's words: one for each fixed entry of a lexicon, ``LEARNED`` for the words that
+labels find typical of toxic documents, and some for patterns. Words are counted by label over all
+labelled documents, and every word that passes a test joins the lexicon: it is in more than 9 toxic
+documents for a clean one, and its count is beyond chance at a rate ``FALSE`` of false discoveries
+(Benjamini and Hochberg's steps over the words of some least number of documents, that by which most pass).
+Learned words are dealt to their voters by rank, so that voters stay few however many words there are.
+
+A generative label model takes the votes' first and second moments over all documents: covariances of
+voters that are independent given the label factor into accuracies (the triplet identity), what the
+factors leave over is correlation, and correlated voters share one weight. Votes of all labelled
+documents steady the rates. Labels, and the posteriors of texts without one, are the targets of a
+linear classifier over votes and hashed word frequencies; that classifier scores all documents.
+
+Bounds: the linear classifier alone is trained on a sample, ``SAMPLE`` labelled and ``SAMPLE`` documents
+of any kind, the smallest by a hash of doc_id. Beside it the driver gets the learned words and a few
+thousand sums.
 
 Defined cases: a null or empty text gets the classifier's bias; without labels of both kinds the
 posterior is that of the fixed lexicon's voters; a null doc_id is scored and never learned from;
@@ -19,6 +25,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +38,12 @@ from sievework.llm import store
 from sievework.llm import textkit as K
 from sievework.llm.language import held_out
 
-#: Labelled documents, and documents of any kind, that fitting reads at most.
+#: Labelled documents, and documents of any kind, that the linear classifier is trained on at most.
 SAMPLE = 3000
-#: Words that the sample adds to the lexicon at most.
+#: Voters that share the words which labels add to the lexicon.
 LEARNED = 40
+#: The share of learned words that may be typical by chance.
+FALSE = 0.1
 #: Hashed word features.
 WIDTH = 1 << 14
 #: The score from which a document counts as toxic.
@@ -74,13 +83,31 @@ def _isin(names: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
     return sorted_names[place] == names
 
 
-def votes(doc: np.ndarray, names: np.ndarray, n: int, lexicon: np.ndarray) -> np.ndarray:
-    """n x (lexicon and patterns) matrix of 0 and 1. lexicon: fingerprints in the voters' order."""
-    out = np.zeros((n, len(lexicon) + len(PATTERNS)), np.float32)
-    order = np.argsort(lexicon)
-    place = np.minimum(np.searchsorted(lexicon[order], names), len(lexicon) - 1)
-    hit = np.flatnonzero(lexicon[order][place] == names)
-    out[doc[hit], order[place[hit]]] = 1
+@dataclass
+class Lexicon:
+    """Sorted fingerprints, the voter of each, and the number of voters."""
+
+    names: np.ndarray
+    voter: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, learned: list[int]) -> Lexicon:
+        """The fixed entries, and learned ones dealt by rank."""
+        fixed = list(dict.fromkeys(FIXED))
+        more = [x for x in dict.fromkeys(learned) if x not in set(fixed)]
+        names = np.array([*fixed, *more], np.uint64)
+        voter = np.concatenate((np.arange(len(fixed)), len(fixed) + np.arange(len(more)) % LEARNED))
+        order = np.argsort(names)
+        return cls(names[order], voter[order], len(fixed) + min(len(more), LEARNED))
+
+
+def votes(doc: np.ndarray, names: np.ndarray, n: int, lexicon: Lexicon) -> np.ndarray:
+    """n x (voters and patterns) matrix of 0 and 1."""
+    out = np.zeros((n, lexicon.size + len(PATTERNS)), np.float32)
+    place = np.minimum(np.searchsorted(lexicon.names, names), len(lexicon.names) - 1)
+    hit = np.flatnonzero(lexicon.names[place] == names)
+    out[doc[hit], lexicon.voter[place[hit]]] = 1
     insults = K.per_doc(doc[hit], n)
     words = np.maximum(K.per_doc(doc, n), 1)
     near = hit[hit > 0]
@@ -98,9 +125,9 @@ def features(doc: np.ndarray, names: np.ndarray, n: int, ballots: np.ndarray) ->
     return doc.astype(np.int32), (names >> np.uint64(50)).astype(np.int32) % WIDTH, (10.0 / words[doc]).astype(np.float32), ballots
 
 
-def _moments_kernel(lexicon: np.ndarray):
+def _moments_kernel(lexicon: Lexicon):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(lexicon) + len(PATTERNS) + 1
+        m = lexicon.size + len(PATTERNS) + 1
         total = np.zeros((m, m))
         for _, buf, off in K.blocks(batches):
             n = len(off) - 1
@@ -112,8 +139,24 @@ def _moments_kernel(lexicon: np.ndarray):
     return kernel
 
 
+def _cast_kernel(lexicon: Lexicon):
+    """Sums of votes by label, with a leading count of documents."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, lexicon.size + len(PATTERNS) + 1))
+        for rows, buf, off in K.blocks(batches):
+            n = len(off) - 1
+            ballots = np.column_stack((np.ones(n, np.float32), votes(*block_words(buf, off), n, lexicon))).astype(np.float64)
+            toxic = rows.column("toxic").to_numpy(zero_copy_only=False) == 1
+            total += np.stack((ballots[~toxic].sum(axis=0), ballots[toxic].sum(axis=0)))
+        at = np.flatnonzero(total)
+        yield K.table(at=at.astype(np.int32), x=total.ravel()[at])
+
+    return kernel
+
+
 def _counts_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label by word, of the sample."""
+    """Documents of either label by word."""
     for rows, buf, off in K.blocks(batches):
         doc, names = block_words(buf, off)
         toxic = rows.column("toxic").to_numpy(zero_copy_only=False)
@@ -141,14 +184,15 @@ class LabelModel:
         return 1 / (1 + np.exp(-odds.clip(-40, 40)))
 
 
-def fit_label_model(moments: np.ndarray, labelled: np.ndarray, labels: np.ndarray) -> LabelModel:
-    """moments: sums of products of votes, with a leading 1, over all documents."""
+def fit_label_model(moments: np.ndarray, cast: np.ndarray) -> LabelModel:
+    """moments: sums of products of votes, with a leading 1, over all documents; cast: sums of votes, with
+    a leading 1, over the labelled ones, clean and toxic."""
     total = max(moments[0, 0], 1.0)
     mean = moments[0, 1:] / total
     cov = moments[1:, 1:] / total - np.outer(mean, mean)
     m = len(mean)
-    toxic, clean = labelled[labels == 1], labelled[labels == 0]
-    prior = float(np.clip((len(toxic) + 1) / (len(labels) + 2) if len(labels) else mean.max(initial=0.05), 0.005, 0.5))
+    n_labels = cast[:, 0].sum()
+    prior = float(np.clip((cast[1, 0] + 1) / (n_labels + 2) if n_labels else mean.max(initial=0.05), 0.005, 0.5))
     spread = prior * (1 - prior)
     # Triplets: cov_ij cov_ik / cov_jk = spread * gap_i^2.
     gap = np.zeros(m)
@@ -158,9 +202,8 @@ def fit_label_model(moments: np.ndarray, labelled: np.ndarray, labels: np.ndarra
     gap = gap.clip(0.0, 1.0)
     rates = np.stack((mean - prior * gap, mean + (1 - prior) * gap), 1).clip(1e-5, 1 - 1e-5)
     strength = 20.0
-    for column, rows in ((0, clean), (1, toxic)):
-        if len(rows):
-            rates[:, column] = (rates[:, column] * strength + rows.sum(axis=0)) / (strength + len(rows))
+    for column in (0, 1):
+        rates[:, column] = (rates[:, column] * strength + cast[column, 1:]) / (strength + cast[column, 0])
     rates = rates.clip(1e-4, 1 - 1e-4)
     # What covariances hold beyond the label's part, as correlations; partners share their weight.
     gap = rates[:, 1] - rates[:, 0]
@@ -200,12 +243,62 @@ def fit_linear(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, ballots
     return model
 
 
+def evidence(toxic: float, clean: float, prior: float) -> float:
+    """-ln of a bound (Chernoff's; for clean = 0 the value itself) of the chance that so many of the
+    documents that hold a word are toxic, when the word has nothing to do with it."""
+    n = toxic + clean
+    if toxic <= n * prior:
+        return 0.0
+    return toxic * math.log(toxic / (n * prior)) + (clean * math.log(clean / (n * (1 - prior))) if clean else 0.0)
+
+
+def typical_shapes(shapes: dict[tuple[int, int], int], totals: dict[int, int], prior: float) -> list[tuple[int, int]]:
+    """The (toxic, clean) whose words are typical, most evidence first. shapes: words by (toxic, clean),
+    of the candidates; totals: words by documents, of all."""
+    ranked = sorted(((evidence(*shape, prior), shape, n) for shape, n in shapes.items()), reverse=True)
+    order = np.array(sorted(totals), np.int64)
+    tests = np.cumsum([totals[x] for x in order.tolist()][::-1])[::-1].tolist()
+    best: tuple[int, list[tuple[int, int]]] = (0, [])
+    # How many documents hold a word says nothing of its label, so any least number keeps the rate.
+    for least, n_tests in zip(order.tolist(), tests, strict=True):
+        found, passed, kept = 0, 0, 0
+        own = [(value, shape, n) for value, shape, n in ranked if sum(shape) >= least]
+        for i, (value, _, n) in enumerate(own):
+            found += n
+            if value >= math.log(n_tests / FALSE / found):
+                passed, kept = found, i + 1
+        if passed > best[0]:
+            best = (passed, [shape for _, shape, _ in own[:kept]])
+        if -least * math.log(prior) >= math.log(n_tests / FALSE):
+            break  # every pure word passes from here on
+    return best[1]
+
+
+def typical_words(labelled: DataFrame) -> list[int]:
+    """Fingerprints of all words that are typical of toxic documents, most evidence first."""
+    words = K.map_blocks(labelled.select("text", "toxic"), _counts_kernel, "name long, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = store.written(words, "words")
+    n = {bool(r["toxic"]): r["n"] for r in labelled.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return []
+    prior = n[True] / (n[True] + n[False])
+    candidates = words.where("toxic > 9 * clean")
+    shapes = {(r["toxic"], r["clean"]): r["n"] for r in candidates.groupBy("toxic", "clean").agg(F.count("*").alias("n")).collect()}
+    totals = {r["total"]: r["n"] for r in words.groupBy(F.least(F.col("toxic") + F.col("clean"), F.lit(100_000)).alias("total")).agg(F.count("*").alias("n")).collect()}
+    kept = typical_shapes(shapes, totals, prior)
+    if not kept:
+        return []
+    rank = labelled.sparkSession.createDataFrame([(*shape, i) for i, shape in enumerate(kept)], "toxic long, clean long, rank int")
+    found = candidates.join(F.broadcast(rank), ["toxic", "clean"]).select("rank", "name").collect()
+    return [int(np.int64(name).view(np.uint64)) for _, name in sorted((r["rank"], r["name"]) for r in found)]
+
+
 def _sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of at most ``SAMPLE`` ids, which are broadcast."""
     return docs.join(F.broadcast(ids), "doc_id")
 
 
-def _gather(rows: list, lexicon: np.ndarray) -> tuple[np.ndarray, ...]:
+def _gather(rows: list, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
     """Features of sampled texts on the driver."""
     parts, at = [], 0
     for _, buf, off in K.blocks(iter([pa.RecordBatch.from_pydict({"text": pa.array([r["text"] or "" for r in rows], pa.large_string())})])):
@@ -215,13 +308,13 @@ def _gather(rows: list, lexicon: np.ndarray) -> tuple[np.ndarray, ...]:
         parts.append((d + np.int32(at), f, w, b))
         at += n
     if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, len(lexicon) + len(PATTERNS)), np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, lexicon.size + len(PATTERNS)), np.float32)
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
 
 
 @dataclass
 class Fitted:
-    lexicon: np.ndarray
+    lexicon: Lexicon
     labels: LabelModel
     linear: Linear
 
@@ -230,24 +323,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     """Fit on ``labels`` (doc_id, toxic) and ``docs`` (doc_id, text)."""
     spread = F.xxhash64("doc_id")
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.orderBy(spread, "doc_id").limit(SAMPLE)
-    sample = store.written(_sample(docs, known).select("doc_id", "text", "toxic"), "labelled")
-    counts = K.map_blocks(sample.select("text", "toxic"), _counts_kernel, "name long, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    typical = counts.where("toxic >= 8 AND toxic > 9 * clean").orderBy(F.desc(F.expr("toxic - 9 * clean")), "name").limit(LEARNED)
-    learned = [int(np.int64(r["name"]).view(np.uint64)) for r in typical.collect()]
-    lexicon = np.array(list(dict.fromkeys([*FIXED, *learned])), np.uint64)
-    sums = K.map_blocks(docs.select("text"), _moments_kernel(lexicon), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    m = len(lexicon) + len(PATTERNS) + 1
-    moments = np.zeros(m * m)
-    for r in sums:
-        moments[r["at"]] = r["x"]
-    rows = sample.orderBy("doc_id").collect()
+    everything = store.written(docs.join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    lexicon = Lexicon.of(typical_words(everything))
+    m = lexicon.size + len(PATTERNS) + 1
+    moments, cast = np.zeros(m * m), np.zeros(2 * m)
+    for into, df, kernel in ((moments, docs.select("text"), _moments_kernel(lexicon)), (cast, everything.select("text", "toxic"), _cast_kernel(lexicon))):
+        for r in K.map_blocks(df, kernel, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            into[r["at"]] = r["x"]
+    model = fit_label_model(moments.reshape(m, m), cast.reshape(2, m))
+    few = everything.select("doc_id").distinct().orderBy(spread, "doc_id").limit(SAMPLE)
+    rows = _sample(everything, few).orderBy("doc_id").collect()
     labelled = _gather(rows, lexicon)
-    model = fit_label_model(moments.reshape(m, m), labelled[3], np.array([r["toxic"] for r in rows], np.int64))
     others = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(spread, "doc_id").limit(SAMPLE)
-    others = _sample(docs, others.distinct()).orderBy("doc_id").collect()
-    both = [np.concatenate(x) for x in zip(labelled, (lambda x: (x[0] + np.int32(len(rows)), *x[1:]))(_gather(others, lexicon)), strict=True)]
-    return Fitted(lexicon, model, fit_linear(*both, model.posterior(both[3])))
+    others = _gather(_sample(docs, others.distinct()).orderBy("doc_id").collect(), lexicon)
+    target = np.concatenate((np.array([r["toxic"] == 1 for r in rows], float), model.posterior(others[3])))
+    both = [np.concatenate(x) for x in zip(labelled, (others[0] + np.int32(len(rows)), *others[1:]), strict=True)]
+    return Fitted(lexicon, model, fit_linear(*both, target))
 
 
 def score(docs: DataFrame, fitted: Fitted) -> DataFrame:

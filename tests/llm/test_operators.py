@@ -370,6 +370,35 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity_query(docs, marks.where("false")).count() == len(texts())
 
 
+def test_toxicity_of_rarer_words(spark):
+    """Toxic documents whose marker words are in fewer than 8 labelled ones each, beside a common marker."""
+    rng = random.Random(12)
+    rare = [f"bomen{x}" for x in ("ta", "ga", "era", "rr", "ll", "co", "ie", "ja", "ci", "te")]
+    rows, labels = [], []
+    for i in range(900):
+        words = prose(rng, 60).split()
+        marks = rng.sample(rare, 2) if i % 30 == 0 else ["zonk", "idiot"] if i % 11 == 0 else []
+        for at, word in zip(rng.sample(range(60), len(marks)), marks, strict=True):
+            words[at] = word
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bool(marks))))
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known = [r.doc_id for r in marks.where(~language.held_out(3, 1)).collect()]
+    assert max(sum(w in dict(rows)[i].split() for i in known) for w in rare) < 8
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_query(table, marks).where("held_out").collect()}
+    rarely = [i for i in got if i % 30 == 0]
+    assert len(rarely) >= 5 and sum(got[i] for i in rarely) >= 0.8 * len(rarely)
+    assert not any(got[i] for i in got if i % 30 and i % 11)
+
+
+def test_typical_shapes():
+    # 4 of 4 at one in ten is chance among thousands of words, and beyond it among few.
+    assert toxicity.evidence(4, 0, 0.1) == pytest.approx(-np.log(1e-4))
+    assert toxicity.typical_shapes({(4, 0): 1}, {1: 50_000, 4: 20_000}, 0.1) == []
+    assert toxicity.typical_shapes({(4, 0): 1, (1, 0): 5000}, {1: 50_000, 4: 100}, 0.1) == [(4, 0)]
+    assert toxicity.typical_shapes({}, {}, 0.1) == []
+
+
 def test_repeats(spark, docs, none):
     got = repeats.repeats_query(docs).collect()
     rows = [(i, (t or "").encode()) for i, t in texts()]
