@@ -1,12 +1,13 @@
 """Best-fit packing of token pieces by bin completion.
 
 Lengths are whole numbers up to the capacity, so the corpus is a histogram of at most ``capacity``
-counts, however many pieces there are. The driver plans on that histogram: it fills the bin of the
-largest remaining length with an undominated completion (largest lengths first, least waste, perfect
-ones at once), repeats the filling as often as the counts allow, and solves the rest, when few pieces
-are left, by branch and bound. A best-fit-decreasing packing is the first incumbent; a branch ends
-when its waste says that it can't beat the incumbent, and the search ends at the bound
-ceil(total / capacity). Tasks then look up each piece's bin from its rank among equal lengths.
+counts, however many pieces there are. The driver plans on that histogram by branch and bound: best fit
+decreasing of the whole histogram is the first incumbent, so no plan is worse; a branch fills the bin of
+the largest remaining length (with least waste, or with the largest lengths) as often as the counts
+allow, ends when a lower bound says that it can't beat the incumbent, and the last pieces are solved one
+by one. The search ends at the bound, or after ``BRANCH_NODES`` fillings beyond its first descent, so a
+plan above the bound needn't be the best one.
+Tasks then look up each piece's bin from its rank among equal lengths.
 
 Ranks are counted within tasks and shifted by the counts of the tasks before, so a length that a
 third of all pieces share isn't gathered anywhere.
@@ -18,7 +19,9 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ CAPACITY = 4096
 COMPLETION_STEPS, TAIL_STEPS = 4000, 60_000
 #: Fillings that are weighed for each of the last bins.
 WIDTH = 200
+#: Fillings that are tried after the first descent.
+BRANCH_NODES = 500
 #: The last pieces, at most, that are solved by branch and bound.
 TAIL_PIECES = 48
 
@@ -59,6 +64,13 @@ class Histogram:
                 del self.counts[length]
                 self.order = np.delete(self.order, np.searchsorted(self.order, length))
 
+    def put(self, filling: dict[int, int], times: int) -> None:
+        """Undo ``take``."""
+        for length, n in filling.items():
+            if length not in self.counts:
+                self.order = np.insert(self.order, np.searchsorted(self.order, length), length)
+            self.counts[length] = self.counts.get(length, 0) + n * times
+
 
 def completion(left: Histogram, room: int, first: int) -> dict[int, int]:
     """Lengths that fill ``room`` beside ``first`` with the least waste that the search finds.
@@ -152,34 +164,116 @@ def solve_tail(lengths: list[int], capacity: int) -> list[list[int]]:
     return incumbent
 
 
+def best_fit_fillings(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing of the whole histogram, as (filling, times): equal bins are filled together."""
+    bins: dict[int, list[tuple[dict[int, int], int]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, filling: dict[int, int], times: int) -> None:
+        if room not in bins:
+            bisect.insort(rooms, room)
+        bins.setdefault(room, []).append((filling, times))
+
+    for length in sorted((k for k, n in counts.items() if n > 0), reverse=True):
+        n = counts[length]
+        # The fullest bin that holds a piece takes as many as fit, being the fullest still.
+        at = bisect.bisect_left(rooms, length)
+        moved = []
+        while n and at < len(rooms):
+            room = rooms.pop(at)
+            for filling, times in bins.pop(room):
+                each = room // length
+                whole = min(times, n // each)
+                n -= whole * each
+                over = n if whole < times else 0
+                n -= over
+                moved += [(room - each * length, filling | {length: each}, whole)] if whole else []
+                moved += [(room - over * length, filling | {length: over}, 1)] if over else []
+                moved += [(room, filling, times - whole - bool(over))] if times - whole - bool(over) else []
+        each = capacity // length
+        moved += [(capacity - each * length, {length: each}, n // each)] if n // each else []
+        moved += [(capacity - n % each * length, {length: n % each}, 1)] if n % each else []
+        for row in moved:
+            put(*row)
+    return [row for room in rooms for row in bins[room]]
+
+
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: by the sum, and by the pieces of which at most k fit a bin."""
+    lengths = np.array(list(counts), np.int64)
+    n = np.array(list(counts.values()), np.int64)
+    return max([-(-int((lengths * n).sum()) // capacity), *(-(-int(n[lengths * (k + 1) > capacity].sum()) // k) for k in range(1, 9))])
+
+
+def fillings(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """All pieces as (filling, times), by branch and bound on the histogram with best fit decreasing as the
+    first incumbent. A branch fills the bin of the largest length, as often as the counts allow."""
+    best = best_fit_fillings(counts, capacity)
+    n_best, least = sum(t for _, t in best), least_bins(counts, capacity)
+    left, remaining = Histogram(counts), sum(counts.values())
+    done: list[tuple[dict[int, int], int]] = []
+    others: list[list[tuple[dict[int, int], int]]] = []
+    n_done, nodes, reached = 0, BRANCH_NODES, False
+
+    def choices() -> list[tuple[dict[int, int], int]]:
+        """The filling of least waste; the one of largest lengths; the first for half the bins."""
+        largest = int(left.order[-1])
+        tight = completion(left, capacity - largest, largest) if largest < capacity else {}
+        tight[largest] = tight.get(largest, 0) + 1
+        wide, room = {largest: 1}, capacity - largest
+        for length in left.up_to(room):
+            if length <= room:
+                n = min(left.counts[length] - wide.get(length, 0), room // length)
+                if n > 0:
+                    wide[length] = wide.get(length, 0) + n
+                    room -= n * length
+        times = min(left.counts[k] // n for k, n in tight.items())
+        found = [(tight, times)]
+        if wide != tight:
+            found.append((wide, min(left.counts[k] // n for k, n in wide.items())))
+        return found + ([(tight, times // 2)] if times > 1 else [])
+
+    while n_best > least:
+        if remaining <= TAIL_PIECES and n_done + least_bins(left.counts, capacity) < n_best:
+            tail = solve_tail([k for k, n in left.counts.items() for _ in range(n)], capacity)
+            if n_done + len(tail) < n_best:
+                best, n_best = [*done, *((dict(Counter(b)), 1) for b in tail)], n_done + len(tail)
+            reached, ways = True, []
+        elif n_done + least_bins(left.counts, capacity) >= n_best:
+            reached, ways = True, []  # no way below the incumbent
+        else:
+            ways = choices()
+        while not ways and done:
+            filling, times = done.pop()
+            left.put(filling, times)
+            n_done -= times
+            remaining += times * sum(filling.values())
+            ways = others.pop()
+        nodes -= reached  # the first descent is free
+        if not ways or nodes < 0:
+            break
+        filling, times = ways.pop(0)
+        left.take(filling, times)
+        n_done += times
+        remaining -= times * sum(filling.values())
+        done.append((filling, times))
+        others.append(ways)
+    return best
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
     """Runs of slots: pieces of ``length`` with ranks from ``rank`` on lie ``each`` to a bin, the first
-    in bin ``bin`` at ``offset``; ordered by (length, rank). At most one step for each distinct length,
-    and the tail."""
-    left = Histogram(counts)
+    in bin ``bin`` at ``offset``; ordered by (length, rank)."""
     used: dict[int, int] = {}
     rows: list[tuple[int, int, int, int, int]] = []
-    n_bins, remaining = 0, sum(counts.values())
-
-    def place(filling: list[tuple[int, int]], times: int) -> None:
-        nonlocal n_bins
+    n_bins = 0
+    for filling, times in fillings({k: n for k, n in counts.items() if n > 0}, capacity):
         offset = 0
-        for length, each in filling:
+        for length, each in sorted(filling.items(), reverse=True):
             rows.append((length, used.get(length, 0), n_bins, each, offset))
             used[length] = used.get(length, 0) + each * times
             offset += length * each
         n_bins += times
-
-    while remaining > TAIL_PIECES:
-        largest = int(left.order[-1])
-        filling = completion(left, capacity - largest, largest) if largest < capacity else {}
-        filling[largest] = filling.get(largest, 0) + 1
-        times = min(left.counts[k] // n for k, n in filling.items())
-        place(sorted(filling.items(), reverse=True), times)
-        left.take(filling, times)
-        remaining -= times * sum(filling.values())
-    for lengths in solve_tail([k for k, n in left.counts.items() for _ in range(n)], capacity):
-        place(sorted(((k, lengths.count(k)) for k in set(lengths)), reverse=True), 1)
     rows.sort()
     columns = np.array(rows, np.int64).reshape(-1, 5).T
     return dict(zip(("length", "rank", "bin", "each", "offset"), columns, strict=True)) | {"n_bins": n_bins}

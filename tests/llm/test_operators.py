@@ -309,6 +309,24 @@ def test_plans_reach_the_bound():
         assert runs["n_bins"] <= max(-(-int(lengths.sum()) // 4096), int((lengths > 2048).sum())) * 1.05 + 1
 
 
+def test_plans_are_no_worse_than_best_fit():
+    rng = random.Random(10)
+    cases = [{2049: 100, 1366: 100, 89: 2300}]
+    cases += [dict(Counter(rng.choice((2049, 1366, 1025, 820, 89, rng.randrange(1, 2500))) for _ in range(400))) for _ in range(8)]
+    for counts in cases:
+        plain = packing.best_fit([k for k, n in counts.items() for _ in range(n)], 4096)
+        found = packing.best_fit_fillings(counts, 4096)
+        assert sum(t for _, t in found) == len(plain)
+        for rows in (found, packing.fillings(counts, 4096)):
+            total = Counter()
+            for filling, times in rows:
+                assert sum(k * n for k, n in filling.items()) <= 4096 and times > 0
+                total.update({k: n * times for k, n in filling.items()})
+            assert total == counts
+        assert packing.least_bins(counts, 4096) <= packing.plan(counts)["n_bins"] <= len(plain)
+    assert packing.plan(cases[0])["n_bins"] <= 135
+
+
 def test_archives(spark):
     html = ["<p>same</p>", "<p>same</p>", None, "", "ü" * 5000, "<p>same</p>", "once\x1f\x8b\x08\r\n\r\nWARC/1.1\r\n", "x" * 200_000]
     pages = spark.createDataFrame([(i, f"http://h/{i}\nx" if i else None, h, "y") for i, h in enumerate(html)], "page_id long, url string, html string, payload string").repartition(2)
