@@ -12,6 +12,9 @@ Files are written by a task under a name of its own and listed by the row it ret
 written once as a table, so a repeated task's leftover file is never read. Reading and writing go
 through Arrow's file systems, which serve local paths, HDFS and object stores alike.
 
+Headers may be of any length. ``warc_query`` compares the records read with the manifest's count, and fails
+where they differ.
+
 Defined cases: a null html is an empty payload; empty payloads equal each other; ties and repeated
 rows of one page_id give one record each, of which at most one is the response; a null page_id is
 written as 0-prefixed ``null`` and can refer to a response but never be one unless all equal ones are
@@ -42,7 +45,7 @@ SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
 #: Bytes that are searched or decoded at a time.
 CHUNK_BYTES = 64 << 10
-#: Decoded bytes within which a record's headers must end.
+#: Bytes that are decoded at a time in search of the end of a record's headers.
 HEADER_BYTES = 16 << 10
 
 _MAGIC = b"\x1f\x8b\x08"
@@ -143,13 +146,24 @@ class _Range:
 def headers_at(source: _Range, start: int) -> tuple[dict[str, str], bytes] | None:
     """The headers of the record whose member begins at ``start``, and what was decoded after them."""
     unpacker = zlib.decompressobj(31)
+    decoded, at, data = bytearray(), start, b""
     try:
-        decoded = unpacker.decompress(source.need(start, HEADER_BYTES), HEADER_BYTES)
+        # On and on once the text begins as a record: headers may be of any length.
+        while not unpacker.eof and b"\r\n\r\n" not in decoded[-HEADER_BYTES - 3 :]:
+            if not data:
+                data = source.need(at, HEADER_BYTES)
+                at += len(data)
+                if not data:
+                    break
+            decoded += unpacker.decompress(data, HEADER_BYTES)
+            data = unpacker.unconsumed_tail
+            if not decoded.startswith(b"WARC/1."[: len(decoded)]):
+                return None
     except zlib.error:
         return None
     if not decoded.startswith(b"WARC/1."):
         return None
-    head, gap, rest = decoded.partition(b"\r\n\r\n")
+    head, gap, rest = bytes(decoded).partition(b"\r\n\r\n")
     if not gap:
         return None
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
@@ -241,4 +255,13 @@ def warc_query(pages: DataFrame) -> DataFrame:
     """The digest of what is read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     manifest = write_archives(pages, store.scratch_path(spark, "warc"))
-    return read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    digests = read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return complete(store.written(digests, "digests"), manifest)
+
+
+def complete(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The written records, if they are as many as the manifest lists; an error otherwise."""
+    listed, found = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], records.count()
+    if listed != found:
+        raise ValueError(f"the archives list {listed} records, {found} were read")
+    return records

@@ -349,6 +349,20 @@ def test_archives(spark):
     assert len(twice) == 2 * len(html) and sum(r.record_type == "response" for r in twice) == len(by)
 
 
+def test_archives_with_long_urls(spark):
+    rng = random.Random(13)
+    urls = [f"data:text/plain,{i}" + "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(n)) for i, n in enumerate((10, 16_000, 17_000, 40_000, 300_000))]
+    pages = spark.createDataFrame([(i, u, "<p>same</p>" if i in (1, 3) else f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, store.scratch_path(spark, "warc"))
+    for split in (5000, 1 << 20):
+        got = {r.page_id: r for r in warc.read_archives(spark, manifest, split).collect()}
+        assert {i: r.url for i, r in got.items()} == dict(enumerate(urls)) and got[1].refers_to == 3
+    assert warc.warc_query(pages).count() == len(urls)
+    short = store.written(pages.limit(3), "short")
+    with pytest.raises(ValueError, match="5 records, 3 were read"):
+        warc.complete(short, manifest)
+
+
 def test_language(spark, docs, none):
     rng = random.Random(6)
     syllables = {"aa": ["ba", "lo", "mi"], "bb": ["zur", "kek", "tov"]}
