@@ -62,7 +62,7 @@ def anchored_runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram:
         return {k: none for k in ("doc", "lo", "hi", "at")} | {k: none.astype(np.uint64) for k in ("name", "print", "left", "right")}
     prints = K.RangeHash(buf)
     at = np.arange(n - gram + 1)
-    names = prints.of(at, at + gram)
+    names = prints.short(at, at + gram)
     place = (1 << 31) - 1
     least = sliding_least(names >> np.uint64(31) << np.uint64(31) | at.astype(np.uint64), length - gram + 1)
     anchor = (least & np.uint64(place)).astype(np.int64)

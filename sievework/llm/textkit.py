@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Documents are worked on in blocks of about so many bytes.
 BLOCK_BYTES = 2 << 20
+#: Ranges of so many values are told apart by a polynomial modulo 2^64.
+SAFE = 64
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_PRIME, _PRIME_BASE = (1 << 31) - 1, 1_220_703_125
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 #: A random 64-bit word for each byte value.
 _BYTE_WORDS = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
+_BYTE_TERMS = np.random.default_rng(20240301).integers(1, _PRIME, 256, dtype=np.uint64)
 
 #: Word separators of the contracts: space and U+0009 to U+000D.
 IS_SPACE = np.zeros(256, bool)
@@ -82,19 +86,53 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """B^0 .. B^n modulo 2^64, of the base or of its inverse."""
-    have = _powers.get(inverse)
-    if have is None or len(have) <= n:
-        size = max(n + 1, BLOCK_BYTES + 4096)
+
+    def grow(size: int) -> np.ndarray:
         have = np.full(size, _INVERSE if inverse else _BASE, np.uint64)
         have[0] = 1
-        have = np.multiply.accumulate(have)
+        return np.multiply.accumulate(have)
+
+    return _kept((64, inverse), n, grow)
+
+
+def prime_powers(n: int, inverse: bool = False) -> np.ndarray:
+    """B^0 .. B^n modulo 2^31 - 1, of the prime's base or of its inverse."""
+
+    def grow(size: int) -> np.ndarray:
+        base = pow(_PRIME_BASE, -1, _PRIME) if inverse else _PRIME_BASE
+        have = np.ones(1, np.uint64)
+        while len(have) < size:
+            have = np.concatenate((have, modulo_prime(have * _U64(pow(base, len(have), _PRIME)))))
+        return have[:size].astype(np.uint32)
+
+    return _kept((31, inverse), n, grow)
+
+
+def _kept(key: tuple[int, bool], n: int, grow: Callable[[int], np.ndarray]) -> np.ndarray:
+    have = _powers.get(key)
+    if have is None or len(have) <= n:
+        size = max(n + 1, BLOCK_BYTES + 4096)
+        have = grow(size)
         if size <= 4 * BLOCK_BYTES:
-            _powers[inverse] = have
+            _powers[key] = have
     return have[: n + 1]
 
 
+def modulo_prime(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, by folds."""
+    p, bits = _U64(_PRIME), _U64(31)
+    for _ in range(3):
+        x = (x & p) + (x >> bits)
+    return np.where(x == p, _U64(0), x)
+
+
 class RangeHash:
-    """64-bit fingerprints of any ranges of a byte or word sequence, from one cumulative sum."""
+    """64-bit fingerprints of any ranges of a byte or word sequence, from two cumulative sums.
+
+    Polynomials modulo 2^64 alone agree on some strings of two symbols and a thousand bytes (those of Thue
+    and Morse) whatever the base, so for ranges of over ``SAFE`` values a second one, modulo the prime
+    2^31 - 1, is mixed in.
+    """
 
     def __init__(self, values: np.ndarray):
         """values: bytes, or 64-bit words."""
@@ -103,11 +141,28 @@ class RangeHash:
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(words * powers(self.n)[:-1], out=self.sums[1:])
         self.shift = powers(self.n, True)
+        self.values, self.terms = values, None
+
+    def short(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same for ranges of at most ``SAFE`` values."""
+        return mix(self._first(start, end))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Fingerprints of [start, end); those of equal length and content are equal."""
-        h = (self.sums[end] - self.sums[start]) * self.shift[start]
-        return mix(h + (end - start).astype(np.uint64) * _U64(0xD6E8FEB86659FD93))
+        out = self._first(start, end)
+        if len(far := np.flatnonzero(end - start > SAFE)):
+            out[far] += self._second(start[far], end[far]) * _U64(0x9FB21C651E98DF25)
+        return mix(out)
+
+    def _second(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if self.terms is None:
+            terms = (_BYTE_TERMS[self.values] if self.values.dtype == np.uint8 else self.values >> _U64(33)) * prime_powers(self.n)[:-1]
+            self.terms = np.zeros(self.n + 1, np.uint64)
+            np.cumsum((terms & _U64(_PRIME)) + (terms >> _U64(31)), out=self.terms[1:])  # of less than 2^32 each
+        return modulo_prime(modulo_prime(self.terms[end] - self.terms[start]) * prime_powers(self.n, True)[start])
+
+    def _first(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.shift[start] + (end - start).astype(np.uint64) * _U64(0xD6E8FEB86659FD93)
 
 
 def runs(flag: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
