@@ -5,9 +5,10 @@ narrow id ranges: a look-up by doc_id prunes files, stripes and row groups by st
 filters, and a full read splits at stripes. A row says its part and its place within the part; the
 place within the whole corpus is that plus the sum of the parts before, one number a part.
 
-Defined cases: a null or empty text is its end id alone; a null doc_id sorts first; rows of one
-doc_id stay in one part, ordered by their text's hash; an empty table gives no rows; other columns are
-not read. A text is encoded whole.
+Defined cases: a null or empty text is its end id alone; a null doc_id sorts first; rows of one doc_id
+are ordered by their text's hash, and equal rows by their place in the scan, so a doc_id that many rows
+share is split over parts; an empty table gives no rows; other columns are not read. A text is encoded
+whole, however long.
 """
 
 from __future__ import annotations
@@ -59,17 +60,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
     """Encode documents, append ``end`` to each, and write them in order of doc_id as ORC under ``path``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = narrow.repartitionByRange(parts, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    K.map_blocks(dealt, _encode_kernel(tokenizer, end), FILE_SCHEMA).write.mode("errorifexists").options(**OPTIONS).orc(path)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    dealt = narrow.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "hash", "nth").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "nth")
+    K.map_blocks(dealt.select("doc_id", "text"), _encode_kernel(tokenizer, end), FILE_SCHEMA).write.mode("errorifexists").options(**OPTIONS).orc(path)
+
+
+def _before(files: DataFrame) -> DataFrame:
+    """part and how many ids all earlier parts hold: a row for each writing task, so never large."""
+    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sums.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before")))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids."""
     files = spark.read.schema(FILE_SCHEMA).orc(path)
-    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # one row for each part
-    before = sums.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return files.join(before, "part").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
+    return files.join(_before(files), "part").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
