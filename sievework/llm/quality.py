@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm import textkit as K
+from sievework.llm import tokens
 
 WINDOW = 8
 #: Rules by bit: name, and the condition under which a document fails, on ledger measurements.
@@ -46,9 +47,6 @@ LEDGER = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"[#*$%&|<>]", np.uint8)[1:-1])
 _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
-_LETTER = _UPPER.copy()
-_LETTER[0x61:0x7B] = True
-_LETTER[0xC3:0xF5] = True  # lead bytes of two to four: a letter of another alphabet, as a rule
 _CHAR = (np.arange(256) & 0xC0) != 0x80
 
 
@@ -80,7 +78,7 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     size = len(words.start) + 1
     cover = np.cumsum(np.bincount(again, minlength=size) - np.bincount(again + WINDOW, minlength=size))
     out["n_repeat_words"] = K.per_doc(words.doc[cover[:-1] > 0], n)
-    out["n_upper"], out["n_letters"], out["n_exclaims"] = count(_UPPER[buf]), count(_LETTER[buf]), count(buf == 0x21)
+    out["n_upper"], out["n_letters"], out["n_exclaims"] = count(_UPPER[buf]), count(tokens.letters(buf)), count(buf == 0x21)
     return out
 
 

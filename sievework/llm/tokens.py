@@ -48,6 +48,14 @@ def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), at
 
 
+def letters(buf: np.ndarray) -> np.ndarray:
+    """Which bytes begin a letter of any alphabet."""
+    points, at = code_points(buf)
+    out = np.zeros(len(buf), bool)
+    out[at[_kind_of(points) == _LETTER]] = True
+    return out
+
+
 def pieces(buf: np.ndarray, off: np.ndarray, byte_level: bool) -> tuple[np.ndarray, np.ndarray]:
     """Byte bounds of the pre-tokenizer's pieces, in order.
 
