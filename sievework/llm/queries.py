@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import decontaminate, jaccard, language, packing, quality, repeats, secrets, store, tokenfiles, toxicity, warc
+from sievework.llm import decontaminate, jaccard, language, oracles, packing, quality, repeats, secrets, store, tokenfiles, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +60,4 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_language_id, op4_secret_scans, op5_token_orc, op6_best_fit_packing, op7_warc, op8_ngram_jaccard_join, op9_toxicity, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
