@@ -7,31 +7,38 @@ Windows that lack more four-byte grams of the item than its edits could destroy
 Myers' algorithm finds the least edit distance of the whole item to any part of the others.
 
 Texts and items are compared with A-Z lowered and white space as single bytes of space; distances
-count UTF-8 bytes. Items are taken in blocks of ``BLOCK_ITEMS``, so the automaton that tasks get is
-bounded however large the benchmark is; each block is one pass over the documents.
-
-Defined cases: a null or empty text or item matches nothing, and neither does an item of fewer than
-``LEAST`` bytes; a pair is returned once with its least distance; rows of a null doc_id are returned
-with it; repeated rows give their pairs once; an empty table gives no rows; other columns are not read.
+count UTF-8 bytes. An item of fewer than ``SHORT`` bytes (its ends' white space aside) has no edit to
+spare: it matches where it lies unchanged between white space or the text's ends. Items are written to
+the shared folder in blocks of about ``BLOCK_ITEMS`` and read by the tasks, so neither the driver nor a
+task's automaton grows with the benchmark; each block is one pass over the documents.
+
+Defined cases: a null or blank item matches nothing, and neither does a null or empty text; a pair is
+returned once with its least distance, and of places with equal distances none is preferred; rows of a
+null doc_id are returned with it; repeated rows give their pairs once; an empty table gives no rows; a
+very long text is searched whole, as a block of its own; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.llm import store
 from sievework.llm import textkit as K
 
 #: Edits allowed, one in so many bytes of the item.
 PER_EDIT = 10
-#: Shorter items are too common to be evidence.
-LEAST = 40
-#: Items in one automaton.
+#: Items of fewer bytes match without edits, between white space.
+SHORT = 40
+#: Items in one automaton, about.
 BLOCK_ITEMS = 20_000
 
 _PLAIN = K.LOWER.copy()
@@ -46,17 +53,28 @@ class Item:
     """A pattern with its edit budget, its pieces, and its bit masks."""
 
     def __init__(self, pattern: bytes):
-        self.pattern = pattern
-        self.size = len(pattern)
-        self.budget = self.size // PER_EDIT
+        self.short = len(pattern.strip()) < SHORT
+        self.pattern = pattern.strip() if self.short else pattern
+        self.size = len(self.pattern)
+        self.budget = 0 if self.short else self.size // PER_EDIT
         bounds = np.linspace(0, self.size, self.budget + 2).astype(int).tolist()
-        self.pieces = list(zip(bounds[:-1], bounds[1:], strict=True))
-        self.grams = frozenset(grams(np.frombuffer(pattern, np.uint8)).tolist())
-        #: An edit destroys four grams at most, so an occurrence keeps so many of the distinct ones.
-        self.least = len(self.grams) - 4 * self.budget
-        self.masks: dict[int, int] = {}
-        for i, byte in enumerate(pattern):
-            self.masks[byte] = self.masks.get(byte, 0) | 1 << i
+        self.pieces = list(zip(bounds[:-1], bounds[1:], strict=True)) if self.size else []
+
+    @cached_property
+    def grams(self) -> frozenset[int]:
+        return frozenset(grams(np.frombuffer(self.pattern, np.uint8)).tolist())
+
+    @property
+    def least(self) -> int:
+        """An edit destroys four grams at most, so an occurrence keeps so many of the distinct ones."""
+        return len(self.grams) - 4 * self.budget
+
+    @cached_property
+    def masks(self) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for i, byte in enumerate(self.pattern):
+            out[byte] = out.get(byte, 0) | 1 << i
+        return out
 
     def distance(self, window: bytes) -> int:
         """The least edit distance of the pattern to any part of the window."""
@@ -110,7 +128,7 @@ class Matcher:
         """(document, item, distance) of the pairs in a block of plain bytes."""
         if not self.any or not len(buf):
             return
-        raw, codes = buf.tobytes(), grams(buf)
+        raw, codes, bounds = buf.tobytes(), grams(buf), set(off.tolist())
         spots: dict[tuple[int, int], set[int]] = {}
         hits = list(self.automaton.iter(raw.decode("latin-1")))
         docs = K.owner(off, np.fromiter((e for e, _ in hits), np.int64, len(hits))).tolist()
@@ -119,10 +137,15 @@ class Matcher:
             if start < off[doc]:
                 continue
             for n, a in places:
+                if self.items[n].short and not ((start in bounds or raw[start - 1] == 0x20) and (end + 1 in bounds or raw[end + 1] == 0x20)):
+                    continue
                 # Where the item would begin, to a multiple of its budget.
                 spots.setdefault((doc, n), set()).add((start - a) // (self.items[n].budget + 1))
         for (doc, n), cells in spots.items():
             item, best = self.items[n], None
+            if item.short:
+                yield doc, n, 0
+                continue
             for cell in sorted(cells):
                 step = item.budget + 1
                 a = max(int(off[doc]), cell * step - item.budget)
@@ -136,14 +159,41 @@ class Matcher:
                 yield doc, n, best
 
 
-def _kernel(items: list[tuple[object, bytes]], id_type: pa.DataType):
+_last: tuple[str, Matcher] | None = None
+
+
+def _matcher(folder: str) -> Matcher:
+    """The automaton of a block's items, which a worker keeps until it needs another."""
+    global _last
+    if _last is None or _last[0] != folder:
+        _last = None
+        system, place = pafs.FileSystem.from_uri(folder)
+        names = sorted(f.path for f in system.get_file_info(pafs.FileSelector(place)) if f.path.endswith(".parquet"))
+        rows = [row for name in names for row in pq.read_table(name, filesystem=system).to_pylist()]
+        _last = folder, Matcher(sorted((r["item_id"], normal(r["text"])) for r in rows))
+    return _last[1]
+
+
+def _blocks(benchmark: DataFrame) -> list[str]:
+    """Write the items to the shared folder; the folder of each block."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    n_blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    path = store.scratch_path(spark, "items")
+    dealt = items.repartition(n_blocks, F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+    dealt.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))).write.partitionBy("block").parquet(path)
+    there = spark.read.schema("item_id long, text string, block int").parquet(path).select("block").distinct()
+    return [f"{path}/block={r['block']}" for r in there.orderBy("block").collect()]
+
+
+def _kernel(folder: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items)
         for rows, buf, off in K.blocks(batches):
+            matcher = _matcher(folder)
             found = list(matcher.find(_PLAIN[buf], off))
             yield K.table(
                 doc_id=rows.column("doc_id").take(pa.array([d for d, _, _ in found], pa.int64())),
-                item_id=pa.array([matcher.ids[n] for _, n, _ in found], id_type),
+                item_id=pa.array([matcher.ids[n] for _, n, _ in found], pa.int64()),
                 distance=pa.array([x for _, _, x in found], pa.int32()),
             )
 
@@ -152,40 +202,28 @@ def _kernel(items: list[tuple[object, bytes]], id_type: pa.DataType):
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and distance of every pair of a document and an item that occurs in it."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())])
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    n_items = items.count()
-    found = None
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-n_items // BLOCK_ITEMS)))))
-    for block in range(max(1, -(-n_items // BLOCK_ITEMS))):
-        own = [(r["item_id"], normal(r["text"])) for r in dealt.where(F.col("block") == block).orderBy("item_id").collect()]
-        own = [(i, p) for i, p in own if len(p) >= LEAST]
-        pairs = K.map_blocks(docs, _kernel(own, pa.int64()), schema)
-        found = pairs if found is None else found.union(pairs)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for folder in _blocks(benchmark):
+        found = found.union(K.map_blocks(docs, _kernel(folder), schema))
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def clean_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with their own columns; rows pass through once, unshuffled."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    n_blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
     bare = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = f"c{docs.columns.index('text')}"
-    for block in range(n_blocks):
-        own = [(r["item_id"], normal(r["text"])) for r in dealt.where(F.col("block") == block).orderBy("item_id").collect()]
-        own = [(i, p) for i, p in own if len(p) >= LEAST]
 
-        def kernel(batches: Iterator[pa.RecordBatch], own: list = own) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(own)
+    def kernel_of(folder: str):
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, buf, off in K.blocks(batches, text):
                 keep = np.ones(rows.num_rows, bool)
-                keep[[d for d, _, _ in matcher.find(_PLAIN[buf], off)]] = False
+                keep[[d for d, _, _ in _matcher(folder).find(_PLAIN[buf], off)]] = False
                 yield rows.filter(pa.array(keep))
 
-        bare = K.map_blocks(bare, kernel, bare.schema)
+        return kernel
+
+    for folder in _blocks(benchmark):
+        bare = K.map_blocks(bare, kernel_of(folder), bare.schema)
     return bare.toDF(*docs.columns)
