@@ -1,26 +1,30 @@
 """Toxicity by weak supervision.
 
-Voters look at a text's words: one for each fixed entry of a lexicon, ``LEARNED`` for the words that
-labels find typical of toxic documents, and some for patterns. Words are counted by label over all
+Voters look at a text's words: ``VOTERS`` lexicons vote when one of their words occurs, and patterns when
+several do. The words are fixed ones and those that labels find typical of toxic documents. Words are counted by label over all
 labelled documents, and every word that passes a test joins the lexicon: it is in more than 9 toxic
 documents for a clean one, and its count is beyond chance at a rate ``FALSE`` of false discoveries
 (Benjamini and Hochberg's steps over the words of some least number of documents, that by which most pass).
-Learned words are dealt to their voters by rank, so that voters stay few however many words there are.
+Words are dealt to the lexicons in turn, so that voters stay few however many words there are, and each
+holds words of all languages: lexicons of one language each would not be independent given the class.
 
 A generative label model takes the votes' first and second moments over all documents: covariances of
-voters that are independent given the label factor into accuracies (the triplet identity), what the
-factors leave over is correlation, and correlated voters share one weight. Votes of all labelled
-documents steady the rates. Labels, and the posteriors of texts without one, are the targets of a
-linear classifier over votes and hashed word frequencies; that classifier scores all documents.
+voters that are independent given the class factor into accuracies (the triplet identity), what the
+factors leave over is correlation, and correlated voters share one weight. The given labels are one more
+voter, present on some documents, whose accuracy is estimated alike from the moments over those; labels
+also give the share of toxic documents. The model's posteriors, not labels, are the targets of a linear
+classifier over votes and hashed word frequencies; that classifier scores all documents.
 
-Bounds: the linear classifier alone is trained on a sample, ``SAMPLE`` labelled and ``SAMPLE`` documents
-of any kind, the smallest by a hash of doc_id. Beside it the driver gets the learned words and a few
-thousand sums.
+Bounds: the linear classifier alone is trained on a sample of at most ``SAMPLE`` labelled documents (of
+any, where none is labelled), the smallest by a hash of doc_id. The driver gets their features, at most
+``WIDTH`` a document however long it is, beside the learned words and a few thousand sums.
 
 Defined cases: a null or empty text gets the classifier's bias; without labels of both kinds the
 posterior is that of the fixed lexicon's voters; a null doc_id is scored and never learned from;
-repeated rows get equal scores; labels with nulls or of unknown documents aren't learned from; extra
-columns are not read.
+repeated rows get equal scores, and of rows of one doc_id the least text is in the sample; of equal
+counts of words the order is that of their fingerprints; a very long text is scored whole; empty tables
+of documents or labels are allowed, the first giving no rows; labels with nulls or of unknown documents
+aren't learned from; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,10 +42,12 @@ from sievework.llm import store
 from sievework.llm import textkit as K
 from sievework.llm.language import held_out
 
-#: Labelled documents, and documents of any kind, that the linear classifier is trained on at most.
-SAMPLE = 3000
-#: Voters that share the words which labels add to the lexicon.
-LEARNED = 40
+#: Labelled documents that the linear classifier is trained on at most.
+SAMPLE = 6000
+#: No label is held for truer than 1 less this.
+TRUST = 0.02
+#: Lexicons that the words are dealt to.
+VOTERS = 12
 #: The share of learned words that may be typical by chance.
 FALSE = 0.1
 #: Hashed word features.
@@ -85,7 +91,7 @@ def _isin(names: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """Sorted fingerprints, the voter of each, and the number of voters."""
+    """Sorted fingerprints, the lexicon of each, and the number of lexicons."""
 
     names: np.ndarray
     voter: np.ndarray
@@ -93,13 +99,13 @@ class Lexicon:
 
     @classmethod
     def of(cls, learned: list[int]) -> Lexicon:
-        """The fixed entries, and learned ones dealt by rank."""
+        """The fixed entries, and learned ones by rank, dealt in turn."""
         fixed = list(dict.fromkeys(FIXED))
         more = [x for x in dict.fromkeys(learned) if x not in set(fixed)]
         names = np.array([*fixed, *more], np.uint64)
-        voter = np.concatenate((np.arange(len(fixed)), len(fixed) + np.arange(len(more)) % LEARNED))
+        voter = np.concatenate((np.arange(len(fixed)) % VOTERS, np.arange(len(more)) % VOTERS))
         order = np.argsort(names)
-        return cls(names[order], voter[order], len(fixed) + min(len(more), LEARNED))
+        return cls(names[order], voter[order], VOTERS)
 
 
 def votes(doc: np.ndarray, names: np.ndarray, n: int, lexicon: Lexicon) -> np.ndarray:
@@ -126,35 +132,31 @@ def features(doc: np.ndarray, names: np.ndarray, n: int, ballots: np.ndarray) ->
 
 
 def _moments_kernel(lexicon: Lexicon):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = lexicon.size + len(PATTERNS) + 1
-        total = np.zeros((m, m))
-        for _, buf, off in K.blocks(batches):
-            n = len(off) - 1
-            ballots = np.column_stack((np.ones(n, np.float32), votes(*block_words(buf, off), n, lexicon))).astype(np.float64)
-            total += ballots.T @ ballots
-        at = np.flatnonzero(total)
-        yield K.table(at=at.astype(np.int32), x=total.ravel()[at])
-
-    return kernel
-
-
-def _cast_kernel(lexicon: Lexicon):
-    """Sums of votes by label, with a leading count of documents."""
+    """Sums of products of votes, with a leading 1, and a last column for the label where rows have one."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, lexicon.size + len(PATTERNS) + 1))
+        total = None
         for rows, buf, off in K.blocks(batches):
             n = len(off) - 1
-            ballots = np.column_stack((np.ones(n, np.float32), votes(*block_words(buf, off), n, lexicon))).astype(np.float64)
-            toxic = rows.column("toxic").to_numpy(zero_copy_only=False) == 1
-            total += np.stack((ballots[~toxic].sum(axis=0), ballots[toxic].sum(axis=0)))
-        at = np.flatnonzero(total)
-        yield K.table(at=at.astype(np.int32), x=total.ravel()[at])
+            columns = [np.ones(n, np.float32), votes(*block_words(buf, off), n, lexicon)]
+            if "toxic" in rows.schema.names:
+                columns.append(rows.column("toxic").to_numpy(zero_copy_only=False) == 1)
+            ballots = np.column_stack(columns).astype(np.float64)
+            total = ballots.T @ ballots + (0 if total is None else total)
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield K.table(at=at.astype(np.int32), x=total.ravel()[at])
 
     return kernel
 
 
+def _moments(df: DataFrame, lexicon: Lexicon, size: int) -> np.ndarray:
+    out = np.zeros(size * size)
+    for r in K.map_blocks(df, _moments_kernel(lexicon), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        out[r["at"]] = r["x"]
+    return out.reshape(size, size)
+
+
 def _counts_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either label by word."""
     for rows, buf, off in K.blocks(batches):
@@ -171,48 +173,68 @@ def _counts_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 @dataclass
 class LabelModel:
-    """Voting rates given either label, the share of toxic documents, and a weight for each voter."""
+    """Voting rates given either class, the share of toxic documents, and a weight for each voter; ``marker``
+    are the rates at which a toxic label is given to clean and to toxic documents."""
 
     prior: float
     rates: np.ndarray
     weights: np.ndarray
+    marker: tuple[float, float] = (0.5, 0.5)
 
-    def posterior(self, ballots: np.ndarray) -> np.ndarray:
+    def posterior(self, ballots: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """The chance that a document is toxic by its votes, and by its label where it has one."""
         for_one = np.log(self.rates[:, 1] / self.rates[:, 0])
         against = np.log((1 - self.rates[:, 1]) / (1 - self.rates[:, 0]))
         odds = np.log(self.prior / (1 - self.prior)) + ballots @ (self.weights * for_one) + (1 - ballots) @ (self.weights * against)
+        if labels is not None:
+            clean, toxic = self.marker
+            odds = odds + np.where(labels == 1, np.log(toxic / clean), np.log((1 - toxic) / (1 - clean)))
         return 1 / (1 + np.exp(-odds.clip(-40, 40)))
 
 
-def fit_label_model(moments: np.ndarray, cast: np.ndarray) -> LabelModel:
-    """moments: sums of products of votes, with a leading 1, over all documents; cast: sums of votes, with
-    a leading 1, over the labelled ones, clean and toxic."""
+def voting_gaps(moments: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means and covariances of votes, and how much oftener each votes for toxic documents than for clean ones.
+
+    Voters that are independent given the class obey cov_ij cov_ik / cov_jk = prior (1 - prior) gap_i^2, for
+    any j and k; the median of these triplets stands.
+    """
     total = max(moments[0, 0], 1.0)
     mean = moments[0, 1:] / total
     cov = moments[1:, 1:] / total - np.outer(mean, mean)
     m = len(mean)
-    n_labels = cast[:, 0].sum()
-    prior = float(np.clip((cast[1, 0] + 1) / (n_labels + 2) if n_labels else mean.max(initial=0.05), 0.005, 0.5))
-    spread = prior * (1 - prior)
-    # Triplets: cov_ij cov_ik / cov_jk = spread * gap_i^2.
     gap = np.zeros(m)
+    upper = np.triu(np.ones((m, m), bool), 1)
     for i in range(m):
-        found = [cov[i, j] * cov[i, k] / cov[j, k] for j in range(m) for k in range(j + 1, m) if i not in (j, k) and cov[j, k] > 1e-9 and cov[i, j] > 0 and cov[i, k] > 0]
-        gap[i] = np.sqrt(np.median(found) / spread) if found else 0.5
-    gap = gap.clip(0.0, 1.0)
-    rates = np.stack((mean - prior * gap, mean + (1 - prior) * gap), 1).clip(1e-5, 1 - 1e-5)
-    strength = 20.0
-    for column in (0, 1):
-        rates[:, column] = (rates[:, column] * strength + cast[column, 1:]) / (strength + cast[column, 0])
-    rates = rates.clip(1e-4, 1 - 1e-4)
-    # What covariances hold beyond the label's part, as correlations; partners share their weight.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            of_pairs = np.outer(cov[i], cov[i]) / cov
+        fits = upper & (cov > 1e-9) & np.outer(cov[i] > 0, cov[i] > 0)
+        fits[i], fits[:, i] = False, False
+        gap[i] = np.sqrt(np.median(of_pairs[fits]) / (prior * (1 - prior))) if fits.any() else 0.0
+    # No voter's rates leave 0 to 1, and a voter that no pair speaks for is worth nothing.
+    return mean, cov, np.minimum(gap, np.minimum(mean / prior, (1 - mean) / (1 - prior)).clip(0, 1))
+
+
+def fit_label_model(moments: np.ndarray, prior: float, labelled: np.ndarray | None = None) -> LabelModel:
+    """moments: sums of products of votes, with a leading 1, over all documents; prior: the share of toxic
+    ones; labelled: the same sums over labelled documents, with the label as a last voter.
+
+    What any voter is worth, the label among them, follows from how votes coincide.
+    """
+    prior = float(np.clip(prior, 0.005, 0.5))
+    mean, cov, gap = voting_gaps(moments, prior)
+    rates = np.stack((mean - prior * gap, mean + (1 - prior) * gap), 1).clip(1e-4, 1 - 1e-4)
+    # What covariances hold beyond the class's part, as correlations; partners share their weight.
     gap = rates[:, 1] - rates[:, 0]
     deviation = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-    rest = (cov - spread * np.outer(gap, gap)) / np.outer(deviation, deviation)
+    rest = (cov - prior * (1 - prior) * np.outer(gap, gap)) / np.outer(deviation, deviation)
     np.fill_diagonal(rest, 0)
     weights = 1 / (1 + np.where(rest > 0.1, rest, 0).sum(axis=1))
     weights[gap <= 0] = 0
-    return LabelModel(prior, rates, weights)
+    model = LabelModel(prior, rates, weights)
+    if labelled is not None:
+        mean, _, gap = voting_gaps(labelled, prior)
+        model.marker = tuple(float(np.clip(x, TRUST, 1 - TRUST)) for x in (mean[-1] - prior * gap[-1], mean[-1] + (1 - prior) * gap[-1]))
+    return model
 
 
 @dataclass
@@ -231,12 +253,14 @@ class Linear:
 
 def fit_linear(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, ballots: np.ndarray, target: np.ndarray, rounds: int = 300) -> Linear:
     """Logistic regression on soft labels by gradient steps with momentum."""
-    n = max(len(target), 1)
+    # Both classes weigh alike, so a score is the chance where toxic documents are as many as clean ones.
+    toxic = float(np.clip(target.mean() if len(target) else 0.5, 0.005, 0.995))
+    share = (target / toxic + (1 - target) / (1 - toxic)) / 2 / max(len(target), 1)
     model = Linear(np.zeros(WIDTH), np.zeros(ballots.shape[1]), 0.0)
     speed = [np.zeros(WIDTH), np.zeros(ballots.shape[1]), 0.0]
     for _ in range(rounds if len(target) else 0):
-        off = model.score(doc, feature, weight, ballots) - target
-        slopes = (np.bincount(feature, off[doc] * weight, WIDTH) / n + 1e-3 * model.words, ballots.T @ off / n + 1e-5 * model.votes, float(off.mean()))
+        off = (model.score(doc, feature, weight, ballots) - target) * share
+        slopes = (np.bincount(feature, off[doc] * weight, WIDTH) + 1e-3 * model.words, ballots.T @ off + 1e-5 * model.votes, float(off.sum()))
         for i, (slope, rate) in enumerate(zip(slopes, (1.0, 4.0, 4.0), strict=True)):
             speed[i] = 0.9 * speed[i] - rate * slope
         model = Linear(model.words + speed[0], model.votes + speed[1], model.bias + speed[2])
@@ -274,42 +298,50 @@ def typical_shapes(shapes: dict[tuple[int, int], int], totals: dict[int, int], p
     return best[1]
 
 
-def typical_words(labelled: DataFrame) -> list[int]:
-    """Fingerprints of all words that are typical of toxic documents, most evidence first."""
+def typical_words(labelled: DataFrame) -> tuple[list[int], float]:
+    """Fingerprints of all words that are typical of toxic documents, most evidence first, and the share of
+    toxic documents; nothing and 0 without labels of both kinds."""
     words = K.map_blocks(labelled.select("text", "toxic"), _counts_kernel, "name long, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     words = store.written(words, "words")
     n = {bool(r["toxic"]): r["n"] for r in labelled.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        return []
+        return [], 0.0
     prior = n[True] / (n[True] + n[False])
     candidates = words.where("toxic > 9 * clean")
     shapes = {(r["toxic"], r["clean"]): r["n"] for r in candidates.groupBy("toxic", "clean").agg(F.count("*").alias("n")).collect()}
     totals = {r["total"]: r["n"] for r in words.groupBy(F.least(F.col("toxic") + F.col("clean"), F.lit(100_000)).alias("total")).agg(F.count("*").alias("n")).collect()}
     kept = typical_shapes(shapes, totals, prior)
     if not kept:
-        return []
+        return [], prior
     rank = labelled.sparkSession.createDataFrame([(*shape, i) for i, shape in enumerate(kept)], "toxic long, clean long, rank int")
     found = candidates.join(F.broadcast(rank), ["toxic", "clean"]).select("rank", "name").collect()
-    return [int(np.int64(name).view(np.uint64)) for _, name in sorted((r["rank"], r["name"]) for r in found)]
+    store.discard(words)
+    return [int(np.int64(name).view(np.uint64)) for _, name in sorted((r["rank"], r["name"]) for r in found)], prior
 
 
-def _sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of at most ``SAMPLE`` ids, which are broadcast."""
-    return docs.join(F.broadcast(ids), "doc_id")
+def _features_kernel(lexicon: Lexicon):
+    """Sparse features and votes of each document, as bytes: at most ``WIDTH`` features, however long it is."""
 
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, off in K.blocks(batches):
+            n = len(off) - 1
+            doc, names = block_words(buf, off)
+            ballots = votes(doc, names, n, lexicon).astype(np.uint8)
+            doc, feature, weight, _ = features(doc, names, n, ballots)
+            cells, which = np.unique(doc.astype(np.int64) * WIDTH + feature, return_inverse=True)
+            weight = np.bincount(which, weight, len(cells)).astype(np.float32) if len(cells) else np.zeros(0, np.float32)
+            bounds = np.searchsorted(cells, np.arange(n + 1) * WIDTH).tolist()
+            feature = (cells % WIDTH).astype(np.int32)
+            pairs = list(zip(bounds[:-1], bounds[1:], strict=True))
+            yield K.table(
+                doc_id=rows.column("doc_id"),
+                toxic=rows.column("toxic"),
+                features=pa.array([feature[a:b].tobytes() for a, b in pairs], pa.binary()),
+                weights=pa.array([weight[a:b].tobytes() for a, b in pairs], pa.binary()),
+                ballots=pa.array([x.tobytes() for x in ballots], pa.binary()),
+            )
 
-def _gather(rows: list, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
-    """Features of sampled texts on the driver."""
-    parts, at = [], 0
-    for _, buf, off in K.blocks(iter([pa.RecordBatch.from_pydict({"text": pa.array([r["text"] or "" for r in rows], pa.large_string())})])):
-        n = len(off) - 1
-        doc, names = block_words(buf, off)
-        d, f, w, b = features(doc, names, n, votes(doc, names, n, lexicon))
-        parts.append((d + np.int32(at), f, w, b))
-        at += n
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, lexicon.size + len(PATTERNS)), np.float32)
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+    return kernel
 
 
 @dataclass
@@ -321,24 +353,23 @@ class Fitted:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     """Fit on ``labels`` (doc_id, toxic) and ``docs`` (doc_id, text)."""
-    spread = F.xxhash64("doc_id")
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    everything = store.written(docs.join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
-    lexicon = Lexicon.of(typical_words(everything))
+    labelled = store.written(docs.join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    found, prior = typical_words(labelled)
+    lexicon = Lexicon.of(found)
     m = lexicon.size + len(PATTERNS) + 1
-    moments, cast = np.zeros(m * m), np.zeros(2 * m)
-    for into, df, kernel in ((moments, docs.select("text"), _moments_kernel(lexicon)), (cast, everything.select("text", "toxic"), _cast_kernel(lexicon))):
-        for r in K.map_blocks(df, kernel, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-            into[r["at"]] = r["x"]
-    model = fit_label_model(moments.reshape(m, m), cast.reshape(2, m))
-    few = everything.select("doc_id").distinct().orderBy(spread, "doc_id").limit(SAMPLE)
-    rows = _sample(everything, few).orderBy("doc_id").collect()
-    labelled = _gather(rows, lexicon)
-    others = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(spread, "doc_id").limit(SAMPLE)
-    others = _gather(_sample(docs, others.distinct()).orderBy("doc_id").collect(), lexicon)
-    target = np.concatenate((np.array([r["toxic"] == 1 for r in rows], float), model.posterior(others[3])))
-    both = [np.concatenate(x) for x in zip(labelled, (others[0] + np.int32(len(rows)), *others[1:]), strict=True)]
-    return Fitted(lexicon, model, fit_linear(*both, target))
+    judged = _moments(labelled.select("text", "toxic"), lexicon, m + 1) if prior else None
+    model = fit_label_model(_moments(docs.select("text"), lexicon, m), prior, judged)
+    rows = labelled if prior else docs.where("doc_id IS NOT NULL").withColumn("toxic", F.lit(None).cast("int"))
+    few = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("row")).select("doc_id", "row.*")  # a row for each id
+    rows = K.map_blocks(sample, _features_kernel(lexicon), "doc_id long, toxic int, features binary, weights binary, ballots binary").orderBy("doc_id").collect()
+    count = [len(r["features"]) // 4 for r in rows]
+    feature, weight = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("features", np.int32), ("weights", np.float32)))
+    ballots = np.frombuffer(b"".join(r["ballots"] for r in rows), np.uint8).reshape(len(rows), m - 1).astype(np.float32)
+    target = model.posterior(ballots, np.array([r["toxic"] for r in rows]) if prior else None)
+    store.discard(labelled)
+    return Fitted(lexicon, model, fit_linear(np.repeat(np.arange(len(rows)), count), feature, weight, ballots, target))
 
 
 def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
