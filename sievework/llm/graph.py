@@ -15,17 +15,18 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     paths halve. Rounds are cut by tables in the shared folder; sums and minima are combined before
     each shuffle, and nothing is gathered on the driver but the number of changed nodes.
     """
-    spark = edges.sparkSession
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = edges.where("a != b").select(F.inline(F.array(pair("a", "b"), pair("b", "a")))).distinct()  # edges are computed once
     both = store.written(both, f"{label}-edges")
     roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
-    roots = store.written(roots, f"{label}-roots")
+    stepped = store.written(roots.withColumn("was", F.col("root")), f"{label}-roots")
     while True:
+        roots = stepped.select("node", "root")
         near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         nearer = roots.join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("mid"))
         up = roots.select(F.col("node").alias("mid"), F.col("root").alias("top"))
-        stepped = nearer.join(up, "mid", "left").select("node", "was", F.least("mid", F.coalesce("top", "mid")).alias("root"))
-        stepped = store.written(stepped, f"{label}-roots")
-        roots = stepped.select("node", "root")
+        last, stepped = stepped, store.written(nearer.join(up, "mid", "left").select("node", F.least("mid", F.coalesce("top", "mid")).alias("root"), "was"), f"{label}-roots")
+        store.discard(last)
         if stepped.where("was != root").isEmpty():
-            return roots
+            store.discard(both)
+            return stepped.select("node", "root")

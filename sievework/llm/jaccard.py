@@ -10,26 +10,29 @@ other set bound what it can reach. The steps, all exact:
 3. The rest is listed again among itself, rarest lists first. Each class's n - ceil(0.8 n) + 1 rarest
    shingles name the lists in which every partner must meet it; a list's smallest class leads it, and
    all members of lists with one leader are its star. Any two linked classes have a star in common.
-4. A star is searched by DivideSkip, in salted chunks of bounded size: the leader is the first query;
-   members that it does not reach are queries of the second search. A query merges its short lists by
-   a heap, keeps what reaches T less the number of long lists, and probes the long lists by bisection.
-   Members that the leader reaches are one component, so pairs among them are never emitted.
-5. Components of the links; each document takes its class's component.
+4. A star is searched by DivideSkip, in salted chunks of bounded size that all hold the leader. The
+   leader is the first query, then each member that isn't in the leader's component by its turn; so of
+   any two members that are apart in the end, one was a query. A query merges its short lists by a
+   heap, keeps what reaches T less the number of long lists, and probes the long lists by bisection.
+   Only links that join two components are returned: fewer than members.
+5. Stars of several chunks are searched once more: members outside the leader's component are queries of
+   all other chunks, in blocks of bounded size. Components of the links are the documents' components.
 
 Defined cases: a null or blank text has no shingles, n_shingles 0, and is its own component; a text of
 fewer than five words is one shingle; equal texts and repeated rows share a component; a null doc_id
-is kept and never names a component of others; other columns are not read.
+is kept and never names a component of others; an empty table gives no rows; a very long text is one
+set, whole; of equal similarities none is preferred, since components need no order; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import graph, store
@@ -40,8 +43,8 @@ SIZE = 5
 PERCENT = 80
 #: Bits of a shingle's hash that a slice keeps, beside those of its range.
 KEPT_BITS = 40
-#: Listed shingles of a star's members that are searched at once, about.
-CHUNK = 150_000
+#: Listed shingles of a star's members, or of its queries, that a task holds at once, about.
+CHUNK = 60_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,61 +73,107 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SIZE) -> tuple[np
 def _sets_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, buf, off in K.blocks(batches):
         _, _, n, kind = shingle_sets(buf, off)
-        yield K.table(doc_id=rows.column("doc_id"), n_shingles=n, kind=pa.array(kind, mask=n == 0))
+        yield K.table(doc_id=rows.column("doc_id"), hash=rows.column("hash"), n_shingles=n, kind=pa.array(kind, mask=n == 0))
+
+
+_WIDTHS = (np.uint8, np.uint16, np.uint32)
+_SLICE = "part int, kinds binary, counts binary, low binary, high binary"
+
+
+def _joined(values: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind)
+
+
+def _packed(key: np.ndarray, kind: np.ndarray, token: np.ndarray, ranges: int) -> dict[str, list]:
+    """Entries (kind, token), ordered by ``key`` (0 to ranges) and kind, as a slice for each key."""
+    out: dict[str, list] = {"part": [], "kinds": [], "counts": [], "low": [], "high": []}
+    bounds = np.searchsorted(key, np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(bounds)):
+        k, t = kind[bounds[r] : bounds[r + 1]], token[bounds[r] : bounds[r + 1]]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        counts = np.diff(np.append(first, len(k)))
+        out["part"].append(int(r))
+        out["kinds"].append(k[first].tobytes())
+        out["counts"].append(counts.astype(next(w for w in _WIDTHS if counts.max() <= np.iinfo(w).max)).tobytes())
+        out["low"].append(t.astype(np.uint32).tobytes())
+        out["high"].append((t >> 32).astype(np.uint8).tobytes())
+    return out
+
+
+def _unpacked(rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, token) of the entries of some slices."""
+    kinds = _joined(rows["kinds"], np.int64)
+    widths = [_WIDTHS[(8 * len(c) // len(k)).bit_length() - 1] for k, c in zip(rows["kinds"], rows["counts"], strict=True)]
+    counts = np.concatenate([np.frombuffer(c, w).astype(np.int64) for c, w in zip(rows["counts"], widths, strict=True)])
+    token = _joined(rows["low"], np.uint32).astype(np.int64) | _joined(rows["high"], np.uint8).astype(np.int64) << 32
+    return np.repeat(kinds, counts), token
+
+
+def _batch(out: dict[str, list], **more: list) -> pa.RecordBatch:
+    return K.table(part=pa.array(out["part"], pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items() if k != "part"}, **more)
 
 
 def _slices_kernel(ranges: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, off in K.blocks(batches):
-            doc, prints, n, kind = shingle_sets(buf, off)
+            doc, prints, _, kind = shingle_sets(buf, off)
             _, one = np.unique(kind, return_index=True)  # one document of each class of the block
-            chosen = np.zeros(len(n), bool)
+            chosen = np.zeros(len(kind), bool)
             chosen[one] = True
             doc, prints = doc[chosen[doc]], prints[chosen[doc]]
             part = ((prints >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            doc, prints, part = doc[order], prints[order], part[order]
-            bounds = np.searchsorted(part, np.arange(ranges + 1))
-            out = {"part": [], "kinds": [], "sizes": [], "counts": [], "low": [], "high": []}
-            for r in np.flatnonzero(np.diff(bounds)):
-                d, p = doc[bounds[r] : bounds[r + 1]], prints[bounds[r] : bounds[r + 1]]
-                first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-                own = d[first]
-                out["part"].append(int(r))
-                out["kinds"].append(kind[own].tobytes())
-                out["sizes"].append(n[own].astype(np.int32).tobytes())
-                out["counts"].append(np.diff(np.append(first, len(d))).astype(np.uint16 if len(d) < 1 << 16 else np.int32).tobytes())
-                out["low"].append(p.astype(np.uint32).tobytes())
-                out["high"].append((p >> np.uint64(32)).astype(np.uint8).tobytes())
+            out = _packed(part[order], kind[doc[order]], (prints[order] & np.uint64((1 << KEPT_BITS) - 1)).astype(np.int64), ranges)
             if out["part"]:
-                yield K.table(part=pa.array(out["part"], pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items() if k != "part"})
+                yield _batch(out)
 
     return kernel
 
 
-def _joined(values: list[bytes], kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(values), kind)
+def _listed_kernel(ranges: int):
+    """Entries of the shingles that two classes or more have, of the ranges of this partition, dealt by class."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_key(batches, ["part"]):
+            kind, token = _unpacked(rows)
+            order = np.argsort(token)
+            token, kind = token[order], kind[order]
+            new = np.concatenate(([True], token[1:] != token[:-1]))
+            start = np.flatnonzero(new)
+            # Lists of one class only, however many blocks it is in, go.
+            several = np.minimum.reduceat(kind, start) != np.maximum.reduceat(kind, start)
+            many = several[np.cumsum(new) - 1]
+            token, kind = token[many], kind[many]
+            order = np.lexsort((token, kind))
+            token, kind = token[order], kind[order]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])
+            token, kind = token[new], kind[new]
+            bucket = _bucket(kind, ranges)
+            order = np.argsort(bucket, kind="stable")
+            out = _packed(bucket[order], kind[order], token[order], ranges)
+            if out["part"]:
+                yield _batch(out, range=pa.array([part[0]] * len(out["part"]), pa.int32()))
+
+    return kernel
+
 
+def _bucket(kind: np.ndarray, buckets: int) -> np.ndarray:
+    return ((K.mix(kind.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
-def _listed_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of the shingles that two classes or more have, of the ranges of this partition."""
-    for part, rows in _by_key(batches, ["part"]):
-        kinds, sizes = _joined(rows["kinds"], np.int64), _joined(rows["sizes"], np.int32)
-        narrow = [len(low) < 4 << 16 for low in rows["low"]]  # counts of few shingles are written as 16 bits
-        counts = np.concatenate([np.frombuffer(c, np.uint16 if x else np.int32).astype(np.int64) for c, x in zip(rows["counts"], narrow, strict=True)])
-        token = _joined(rows["low"], np.uint32).astype(np.int64) | _joined(rows["high"], np.uint8).astype(np.int64) << 32
-        which = np.repeat(np.arange(len(kinds)), counts)
-        order = np.lexsort((kinds[which], token))
-        token, which = token[order], which[order]
-        kind = kinds[which]
-        new = np.concatenate(([True], (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])))
-        token, which, kind = token[new], which[new], kind[new]
-        first = np.concatenate(([True], token[1:] != token[:-1]))
-        many = ~first | np.concatenate((~first[1:], [False]))
-        token, which, kind = token[many], which[many], kind[many]
-        for a in range(0, len(token), 1 << 16):
-            b = slice(a, a + (1 << 16))
-            yield K.table(kind=kind[b], n=sizes[which[b]].astype(np.int32), token=token[b] | (part[0] << KEPT_BITS))
+
+def _sets_of_bucket_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The listed shingles of each class, from the slices of all ranges."""
+    for _, rows in _by_key(batches, ["part"]):
+        kind, token = _unpacked(rows)
+        each = [len(x) // 4 for x in rows["low"]]
+        token = token | np.repeat(np.array(rows["range"], np.int64), each) << KEPT_BITS
+        order = np.argsort(kind, kind="stable")
+        kind, token = kind[order], token[order]
+        bounds = np.append(np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))), len(kind))
+        for a in range(0, len(bounds) - 1, 1024):
+            b = bounds[a : a + 1025]
+            yield K.table(kind=kind[b[:-1]], tokens=pa.ListArray.from_arrays(pa.array((b - b[0]).astype(np.int32)), pa.array(token[b[0] : b[-1]])))
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -166,66 +215,122 @@ class DivideSkip:
         self.token, self.start = np.unique(token[order], return_index=True)
         self.end = np.append(self.start[1:], len(order))
 
-    def search(self, query: np.ndarray, least: int) -> dict[int, int]:
-        """Index of each set that shares at least ``least`` elements with the query, and how many."""
-        place = np.minimum(np.searchsorted(self.token, query), max(len(self.token) - 1, 0))
-        known = place[self.token[place] == query] if len(self.token) else place[:0]
-        found = sorted((self.holder[a:b].tolist() for a, b in zip(self.start[known].tolist(), self.end[known].tolist(), strict=True)), key=len)
-        if len(found) < least or least < 1:
-            return {}
-        longest = len(found[-1])
-        n_long = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)))
-        short, long_ = found[: len(found) - n_long], found[len(found) - n_long :]
-        out = {}
-        merged = heapq.merge(*short)
+    def search(self, query: np.ndarray, least: int, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the sets that share at least ``least`` elements with the query, and how many they
+        share. ``wanted`` says, before long lists are probed, which indexes matter."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.token):
+            return none
+        place = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
+        known = place[self.token[place] == query]
+        if len(known) < least or least < 1:
+            return none
+        start, length = self.start[known], self.end[known] - self.start[known]
+        order = np.argsort(length, kind="stable")
+        start, length = start[order], length[order]
+        n_long = min(least - 1, int(least / (0.01 * np.log2(length[-1] + 1) + 1)))
+        n_short = len(known) - n_long
+        lists = [self.holder[a : a + n].tolist() for a, n in zip(start[:n_short].tolist(), length[:n_short].tolist(), strict=True)]
+        found: dict[int, int] = {}
         now, count = -1, 0
-        for i in merged:
+        for i in heapq.merge(*lists):
             if i == now:
                 count += 1
                 continue
             if now >= 0 and count >= least - n_long:
-                out[now] = count
+                found[now] = count
             now, count = i, 1
         if now >= 0 and count >= least - n_long:
-            out[now] = count
-        for i, count in list(out.items()):
-            for k, members in enumerate(reversed(long_)):
-                at = bisect_left(members, i)
-                count += at < len(members) and members[at] == i
-                if count + len(long_) - k - 1 < least:
-                    break
-            out[i] = count
-        return {i: count for i, count in out.items() if count >= least}
+            found[now] = count
+        at, counts = np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+        if wanted is not None and len(at):
+            keep = wanted(at)
+            at, counts = at[keep], counts[keep]
+        for k in range(n_long):  # longest last: each left list can add one
+            if not len(at):
+                break
+            a = start[n_short + k]
+            members = self.holder[a : a + length[n_short + k]]
+            where = np.minimum(np.searchsorted(members, at), len(members) - 1)
+            counts = counts + (members[where] == at)
+            keep = counts + (n_long - k - 1) >= least
+            at, counts = at[keep], counts[keep]
+        enough = counts >= least
+        return at[enough], counts[enough]
+
+
+class Forest:
+    """Components of a chunk's sets, with the links that joined them."""
+
+    def __init__(self, own: list[int]):
+        self.up = own
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        """Join two components; false if they are one already."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
 
 
 def _search_kernel(percent: int):
+    """rows of one (leader, salt, block): members and queries with the component known of each. Members
+    that aren't in ``main``, the leader's component, are queries where the chunk has none of its own."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (leader, _), rows in _by_key(batches, ["leader", "salt"]):
+        for (leader, _, _), rows in _by_key(batches, ["leader", "salt", "block"]):
+            kinds, sizes, sets = rows["kind"], np.array(rows["n"], np.int64), rows["tokens"]
             mine = [i for i, q in enumerate(rows["query"]) if not q]
             asked = [i for i, q in enumerate(rows["query"]) if q]
-            index = DivideSkip([rows["tokens"][i] for i in mine])
+            first: dict[int, int] = {}
+            forest = Forest([first.setdefault(r, i) for i, r in enumerate(rows["root"])])
+            index = DivideSkip([sets[i] for i in mine])
+            place = np.array(mine, np.int64)
             a, b = [], []
-            for q in asked:
-                size = rows["n"][q]
-                for i, shared in index.search(rows["tokens"][q], -(-percent * size // 100)).items():
+
+            def search(q: int) -> None:
+                size, own = int(sizes[q]), forest.root(q)
+
+                def wanted(at: np.ndarray) -> np.ndarray:
+                    fits = (100 * sizes[place[at]] >= percent * size) & (100 * size >= percent * sizes[place[at]])
+                    return fits & np.array([forest.root(mine[i]) != own for i in at.tolist()], bool)
+
+                at, shared = index.search(sets[q], -(-percent * size // 100), wanted)
+                for i, n in zip(at.tolist(), shared.tolist(), strict=True):
                     x = mine[i]
-                    if rows["kind"][x] != rows["kind"][q] and 100 * shared >= percent * (size + rows["n"][x] - shared):
-                        a.append(rows["kind"][q])
-                        b.append(rows["kind"][x])
+                    if 100 * n >= percent * (size + int(sizes[x]) - n) and forest.joins(q, x):
+                        a.append(kinds[q])
+                        b.append(kinds[x])
+
+            for q in asked:
+                search(q)
+            if rows["turns"][0]:
+                main = asked[0]  # the leader
+                for q in mine:
+                    if forest.root(q) != forest.root(main):
+                        search(q)
             if a:
                 yield K.table(leader=pa.array([leader] * len(a), pa.int64()), a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
 
     return kernel
 
 
-def _listed_classes(docs: DataFrame, percent: int, ranges: int) -> DataFrame:
+def _listed_classes(docs: DataFrame, sizes: DataFrame, percent: int, ranges: int) -> DataFrame:
     """(kind, n, tokens) of classes whose listed shingles could reach a partner."""
-    slices = K.map_blocks(docs.select("text"), _slices_kernel(ranges), "part int, kinds binary, sizes binary, counts binary, low binary, high binary")
+    slices = K.map_blocks(docs.select("text"), _slices_kernel(ranges), _SLICE)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slices.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
-    entries = dealt.mapInArrow(_listed_kernel, "kind long, n int, token long")
-    sets = entries.groupBy("kind", "n").agg(F.collect_list("token").alias("tokens"))
-    return store.written(sets.where(100 * F.size("tokens") >= percent * F.col("n")), "listed")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
+
+    entries = dealt(slices).mapInArrow(_listed_kernel(ranges), f"{_SLICE}, range int")
+    sets = dealt(entries).mapInArrow(_sets_of_bucket_kernel, "kind long, tokens array<long>").join(sizes, "kind")
+    return store.written(sets.where(100 * F.size("tokens") >= percent * F.col("n")).select("kind", "n", "tokens"), "listed")
 
 
 def _ranked_classes(sets: DataFrame, percent: int) -> DataFrame:
@@ -237,62 +342,93 @@ def _ranked_classes(sets: DataFrame, percent: int) -> DataFrame:
     return store.written(ranked.select("kind", "n", F.col("ranked.token").alias("tokens")), "ranked")
 
 
-def _searched(stars: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the queries of stars and their members, (leader, a, b)."""
-    chunks = stars.groupBy("leader").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks"))
-    members = stars.join(chunks, "leader").select("leader", F.pmod("kind", F.col("chunks")).cast("int").alias("salt"), "kind", F.lit(False).alias("query"))
-    asked = queries.join(chunks, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), "kind", F.lit(True).alias("query"))
-    rows = members.union(asked).join(sets, "kind")
+def _searched(rows: DataFrame, sets: DataFrame, percent: int, turns: bool) -> DataFrame:
+    """Links (leader, a, b) that join components; rows: (leader, salt, block, kind, root, query)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt")
+    key = ("leader", "salt", "block")
+    dealt = rows.join(sets, "kind").repartition(parts, *key).sortWithinPartitions(*key, F.col("query").desc(), "kind")
     K.bound_batches(rows.sparkSession)
-    return dealt.select("leader", "salt", "kind", "query", "n", "tokens").mapInArrow(_search_kernel(percent), "leader long, a long, b long")
+    dealt = dealt.select(*key, "kind", "root", "query", "n", "tokens", F.lit(turns).alias("turns"))
+    return dealt.mapInArrow(_search_kernel(percent), "leader long, a long, b long")
 
 
-def linked_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of the classes that are linked with another class."""
+def linked_classes(docs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of the classes that are linked with another class; sizes: (kind, n) of all classes."""
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = _ranked_classes(_listed_classes(docs, percent, ranges), percent)
+    listed = _listed_classes(docs, sizes, percent, ranges)
+    sets = _ranked_classes(listed, percent)
+    store.discard(listed)
     # Of the n - ceil(t n) + 1 rarest shingles, those in no list come first.
     prefix = F.expr(f"slice(tokens, 1, cast(size(tokens) - ceil({percent} * n / 100) + 1 AS int))")
     met = sets.select("kind", F.size("tokens").alias("size"), F.explode(prefix).alias("token"))
     leaders = met.groupBy("token").agg(F.min("kind").alias("leader"), F.max("kind").alias("last")).where("leader != last")
-    stars = met.join(leaders.select("token", "leader"), "token").select("leader", "kind", "size").where("kind != leader").distinct()
-    stars = store.written(stars, "stars")
-    heads = stars.select("leader").distinct().select("leader", F.col("leader").alias("kind"))
-    first = store.written(_searched(stars, heads, sets, percent), "links")
-    roots = graph.components(first, "first")
-    # The second search: members of a star outside its leader's component, against the whole star.
-    own = roots.select(F.col("node").alias("kind"), F.col("root").alias("own"))
-    led = roots.select(F.col("node").alias("leader"), F.col("root").alias("led"))
-    apart = stars.join(own, "kind", "left").join(led, "leader", "left")
-    apart = apart.where(F.coalesce("own", "kind") != F.coalesce("led", "leader")).select("leader", "kind")
-    apart = store.written(apart, "apart")
-    second = _searched(stars.join(apart.select("leader").distinct(), "leader", "left_semi"), apart, sets, percent)
-    return graph.components(first.select("a", "b").union(second.select("a", "b")), "all")
+    stars = store.written(met.join(leaders.select("token", "leader"), "token").select("leader", "kind", "size").where("kind != leader").distinct(), "stars")
+    # Stars larger than a chunk are few, so chunks come to their members by a join of two columns.
+    large = stars.groupBy("leader").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    large = store.written(large, "large")
+    salted = stars.join(large, "leader", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    salted = salted.select("leader", F.pmod("kind", F.col("chunks")).cast("int").alias("salt"), "kind", "size")
+    members = salted.select("leader", "salt", F.lit(0).alias("block"), "kind", F.col("kind").alias("root"), F.lit(False).alias("query"))
+    heads = salted.select("leader", "salt").distinct().select("leader", "salt", F.lit(0).alias("block"), F.col("leader").alias("kind"), F.col("leader").alias("root"), F.lit(True).alias("query"))
+    roots = graph.components(_searched(members.union(heads), sets, percent, True), "first")
+    if not large.isEmpty():
+        own = roots.select(F.col("node").alias("kind"), "root")
+        led = roots.select(F.col("node").alias("leader"), F.col("root").alias("led"))
+        known = salted.join(large.select("leader", "chunks"), "leader").join(own, "kind", "left").join(led, "leader", "left")
+        known = known.select("leader", "salt", "kind", "size", "chunks", F.coalesce("root", "kind").alias("root"), F.coalesce("led", "leader").alias("led"))
+        known = store.written(known, "known")
+        apart = known.where("root != led")
+        blocks = apart.groupBy("leader").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("blocks"))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        members = known.join(blocks, "leader").select("leader", "salt", every.alias("block"), "kind", "root", F.lit(False).alias("query"))
+        others = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("salt")))
+        asked = apart.join(blocks, "leader").select("leader", others.alias("salt"), F.pmod(F.xxhash64("kind"), "blocks").cast("int").alias("block"), "kind", "root", F.lit(True).alias("query"))
+        more = _searched(members.union(asked), sets, percent, False).select("a", "b")
+        roots = graph.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "all")
+        store.discard(known)
+    store.discard(sets, stars, large)
+    return roots
+
+
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, hash of the text, n_shingles and root (the class that names the component) of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    own = store.written(K.map_blocks(narrow, _sets_kernel, "doc_id long, hash long, n_shingles long, kind long"), "sets")
+    sizes = own.where("kind IS NOT NULL").groupBy("kind").agg(F.max("n_shingles").alias("n"))
+    roots = linked_classes(docs, sizes, percent)
+    joined = own.join(roots.select(F.col("node").alias("kind"), "root"), "kind", "left")
+    return joined.select("doc_id", "hash", "n_shingles", F.coalesce("root", "kind").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    roots = linked_classes(docs, percent)
-    own = K.map_blocks(docs, _sets_kernel, "doc_id long, n_shingles long, kind long")
-    own = own.join(roots.select(F.col("node").alias("kind"), "root"), "kind", "left").select("doc_id", "n_shingles", F.coalesce("root", "kind").alias("root"))
-    own = store.written(own, "classes")
+    own = store.written(_classes(docs, percent).drop("hash"), "classes")
     # Written, so that the join reads two shuffles, of which the larger can be split at a common root.
     least = store.written(own.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return own.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, with their own columns, less all but one row of each component; rows without
-    shingles, which are linked with nothing, all stay, as do those of a null doc_id."""
-    verdict = near_duplicates(docs, percent).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_least"), F.max("n_shingles").alias("_n"))
+    """The documents, with their own columns, less all but one row of each component: that of the smallest
+    doc_id (null ones last), then of the smallest hash of the text. Rows without shingles all stay.
+
+    A verdict is on a row, by doc_id and text, so rows of one doc_id with different texts are judged apart.
+    """
+    own = store.written(_classes(docs, percent), "classes")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    best = own.where("n_shingles > 0").groupBy("root").agg(F.min(row).alias("row"))
+    kept = store.written(best.select(F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_hash")), "kept")
+    copies = own.where("n_shingles > 0").groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    repeat = not copies.isEmpty()
     held = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    key = f"c{docs.columns.index('doc_id')}"
-    joined = held.join(verdict, F.col(key) == F.col("_id"), "left").where("_id IS NULL OR _n = 0 OR _least = _id")
-    text = f"c{docs.columns.index('text')}"
-    copy = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(key))
-    joined = joined.withColumn("_copy", copy).where("_id IS NULL OR _n = 0 OR _copy = 1")
-    return joined.select(*held.columns).toDF(*docs.columns)
+    key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    keyed = held.withColumn("_own", F.col(key).cast("long")).withColumn("_print", F.xxhash64(text))
+    blank = held.where(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    chosen = keyed.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_hash")))
+    if repeat:
+        # Equal rows: the first of each, combined before the shuffle.
+        whole = F.first(F.struct(*held.columns)).alias("row")
+        chosen = chosen.groupBy("_id", "_hash").agg(whole).select("row.*")
+    return chosen.select(*held.columns).union(blank).toDF(*docs.columns)

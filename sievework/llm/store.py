@@ -5,17 +5,23 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Where the tables lie that ``written`` has returned.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and all executors
+    are threads of this process, as in tests. A cluster must name the folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _own:
         folder = tempfile.TemporaryDirectory(prefix="sievework-", ignore_cleanup_errors=True)
         atexit.register(folder.cleanup)
@@ -34,7 +40,15 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _paths[back := spark.read.schema(df.schema).parquet(path)] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            drop(df.sparkSession, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
