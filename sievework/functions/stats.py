@@ -22,6 +22,34 @@ def wilson(successes: Column, total: Column, side: str) -> Column:
     return F.when(n.isNotNull(), clamped)
 
 
+def half_open(day: Column, lo: str, hi: str) -> Column:
+    """Whether a date lies in [lo, hi)."""
+    day = day.cast("date")
+    return (day >= F.lit(lo).cast("date")) & (day < F.lit(hi).cast("date"))
+
+
+def calibration_part(day: Column, fit: str, evaluation: str) -> Column:
+    """fit or evaluation by the month (YYYY-MM) of a date; null in any other."""
+    month = F.date_format(day, "yyyy-MM")
+    return F.when(month == fit, "fit").when(month == evaluation, "evaluation")
+
+
+def metric(value: Column) -> Column:
+    """A metric at 6 digits, with an error unless it is finite and in [0, 1]."""
+    sound = value.isNotNull() & ~F.isnan(value.cast("double")) & (value >= 0) & (value <= 1)
+    return F.when(sound, F.round(value.cast("double"), 6)).otherwise(F.raise_error(F.lit("metric_out_of_range")).cast("double"))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b at 6 digits; null for b = 0."""
+    return F.round(F.try_divide(a.cast("double"), b.cast("double")), 6)
+
+
+def spread(key: Column, seed: int) -> Column:
+    """A whole number below 2^60 by the MD5 of a key and a seed: the same on any engine."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
+
+
 def nearest_rank(column: str, share: float) -> Column:
     """The smallest value with at least this share of the values at or below it."""
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})")
@@ -37,9 +65,8 @@ def length_band(length: Column) -> Column:
 def temporal_assignment(day: Column, validation: str, test: str, start: str, end: str) -> Column:
     """train, validation or test by half-open windows; an error outside all of them."""
     day = day.cast("date")
-    inside = (day >= F.lit(start).cast("date")) & (day < F.lit(end).cast("date"))
     return (
-        F.when(~inside | day.isNull(), F.raise_error(F.lit("split_date_outside_window")).cast("string"))
+        F.when(~half_open(day, start, end) | day.isNull(), F.raise_error(F.lit("split_date_outside_window")).cast("string"))
         .when(day < F.lit(validation).cast("date"), "train")
         .when(day < F.lit(test).cast("date"), "validation")
         .otherwise("test")

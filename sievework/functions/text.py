@@ -16,11 +16,15 @@ WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode composition; nulls stay."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+def nfc(text: Column) -> Column:
+    """Unicode composition; nulls stay. Texts in ASCII, which are composed, never leave the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFC, full case folding and single spaces between words; null where no word is left."""
@@ -74,6 +78,28 @@ def strict_date(text: Column) -> Column:
     return F.coalesce(day, F.when(moment & F.try_to_timestamp(text).isNotNull(), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")))
 
 
+def source_date(text: Column) -> Column:
+    """An ISO date, or the date of an ISO date-time as it is written; null for anything else."""
+    return strict_date(text)
+
+
+def optional_text(text: Column) -> Column:
+    """As ``required_text``; null is no fault here."""
+    return required_text(text)
+
+
+def confined(path: Column, prefix: str) -> Column:
+    """Whether a relative path lies under a prefix and never climbs."""
+    parts = F.split(path, "/")
+    sound = ~path.startswith("/") & ~F.array_contains(parts, "..") & ~F.array_contains(parts, "") & ~path.contains("\\")
+    return F.coalesce(sound & path.startswith(prefix.rstrip("/") + "/"), F.lit(False))
+
+
+def json_valid(text: Column) -> Column:
+    """Whether a text is JSON; NaN and Infinity are not."""
+    return F.try_parse_json(text).isNotNull()
+
+
 def json_field_type(payload: Column, name: str) -> Column:
     """The JSON type of a payload's field: null, boolean, integer, number, string, array or object."""
     return json_type(F.try_variant_get(F.try_parse_json(payload), f"$.{name}", "variant"))

@@ -13,6 +13,8 @@ from sievework.operators.metrics import universe
 BINS = 15
 #: Cells of confidence in which rows are ranked.
 CELLS = 1 << 14
+#: Cells of the tie-breaker within a cell of one confidence.
+TIES = 1 << 10
 LOWEST, HIGHEST = 0.05, 20.0
 
 
@@ -58,17 +60,24 @@ def expected_error(bins: DataFrame) -> DataFrame:
 
 
 def equal_mass(rows: DataFrame, order: list[str], bins: int = BINS) -> DataFrame:
-    """Reliability bins of equal counts, the larger ones first.
+    """Reliability bins of equal counts, the larger ones first; ``order`` breaks ties and begins with a number.
 
     Ranks are global without a single-task window over rows: they are counted inside ``CELLS`` cells of
-    confidence and shifted by the counts of the cells before, one number a cell.
+    confidence and shifted by the counts of the cells before, one number a cell. A cell whose confidences are
+    all equal, such as one that most rows share, is cut again by the first tie-breaker into ``TIES`` cells.
     """
+    first = F.col(order[0])
     cell = F.floor(F.col("confidence") * CELLS).cast("int").alias("_cell")
     dealt = rows.select("confidence", F.col("correct").cast("int").alias("hit"), *order, cell)
-    sizes = dealt.groupBy("_cell").agg(F.count("*").alias("_n"))
-    before = sizes.select("_cell", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_cell").orderBy("confidence", *order)))
-    ranked = local.join(F.broadcast(before), "_cell").withColumn("_rank", F.col("_before") + F.col("_rn") - 1)  # CELLS + 1 rows at most
+    tied = F.min("confidence") == F.max("confidence")
+    ends = dealt.groupBy("_cell").agg(F.when(tied, F.min(first).cast("double")).alias("_lo"), F.when(tied, F.max(first).cast("double")).alias("_hi"))
+    place = F.floor((first.cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * TIES)
+    dealt = dealt.join(F.broadcast(ends), "_cell").withColumn("_tie", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(0).cast("int"))  # CELLS + 1 rows at most
+    sizes = dealt.groupBy("_cell", "_tie").agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_cell", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_cell", "_tie", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_cell", "_tie").orderBy("confidence", *order)))
+    ranked = local.join(before, ["_cell", "_tie"]).withColumn("_rank", F.col("_before") + F.col("_rn") - 1)
     size, extra = F.floor(F.col("_total") / bins), F.col("_total") % bins
     head = extra * (size + 1)
     tile = F.when(F.col("_rank") < head, F.floor(F.col("_rank") / (size + 1))).otherwise(extra + F.floor(F.try_divide(F.col("_rank") - head, size)))
@@ -103,15 +112,15 @@ def invariant(rows: DataFrame, scores: Column, temperature: float) -> DataFrame:
     return rows.agg(F.bool_and(stats.first_of_top(a) == stats.first_of_top(b)).alias("argmax_unchanged"), F.bool_and(rank(a) == rank(b)).alias("top_two_unchanged"))
 
 
-def fit_temperature(rows: DataFrame, scores: Column, label: Column, rounds: int = 4, grid: int = 24) -> dict[str, float]:
-    """The temperature of least mean loss within bounds; an error where that is a bound.
+def fit_temperature(rows: DataFrame, scores: Column, label: Column, tolerance: float = 1e-8, grid: int = 24) -> dict[str, float]:
+    """The temperature of least mean loss within bounds, its logarithm to ``tolerance``; an error where that is a bound.
 
     Each round is one aggregation over a grid of temperatures around the last best one.
     """
     lo, hi = math.log(LOWEST), math.log(HIGHEST)
     base = rows.select(scores.cast("array<double>").alias("_s"), label.cast("int").alias("_l"))
     best = (math.inf, 0.0)
-    for _ in range(rounds):
+    while hi - lo > tolerance:
         points = [lo + (hi - lo) * i / grid for i in range(grid + 1)]
         found = base.agg(*[F.avg(stats.log_loss(F.col("_s"), F.col("_l"), math.exp(x))).alias(str(i)) for i, x in enumerate(points)]).first()
         losses = [found[i] for i in range(len(points))]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.operators import metrics
+
 #: Candidates by id: inverse regularisation, and whether classes are balanced; fixed values.
 CANDIDATES = {"c0.5-none": (0.5, False), "c1.0-none": (1.0, False), "c0.5-balanced": (0.5, True), "c1.0-balanced": (1.0, True)}
 
@@ -26,25 +29,25 @@ def deterministic_sample(rows: DataFrame, fingerprint: str, n: int = 512) -> Dat
     return rows.orderBy(fingerprint).limit(n)
 
 
-def vectorizer(text: str = "text", *, min_df: int = 5, max_df: float = 0.995, size: int = 200_000) -> list[Transformer]:
-    """Stages from text to TF-IDF vectors of word uni- and bigrams, with 1 + ln(tf) and unit length."""
+def vectorizer(text: str = "text", *, min_df: int = 5, max_df: float = 0.995, size: int = 200_000) -> list:
+    """Stages from text to TF-IDF vectors of word uni- and bigrams, with 1 + ln(tf), 1 + idf and unit length."""
     return [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
         CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=size, minDF=float(min_df), maxDF=max_df),
-        _Sublinear(),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
+        Sublinear(),
+        SmoothIDF(inputCol="_tf", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol="features", p=2.0),
     ]
 
 
-class _Sublinear(Transformer):
-    """1 + ln(count) of each entry of ``_counts``."""
+class Sublinear(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """1 + ln(count) of each entry of ``_counts``. Vectors have no SQL functions, so this is a Python function."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        from pyspark.ml.linalg import SparseVector, VectorUDT
         import numpy as np
+        from pyspark.ml.linalg import SparseVector, VectorUDT
 
         @F.udf(VectorUDT())
         def grown(v: SparseVector) -> SparseVector:
@@ -53,6 +56,17 @@ class _Sublinear(Transformer):
         return dataset.withColumn("_tf", grown("_counts"))
 
 
+class SmoothIDF(IDF):
+    """Inverse document frequency with 1 added, so that a term of all documents keeps its count; the fitted
+    stage is a plain scaling of vectors."""
+
+    def _fit(self, dataset: DataFrame) -> ElementwiseProduct:
+        from pyspark.ml.linalg import DenseVector
+
+        model = super()._fit(dataset)
+        return ElementwiseProduct(scalingVec=DenseVector(model.idf.toArray() + 1.0), inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+
+
 def fit(train: DataFrame, text: str, label: str, *, c: float = 1.0, balanced: bool = False, max_iter: int = 200, tol: float = 1e-3, min_df: int = 5) -> tuple[PipelineModel, bool]:
     """A multinomial logistic regression on TF-IDF features, and whether it converged."""
     index = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc")
@@ -62,13 +76,35 @@ def fit(train: DataFrame, text: str, label: str, *, c: float = 1.0, balanced: bo
         counts = train.groupBy(label).agg(F.count("*").alias("_n"))
         k = counts.count()
         rows = train.join(F.broadcast(counts), label).withColumn("weight", F.lit(n) / (k * F.col("_n")))  # a row for each label
-    model = LogisticRegression(featuresCol="features", labelCol="label_id", family="multinomial", regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, maxIter=max_iter, tol=tol)
+    model = LogisticRegression(featuresCol="features", labelCol="label_id", family="multinomial", regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
     if balanced:
         model = model.setWeightCol("weight")
     fitted = Pipeline(stages=[*vectorizer(text, min_df=min_df), index, model]).fit(rows)
     return fitted, fitted.stages[-1].summary.totalIterations < max_iter
 
 
+def search(train: DataFrame, validation: DataFrame, text: str, label: str, labels: list[str], *, candidates: Mapping[str, tuple[float, bool]] = CANDIDATES, max_iter: int = 200, min_df: int = 5) -> tuple[PipelineModel, DataFrame]:
+    """Fit every candidate on the training rows; the best by validation metrics, and a row for each.
+
+    A smoke run is the same over few rows, with one candidate and a small ``max_iter`` and ``min_df``.
+    """
+    models, rows = {}, None
+    for name, (c, balanced) in candidates.items():
+        models[name], converged = fit(train, text, label, c=c, balanced=balanced, max_iter=max_iter, min_df=min_df)
+        classes = metrics.per_class(metrics.confusion(predictions(models[name], validation), label, "predicted", labels))
+        row = metrics.summary(classes).select(F.lit(name).alias("candidate_id"), F.lit(float(c)).alias("c"), F.lit(balanced).alias("balanced"), F.lit(converged).alias("converged"), "*")
+        rows = row if rows is None else rows.unionByName(row)
+    best = metrics.select_candidate(rows).first()
+    if best is None:
+        raise ValueError("no_candidate_converged")
+    return models[best["candidate_id"]], rows
+
+
+def label_ids(label: Column, labels: list[str]) -> Column:
+    """The index, from 0, of a label in a list; null outside it."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in labels]), label) - 1, F.lit(-1)).cast("int")
+
+
 def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Rows with probabilities (array) and predicted label."""
     from pyspark.ml.functions import vector_to_array

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.functions import stats
 from sievework.functions import text as X
 
 SHARES = (0.5, 0.75, 0.9, 0.95, 0.99)
@@ -21,6 +22,18 @@ def histogram(rows: DataFrame, length: str, label: str | None = None) -> DataFra
     return sets.select(F.when(F.col("_all") == 0, F.col("label")).alias("label"), "length", "n")
 
 
+def group_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by some keys."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def counts_differ(hist: DataFrame, expected: DataFrame) -> DataFrame:
+    """Labels (null: all rows) whose records by length don't add up to what is expected: label, n, expected."""
+    own = hist.groupBy("label").agg(F.sum("n").alias("n"))
+    both = own.join(expected.select(F.col("label").alias("_label"), "expected"), F.col("label").eqNullSafe(F.col("_label")), "full_outer")
+    return both.where(~F.col("n").eqNullSafe(F.col("expected"))).select(F.coalesce("label", "_label").alias("label"), "n", "expected")
+
+
 def length_profile(hist: DataFrame) -> DataFrame:
     """Records, tokens, least, most, mean and nearest-rank quantiles, from counts by length.
 
@@ -73,15 +86,15 @@ def reconciled(table: DataFrame, total: int, labels: tuple[str, ...]) -> DataFra
 
 def schema_profile(rows: DataFrame, payload: str) -> DataFrame:
     """For each key of JSON objects: rows, nulls, and the types seen."""
-    rows.select(F.try_parse_json(payload).alias("_v")).createOrReplaceTempView("_sievework_payloads")
-    entries = rows.sparkSession.sql("SELECT e.key AS key, e.value AS value FROM _sievework_payloads, LATERAL variant_explode(_v) AS e WHERE e.key IS NOT NULL")
+    parsed = rows.select(F.try_parse_json(payload).alias("_v"))
+    entries = parsed.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_v").outer())).where("key IS NOT NULL")
     kind = F.coalesce(X.json_type(F.col("value")), F.lit("null"))
     return entries.select("key", kind.alias("kind")).groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "null").alias("n_null"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows with a reproducible order: a hash of the key and the seed."""
-    return rows.withColumn("shuffle_rank", F.xxhash64(F.col(key), F.lit(seed)))
+    return rows.withColumn("shuffle_rank", stats.spread(F.col(key), seed))
 
 
 def length_groups(rows: DataFrame, key: str, length: str, *, batch: int = 32, pool: int = 1024, seed: int = 42) -> DataFrame:
@@ -92,10 +105,10 @@ def length_groups(rows: DataFrame, key: str, length: str, *, batch: int = 32, po
     """
     n = rows.count()
     pools = max(1, -(-n // pool))
-    dealt = rows.withColumn("pool_id", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(pools)))
+    dealt = rows.withColumn("pool_id", F.pmod(stats.spread(F.col(key), seed), F.lit(pools)))
     rank = F.row_number().over(Window.partitionBy("pool_id").orderBy(length, key)) - 1
     out = dealt.withColumn("_rank", rank).withColumn("batch_id", F.floor(F.col("_rank") / batch)).withColumn("place", F.col("_rank") % batch).drop("_rank")
-    return out.withColumn("batch_rank", F.xxhash64("pool_id", "batch_id", F.lit(seed)))
+    return out.withColumn("batch_rank", stats.spread(F.concat_ws("/", "pool_id", "batch_id"), seed))
 
 
 def padded(length: Column, multiple: int = 8) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework import schemas as S
@@ -89,12 +89,35 @@ def count_reconciliation(left: DataFrame, right: DataFrame, keys: list[str]) ->
     return both.where(~F.col("left_n").eqNullSafe(F.col("right_n")))
 
 
+def array_checks(rows: DataFrame, values: str, size: int, label: str, labels: int, by: list[str] | None = None) -> DataFrame:
+    """Whether arrays have a size and finite values, and labels lie in [0, labels); in one row, or by keys."""
+    finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    known = (F.col(label) >= 0) & (F.col(label) < labels)
+    return rows.groupBy(*(by or [])).agg(F.bool_and(F.size(values) == size).alias("whole"), F.bool_and(finite).alias("finite"), F.bool_and(known).alias("labels_in_range"), F.count("*").alias("n"))
+
+
 def child_counts(parents: DataFrame, children: DataFrame, key: str, stated: str) -> DataFrame:
     """Each parent's stated and actual number of children."""
     actual = children.groupBy(key).agg(F.count("*").alias("actual"))
     return parents.join(actual, key, "left").select(key, stated, F.coalesce("actual", F.lit(0)).alias("actual"), (F.col(stated) == F.coalesce("actual", F.lit(0))).alias("agrees"))
 
 
+def present(parents: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:
+    """Parents of which a child is there."""
+    return parents.join(children, keys, "left_semi")
+
+
+def absent(parents: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:
+    """Parents of which no child is there."""
+    return parents.join(children, keys, "left_anti")
+
+
+def totals(rows: DataFrame, key: str, value: str, at: str, by: list[str] | None = None, where: Column | None = None) -> DataFrame:
+    """Rows, distinct keys (all, and of those that meet a condition), the sum of a value, and the latest time."""
+    more = [] if where is None else [F.count_distinct(F.when(where, F.col(key))).alias("keys_where")]
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"), *more, F.coalesce(F.sum(value), F.lit(0)).alias("total"), F.max(at).alias("latest"))
+
+
 def label_coverage(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """Labels missing from a table, and values of it outside the labels."""
     own = rows.select(F.col(column).alias("label")).distinct()

@@ -52,20 +52,39 @@ def leaking_fingerprints(split: DataFrame) -> DataFrame:
     return split.where("split_assignment IS NOT NULL").groupBy("fingerprint").agg(F.min("split_assignment").alias("a"), F.max("split_assignment").alias("b")).where("a != b").select("fingerprint")
 
 
+def label_conflicts(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """Whether rows of a key have more than one label, and how many rows they are."""
+    return rows.groupBy(key).agg(F.coalesce(F.min(label) != F.max(label), F.lit(False)).alias("conflict"), F.count("*").alias("n"))
+
+
+def misdated(day: Column, start: str, validation: str, test: str, end: str) -> Column:
+    """Whether an assigned row's date is outside its split's window."""
+    name = F.col("split_assignment")
+    windows = {"train": (start, validation), "validation": (validation, test), "test": (test, end)}
+    own = F.lit(False)
+    for k, (lo, hi) in windows.items():
+        own = own | ((name == k) & stats.half_open(day, lo, hi))
+    return name.isNotNull() & ~F.coalesce(own, F.lit(False))
+
+
+def misdated_rows(split: DataFrame, day: str, *, start: str, validation: str, test: str, end: str) -> DataFrame:
+    """How many assigned rows have a date outside their split's window."""
+    return split.agg(F.count_if(misdated(F.col(day), start, validation, test, end)).alias("mismatched"))
+
+
 def split_checks(split: DataFrame, day: str, *, start: str, validation: str, test: str, end: str) -> DataFrame:
-    """Named boolean checks of a split in one row."""
-    d = F.col(day).cast("date")
-    at = lambda x: F.lit(x).cast("date")
-    own = (
-        ((F.col("split_assignment") == "train") & (d >= at(start)) & (d < at(validation)))
-        | ((F.col("split_assignment") == "validation") & (d >= at(validation)) & (d < at(test)))
-        | ((F.col("split_assignment") == "test") & (d >= at(test)) & (d < at(end)))
-    )
-    c = split_counts(split.withColumn("_out", F.col("split_assignment").isNotNull() & ~own))
-    mismatched = split.agg(F.count_if(F.col("split_assignment").isNotNull() & ~own).alias("date_mismatch_count"))
-    leaks = leaking_fingerprints(split).agg(F.count("*").alias("leaking"))
-    row = c.join(mismatched).join(leaks)  # one row each
+    """Named boolean checks of a split in one row, from one pass that counts by fingerprint first."""
     col = F.col
+    flags = {
+        "input_record_count": F.lit(True),
+        "included_record_count": col("disposition") == "included",
+        "same_label_duplicate_count": col("disposition") == "duplicate_same_label",
+        "label_conflict_count": col("disposition") == "duplicate_label_conflict",
+        **{f"{k}_record_count": col("split_assignment") == k for k in ("train", "validation", "test")},
+        "date_mismatch_count": misdated(col(day), start, validation, test, end),
+    }
+    own = split.groupBy("fingerprint").agg(*[F.count_if(v).alias(k) for k, v in flags.items()], (F.min("split_assignment") != F.max("split_assignment")).alias("leaks"))
+    row = own.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in flags], F.count_if("leaks").alias("leaking"))
     return row.select(
         (col("included_record_count") + col("same_label_duplicate_count") + col("label_conflict_count") == col("input_record_count")).alias("dispositions_reconcile"),
         (col("train_record_count") + col("validation_record_count") + col("test_record_count") == col("included_record_count")).alias("assignments_reconcile"),
@@ -77,16 +96,21 @@ def split_checks(split: DataFrame, day: str, *, start: str, validation: str, tes
     )
 
 
+def eligible_rows(population: DataFrame, staged: DataFrame) -> DataFrame:
+    """Eligible rows of a population with their staged texts and dates."""
+    keys = ["raw_batch_id", "source_row_ordinal", "staging_transformation_version"]
+    pop = population.where("eligibility_status = 'eligible'").select(*keys, "population_version", "target_product")
+    texts = staged.select(*keys[:2], F.col("transformation_version").alias(keys[2]), "narrative", "date_received")
+    return pop.join(texts, keys)
+
+
 def split_rows(split: DataFrame, population: DataFrame, staged: DataFrame, name: str, *, lo: str | None = None, hi: str | None = None, allow_test: bool = False) -> DataFrame:
     """Texts and labels of one split: split rows joined with population and staged rows."""
     if name == "test" and not allow_test:
         raise ValueError("test_split_is_closed")
-    keys = ["raw_batch_id", "source_row_ordinal"]
-    own = split.where(F.col("split_assignment") == name)
-    pop = population.where("eligibility_status = 'eligible'").select(*keys, "population_version", "staging_transformation_version", "target_product")
-    rows = own.select(*keys, "population_version", "narrative_fingerprint_sha256").join(pop, [*keys, "population_version"])
-    texts = staged.select(*keys, F.col("transformation_version").alias("staging_transformation_version"), "narrative", "date_received")
-    out = rows.join(texts, [*keys, "staging_transformation_version"])
+    keys = ["raw_batch_id", "source_row_ordinal", "population_version"]
+    own = split.where(F.col("split_assignment") == name).select(*keys, "narrative_fingerprint_sha256")
+    out = own.join(eligible_rows(population, staged), keys)
     if lo:
         out = out.where(F.col("date_received") >= F.lit(lo).cast("date"))
     return out.where(F.col("date_received") < F.lit(hi).cast("date")) if hi else out

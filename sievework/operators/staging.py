@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework import schemas as S
@@ -16,12 +16,19 @@ def reasons(*rules: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(condition, F.lit(name)) for condition, name in rules]))
 
 
+def with_copies(rows: DataFrame, keys: list[str], name: str, least: int = 1) -> DataFrame:
+    """Adds how many rows have the same keys, null where a key is null or they are fewer than ``least``."""
+    known = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(name))
+    return rows.join(known.where(F.col(name) >= least) if least > 1 else known, keys, "left")
+
+
 def stage(raw: DataFrame, guaranteed: Column | None = None) -> DataFrame:
     """Normalised fields, ordered quarantine reasons and a status for each raw row.
 
     raw: batch_id, source_row_ordinal, complaint_id, source_record_sha256, payload (JSON text).
     guaranteed: whether the batch's request already selects rows with a narrative.
-    One shuffle, by batch and id, counts ids within a batch.
+    Ids are counted within a batch before the shuffle; those that repeat come back by a join, so rows without
+    an id, or of a very common one, aren't gathered.
     """
     payload = F.col("payload")
     rows = raw.select(
@@ -37,18 +44,17 @@ def stage(raw: DataFrame, guaranteed: Column | None = None) -> DataFrame:
         ((F.get_json_object(payload, "$.has_narrative") == "true") & (X.json_field_type(payload, "has_narrative") == "boolean")).alias("_narrated"),
         (F.lit(False) if guaranteed is None else F.coalesce(guaranteed, F.lit(False))).alias("_guaranteed"),
     )
-    copies = F.count("*").over(Window.partitionBy("raw_batch_id", "complaint_id"))
     found = reasons(
         (F.col("_changed"), S.QUARANTINE_REASONS[0]),
         (F.col("complaint_id").isNull(), S.QUARANTINE_REASONS[1]),
         (F.col("complaint_id") != F.col("_raw_id"), S.QUARANTINE_REASONS[2]),
-        (F.col("complaint_id").isNotNull() & (F.col("_copies") > 1), S.QUARANTINE_REASONS[3]),
+        (F.col("_copies") > 1, S.QUARANTINE_REASONS[3]),
         (F.col("date_received").isNull(), S.QUARANTINE_REASONS[4]),
         (F.col("narrative").isNull(), S.QUARANTINE_REASONS[5]),
         (F.col("product_raw").isNull(), S.QUARANTINE_REASONS[6]),
         (~F.coalesce("_narrated", F.lit(False)) & ~F.col("_guaranteed"), S.QUARANTINE_REASONS[7]),
     )
-    judged = rows.withColumn("_copies", copies).withColumn("quarantine_reasons", found)
+    judged = with_copies(rows, ["raw_batch_id", "complaint_id"], "_copies", 2).withColumn("quarantine_reasons", found)
     return judged.select(
         "raw_batch_id", "source_row_ordinal", F.lit(S.TRANSFORMATION_VERSION).alias("transformation_version"), "source_record_sha256",
         F.when(F.size("quarantine_reasons") > 0, "quarantined").otherwise("accepted").alias("outcome_status"), "quarantine_reasons",

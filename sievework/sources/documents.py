@@ -31,16 +31,37 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     """path, source_row_ordinal, payload of each ``hits.hits[]._source`` of search responses."""
-    hits = _whole_files(spark, path).select("path", F.expr("posexplode(cast(variant_get(parse_json(document), '$.hits.hits') AS array<variant>))").alias("source_row_ordinal", "hit"))
+    return envelope_rows(_whole_files(spark, path))
+
+
+def envelope_rows(documents: DataFrame) -> DataFrame:
+    """The same of documents (path, document) at hand."""
+    hits = documents.select("path", F.expr("posexplode(cast(variant_get(parse_json(document), '$.hits.hits') AS array<variant>))").alias("source_row_ordinal", "hit"))
     return hits.select("path", "source_row_ordinal", F.to_json(F.variant_get("hit", "$._source", "variant")).alias("payload"))
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
     """The same of export arrays ``[{_source}]``."""
-    items = _whole_files(spark, path).select("path", F.expr("posexplode(cast(parse_json(document) AS array<variant>))").alias("source_row_ordinal", "item"))
+    return export_rows(_whole_files(spark, path))
+
+
+def export_rows(documents: DataFrame) -> DataFrame:
+    """The same of documents (path, document) at hand."""
+    items = documents.select("path", F.expr("posexplode(cast(parse_json(document) AS array<variant>))").alias("source_row_ordinal", "item"))
     return items.select("path", "source_row_ordinal", F.to_json(F.variant_get("item", "$._source", "variant")).alias("payload"))
 
 
+def read_large_exports(spark: SparkSession, path: str) -> DataFrame:
+    """The same of arrays of any size: the JSON source streams an array's items, so a task holds one at a time.
+
+    Files don't split, so a row's place is its running number less that of its file's first row.
+    """
+    rows = spark.read.schema("_source variant").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_at"), "_source")
+    first = rows.groupBy("path").agg(F.min("_at").alias("_first"))
+    return rows.join(first, "path").select("path", (F.col("_at") - F.col("_first")).cast("int").alias("source_row_ordinal"), F.to_json("_source").alias("payload"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The same of files with a JSON object a line, which split; ordinals are places in the file.
 
@@ -73,7 +94,12 @@ def verified_artifacts(spark: SparkSession, files: str, manifest: DataFrame) ->
 
     manifest: relative_path, byte_count, sha256.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(files).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.length("content").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256"))
+    return verified(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(files).select("path", "content"), manifest)
+
+
+def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The same of files (path, content) at hand."""
+    found = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.length("content").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256"))
     stated = manifest.withColumn("name", F.regexp_extract("relative_path", "([^/]+)$", 1))
     both = stated.join(found, "name", "left")
     no = F.lit(False)
@@ -100,6 +126,43 @@ def read_document(path: str, root: str, required: Mapping[str, object]) -> dict:
     return document
 
 
+#: Fields of a batch manifest: type, and a pattern for texts; fixed values.
+MANIFEST: dict[str, tuple[type, str]] = {
+    "batch_id": (str, r"[A-Za-z0-9][A-Za-z0-9._-]*"),
+    "manifest_version": (str, r"\d+\.\d+\.\d+"),
+    "is_synthetic": (bool, ""),
+    "request.request_fingerprint_sha256": (str, r"[0-9a-f]{64}"),
+    "request.parameters": (dict, ""),
+    "artifact.relative_path": (str, r"[^/].*"),
+    "artifact.byte_count": (int, ""),
+    "artifact.sha256": (str, r"[0-9a-f]{64}"),
+    "records.returned": (int, ""),
+    "records.min_date": (str, r"\d{4}-\d{2}-\d{2}"),
+    "records.max_date": (str, r"\d{4}-\d{2}-\d{2}"),
+}
+
+
+def field_problems(document: Mapping, fields: Mapping[str, tuple[type, str]]) -> list[str]:
+    """The places of a document whose value is missing, of another type, negative, or not of the pattern."""
+    out = []
+    for place, (kind, pattern) in fields.items():
+        value: object = document
+        for part in place.split("."):
+            value = value.get(part) if isinstance(value, Mapping) else None
+        # A boolean is no whole number here.
+        if not isinstance(value, kind) or (kind is int and (isinstance(value, bool) or value < 0)) or (kind is str and not re.fullmatch(pattern, value)):
+            out.append(place)
+    return out
+
+
+def read_manifest(path: str, root: str) -> dict:
+    """A batch manifest whose fields are all there and sound."""
+    document = read_document(path, root, {})
+    if problems := field_problems(document, MANIFEST):
+        raise SourceError("manifest_invalid", fields=",".join(problems))
+    return document
+
+
 def trusted(path: str, root: str) -> Path:
     """A path inside ``root`` that neither climbs out of it nor passes a symbolic link."""
     base = Path(root).resolve()
@@ -143,7 +206,17 @@ def retention(expires: Column, now: Column, due_days: int = 30) -> Column:
     """scheduled, due_soon or overdue, and whole days left, rounded up."""
     left = F.unix_timestamp(expires) - F.unix_timestamp(now)
     days = F.ceil(left / 86400)
-    return F.struct(F.when(left < 0, "overdue").when(days <= due_days, "due_soon").otherwise("scheduled").alias("status"), days.alias("days_left"))
+    return F.struct(F.when(left < 0, "overdue").when(days <= due_days, "due_soon").otherwise("scheduled").alias("status"), F.greatest(days, F.lit(0)).alias("days_left"))
+
+
+def report_rows(documents: DataFrame, schema: str, required: Mapping[str, str]) -> DataFrame:
+    """Typed fields of JSON reports (path, document), with an error at the first that isn't JSON of the schema
+    or lacks a required value."""
+    typed = documents.select("path", F.from_json("document", schema, {"mode": "FAILFAST"}).alias("r"))
+    sound = F.lit(True)
+    for name, value in required.items():
+        sound = sound & F.coalesce(F.col(f"r.{name}").cast("string") == value, F.lit(False))
+    return typed.select("path", F.when(sound, F.col("r")).otherwise(F.raise_error(F.lit("document_field_differs"))).alias("r")).select("path", "r.*")
 
 
 def run_manifest_checks(shards: DataFrame, expected: DataFrame) -> DataFrame:

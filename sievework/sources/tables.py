@@ -42,14 +42,18 @@ class Store:
         return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.TABLES[table].fields])
 
     def append(self, rows_table: str, rows: DataFrame, header_table: str, header: DataFrame, identity: str) -> bool:
-        """Write rows and header of a new identity. An identity that is there must have an equal
-        header, or ``IdentityConflict`` is raised; False then, and True after a write."""
+        """Write rows and header of a new identity. An identity that is there must have an equal header and
+        equal rows (by their count and two sums of hashes), or ``IdentityConflict`` is raised; False then,
+        and True after a write."""
         if self.exists(header_table, identity):
             stable = [c for c in header.columns if not c.endswith("_at")]
             fitted = self._fit(header_table, header).select(*stable)
             stored = self.read(header_table, identity).select(*stable)
             if not stored.exceptAll(fitted).isEmpty() or not fitted.exceptAll(stored).isEmpty():
                 raise IdentityConflict(identity)
+            kept = [c for c in rows.columns if not c.endswith("_at")]
+            if _digest(self.read(rows_table, identity).select(*kept)) != _digest(self._fit(rows_table, rows).select(*kept)):
+                raise IdentityConflict(identity)
             return False
         # Rows without a header are of a run that failed; they aren't stored yet and are replaced.
         self._fit(rows_table, rows).write.mode("overwrite").parquet(self.path(rows_table, identity))
@@ -57,6 +61,12 @@ class Store:
         return True
 
 
+def _digest(rows: DataFrame) -> tuple:
+    """What equal rows have in common, in whatever order."""
+    h = F.xxhash64(F.to_json(F.struct(*rows.columns)))
+    return tuple(rows.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 16))).first())
+
+
 def canonical(report: dict) -> str:
     return json.dumps(report, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False, default=str)
 
