@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from sievework import schemas as S
 from sievework.plans import workflows as W
 from sievework.session import session
-from sievework.sources.documents import SourceError, read_document
+from sievework.sources.acquisition import git_lineage
+from sievework.sources.documents import SourceError, read_document, read_manifest
 from sievework.sources.tables import IdentityConflict, Store
 
 
@@ -24,7 +25,7 @@ def _rows(spark: SparkSession, args: argparse.Namespace):
 #: Commands by name: help, further arguments, and what runs.
 COMMANDS: dict[str, tuple[str, tuple[str, ...], Callable]] = {
     "profile-fields": ("types and nulls of the fields of search responses", ("path",), lambda s, a: W.profile_fields(s, a.path)),
-    "ingest-raw-batch": ("store a verified export", ("root", "manifest", "files"), lambda s, a: W.ingest(Store(s, a.root), read_document(a.manifest, ".", {}), a.files)),
+    "ingest-raw-batch": ("store a verified export", ("root", "manifest", "files"), lambda s, a: W.ingest(Store(s, a.root), read_manifest(a.manifest, "."), a.files)),
     "stage-raw-batch": ("cleanse a raw batch", ("root", "batch"), lambda s, a: W.stage_batch(Store(s, a.root), a.batch)),
     "report-population": ("assess a staged batch", ("root", "batch"), lambda s, a: W.report_population(Store(s, a.root), a.batch)),
     "report-real-run": ("reconcile all layers", ("root",), lambda s, a: W.report_layers(Store(s, a.root))),
@@ -36,6 +37,15 @@ COMMANDS: dict[str, tuple[str, tuple[str, ...], Callable]] = {
     "calibrate": ("fit a temperature; rows: scores, label_id, partition (fit or evaluation)", ("rows",), lambda s, a: W.calibrate(_rows(s, a), F.col("scores"), F.col("label_id"), len(S.LABELS), F.col("partition") == "fit")),
     "analyze-abstention": ("coverage and risk by threshold; rows: actual, predicted, confidence", ("rows",), lambda s, a: W.analyse_abstention(_rows(s, a), list(range(len(S.LABELS))))),
     "compare-models": ("per-class wins of two models; each: label, support, f1", ("rows", "other"), lambda s, a: W.compare_models(_rows(s, a), s.read.parquet(a.other))),
+    "profile-taxonomy": ("labels by month of an aggregate response", ("path",), lambda s, a: W.taxonomy(s, a.path)),
+    "publish-shard": ("a downloaded file as an artifact named by its content", ("path", "root"), lambda s, a: W.publish_shard(a.path, a.root)),
+    "retention-checkpoint": ("whether raw data is due for removal", ("deadline", "now"), lambda s, a: W.retention_checkpoint(s, a.deadline, a.now)),
+    "inventory-run": ("what a cleanup of a run would remove", ("root", "run_manifest"), lambda s, a: W.cleanup_run(a.root, read_document(a.run_manifest, a.root, {}))),
+    "cleanup-run": ("remove a run's artifacts; confirmation: the run's id", ("root", "run_manifest", "confirmation"), lambda s, a: W.cleanup_run(a.root, read_document(a.run_manifest, a.root, {}), True, a.confirmation)),
+    "lineage": ("the commit that is checked out", ("root",), lambda s, a: dict(zip(("commit", "clean"), git_lineage(a.root), strict=True))),
+    "train": ("search and save a text model; rows: text, label, split_assignment", ("rows", "model"), lambda s, a: W.train(_rows(s, a), "text", "label", list(S.LABELS), a.model)),
+    "smoke-train": ("the training on a few made-up rows", ("model",), lambda s, a: W.smoke(s, a.model)),
+    "select-model": ("the operational model by evidence and CPU gates", ("rows",), lambda s, a: W.select_model(_rows(s, a))),
 }
 
 

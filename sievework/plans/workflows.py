@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sievework import schemas as S
 from sievework.functions import text as X
-from sievework.operators import abstention, calibration, metrics, profile, rules, split, staging
+from sievework.operators import abstention, calibration, evidence, features, metrics, profile, rules, split, staging
+from sievework.sources import acquisition, trends
 from sievework.sources import documents as sources
 from sievework.sources.tables import Store
 
@@ -163,6 +164,59 @@ def compare_models(ours: DataFrame, theirs: DataFrame, metric: str = "f1") -> di
     return {"labels": table_report(comparison.orderBy("label")), "wins": table_report(metrics.win_counts(comparison).orderBy("winner"))}
 
 
+def taxonomy(spark: SparkSession, path: str, start: str = S.WINDOW_START[:7], end: str = S.WINDOW_END[:7]) -> dict:
+    """Labels by month of an aggregate response, and its checks against the taxonomy."""
+    documents = spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
+    months = trends.trend_months(documents)
+    checks = trends.trend_checks(months, trends.trend_totals(documents), start, end, S.LABELS, S.LEGACY_LABELS)
+    return {"checks": row_report(checks), "labels": table_report(months.groupBy("label").agg(F.sum("n").alias("n"), F.min("month").alias("first"), F.max("month").alias("last")).orderBy("label"))}
+
+
+def publish_shard(path: str, root: str) -> dict:
+    """A downloaded file as an artifact named by its content."""
+    return vars(acquisition.stream_artifact(acquisition.file_chunks(path), root))
+
+
+def retention_checkpoint(spark: SparkSession, deadline: str, now: str) -> dict:
+    at = lambda x: F.lit(x).cast("timestamp")
+    found = row_report(spark.range(1).select(sources.retention(at(deadline), at(now)).alias("r")).select("r.*"))
+    return {**found, "cleanup_required": found["status"] == "overdue"}
+
+
+def cleanup_run(root: str, manifest: dict, execute: bool = False, confirmation: str | None = None) -> dict:
+    """What a run's artifacts are; with ``execute`` and the run's id, their removal."""
+    shards = [{"relative_path": s["artifact_relative_path"], "sha256": s["artifact_sha256"]} for s in manifest["shards"]]
+    return {"run_id": manifest["run_id"], "executed": execute, "artifacts": acquisition.cleanup(root, manifest["run_id"], shards, execute=execute, confirmation=confirmation)}
+
+
+def train(rows: DataFrame, text: str, label: str, labels: list[str], path: str, *, candidates: dict | None = None, max_iter: int = 200, min_df: int = 5) -> dict:
+    """Search the candidates on the train and validation rows (split_assignment) and save the best model once."""
+    of = lambda name: rows.where(F.col("split_assignment") == name)
+    model, found = features.search(of("train"), of("validation"), text, label, labels, candidates=candidates or features.CANDIDATES, max_iter=max_iter, min_df=min_df)
+    model.write().save(path)  # fails where a model is
+    return {"model": path, "selected": metrics.select_candidate(found).first()["candidate_id"], "candidates": table_report(found.orderBy("candidate_id"))}
+
+
+def smoke(spark: SparkSession, path: str) -> dict:
+    """The whole training on a few made-up rows."""
+    words = {"a": "alpha beta gamma", "b": "delta epsilon zeta"}
+    rows = [(f"{words[k]} {k}{i % 3}", k, "validation" if i % 4 == 0 else "train") for i in range(24) for k in words]
+    table = spark.createDataFrame(rows, "text string, label string, split_assignment string")
+    return train(table, "text", "label", ["a", "b"], path, candidates={"c1.0-none": (1.0, False)}, max_iter=50, min_df=1)
+
+
+def select_model(candidates: DataFrame, limits: dict[str, str] | None = None) -> dict:
+    """The operational model: candidates with evidence of quality and calibration, and CPU measures.
+
+    candidates: model, preference (least is wanted most), the metrics of ``evidence.QUALITY`` and
+    ``evidence.CALIBRATION``, and the measures of ``rules.CPU_GATES``; the last preference is the fallback.
+    """
+    judged = evidence.evaluated(candidates).withColumnRenamed("failed_gates", "failed_evidence").withColumnRenamed("passed", "evidence_holds")
+    gates = {**(limits or rules.CPU_GATES), "evidence": "evidence_holds"}
+    chosen = rules.operational_choice(judged, gates)
+    return {"choice": row_report(chosen), "candidates": table_report(rules.gates(judged, gates).select("model", "preference", "failed_evidence", "failed_gates", "passed").orderBy("preference"))}
+
+
 def profile_fields(spark: SparkSession, path: str) -> dict:
     """The observed schema of a folder of search responses."""
     return {"fields": table_report(profile.schema_profile(sources.read_envelopes(spark, path), "payload").orderBy("key"))}

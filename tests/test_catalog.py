@@ -4,7 +4,7 @@ import duckdb  # noqa: F401
 import parity
 import pytest
 
-from sievework.plans import catalog, catalog_rows  # noqa: F401
+from sievework.plans import catalog, catalog_more, catalog_rows  # noqa: F401
 
 
 @pytest.fixture(scope="module")
