@@ -14,8 +14,12 @@ that no equal strings can leave, from one rank to the next:
 3. The strings of what is left, the edges of repeated passages, are ranked byte by byte inside each
    group: ranks of 8 bytes, paired with the rank at offset 8, then 16, 32, 64, and last the rank of
    128 bytes with that at offset 72. A position whose rank is unique is done; those left are repeated.
+4. A group of over ``GROUP_BYTES`` isn't held by a task. Spark deals and sorts its positions again, under
+   the rank of a longer string: paired with the rank of half the bytes that are still open, before or
+   after those that the group shares. 116 bytes grow to 158, 179, 190 and so on, up to 200; groups that
+   have become small are finished as in step 3, and what is alone is unique.
 
-Ranks are 64-bit fingerprints until step 3, which compares bytes. Defined cases: a null text is empty;
+Ranks are 64-bit fingerprints, of pairs in steps 1 and 2; step 3 compares bytes. Defined cases: a null text is empty;
 texts under 200 bytes keep everything; repeated rows repeat each other; rows with a null doc_id count
 like any other; ties play no part; an empty table gives no rows; other columns are not read. Very long
 texts are worked on whole, a run at a time.
@@ -39,6 +43,9 @@ GRAM = 32
 #: Bytes beside the anchor that one of the two sides must share: half of what the anchor leaves.
 SIDE = (LENGTH - GRAM) // 2
 
+#: Bytes of a group that one task ranks; larger groups are dealt again under longer ranks.
+GROUP_BYTES = 32 << 20
+
 _FIELDS = {"name": np.uint64, "print": np.uint64, "left": np.uint32, "right": np.uint32, "doc": np.uint16, "lo": np.int32, "wide": np.uint8, "place": np.uint8, "many": np.uint8}
 
 
@@ -143,18 +150,20 @@ def _runs_kernel(ranges: int):
 
 
 _RUNS = "part int, keys binary, " + ", ".join(f"{k} binary" for k in _FIELDS) + ", s_key binary, s_lo binary, s_hi binary"
-_FOUND = "side int, grp long, key long, lo int, hi int, at int"
+_FOUND = "grp long, key long, lo int, hi int, s int, e int"
 
 
-def _found(side: int, grp: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _found(grp: np.ndarray | None, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Without ``grp`` repeated bytes [lo, hi); with it starts lo to hi of strings that have [s, e) in common
+    with others of the group."""
     for a in range(0, len(key), 1 << 16):
         b = slice(a, a + (1 << 16))
-        n = len(key[b])
-        yield K.table(side=np.full(n, side, np.int32), grp=grp[b].view(np.int64), key=key[b], lo=lo[b].astype(np.int32), hi=hi[b].astype(np.int32), at=at[b].astype(np.int32))
+        own = pa.nulls(len(key[b]), pa.int64()) if grp is None else pa.array(grp[b].view(np.int64))
+        yield K.table(grp=own, key=key[b], **{k: v[b].astype(np.int32) for k, v in (("lo", lo), ("hi", hi), ("s", s), ("e", e))})
 
 
 def _ranked_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """side 0: repeated [lo, hi). Sides 1 and 2: starts lo..hi to rank byte by byte in their group."""
+    """Repeated bytes, and starts to rank byte by byte in their group."""
     held: dict[str, list] = {}
     now = None
     for batch in batches:
@@ -175,8 +184,7 @@ def _ranked(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
     base = np.cumsum([0, *map(len, keys)])[:-1]
     key = np.concatenate(keys)[f["doc"].astype(np.int64) + np.repeat(base, [len(x) // 2 for x in rows["doc"]])]
     spans = [np.frombuffer(b"".join(rows[k]), t) for k, t in (("s_key", np.int64), ("s_lo", np.int32), ("s_hi", np.int32))]
-    nothing = np.zeros(len(spans[0]), np.uint64)
-    yield from _found(0, nothing, *spans, np.zeros(len(nothing), np.int32))
+    yield from _found(None, *spans, spans[1], spans[2])
     lo = f["lo"].astype(np.int64)
     hi, at = lo + f["wide"], lo + f["place"]
     order = np.lexsort((f["print"], f["name"]))
@@ -192,7 +200,7 @@ def _ranked(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
     which = order[repeated]
     _, s_lo, s_hi = merged(key[which], lo[which], hi[which] + LENGTH)
     s_key = merged(key[which], lo[which], hi[which] + LENGTH)[0]
-    yield from _found(0, np.zeros(len(s_key), np.uint64), s_key, s_lo, s_hi, np.zeros(len(s_key), np.int32))
+    yield from _found(None, s_key, s_lo, s_hi, s_lo, s_hi)
     # Runs that aren't repeated, and one of each repeated kind, where an anchor has several kinds.
     ask = (kinds_of[of_name] >= 2) & (open_of[of_name] > 0) & new_kind
     which, opens = order[ask], ~repeated[ask]
@@ -208,23 +216,25 @@ def _ranked(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
         grp = grp[g_order[np.repeat(live, g_size)]]
         a = lo[w] if side == 1 else np.maximum(lo[w], at[w] - SIDE + 1)
         b = np.minimum(hi[w], at[w] - SIDE) if side == 1 else hi[w]
-        yield from _found(side, grp, key[w], a, b, at[w])
+        yield from _found(grp, key[w], a, b, at[w] - SIDE if side == 1 else at[w], at[w] + GRAM if side == 1 else at[w] + GRAM + SIDE)
+
+
+_CONTEXTS = {"grp": pa.int64(), "key": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "s": pa.int32(), "e": pa.int32(), "bytes": pa.binary()}
 
 
 def _contexts_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each asked run, from its first start to its last string's end."""
     for rows, buf, off in K.blocks(batches):
         raw = buf.tobytes()
-        out: dict[str, list] = {k: [] for k in ("grp", "key", "lo", "hi", "at", "bytes")}
+        out: dict[str, list] = {k: [] for k in _CONTEXTS}
         for d, (key, asked) in enumerate(zip(rows.column("key").to_pylist(), rows.column("asked").to_pylist(), strict=True)):
             for x in asked:
                 out["grp"].append(x["grp"])
                 out["key"].append(key)
-                for k in ("lo", "hi", "at"):
+                for k in ("lo", "hi", "s", "e"):
                     out[k].append(x[k])
                 out["bytes"].append(raw[off[d] + x["lo"] : off[d] + x["hi"] + LENGTH])
-        kinds = {"grp": pa.int64(), "key": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "at": pa.int32(), "bytes": pa.binary()}
-        yield K.table(**{k: pa.array(v, kinds[k]) for k, v in out.items()})
+        yield K.table(**{k: pa.array(v, _CONTEXTS[k]) for k, v in out.items()})
 
 
 def doubled(first: np.ndarray, text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -258,35 +268,78 @@ def doubled(first: np.ndarray, text: np.ndarray, starts: np.ndarray, length: int
     return out
 
 
-def _edges_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    size = 0
+def _longer(row: dict, length: int = LENGTH) -> Iterator[dict]:
+    """The row's starts under ranks of longer strings. Of the bytes that [s, e) leaves open, each start has
+    either the half before s or the half after e; the bytes of that half make the next rank."""
+    s, e, lo, hi, raw = (row[k] for k in ("s", "e", "lo", "hi", "bytes"))
+    rest = length - (e - s)
+    half = (rest + 1) // 2
+    for a, b, s2, e2 in ((lo, min(hi, s - half), s - half, e), (max(lo, s - half + 1), hi, s, e + rest - half + 1)):
+        if a > b:
+            continue
+        more = raw[s2 - lo : s - lo] if s2 < s else raw[e - lo : e2 - lo]
+        name = hashlib.blake2b(row["grp"].to_bytes(8, "little", signed=True) + (b"<" if s2 < s else b">") + more, digest_size=8).digest()
+        yield {"grp": int.from_bytes(name, "little", signed=True), "key": row["key"], "lo": a, "hi": b, "s": s2, "e": e2, "bytes": raw[a - lo : b - lo + length]}
 
-    def settle() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        text = np.frombuffer(b"".join(r["bytes"] for r in held), np.uint8)
-        base = np.cumsum([0, *(len(r["bytes"]) for r in held)])[:-1]
-        lo, hi, at = (np.array([r[k] for r in held], np.int64) for k in ("lo", "hi", "at"))
-        grp = np.unique(np.array([r["grp"] for r in held], np.int64), return_inverse=True)[1]
-        width = hi - lo + 1
-        run = np.repeat(np.arange(len(held)), width)
-        step = np.arange(len(run)) - np.repeat(np.cumsum(width) - width, width)
-        found = doubled(grp[run] * (LENGTH + 1) + (at - lo)[run] - step, text, base[run] + step)
-        p = (lo[run] + step)[found]
-        key = np.array([r["key"] for r in held], np.int64)[run[found]]
-        key, a, b = merged(key, p, p + LENGTH)
-        yield K.table(key=key, lo=a.astype(np.int32), hi=b.astype(np.int32))
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if size > K.BLOCK_BYTES and row["grp"] != held[-1]["grp"]:
-                yield from settle()
-                held.clear()
-                size = 0
-            held.append(row)
-            size += len(row["bytes"])
-    yield from settle()
+def _edges_kernel(most: int):
+    """Repeated bytes of groups; of a group of over ``most`` bytes, its rows under longer ranks instead, so
+    that a task holds no more of it."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size, own, large = 0, 0, None  # bytes held, of them of the last group, and a group that goes on
+
+        def settle(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            if not rows:
+                return
+            text = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+            base = np.cumsum([0, *(len(r["bytes"]) for r in rows)])[:-1]
+            lo, hi, s, e = (np.array([r[k] for r in rows], np.int64) for k in ("lo", "hi", "s", "e"))
+            grp = np.unique(np.array([r["grp"] for r in rows], np.int64), return_inverse=True)[1]
+            width = hi - lo + 1
+            run = np.repeat(np.arange(len(rows)), width)
+            step = np.arange(len(run)) - np.repeat(np.cumsum(width) - width, width)
+            found = doubled(grp[run] * (LENGTH + 1) + (s - lo)[run] - step, text, base[run] + step)
+            p = (lo[run] + step)[found]
+            key, a, b = merged(np.array([r["key"] for r in rows], np.int64)[run[found]], p, p + LENGTH)
+            yield from done(key, a, b)
+
+        def done(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(key):
+                yield K.table(grp=pa.nulls(len(key), pa.int64()), key=key, lo=a.astype(np.int32), hi=b.astype(np.int32), s=a.astype(np.int32), e=b.astype(np.int32), bytes=pa.nulls(len(key), pa.binary()))
+
+        def go_on(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            whole = [r for r in rows if r["e"] - r["s"] == LENGTH]  # several of the group are equal
+            at = np.array([r["s"] for r in whole], np.int64)
+            yield from done(np.array([r["key"] for r in whole], np.int64), at, at + LENGTH)
+            out = [x for r in rows if r["e"] - r["s"] < LENGTH for x in _longer(r)]
+            if out:
+                yield K.table(**{k: pa.array([x[k] for x in out], kind) for k, kind in _CONTEXTS.items()})
+
+        for batch in batches:
+            straight: list[dict] = []
+            for row in batch.to_pylist():
+                if row["grp"] == large:
+                    straight.append(row)
+                    continue
+                if held and row["grp"] != held[-1]["grp"]:
+                    own = 0
+                    if size > K.BLOCK_BYTES:
+                        yield from settle(held)
+                        held, size = [], 0
+                held.append(row)
+                size += len(row["bytes"])
+                own += len(row["bytes"])
+                if own > most and own > len(row["bytes"]):  # of two rows at least
+                    large = row["grp"]
+                    yield from settle([r for r in held if r["grp"] != large])
+                    straight += [r for r in held if r["grp"] == large]
+                    held, size, own = [], 0, 0
+            yield from go_on(straight)
+        yield from settle(held)
+
+    return kernel
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -304,10 +357,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     runs = K.map_blocks(rows.select("key", "text"), _runs_kernel(ranges), _RUNS)
     dealt = runs.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
     found = store.written(dealt.mapInArrow(_ranked_kernel, _FOUND), "runs")
-    asked = found.where("side > 0").groupBy("key").agg(F.collect_list(F.struct("grp", "lo", "hi", "at")).alias("asked"))
-    contexts = K.map_blocks(rows.select("key", "text").dropDuplicates(["key"]).join(asked, "key"), _contexts_kernel, "grp long, key long, lo int, hi int, at int, bytes binary")
-    edges = contexts.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_edges_kernel, "key long, lo int, hi int")
-    return found.where("side = 0").select("key", "lo", "hi").union(edges)
+    asked = found.where("grp IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("grp", "lo", "hi", "s", "e")).alias("asked"))
+    shape = "grp long, key long, lo int, hi int, s int, e int, bytes binary"
+    open_ = K.map_blocks(rows.select("key", "text").dropDuplicates(["key"]).join(asked, "key"), _contexts_kernel, shape)
+    spans = found.where("grp IS NULL").select("key", "lo", "hi")
+    while True:  # a round doubles what the strings of a rank share; 8 rounds at most
+        ranked = store.written(open_.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_edges_kernel(GROUP_BYTES), shape), "edges")
+        spans = spans.union(ranked.where("grp IS NULL").select("key", "lo", "hi"))
+        open_ = ranked.where("grp IS NOT NULL")
+        if open_.isEmpty():
+            return spans
 
 
 def _removed_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
