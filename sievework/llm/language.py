@@ -12,7 +12,8 @@ independent random vectors: sqrt(D * sum of squared counts).
 
 Defined cases: a null text or one without letters is ``und`` with score 0; training skips it; without
 any training text all are ``und``; ties go to the first language by name; repeated rows get equal
-predictions; a row with a null doc_id is not held out and not learned from; extra columns are not read.
+predictions; a row with a null doc_id is not held out and not learned from; a very long text is read
+whole, as a block of its own; an empty table gives no rows; extra columns are not read.
 Prototypes (languages x D numbers) are all that reaches the driver.
 """
 

@@ -13,8 +13,10 @@ Ranks are counted within tasks and shifted by the counts of the tasks before, so
 third of all pieces share isn't gathered anywhere.
 
 Defined cases: a null or empty text is one piece, its end id; only documents longer than the capacity
-are cut; a null doc_id and repeated rows are packed like any others, each row by itself; an empty
-table gives no rows; other columns are not read.
+are cut; a null doc_id and repeated rows are packed like any others, each row by itself; a very long
+text is encoded whole and cut into as many pieces as it takes; equal lengths are interchangeable, so ties
+between them don't matter, and of plans with as few sequences the first found stands; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ where they differ.
 Defined cases: a null html is an empty payload; empty payloads equal each other; ties and repeated
 rows of one page_id give one record each, of which at most one is the response; a null page_id is
 written as 0-prefixed ``null`` and can refer to a response but never be one unless all equal ones are
-null; an empty table writes no file; other columns are not read.
+null; a very long payload is one record, written and decoded in chunks but held whole once; an empty table
+writes no file; other columns are not read.
 """
 
 from __future__ import annotations
