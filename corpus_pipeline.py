@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns the
 columns of documents, but for the last, which returns packed pieces. ``run`` writes each stage's rows
 to the shared folder before the next one reads them.
+
+Defined cases, beside those of the operators: documents with a null or blank text have too few words and
+go first; a null in any other column stays; of repeated rows one stays; rows of one doc_id with different
+texts are judged apart; a null doc_id stays unless its text is like another document's; extra columns, of
+whatever names, are kept up to the last stage; very long texts are worked on whole; empty tables give no
+pieces; of documents in one component that of the smallest doc_id stays, so ties play no part.
 """
 
 from __future__ import annotations
