@@ -354,7 +354,8 @@ class Fitted:
 def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     """Fit on ``labels`` (doc_id, toxic) and ``docs`` (doc_id, text)."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labelled = store.written(docs.join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    # Labels grow with the corpus, so the join has one form at all sizes: texts that may be labelled are dealt once.
+    labelled = store.written(docs.join(known.hint("merge"), "doc_id").select("doc_id", "text", "toxic"), "labelled")
     found, prior = typical_words(labelled)
     lexicon = Lexicon.of(found)
     m = lexicon.size + len(PATTERNS) + 1
