@@ -27,9 +27,22 @@ def classify(rows: DataFrame, fingerprint: Column, label: Column, order: list[Co
     return out.drop("_label", "_order", "_least", "_most", "_first")
 
 
-def ranked_duplicates(rows: DataFrame, fingerprint: Column, order: list[Column]) -> DataFrame:
-    """Rows with their rank among equal fingerprints; for tables without very common fingerprints."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(fingerprint).orderBy(*order)))
+def ranked_duplicates(rows: DataFrame, fingerprint: Column, order: list[Column], cells: int = 64) -> DataFrame:
+    """Rows with their rank among equal fingerprints.
+
+    Ranks are counted inside ``cells`` ranges of the order and shifted by the counts of the ranges before, so
+    a very common fingerprint is cut into as many parts. The ranges' bounds are a few rows, the least by a hash.
+    """
+    keyed = rows.withColumn("_print", fingerprint).withColumn("_order", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    few = keyed.select("_order").distinct().orderBy(F.xxhash64("_order")).limit(cells - 1).select(F.sort_array(F.collect_list("_order").over(Window.partitionBy())).alias("_bounds")).limit(1)
+    bounds = F.broadcast(rows.sparkSession.range(1).join(few, how="left").select(F.coalesce("_bounds", F.array()).alias("_bounds")))  # one row
+    dealt = keyed.join(bounds).withColumn("_cell", F.size(F.filter("_bounds", lambda b: b <= F.col("_order")))).drop("_bounds")
+    sizes = dealt.groupBy("_print", "_cell").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_print").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("_print").alias("_p"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_print", "_cell").orderBy("_order")))
+    ranked = local.join(before, F.col("_print").eqNullSafe(F.col("_p")) & (F.col("_cell") == F.col("_c")))
+    return ranked.select(*rows.columns, (F.col("_before") + F.col("_rn")).cast("int").alias("rank"))
 
 
 def split_counts(split: DataFrame) -> DataFrame:
