@@ -127,6 +127,20 @@ def tokenized(rows: DataFrame, text: str, tokenizer: Callable[[list[str]], list[
     return rows.mapInPandas(encode, schema)
 
 
+def library_tokenizer(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """A tokenizer of the ``tokenizers`` library from its vocabulary file, loaded once by each worker."""
+    loaded: dict[str, object] = {}
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        if "t" not in loaded:
+            from tokenizers import Tokenizer
+
+            loaded["t"] = Tokenizer.from_file(path)
+        return [e.ids for e in loaded["t"].encode_batch(texts)]  # type: ignore[attr-defined]
+
+    return encode
+
+
 def whitespace_length(text: str) -> Column:
     """Words and two special tokens."""
     return F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")) + 2

@@ -50,6 +50,21 @@ def summary(classes: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def complete(slices: DataFrame, column: str, expected: list[str]) -> DataFrame:
+    """Slices of exactly the expected values; an error where one is missing or another is there."""
+    marked = slices.withColumn("_there", F.lit(True))
+    both = F.broadcast(universe(slices, expected, column).withColumn("_wanted", F.lit(True))).join(marked, column, "full_outer")
+    sound = F.col("_wanted").isNotNull() & F.col("_there").isNotNull()
+    checked = F.when(sound, F.col(column)).otherwise(F.raise_error(F.lit(f"{column}_slices_incomplete")).cast("string"))
+    return both.select(checked.alias(column), *[c for c in slices.columns if c != column])
+
+
+def long_table(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """A report table with a row for each metric: keys, metric, value."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_x")
+    return rows.select(*keys, pairs).select(*keys, "_x.metric", "_x.value")
+
+
 def majority(counts: DataFrame, label: str, n: str) -> DataFrame:
     """The one most frequent label; an error on a tie."""
     ranked = counts.withColumn("_rank", F.rank().over(Window.orderBy(F.desc(n))))  # a row for each label

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +141,43 @@ def collated(groups: DataFrame, ids: str, limit: int = 384, pad: int = 0) -> Dat
     )
 
 
+def buffer_shuffled(rows: DataFrame, buffer: int = 8192, seed: int = 42) -> DataFrame:
+    """Rows in another order, none lost: within each partition a row leaves a full buffer at random as another
+    comes, so memory is bounded by the buffer. The order depends on the partitions and the seed alone."""
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        dice = random.Random(seed * 1_000_003 + TaskContext.get().partitionId())
+        held: list[dict] = []
+        schema = None
+        for batch in batches:
+            schema, out = batch.schema, []
+            for row in batch.to_pylist():
+                held.append(row)
+                if len(held) > buffer:
+                    place = dice.randrange(buffer)
+                    held[place], held[-1] = held[-1], held[place]
+                    out.append(held.pop())
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        dice.shuffle(held)
+        for a in range(0, len(held), 4096):
+            yield pa.RecordBatch.from_pylist(held[a : a + 4096], schema)
+
+    return rows.mapInArrow(mixed, rows.schema)
+
+
+def log_heights(counts: DataFrame, n: str) -> DataFrame:
+    """Adds height, in [0, 1]: log10(n + 1) over that of the largest n. A row for each bar."""
+    return counts.withColumn("height", F.log10(F.col(n) + 1) / F.log10(F.max(n).over(Window.partitionBy()) + 1))
+
+
+def pixels(value: Column, least: Column, most: Column, start: float, end: float) -> Column:
+    """A value's place on an axis from ``start`` to ``end``."""
+    return F.lit(start) + F.coalesce(F.try_divide(value - least, most - least), F.lit(0.0)) * (end - start)
+
+
 def drift(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Population stability index between two tables' distributions of a key, by value and in total."""
     share = lambda df, name: df.groupBy(key).agg(F.count("*").alias("_n")).withColumn(name, F.col("_n") / F.sum("_n").over(Window.partitionBy())).drop("_n")

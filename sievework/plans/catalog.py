@@ -639,7 +639,7 @@ def e152_partition_evidence(spark, d):
 @query("SELECT event_type, count(*) AS n, " + r("ln(count(*) + 1) / ln(max(count(*)) OVER () + 1) AS height") + " FROM events GROUP BY 1")
 def e161_scaled_support(spark, d):
     counted = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return rounded(counted.withColumn("height", F.log10(F.col("n") + 1) / F.log10(F.max("n").over(Window.partitionBy()) + 1)), "height")
+    return rounded(profile.log_heights(counted, "n"), "height")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, " + r("sum(value) AS value") + " FROM events GROUP BY 1, 2")

@@ -238,8 +238,27 @@ def e149_array_checks(spark, d):
 @query(f"WITH {_CONF_SQL} SELECT * FROM (SELECT 'precision' AS metric, label, round(\"precision\", 6) AS value FROM c UNION ALL SELECT 'recall', label, round(recall, 6) FROM c UNION ALL SELECT 'f1', label, round(f1, 6) FROM c)")
 def e165_metric_table(spark, d):
     classes = metrics.per_class(metrics.confusion(flagged(spark, d), "actual", "predicted", _FLAGS))
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")])).alias("x")
-    return rounded(classes.select("label", pairs).select("x.metric", "label", "x.value"), "value")
+    return rounded(metrics.long_table(classes, ["label"], ["precision", "recall", "f1"]), "value")
+
+
+@query(f"WITH {_SCORES_SQL}, m AS (SELECT avg(nll) AS nll, avg(brier) AS brier, avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END) AS accuracy FROM v) SELECT metric, round(value, 6) AS value FROM (SELECT 'nll' AS metric, nll AS value FROM m UNION ALL SELECT 'brier', brier FROM m UNION ALL SELECT 'accuracy', accuracy FROM m)")
+def e165_calibration_table(spark, d):
+    return rounded(metrics.long_table(calibration.metrics(scored_embeddings(spark, d)), [], ["nll", "brier", "accuracy"]), "value")
+
+
+@query(f"WITH {_SWEEP_SQL} SELECT threshold, metric, round(value, 6) AS value FROM (SELECT threshold, 'coverage' AS metric, suggested / total AS value FROM w UNION ALL SELECT threshold, 'false_suggestion_rate', (suggested - correct) / total FROM w)")
+def e165_abstention_table(spark, d):
+    rows = scored_embeddings(spark, d).select(F.col("_label").alias("actual"), "predicted", "confidence")
+    return rounded(metrics.long_table(abstention.sweep(rows, list(range(10))), ["threshold"], ["coverage", "false_suggestion_rate"]), "value")
+
+
+@query(f"WITH {_SWEEP_SQL}, axes AS (SELECT threshold, suggested / total AS x, 1 - correct / nullif(suggested, 0) AS y FROM w) SELECT threshold, round(40 + coalesce((x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0), 0) * 560, 4) AS x, round(360 - coalesce((y - 0) / 1, 0) * 340, 4) AS y FROM axes")
+def e161_risk_coverage(spark, d):
+    rows = scored_embeddings(spark, d).select(F.col("_label").alias("actual"), "predicted", "confidence")
+    all_ = Window.partitionBy()
+    out = abstention.sweep(rows, list(range(10))).select("threshold", F.col("coverage").alias("c"), F.col("selective_risk").alias("r"))
+    out = out.withColumns({"lo": F.min("c").over(all_), "hi": F.max("c").over(all_)})
+    return rounded(out.select("threshold", profile.pixels(F.col("c"), F.col("lo"), F.col("hi"), 40, 600).alias("x"), profile.pixels(F.col("r"), F.lit(0.0), F.lit(1.0), 360, 20).alias("y")), "x", "y", digits=4)
 
 
 @query("SELECT * FROM (SELECT CAST(0 AS INTEGER) AS step, 'staged_records' AS stage, count(*) AS n FROM documents UNION ALL SELECT 1, 'eligible', count(*) FROM documents WHERE n_chars >= 100 UNION ALL SELECT 2, 'included_record_count', count(*) FROM documents WHERE n_chars >= 100 AND lang = 'en' UNION ALL SELECT 3, 'train_record_count', count(*) FROM documents WHERE n_chars >= 100 AND lang = 'en' AND doc_id % 3 = 0 UNION ALL SELECT 4, 'validation_record_count', count(*) FROM documents WHERE n_chars >= 100 AND lang = 'en' AND doc_id % 3 = 1 UNION ALL SELECT 5, 'test_record_count', count(*) FROM documents WHERE n_chars >= 100 AND lang = 'en' AND doc_id % 3 = 2)")
@@ -347,7 +366,9 @@ def e127_optimizer_steps(spark, d):
     return rows.select("n", F.ceil(F.ceil(F.col("n") / 16) / 2).alias("steps"))
 
 
-@query("SELECT lang, CAST(floor(n_chars / 500) AS BIGINT) AS bucket, count(*) AS n, " + r("avg(n_chars) AS mean") + " FROM documents GROUP BY 1, 2")
+@query("SELECT CASE WHEN n_chars < 500 THEN 'chars-1-499' WHEN n_chars < 1000 THEN 'chars-500-999' WHEN n_chars < 2000 THEN 'chars-1000-1999' WHEN n_chars < 4000 THEN 'chars-2000-3999' ELSE 'chars-4000-plus' END AS band, count(*) AS record_count, " + r("avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS accuracy") + " FROM documents GROUP BY 1")
 def e072_length_slices(spark, d):
-    return rounded(table(spark, d, "documents").groupBy("lang", F.floor(F.col("n_chars") / 500).alias("bucket")).agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean")), "mean")
-
+    rows = table(spark, d, "documents").select(F.col("lang").alias("actual"), F.lit("en").alias("predicted"), stats.length_band(F.col("n_chars")).alias("band"))
+    classes = metrics.per_class(metrics.confusion(rows, "actual", "predicted", ["de", "en", "es", "fr"], by=["band"]), ["band"])
+    whole = metrics.complete(metrics.summary(classes, ["band"]), "band", [name for name, _ in stats.BANDS])
+    return rounded(whole.select("band", "record_count", "accuracy"), "accuracy")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import shutil
 import subprocess
+import time
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -119,6 +121,34 @@ def publish_run(root: str, path: str, run_id: str, shards: Sequence[Mapping[str,
     return publish_document(root, path, {"run_id": run_id, "shards": [dict(s) for s in shards], "returned_record_count": total})
 
 
+def acquire_run(
+    months: Sequence[str], counts: Mapping[str, int], fetch: Callable[[str], Iterable[bytes]], root: str, *, limit: int = 100_000, pause: float = 35.0, free_bytes: int = 20 << 30, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic
+) -> list[dict[str, object]]:
+    """Stream the export of every month to an artifact: requests at least ``pause`` seconds apart, on a disk with
+    room, for months whose counts are sound. After a failure nothing that this run created is left."""
+    if bad := [m for m in months if not 1 <= counts.get(m, 0) < limit]:
+        raise SourceError("preflight_failed", months=",".join(bad))
+    if shutil.disk_usage(Path(root)).free < free_bytes:
+        raise SourceError("disk_too_full", needed=free_bytes)
+    out: list[dict[str, object]] = []
+    made: list[str] = []
+    last: float | None = None
+    try:
+        for month in months:
+            if last is not None and (wait := last + pause - clock()) > 0:
+                sleep(wait)
+            last = clock()
+            artifact = stream_artifact(fetch(month), root)
+            if artifact.created:
+                made.append(artifact.relative_path)
+            out.append({"month": month, "preflight_count": counts[month], "artifact_sha256": artifact.sha256, "artifact_relative_path": artifact.relative_path, "artifact_byte_count": artifact.byte_count})
+    except BaseException:
+        for path in made:
+            trusted(path, root).unlink(missing_ok=True)
+        raise
+    return out
+
+
 def git_lineage(root: str) -> tuple[str, bool]:
     """The commit that is checked out, and whether the working tree is clean."""
 

@@ -41,6 +41,27 @@ class Store:
         have = set(df.columns)
         return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.TABLES[table].fields])
 
+    def create(self) -> list[str]:
+        """Lay down the tables that aren't there, empty and with their schemas; returns their names."""
+        made = []
+        for name, schema in S.TABLES.items():
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                self.spark.createDataFrame([], schema).write.parquet(f"{self.path(name)}/identity=none")
+                made.append(name)
+        return made
+
+    def remove(self) -> list[str]:
+        """Take empty tables away again; an error, before anything goes, where one has rows."""
+        there = [n for n in S.TABLES if self.exists(n, "none")]
+        for name in there:
+            if not self.read(name).isEmpty():
+                raise IdentityConflict(name)
+        for name in there:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return there
+
     def append(self, rows_table: str, rows: DataFrame, header_table: str, header: DataFrame, identity: str) -> bool:
         """Write rows and header of a new identity. An identity that is there must have an equal header and
         equal rows (by their count and two sums of hashes), or ``IdentityConflict`` is raised; False then,
@@ -92,6 +113,24 @@ def publish(spark: SparkSession, path: str, report: dict) -> str:
     return path
 
 
+def closed(report: dict, fields: set[str]) -> dict:
+    """The report, if it has exactly these fields; an error otherwise."""
+    if set(report) != fields:
+        raise ValueError(f"report_fields_differ: {sorted(set(report) ^ fields)}")
+    return report
+
+
+def bars_svg(rows: list[tuple[str, float]], width: int = 640) -> str:
+    """Horizontal bars as an SVG document; values are shares of the width, from 0 to 1."""
+    line, left = 22, 240
+    bars = []
+    for i, (name, value) in enumerate(rows):
+        y = 10 + i * line
+        safe = name.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        bars.append(f'<text x="{left - 8}" y="{y + 13}" text-anchor="end">{safe}</text><rect x="{left}" y="{y}" width="{max(0.0, min(1.0, value)) * (width - left - 10):.2f}" height="{line - 6}"/>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{20 + line * len(rows)}" font-family="sans-serif" font-size="12">{"".join(bars)}</svg>\n'
+
+
 def markdown(df: DataFrame, limit: int = 200) -> str:
     """A small report table as Markdown: at most ``limit`` rows."""
     rows = df.limit(limit).collect()

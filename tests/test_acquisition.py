@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import subprocess
 
 import pytest
@@ -9,11 +10,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from sievework import cli
-from sievework.operators import evidence, features
+from sievework.operators import calibration, evidence, features, latency, metrics, profile, rules, split
 from sievework.plans import workflows as W
 from sievework.sources import acquisition as A
 from sievework.sources import documents as D
-from sievework.sources import trends
+from sievework.sources import tables, trends
 from sievework.sources.tables import IdentityConflict, Store
 
 
@@ -59,6 +60,111 @@ def test_run_manifest_and_cleanup(tmp_path):
     assert {a["action"] for a in W.cleanup_run(str(tmp_path), manifest)["artifacts"]} == {"absent"}
 
 
+def test_acquired_runs(tmp_path):
+    months, now, waits = ["2024-01", "2024-02"], [0.0], []
+
+    def sleep(seconds: float) -> None:
+        waits.append(seconds)
+        now[0] += seconds
+
+    def fetch(month: str):
+        now[0] += 5
+        yield month.encode()
+        if month in broken:
+            raise OSError
+
+    broken: set[str] = set()
+    ask = lambda counts: A.acquire_run(months, counts, fetch, str(tmp_path), free_bytes=1, sleep=sleep, clock=lambda: now[0])
+    with pytest.raises(D.SourceError, match="preflight_failed"):
+        ask({"2024-01": 1, "2024-02": 100_000})
+    with pytest.raises(D.SourceError, match="disk_too_full"):
+        A.acquire_run(months, dict.fromkeys(months, 1), fetch, str(tmp_path), free_bytes=1 << 60)
+    broken.add("2024-02")
+    with pytest.raises(OSError):
+        ask(dict.fromkeys(months, 1))
+    assert not list(tmp_path.rglob("*.json"))  # the first month's artifact went with the run
+    broken.clear()
+    waits.clear()
+    shards = ask(dict.fromkeys(months, 1))
+    assert waits == [30.0] and [s["month"] for s in shards] == months and len(list(tmp_path.rglob("*.json"))) == 2
+
+
+def test_buffered_shuffle(spark):
+    rows = spark.range(5000).repartition(3).withColumn("t", F.col("id").cast("string"))
+    first = [tuple(r) for r in profile.buffer_shuffled(rows, 64, 7).collect()]
+    assert sorted(first) == [(i, str(i)) for i in range(5000)] and first != [tuple(r) for r in rows.collect()]
+    assert first == [tuple(r) for r in profile.buffer_shuffled(rows, 64, 7).collect()] != [tuple(r) for r in profile.buffer_shuffled(rows, 64, 8).collect()]
+    assert profile.buffer_shuffled(rows.where("false")).count() == 0
+
+
+def test_ranked_duplicates(spark):
+    rng = random.Random(3)
+    data = [(i, "hot" if i % 3 else f"p{i % 7}", rng.choice(["a", "b", None])) for i in range(600)]
+    rows = spark.createDataFrame(data + [(1000, None, "a"), (1001, None, "b")], "id long, print string, source string")
+    got = {r.id: r["rank"] for r in split.ranked_duplicates(rows, F.col("print"), [F.col("source"), F.col("id")]).collect()}
+    want = {}
+    for name in {p for _, p, _ in data} | {None}:
+        own = sorted((r for r in [*data, (1000, None, "a"), (1001, None, "b")] if r[1] == name), key=lambda r: (r[2] is not None, r[2] or "", r[0]))
+        want |= {r[0]: k + 1 for k, r in enumerate(own)}
+    assert got == want
+    assert split.ranked_duplicates(rows.where("false"), F.col("print"), [F.col("id")]).count() == 0
+
+
+def test_equal_confidences(spark):
+    """One confidence for all rows: bins follow the tie-breaker."""
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit(0.5).alias("confidence"), (F.col("id") < 100).alias("correct"))
+    got = {r.bin: (r.n, round(r.accuracy, 6)) for r in calibration.equal_mass(rows, ["k"], 10).collect()}
+    assert got == {i: (100, 1.0 if i == 0 else 0.0) for i in range(10)}
+
+
+def test_required_slices(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "band string, n int")
+    assert {tuple(r) for r in metrics.complete(rows, "band", ["a", "b"]).collect()} == {("a", 1), ("b", 2)}
+    for expected in (["a", "b", "c"], ["a"]):
+        with pytest.raises(Exception, match="band_slices_incomplete"):
+            metrics.complete(rows, "band", expected).collect()
+
+
+def test_tables_come_and_go(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert len(store.create()) == 8 and store.create() == []
+    assert store.read("raw.complaints").count() == 0
+    rows = spark.createDataFrame([("b", 1, "1", "0" * 64, "{}")], "batch_id string, source_row_ordinal int, complaint_id string, source_record_sha256 string, payload string")
+    store.append("raw.complaints", rows, "raw.ingestion_batches", spark.createDataFrame([("b", "1")], "batch_id string, manifest_version string"), "b")
+    with pytest.raises(IdentityConflict):
+        store.remove()
+    assert store.read("raw.complaints").count() == 1
+    empty = Store(spark, f"file://{tmp_path}/e")
+    empty.create()
+    assert len(empty.remove()) == 8 and not empty.exists("raw.complaints", "none")
+
+
+def test_latency_and_reports(spark):
+    found = latency.timed(len, ["a", "bb"], warmups=2, repeats=3)
+    assert len(found["latencies_ms"]) == 6 and found["peak_bytes"] > 0
+    run = latency.in_subprocess("from sievework.operators import latency; import json; print(json.dumps(latency.timed(len, ['a'])))")
+    assert len(run["latencies_ms"]) == 3 and run["process_seconds"] > 0
+    rows = spark.createDataFrame([("m", x) for x in run["latencies_ms"]], "model string, ms double")
+    assert rules.latency_summary(rows, "model", "ms").first().n == 3
+    with pytest.raises(D.SourceError):
+        latency.in_subprocess("raise SystemExit(1)")
+    assert tables.closed({"a": 1}, {"a"}) == {"a": 1}
+    with pytest.raises(ValueError):
+        tables.closed({"a": 1, "b": 2}, {"a"})
+    assert tables.bars_svg([("a<b", 0.5)]).count("<rect") == 1 and "a&lt;b" in tables.bars_svg([("a<b", 2.0)])
+
+
+def test_library_tokenizer(spark):
+    names = pytest.importorskip("public_tokenizers")
+    path = names.path("word_bpe_49k.json")
+    rows = spark.createDataFrame([(1, "hello wide world"), (2, None)], "id long, text string")
+    got = {r.id: list(r.input_ids) for r in features.tokenized(rows, "text", features.library_tokenizer(path), 2).collect()}
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    assert got == {1: plain.encode("hello wide world").ids[:2], 2: plain.encode("").ids[:2]}
+
+
 def test_lineage(tmp_path):
     run = lambda *args: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
     with pytest.raises(D.SourceError):
