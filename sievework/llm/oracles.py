@@ -59,7 +59,8 @@ m AS (SELECT r.a AS rid, min(doc_id) AS least FROM r JOIN d ON d.rid = r.b GROUP
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id FROM d JOIN m USING (rid) LEFT JOIN n USING (rid)"""
 
 OP10 = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT rid, p, md5_number(substr(h, 2 * p + 1, 400)) AS name FROM (SELECT rid, h, unnest(range(CAST(length(h) // 2 - 199 AS BIGINT))) AS p FROM d)),
+c AS (SELECT rid, o, substr(h, 2 * o + 1, 2398) AS h FROM (SELECT rid, h, unnest(range(0, CAST(length(h) // 2 - 199 AS BIGINT), 1000)) AS o FROM d)),
+w AS (SELECT rid, o + q AS p, hash(substr(h, 2 * q + 1, 400)) AS name FROM (SELECT rid, o, h, unnest(range(CAST(length(h) // 2 - 199 AS BIGINT))) AS q FROM c)),
 again AS (SELECT rid, p FROM w WHERE name IN (SELECT name FROM w GROUP BY 1 HAVING count(*) > 1)),
 marked AS (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM again),
 runs AS (SELECT rid, min(p) AS lo, max(p) + 200 AS hi FROM (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS run FROM marked) GROUP BY rid, run),
