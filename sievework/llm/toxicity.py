@@ -251,7 +251,7 @@ class Linear:
         return 1 / (1 + np.exp(-odds.clip(-40, 40)))
 
 
-def fit_linear(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, ballots: np.ndarray, target: np.ndarray, rounds: int = 300) -> Linear:
+def fit_linear(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, ballots: np.ndarray, target: np.ndarray, rounds: int = 100) -> Linear:
     """Logistic regression on soft labels by gradient steps with momentum."""
     # Both classes weigh alike, so a score is the chance where toxic documents are as many as clean ones.
     toxic = float(np.clip(target.mean() if len(target) else 0.5, 0.005, 0.995))
