@@ -44,7 +44,7 @@ GRAM = 32
 SIDE = (LENGTH - GRAM) // 2
 
 #: Bytes of a group that one task ranks; larger groups are dealt again under longer ranks.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 1 << 20
 
 _FIELDS = {"name": np.uint64, "print": np.uint64, "left": np.uint32, "right": np.uint32, "doc": np.uint16, "lo": np.int32, "wide": np.uint8, "place": np.uint8, "many": np.uint8}
 
@@ -130,7 +130,8 @@ def _runs_kernel(ranges: int):
         own = {k: v[one] for k, v in r.items()}
         fields = {"name": own["name"], "print": own["print"], "left": own["left"], "right": own["right"], "doc": own["doc"], "lo": own["lo"] - off[own["doc"]], "wide": own["hi"] - own["lo"], "place": own["at"] - own["lo"], "many": again[one]}
         fields["left"], fields["right"] = fields["left"].astype(np.uint32), fields["right"].astype(np.uint32)
-        part = ((own["name"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        # Anchors are least hashes, which crowd the low ranges, so they are mixed once more.
+        part = ((K.mix(own["name"]) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         part = part[order]
         bounds = np.searchsorted(part, np.arange(ranges + 1))
