@@ -6,8 +6,7 @@ filters, and a full read splits at stripes. A row says its part and its place wi
 place within the whole corpus is that plus the sum of the parts before, one number a part.
 
 Defined cases: a null or empty text is its end id alone; a null doc_id sorts first; rows of one doc_id
-are ordered by their text's hash, and equal rows by their place in the scan, so a doc_id that many rows
-share is split over parts; an empty table gives no rows; other columns are not read. A text is encoded
+are ordered by their place in the scan, so a doc_id that many rows share is split over parts; an empty table gives no rows; other columns are not read. A text is encoded
 whole, however long.
 """
 
@@ -60,8 +59,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
     """Encode documents, append ``end`` to each, and write them in order of doc_id as ORC under ``path``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth"))
-    dealt = narrow.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "hash", "nth").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "nth")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("nth"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("nth"))  # bounds are sampled without reading a text
+    dealt = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     K.map_blocks(dealt.select("doc_id", "text"), _encode_kernel(tokenizer, end), FILE_SCHEMA).write.mode("errorifexists").options(**OPTIONS).orc(path)
 
 
