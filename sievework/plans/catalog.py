@@ -682,13 +682,44 @@ def e067_collation(spark, d):
     return rounded(profile.collation(document_groups(spark, d), "length"), "padding_share")
 
 
-@query()
+def _temperature_sql(levels: int = 6, grid: int = 24) -> str:
+    """Grids of the logarithm of the temperature, each around the best point of the last."""
+    z = ", ".join(f"CASE WHEN o_orderkey % 3 = {k} THEN 4.0 ELSE 0.0 END + 6.0 * sin(o_orderkey * {k + 1}) AS z{k}" for k in range(3))
+    steps = [f"s AS (SELECT o_orderkey % 3 AS label, {z} FROM orders)", f"b0 AS (SELECT ln({calibration.LOWEST}) AS lo, ln({calibration.HIGHEST}) AS hi)"]
+    total = " + ".join(f"exp((z{k} - greatest(z0, z1, z2)) / exp(x))" for k in range(3))
+    for i in range(1, levels + 1):
+        steps.append(f"p{i} AS (SELECT lo, hi, lo + (hi - lo) * k / {grid} AS x FROM b{i - 1} CROSS JOIN range({grid + 1}) AS t(k))")
+        steps.append(f"l{i} AS (SELECT lo, hi, x, avg((greatest(z0, z1, z2) - CASE label WHEN 0 THEN z0 WHEN 1 THEN z1 ELSE z2 END) / exp(x) + ln({total})) AS nll FROM p{i} CROSS JOIN s GROUP BY 1, 2, 3)")
+        steps.append(f"m{i} AS (SELECT * FROM l{i} ORDER BY nll, x LIMIT 1)")
+        steps.append(f"b{i} AS (SELECT greatest(lo, x - (hi - lo) / {grid}) AS lo, least(hi, x + (hi - lo) / {grid}) AS hi FROM m{i})")
+    return f"WITH {', '.join(steps)} SELECT round(exp(x), 4) AS temperature, round(nll, 6) AS nll FROM m{levels}"
+
+
+@query(_temperature_sql())
 def e140_temperature(spark, d):
     # Scores that favour the label, with noise larger than they admit: too sure of themselves.
     key, label = F.col("o_orderkey"), (F.col("o_orderkey") % 3).cast("int")
     scores = F.array(*[F.when(label == k, 4.0).otherwise(0.0) + 6.0 * F.sin(key * (k + 1)) for k in range(3)])
     fitted = calibration.fit_temperature(table(spark, d, "orders").select("o_orderkey"), scores, label)
-    return spark.createDataFrame([(fitted["temperature"], fitted["nll"])], "temperature double, nll double")
+    return spark.createDataFrame([(round(fitted["temperature"], 4), round(fitted["nll"], 6))], "temperature double, nll double")
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}') AS words FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(words, [concat(words[i], ' ', words[i + 1]) FOR i IN range(1, len(words))])) AS term FROM w),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.995 * (SELECT count(*) FROM documents)),
+x AS (SELECT doc_id, (1 + ln(tf)) * (1 + ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df))) AS v FROM c JOIN f USING (term)),
+n AS (SELECT doc_id, count(*) AS terms, sum(v) / sqrt(sum(v * v)) AS total, max(v) / sqrt(sum(v * v)) AS largest FROM x GROUP BY 1)
+SELECT doc_id, CAST(coalesce(terms, 0) AS INTEGER) AS terms, round(coalesce(total, 0), 5) AS total, round(coalesce(largest, 0), 6) AS largest FROM documents LEFT JOIN n USING (doc_id)""")
+def e137_tfidf_weights(spark, d):
+    from pyspark.ml import Pipeline
+
+    from sievework.operators import features
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    vectors = Pipeline(stages=features.vectorizer()).fit(docs).transform(docs)
+    sums = F.udf(lambda v: (len(v.indices), float(v.values.sum()), float(v.values.max(initial=0.0))), "terms int, total double, largest double")
+    out = vectors.select("doc_id", sums("features").alias("s")).select("doc_id", "s.*")
+    return rounded(rounded(out, "total", digits=5), "largest")
 
 
 @query()
