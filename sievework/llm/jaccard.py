@@ -70,14 +70,10 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SIZE) -> tuple[np
     return doc, prints, n, K.mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
-def _sets_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, buf, off in K.blocks(batches):
-        _, _, n, kind = shingle_sets(buf, off)
-        yield K.table(doc_id=rows.column("doc_id"), hash=rows.column("hash"), n_shingles=n, kind=pa.array(kind, mask=n == 0))
-
-
 _WIDTHS = (np.uint8, np.uint16, np.uint32)
-_SLICE = "part int, kinds binary, counts binary, low binary, high binary"
+_SLICE = "part int, range int, kinds binary, counts binary, low binary, high binary"
+#: The ``range`` of slices that hold a block's documents instead of shingles.
+_DOCUMENTS = -1
 
 
 def _joined(values: list[bytes], kind: type) -> np.ndarray:
@@ -109,14 +105,22 @@ def _unpacked(rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(kinds, counts), token
 
 
-def _batch(out: dict[str, list], **more: list) -> pa.RecordBatch:
-    return K.table(part=pa.array(out["part"], pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items() if k != "part"}, **more)
+def _batch(out: dict[str, list], range_: int) -> pa.RecordBatch:
+    n = len(out["part"])
+    return K.table(part=pa.array(out["part"], pa.int32()), range=pa.array([range_] * n, pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items() if k != "part"})
 
 
 def _slices_kernel(ranges: int):
+    """Shingles by range, and the documents of each block, by whatever range."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buf, off in K.blocks(batches):
-            doc, prints, _, kind = shingle_sets(buf, off)
+        for rows, buf, off in K.blocks(batches):
+            doc, prints, n, kind = shingle_sets(buf, off)
+            ids, hashes = rows.column("doc_id"), rows.column("hash").to_numpy()
+            known = ids.fill_null(0).to_numpy().astype(np.int64)
+            nulls = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8)
+            place = int(hashes[0]) % ranges
+            yield _batch({"part": [place], "kinds": [kind.tobytes()], "counts": [n.astype(np.int64).tobytes()], "low": [known.tobytes()], "high": [hashes.tobytes() + nulls.tobytes()]}, _DOCUMENTS)
             _, one = np.unique(kind, return_index=True)  # one document of each class of the block
             chosen = np.zeros(len(kind), bool)
             chosen[one] = True
@@ -125,16 +129,30 @@ def _slices_kernel(ranges: int):
             order = np.argsort(part, kind="stable")
             out = _packed(part[order], kind[doc[order]], (prints[order] & np.uint64((1 << KEPT_BITS) - 1)).astype(np.int64), ranges)
             if out["part"]:
-                yield _batch(out)
+                yield _batch(out, 0)
 
     return kernel
 
 
+def _documents_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            kind, n, ids = (np.frombuffer(row[k], np.int64) for k in ("kinds", "counts", "low"))
+            hashes, nulls = np.frombuffer(row["high"][: 8 * len(n)], np.int64), np.frombuffer(row["high"][8 * len(n) :], np.uint8)
+            yield K.table(doc_id=pa.array(ids, mask=nulls == 1), hash=hashes, n_shingles=n, kind=pa.array(kind, mask=n == 0))
+
+
 def _listed_kernel(ranges: int):
     """Entries of the shingles that two classes or more have, of the ranges of this partition, dealt by class."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_key(batches, ["part"]):
+            at = [i for i, r in enumerate(rows["range"]) if r == _DOCUMENTS]
+            if at:
+                yield _batch({k: [rows[k][i] for i in at] for k in ("part", "kinds", "counts", "low", "high")}, _DOCUMENTS)
+            rows = {k: [x for x, r in zip(v, rows["range"], strict=True) if r != _DOCUMENTS] for k, v in rows.items()}
+            if not rows["part"]:
+                continue
             kind, token = _unpacked(rows)
             order = np.argsort(token)
             token, kind = token[order], kind[order]
@@ -153,7 +171,7 @@ def _listed_kernel(ranges: int):
             order = np.argsort(bucket, kind="stable")
             out = _packed(bucket[order], kind[order], token[order], ranges)
             if out["part"]:
-                yield _batch(out, range=pa.array([part[0]] * len(out["part"]), pa.int32()))
+                yield _batch(out, part[0])
 
     return kernel
 
@@ -320,16 +338,22 @@ def _search_kernel(percent: int):
     return kernel
 
 
-def _listed_classes(docs: DataFrame, sizes: DataFrame, percent: int, ranges: int) -> DataFrame:
-    """(kind, n, tokens) of classes whose listed shingles could reach a partner."""
-    slices = K.map_blocks(docs.select("text"), _slices_kernel(ranges), _SLICE)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _dealt(slices: DataFrame) -> DataFrame:
+    parts = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slices.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
+
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
+def _entries(rows: DataFrame) -> DataFrame:
+    """Slices of listed shingles, by class, and of documents, from one pass over (doc_id, hash, text)."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = K.map_blocks(rows, _slices_kernel(ranges), _SLICE)
+    return store.written(_dealt(slices).mapInArrow(_listed_kernel(ranges), _SLICE), "entries")
 
-    entries = dealt(slices).mapInArrow(_listed_kernel(ranges), f"{_SLICE}, range int")
-    sets = dealt(entries).mapInArrow(_sets_of_bucket_kernel, "kind long, tokens array<long>").join(sizes, "kind")
+
+def _listed_classes(entries: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(kind, n, tokens) of classes whose listed shingles could reach a partner."""
+    shingles = entries.where(F.col("range") != _DOCUMENTS)
+    sets = _dealt(shingles).mapInArrow(_sets_of_bucket_kernel, "kind long, tokens array<long>").join(sizes, "kind")
     return store.written(sets.where(100 * F.size("tokens") >= percent * F.col("n")).select("kind", "n", "tokens"), "listed")
 
 
@@ -352,11 +376,9 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int, turns: bool) -> Da
     return dealt.mapInArrow(_search_kernel(percent), "leader long, a long, b long")
 
 
-def linked_classes(docs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked_classes(entries: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the classes that are linked with another class; sizes: (kind, n) of all classes."""
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    listed = _listed_classes(docs, sizes, percent, ranges)
+    listed = _listed_classes(entries, sizes, percent)
     sets = _ranked_classes(listed, percent)
     store.discard(listed)
     # Of the n - ceil(t n) + 1 rarest shingles, those in no list come first.
@@ -394,10 +416,13 @@ def linked_classes(docs: DataFrame, sizes: DataFrame, percent: int = PERCENT) ->
 def _classes(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, hash of the text, n_shingles and root (the class that names the component) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    own = store.written(K.map_blocks(narrow, _sets_kernel, "doc_id long, hash long, n_shingles long, kind long"), "sets")
+    entries = _entries(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")))
+    K.bound_batches(docs.sparkSession)
+    listing = entries.where(F.col("range") == _DOCUMENTS).mapInArrow(_documents_kernel, "doc_id long, hash long, n_shingles long, kind long")
+    own = store.written(listing, "sets")
     sizes = own.where("kind IS NOT NULL").groupBy("kind").agg(F.max("n_shingles").alias("n"))
-    roots = linked_classes(docs, sizes, percent)
+    roots = linked_classes(entries, sizes, percent)
+    store.discard(entries)
     joined = own.join(roots.select(F.col("node").alias("kind"), "root"), "kind", "left")
     return joined.select("doc_id", "hash", "n_shingles", F.coalesce("root", "kind").alias("root"))
 
