@@ -100,3 +100,32 @@ def test_members_are_owned_once(tmp_path_factory, payloads, step):
     path.write_bytes(raw)
     seen = [(f["WARC-Record-ID"], body) for a in range(0, len(raw), step) for f, body in warc.records_in(str(path), a, min(a + step, len(raw)))]
     assert seen == [(f"<urn:page:{i}>", b"\x1f\x8b\x08" + p) for i, p in enumerate(payloads)]
+
+
+@pytest.mark.parametrize("length", [7, 64, 65, 2048])
+def test_range_hashes_tell_strings_apart(length):
+    """Thue and Morse's strings, which agree modulo 2^64, and all windows of a random one."""
+    a, b = b"a", b"b"
+    while len(a) < length:
+        a, b = a + b, b + a
+    raw = np.frombuffer(a + b, np.uint8)
+    both = K.RangeHash(raw).of(np.array([0, len(a)]), np.array([length, len(a) + length]))
+    assert both[0] != both[1]
+    some = np.random.default_rng(3).integers(97, 99, 6000, dtype=np.uint8)
+    some[3000:] = some[:3000]
+    start = np.arange(len(some) - length + 1)
+    names = K.RangeHash(some).of(start, start + length)
+    plain = [some[i : i + length].tobytes() for i in start]
+    assert len(set(zip(names.tolist(), plain, strict=True))) == len(set(names.tolist())) == len(set(plain))
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    from types import SimpleNamespace
+
+    from sievework.llm import store
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    context = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master=master))
+    assert store.shared_dir(context("local[2]")).startswith("file://")
+    with pytest.raises(ValueError):
+        store.shared_dir(context("spark://host:7077"))
