@@ -24,6 +24,7 @@ LABELS = (
     "Student loan",
     "Vehicle loan or lease",
 )
+# Labels of an earlier taxonomy; fixed values.
 LEGACY_LABELS = (
     "Credit card or prepaid card",
     "Credit reporting, credit repair services, or other personal consumer reports",
@@ -58,7 +59,7 @@ def struct(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (item.split() for item in text.split(", "))])
 
 
-#: The eight stored tables by schema and name.
+#: The eight stored tables by schema and name; column names and types are fixed values.
 TABLES: dict[str, T.StructType] = {
     "raw.ingestion_batches": struct("batch_id string, manifest_version string, is_synthetic boolean, request_fingerprint_sha256 string, artifact_sha256 string, artifact_relative_path string, artifact_byte_count long, retrieved_at timestamp, returned_record_count int, inserted_record_count int, retention_policy_id string, manifest string, inserted_at timestamp"),
     "raw.complaints": struct("batch_id string, source_row_ordinal int, complaint_id string, source_record_sha256 string, payload string, inserted_at timestamp"),
