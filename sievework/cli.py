@@ -39,6 +39,7 @@ COMMANDS: dict[str, tuple[str, tuple[str, ...], Callable]] = {
     "compare-models": ("per-class wins of two models; each: label, support, f1", ("rows", "other"), lambda s, a: W.compare_models(_rows(s, a), s.read.parquet(a.other))),
     "profile-taxonomy": ("labels by month of an aggregate response", ("path",), lambda s, a: W.taxonomy(s, a.path)),
     "publish-shard": ("a downloaded file as an artifact named by its content", ("path", "root"), lambda s, a: W.publish_shard(a.path, a.root)),
+    "acquire-run": ("download every month; counts: a JSON file of records by month", ("root", "run", "base", "counts"), lambda s, a: W.acquire(s, a.root, a.run, a.base, read_document(a.counts, ".", {}))),
     "retention-checkpoint": ("whether raw data is due for removal", ("deadline", "now"), lambda s, a: W.retention_checkpoint(s, a.deadline, a.now)),
     "inventory-run": ("what a cleanup of a run would remove", ("root", "run_manifest"), lambda s, a: W.cleanup_run(a.root, read_document(a.run_manifest, a.root, {}))),
     "cleanup-run": ("remove a run's artifacts; confirmation: the run's id", ("root", "run_manifest", "confirmation"), lambda s, a: W.cleanup_run(a.root, read_document(a.run_manifest, a.root, {}), True, a.confirmation)),

@@ -6,13 +6,16 @@ result; one that would differ raises ``IdentityConflict``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework import schemas as S
 from sievework.functions import text as X
 from sievework.operators import abstention, calibration, evidence, features, metrics, profile, rules, split, staging
-from sievework.sources import acquisition, trends
+from sievework.sources import acquisition, http, trends
 from sievework.sources import documents as sources
 from sievework.sources.tables import Store
 
@@ -35,7 +38,7 @@ def ingest(store: Store, manifest: dict, files: str) -> dict:
     verified = row_report(sources.verified_artifacts(spark, files, artifact))
     if not all(v for k, v in verified.items() if k != "relative_path"):
         raise sources.SourceError("artifact_differs", **{k: v for k, v in verified.items() if k != "relative_path"})
-    read = sources.read_exports if manifest["request"]["parameters"].get("format") == "json" else sources.read_envelopes
+    read = sources.read_large_exports if manifest["request"]["parameters"].get("format") == "json" else sources.read_envelopes
     rows = read(spark, files)
     lo, hi = manifest["records"]["min_date"], manifest["records"]["max_date"]
     seen = row_report(sources.inspection(rows, lo, "9999-12-31"))
@@ -177,6 +180,30 @@ def publish_shard(path: str, root: str) -> dict:
     return vars(acquisition.stream_artifact(acquisition.file_chunks(path), root))
 
 
+def acquire(spark: SparkSession, root: str, run: str, base: str, counts: dict[str, int], *, start: str = S.WINDOW_START, end: str = S.WINDOW_END, scheme: str = "https", pause: float = 35.0) -> dict:
+    """Download every month's export, inspect it, and publish the run's manifest; all of it or nothing."""
+    months = {r["month"]: r for r in sources.monthly_shards(spark, start, end).orderBy("month").collect()}
+    host = urlsplit(base).hostname or ""
+
+    def fetch(month: str) -> Iterator[bytes]:
+        m = months[month]
+        return http.body(http.export_url(base, str(m["request_min"]), str(m["request_max"]), counts[month]), host, scheme=scheme)
+
+    shards = acquisition.acquire_run(list(months), counts, fetch, root, pause=pause)
+    try:
+        for shard in shards:
+            m = months[str(shard["month"])]
+            seen = row_report(sources.inspection(sources.read_large_exports(spark, f"{root}/{shard['artifact_relative_path']}"), str(m["lo"]), str(m["hi"])))
+            if seen["outside_bounds"] or seen["duplicate_ids"] or seen["missing_ids"] or seen["narratives"] != seen["record_count"]:
+                raise sources.SourceError("export_inspection_failed", month=str(shard["month"]))
+            shard |= {"returned_record_count": seen["record_count"], "batch_id": f"{run}-{shard['month']}"}
+        acquisition.publish_run(root, f"runs/{run}.json", run, shards, list(months))
+    except BaseException:
+        acquisition.discard(root, [str(s["artifact_relative_path"]) for s in shards if s["created"]])
+        raise
+    return {"run_id": run, "shards": len(shards), "records": sum(int(s["returned_record_count"]) for s in shards)}  # type: ignore[call-overload]
+
+
 def retention_checkpoint(spark: SparkSession, deadline: str, now: str) -> dict:
     at = lambda x: F.lit(x).cast("timestamp")
     found = row_report(spark.range(1).select(sources.retention(at(deadline), at(now)).alias("r")).select("r.*"))

@@ -141,14 +141,19 @@ def acquire_run(
             artifact = stream_artifact(fetch(month), root)
             if artifact.created:
                 made.append(artifact.relative_path)
-            out.append({"month": month, "preflight_count": counts[month], "artifact_sha256": artifact.sha256, "artifact_relative_path": artifact.relative_path, "artifact_byte_count": artifact.byte_count})
+            out.append({"month": month, "preflight_count": counts[month], "artifact_sha256": artifact.sha256, "artifact_relative_path": artifact.relative_path, "artifact_byte_count": artifact.byte_count, "created": artifact.created})
     except BaseException:
-        for path in made:
-            trusted(path, root).unlink(missing_ok=True)
+        discard(root, made)
         raise
     return out
 
 
+def discard(root: str, paths: Sequence[str]) -> None:
+    """Remove artifacts that an unfinished run made."""
+    for path in paths:
+        trusted(path, root).unlink(missing_ok=True)
+
+
 def git_lineage(root: str) -> tuple[str, bool]:
     """The commit that is checked out, and whether the working tree is clean."""
 

@@ -19,6 +19,7 @@ from sievework.schemas import struct
 from sievework.sources.documents import SourceError
 
 MAX_BYTES = 2 << 20
+CHUNK_BYTES = 64 << 10
 
 
 class _NoRedirect(urllib.request.HTTPRedirectHandler):
@@ -48,6 +49,20 @@ def check_url(url: str, host: str, path: str | None = None, query: dict[str, str
         raise SourceError("url_refused")
 
 
+def body(url: str, host: str, *, scheme: str = "https", seconds: float = 600) -> Iterator[bytes]:
+    """The chunks of one response that is JSON and not redirected; nothing is held."""
+    check_url(url, host, scheme=scheme)
+    request = urllib.request.Request(url, headers={"Accept": "application/json"})
+    try:
+        with urllib.request.build_opener(_NoRedirect()).open(request, timeout=seconds) as response:
+            if response.status != 200 or response.headers.get_content_type() not in ("application/json", "text/json"):
+                raise SourceError("response_refused", status=response.status)
+            while chunk := response.read(CHUNK_BYTES):
+                yield chunk
+    except OSError as error:
+        raise SourceError("response_interrupted") from error
+
+
 class _Request(InputPartition):
     def __init__(self, url: str):
         super().__init__(url)

@@ -285,3 +285,40 @@ def test_commands(spark, tmp_path, capsys):
     found = ask("select-model", "--rows", str(tmp_path / "models"))[1]
     assert found["choice"] == {"model": "small", "passed_all_gates": True} and found["candidates"][0]["failed_evidence"] == ["quality_macro_f1"]
     assert ask("lineage", "--root", str(tmp_path / "none"))[0] == 1
+
+
+def test_acquire_over_http(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            query = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            item = {"complaint_id": query["date_received_min"], "date_received": wrong.get(query["date_received_min"], query["date_received_max"]), "complaint_what_happened": "x", "product": "P"}
+            raw = json.dumps([{"_source": item}] * 1).encode()
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json")
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    wrong: dict[str, str] = {}
+    ask = lambda run, counts: W.acquire(spark, str(tmp_path), run, f"http://127.0.0.1:{server.server_port}/export", counts, start="2024-01-01", end="2024-03-01", scheme="http", pause=0)
+    try:
+        wrong["2024-02-01"] = "2024-03-01"
+        with pytest.raises(D.SourceError, match="export_inspection_failed"):
+            ask("run-0", {"2024-01": 1, "2024-02": 1})
+        assert not list(tmp_path.rglob("*.json"))
+        wrong.clear()
+        with pytest.raises(D.SourceError, match="run_count_differs"):
+            ask("run-0", {"2024-01": 1, "2024-02": 2})
+        assert not list(tmp_path.rglob("*.json"))
+        assert ask("run-1", {"2024-01": 1, "2024-02": 1}) == {"run_id": "run-1", "shards": 2, "records": 2}
+        assert len(D.read_document("runs/run-1.json", str(tmp_path), {"run_id": "run-1"})["shards"]) == 2
+    finally:
+        server.shutdown()
