@@ -419,7 +419,7 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
     entries = _entries(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")))
     K.bound_batches(docs.sparkSession)
     listing = entries.where(F.col("range") == _DOCUMENTS).mapInArrow(_documents_kernel, "doc_id long, hash long, n_shingles long, kind long")
-    own = store.written(listing, "sets")
+    own = store.written(listing.hint("rebalance"), "sets")  # a few dozen bytes a document: few files
     sizes = own.where("kind IS NOT NULL").groupBy("kind").agg(F.max("n_shingles").alias("n"))
     roots = linked_classes(entries, sizes, percent)
     store.discard(entries)
