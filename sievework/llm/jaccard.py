@@ -347,7 +347,9 @@ def _entries(rows: DataFrame) -> DataFrame:
     """Slices of listed shingles, by class, and of documents, from one pass over (doc_id, hash, text)."""
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = K.map_blocks(rows, _slices_kernel(ranges), _SLICE)
-    return store.written(_dealt(slices).mapInArrow(_listed_kernel(ranges), _SLICE), "entries")
+    # Some ranges one after another, so that files aren't as many, and as small, as ranges.
+    tasks = max(min(ranges, 2 * rows.sparkSession.sparkContext.defaultParallelism), -(-ranges // 4))
+    return store.written(_dealt(slices).mapInArrow(_listed_kernel(ranges), _SLICE).coalesce(tasks), "entries")
 
 
 def _listed_classes(entries: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -419,7 +421,7 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
     entries = _entries(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")))
     K.bound_batches(docs.sparkSession)
     listing = entries.where(F.col("range") == _DOCUMENTS).mapInArrow(_documents_kernel, "doc_id long, hash long, n_shingles long, kind long")
-    own = store.written(listing.hint("rebalance"), "sets")  # a few dozen bytes a document: few files
+    own = store.written(listing, "sets", gathered=True)
     sizes = own.where("kind IS NOT NULL").groupBy("kind").agg(F.max("n_shingles").alias("n"))
     roots = linked_classes(entries, sizes, percent)
     store.discard(entries)

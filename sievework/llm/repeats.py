@@ -357,13 +357,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs)
     runs = K.map_blocks(rows.select("key", "text"), _runs_kernel(ranges), _RUNS)
     dealt = runs.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
-    found = store.written(dealt.mapInArrow(_ranked_kernel, _FOUND), "runs")
+    found = store.written(dealt.mapInArrow(_ranked_kernel, _FOUND), "runs", gathered=True)
     asked = found.where("grp IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("grp", "lo", "hi", "s", "e")).alias("asked"))
     shape = "grp long, key long, lo int, hi int, s int, e int, bytes binary"
     open_ = K.map_blocks(rows.select("key", "text").dropDuplicates(["key"]).join(asked, "key"), _contexts_kernel, shape)
     spans = found.where("grp IS NULL").select("key", "lo", "hi")
     while True:  # a round doubles what the strings of a rank share; 8 rounds at most
-        ranked = store.written(open_.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_edges_kernel(GROUP_BYTES), shape), "edges")
+        ranked = store.written(open_.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_edges_kernel(GROUP_BYTES), shape), "edges", gathered=True)
         spans = spans.union(ranked.where("grp IS NULL").select("key", "lo", "hi"))
         open_ = ranked.where("grp IS NOT NULL")
         if open_.isEmpty():

@@ -34,10 +34,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sievework/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None, *, gathered: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage is cut, and what it holds
-    survives the loss of any executor."""
+    survives the loss of any executor. ``gathered``: many tasks make few rows, which go to files of a
+    sensible size by one more, small, shuffle."""
     spark = df.sparkSession
+    df = df.hint("rebalance") if gathered else df
     path = path or scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     _paths[back := spark.read.schema(df.schema).parquet(path)] = path
