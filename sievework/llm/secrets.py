@@ -111,7 +111,8 @@ def update(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> Dat
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     ledger = read_ledger(spark, folder) if there else None
-    scan(docs, ledger, rules).write.mode("append").parquet(folder)
+    # Ledger rows are short, so they go to files of a sensible size by one more, small, shuffle.
+    scan(docs, ledger, rules).hint("rebalance").write.mode("append").parquet(folder)
     return read_ledger(spark, folder)
 
 
