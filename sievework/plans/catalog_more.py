@@ -2,13 +2,67 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.operators import evidence, staging
+from sievework.plans import workflows
 from sievework.plans.catalog import query, table
 from sievework.sources import acquisition, documents, trends
+from sievework.sources.tables import Store
+
+
+def scratch_store(spark: SparkSession) -> Store:
+    """A new store in the folder that all executors share; in a temporary one only where none is named."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return Store(spark, f"{found.rstrip('/')}/store-{uuid.uuid4().hex}" if found else f"file://{tempfile.mkdtemp(prefix='sievework-store-')}")
+
+
+#: Documents as raw rows of one batch: narratives and labels that repeat, dates of the whole window.
+_RAW = """to_json(named_struct('complaint_id', cast(doc_id AS string), 'date_received', date_format(date_add(DATE'2023-09-05', cast(doc_id % 480 AS int)), 'yyyy-MM-dd'),
+ 'complaint_what_happened', CASE WHEN doc_id % 41 = 0 THEN ' ' ELSE concat(lang, ' ', doc_id % 150, ' Told') END, 'product', CASE WHEN doc_id % 50 = 7 THEN 'Student loan' ELSE 'Mortgage' END, 'has_narrative', true))"""
+_RAW_SQL = """
+b AS (SELECT doc_id, DATE '2023-09-05' + CAST(doc_id % 480 AS INTEGER) AS day, CASE WHEN doc_id % 41 <> 0 THEN concat(lang, ' ', doc_id % 150, ' Told') END AS narrative, CASE WHEN doc_id % 50 = 7 THEN 'Student loan' ELSE 'Mortgage' END AS label FROM documents),
+g AS (SELECT *, min(label) OVER (PARTITION BY narrative) <> max(label) OVER (PARTITION BY narrative) AS conflict, row_number() OVER (PARTITION BY narrative ORDER BY day, CAST(doc_id AS VARCHAR)) AS rn FROM b WHERE narrative IS NOT NULL),
+s AS (SELECT *, CASE WHEN conflict THEN 'duplicate_label_conflict' WHEN rn > 1 THEN 'duplicate_same_label' ELSE 'included' END AS disposition FROM g),
+a AS (SELECT *, CASE WHEN disposition = 'included' THEN CASE WHEN day < DATE '2024-09-01' THEN 'train' WHEN day < DATE '2024-11-01' THEN 'validation' ELSE 'test' END END AS split_assignment FROM s)"""
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> Store:
+    """A store that holds the documents as a raw batch."""
+    store = scratch_store(spark)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("source_row_ordinal"), F.col("doc_id").cast("string").alias("complaint_id"), F.expr(_RAW).alias("payload"))
+    rows = rows.select(F.lit("b-1").alias("batch_id"), "*", X.canonical_json_sha256(F.col("payload")).alias("source_record_sha256"))
+    header = spark.createDataFrame([("b-1", "2.0.0", '{"request": {"parameters": {"format": "json"}}}')], "batch_id string, manifest_version string, manifest string")
+    store.append("raw.complaints", rows, "raw.ingestion_batches", header, "b-1")
+    return store
+
+
+@query("SELECT 'b-1' AS batch_id, CAST(doc_id AS INTEGER) AS source_row_ordinal, CAST(doc_id AS VARCHAR) AS complaint_id FROM documents")
+def e009_stored_rows(spark, d):
+    return stored_documents(spark, d).read("raw.complaints", "b-1").select("batch_id", "source_row_ordinal", "complaint_id")
+
+
+@query("SELECT CASE WHEN doc_id % 41 = 0 THEN 'quarantined' ELSE 'accepted' END AS outcome_status, count(*) AS n, CASE WHEN doc_id % 41 = 0 THEN 'narrative_missing_or_invalid' ELSE '' END AS reasons FROM documents GROUP BY 1, 3")
+def e017_stored_outcomes(spark, d):
+    store = stored_documents(spark, d)
+    workflows.stage_batch(store, "b-1")
+    return store.read("staging.complaint_outcomes", "b-1").groupBy("outcome_status", F.array_join("quarantine_reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_RAW_SQL} SELECT CAST(doc_id AS INTEGER) AS source_row_ordinal, disposition, split_assignment, CASE WHEN disposition <> 'included' THEN disposition END AS exclusion_reason, sha256(lower(narrative)) AS narrative_fingerprint_sha256 FROM a")
+def e019_stored_split(spark, d):
+    store = stored_documents(spark, d)
+    workflows.stage_batch(store, "b-1")
+    workflows.report_population(store, "b-1", lambda text: F.when(text.isNotNull(), "en"), "fixed")
+    workflows.build_split(store, "run-1", "0" * 40, "0" * 64)
+    return store.read("analytical.split_outcomes", "run-1").select("source_row_ordinal", "disposition", "split_assignment", "exclusion_reason", "narrative_fingerprint_sha256")
 
 
 def page_artifacts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
