@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import store
@@ -55,32 +55,37 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def classify(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, record_type and refers_to of every page."""
+    """page_id, url, payload (of responses alone), its size and digest, record_type and refers_to of every page."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     # The maximum combines before the shuffle; pages come to it by a join whose large side can be split.
     counted = rows.groupBy("digest", "page_id").agg(F.count("*").alias("n")).groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("top"))
     largest = store.written(counted.select("digest", F.col("top.page_id").alias("refers_to"), F.col("top.n").alias("ties")), "largest")
-    joined = rows.join(largest, "digest").withColumn("first", F.expr("page_id <=> refers_to"))
+    joined = rows.join(largest, "digest").withColumn("size", F.octet_length("payload").cast("long")).withColumn("first", F.expr("page_id <=> refers_to"))
     if not largest.where("ties > 1").isEmpty():
-        # Rows repeat the largest page_id of their payload: one of them responds. Payloads are dealt a
-        # second time only here.
-        rank = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-        shared = joined.where("ties > 1 AND first").withColumn("first", rank == 1)
-        joined = joined.where("ties = 1 OR NOT first").unionByName(shared)
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("first"), F.col("refers_to")).alias("refers_to"))
+        # Rows repeat the largest page_id of their payload: one of them, of the least url, responds. Equal rows are
+        # counted before the shuffle and told apart again after it, so they may be as many as they like.
+        alike = joined.where("ties > 1 AND first").groupBy("digest", "page_id", "url", "refers_to").agg(F.first("payload").alias("payload"), F.max("size").alias("size"), F.count("*").alias("n"))
+        url = F.struct(F.col("url").isNull().alias("none"), "url")
+        top = alike.groupBy("digest").agg(F.min(url).alias("top"))
+        nth = F.explode(F.sequence(F.lit(1).cast("long"), "n"))
+        told = alike.join(top, "digest").select("page_id", "url", "payload", "digest", "refers_to", "size", (url == F.col("top")).alias("least"), nth.alias("nth"))
+        shared = told.select("page_id", "url", F.when(F.col("nth") == 1, F.col("payload")).alias("payload"), "digest", "refers_to", "size", (F.col("least") & (F.col("nth") == 1)).alias("first"))
+        joined = joined.where("ties = 1 OR NOT first").select(*shared.columns).unionByName(shared)
+    response = F.col("first")
+    return joined.select("page_id", "url", F.when(response, F.col("payload")).alias("payload"), "size", "digest", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("refers_to")).alias("refers_to"))
 
 
 def _name(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def member(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member."""
-    body = b"" if kind == "revisit" else payload
+def member(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, kind: str, refers_to: int | None) -> bytes:
+    """One record as a gzip member; ``size`` is that of the payload, which revisits lack."""
+    body = payload or b""
     uri = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {uri}"]
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {size}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to)}"]
     lines += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
@@ -97,9 +102,9 @@ def _write_kernel(folder: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, files = None, []
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to")]
+            columns = [batch.column(c) for c in ("page_id", "url", "payload", "size", "digest", "record_type", "refers_to")]
             for i in range(batch.num_rows):
-                page_id, url, payload, digest, kind, refers_to = (c[i].as_py() for c in columns)
+                page_id, url, payload, size, digest, kind, refers_to = (c[i].as_py() for c in columns)
                 if out is None or files[-1][1] >= FILE_BYTES:
                     if out is not None:
                         out.close()
@@ -108,7 +113,7 @@ def _write_kernel(folder: str):
                     system.create_dir(at, recursive=True)
                     system, at = _open(files[-1][0])
                     out = system.open_output_stream(at, compression=None)
-                data = member(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), kind, refers_to)
+                data = member(page_id, url, payload, size, base64.b32encode(bytes.fromhex(digest)).decode(), kind, refers_to)
                 out.write(data)
                 files[-1][1] += len(data)
                 files[-1][2] += 1

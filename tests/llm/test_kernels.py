@@ -95,7 +95,7 @@ def test_trigrams(texts):
 @settings(deadline=None, max_examples=40)
 @given(st.lists(st.binary(max_size=300), min_size=1, max_size=12), st.integers(1, 400))
 def test_members_are_owned_once(tmp_path_factory, payloads, step):
-    raw = b"".join(warc.member(i, "u", b"\x1f\x8b\x08" + p, "A" * 32, "response", None) for i, p in enumerate(payloads))
+    raw = b"".join(warc.member(i, "u", b"\x1f\x8b\x08" + p, len(p) + 3, "A" * 32, "response", None) for i, p in enumerate(payloads))
     path = tmp_path_factory.mktemp("w") / "a.warc.gz"
     path.write_bytes(raw)
     seen = [(f["WARC-Record-ID"], body) for a in range(0, len(raw), step) for f, body in warc.records_in(str(path), a, min(a + step, len(raw)))]

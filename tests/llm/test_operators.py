@@ -420,6 +420,18 @@ def test_archives(spark):
     assert len(twice) == 2 * len(html) and sum(r.record_type == "response" for r in twice) == len(by)
 
 
+def test_archives_of_one_page_many_times(spark):
+    """Rows of the largest page_id of their payload, alike and of other urls: one responds, none is lost."""
+    rows = [(7, "b", "<p>x</p>")] * 40 + [(7, "a", "<p>x</p>")] * 3 + [(7, None, "<p>x</p>"), (3, "z", "<p>x</p>"), (9, "q", "<p>y</p>"), (None, "n", "<p>y</p>"), (None, "n", "only"), (None, "n", "only")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    manifest = warc.write_archives(pages, store.scratch_path(spark, "warc"))
+    got = warc.read_archives(spark, manifest, 500).collect()
+    assert Counter((r.page_id, r.url or "", r.payload_bytes) for r in got) == Counter((i, u or "about:blank", len(h)) for i, u, h in rows)
+    responses = {(r.page_id, r.url, bytes(r.payload)) for r in got if r.record_type == "response"}
+    assert responses == {(7, "a", b"<p>x</p>"), (9, "q", b"<p>y</p>"), (None, "n", b"only")} and sum(r.record_type == "response" for r in got) == 3
+    assert {r.refers_to for r in got if r.payload_bytes == 8 and r.page_id in (3, 7) and r.record_type == "revisit"} == {7}
+
+
 def test_archives_with_long_urls(spark):
     rng = random.Random(13)
     urls = [f"data:text/plain,{i}" + "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(n)) for i, n in enumerate((10, 16_000, 17_000, 40_000, 300_000))]
