@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import quality, secrets
+from sievework.llm import quality, secrets, sharding
 
 _ROWS = "SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -69,4 +69,47 @@ rest AS (SELECT rid, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a
 sums AS (SELECT rid, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN rest USING (rid) LEFT JOIN sums USING (rid)"""
 
-SQL = {"op1_quality_rules": OP1, "op4_secret_scans": OP4, "op7_warc": OP7, "op8_ngram_jaccard_join": OP8, "op10_suffix_dedup": OP10}
+OP11 = """WITH v AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT row_number() OVER () AS n, * FROM v),
+s AS (SELECT a.n, a.id AS anchor_id, x.id, a.label = x.label AS same, CAST(list_dot_product(a.v::DOUBLE[], x.v::DOUBLE[]) AS BIGINT) AS score FROM c a JOIN c x ON a.id <> x.id WHERE a.id % 50 = 0),
+p AS (SELECT n, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY n ORDER BY score DESC, id) AS place FROM s WHERE same QUALIFY place <= 5),
+h AS (SELECT p.n, place, p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score FROM p JOIN s ON s.n = p.n AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY n, place ORDER BY negative_score DESC, negative_id) AS INT) AS rank, negative_id, positive_score, negative_score FROM h QUALIFY rank <= 3"""
+
+
+def _mixed(x: str, keys: tuple[int, int, int]) -> str:
+    first, second, third = keys
+    once = f"({x} * {first} + {second}) % {sharding.PRIME}"
+    twice = f"[(q * q + {third}) % {sharding.PRIME} FOR q IN [{once}]]"
+    last = f"[(xor(q, q >> 15) * {second} + {first}) % {sharding.PRIME} FOR q IN {twice}]"
+    return f"[(q * q + q * {third}) % {sharding.PRIME} FOR q IN {last}][1]"
+
+
+def _network(source: str) -> str:
+    """(row_number, x) of a relation after one application of the permutation's network."""
+    query = f"SELECT *, x // b AS l, x % b AS r FROM ({source}) CROSS JOIN side"
+    for i, keys in enumerate(sharding.round_keys(sharding.SEED)):
+        sums = f"(l + {_mixed('r', keys)} % a) % a AS l, r" if i % 2 == 0 else f"l, (r + {_mixed('l', keys)} % b) % b AS r"
+        query = f"SELECT * EXCLUDE (l, r), {sums} FROM ({query})"
+    return f"SELECT * EXCLUDE (l, r, x, a, b, n), l * b + r AS x FROM ({query})"
+
+
+#: CRC-32 in SQL: ``far`` has what a byte leaves in the register after so many zero bytes more; chunks of 256 bytes are summed by
+#: it and folded. The bytes 62F52692 take a zero register to all ones, the checksum's start.
+OP13 = f"""WITH RECURSIVE steps AS (SELECT i AS byte, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY byte) AS crcs FROM steps WHERE k = 8),
+far AS (SELECT byte, c AS v, 0 AS d FROM steps WHERE k = 8 UNION ALL SELECT byte, xor(v >> 8, crcs[1 + (v & 255)]), d + 1 FROM far, crc_table WHERE d < 255),
+fold AS (SELECT list(v ORDER BY byte) FILTER (WHERE d = 255) AS f0, list(v ORDER BY byte) FILTER (WHERE d = 254) AS f1, list(v ORDER BY byte) FILTER (WHERE d = 253) AS f2, list(v ORDER BY byte) FILTER (WHERE d = 252) AS f3 FROM far),
+named AS (SELECT format('{{:02X}}', byte) AS hx, 255 - d AS at, v FROM far),
+d AS (SELECT doc_id, octet_length(encode(t)) AS bytes, '62F52692' || hex(encode(t)) AS h, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(t)) - 1 AS row_number FROM ({_ROWS})),
+chunks AS (SELECT row_number, k, substr(h, 512 * k + 1, 512) AS h FROM (SELECT row_number, h, unnest(range(length(h) // 512)) AS k FROM (SELECT row_number, repeat('0', (512 - length(h) % 512) % 512) || h AS h FROM d))),
+sums AS (SELECT row_number, k, bit_xor(v) AS v FROM (SELECT row_number, k, h, unnest(range(256)) AS at FROM chunks) c JOIN named ON named.at = c.at AND hx = substr(h, 2 * c.at + 1, 2) GROUP BY 1, 2),
+z AS (SELECT row_number, list_reduce(vs, lambda c, v: xor(xor(xor(f0[1 + (c & 255)], f1[1 + ((c >> 8) & 255)]), xor(f2[1 + ((c >> 16) & 255)], f3[1 + (c >> 24)])), v)) AS c FROM (SELECT row_number, list(v ORDER BY k) AS vs FROM sums GROUP BY 1), fold),
+total AS (SELECT count(*) AS n FROM d),
+side AS (SELECT a, greatest(1, (n + a - 1) // a) AS b, n FROM (SELECT n, unnest(range(CAST(floor(sqrt(greatest(n - 1, 0))) AS BIGINT) + 1, CAST(floor(sqrt(greatest(n - 1, 0))) AS BIGINT) + {sharding.GRIDS + 1})) AS a FROM total) ORDER BY a * b, a LIMIT 1),
+walk AS ({_network("SELECT row_number, row_number AS x FROM d")} UNION ALL {_network("SELECT walk.row_number, walk.x FROM walk WHERE x >= (SELECT n FROM total)")}),
+p AS (SELECT row_number, x FROM walk WHERE x < (SELECT n FROM total))
+SELECT doc_id, CAST(bytes + 8 AS BIGINT) AS size, CAST(xor(c, 4294967295) AS BIGINT) AS text_crc32, 'rows' AS law, CAST(x % 24 AS INT) AS shard, x // 24 AS slot, CAST(NULL AS INT) AS grown_shard, row_number FROM d JOIN p USING (row_number) JOIN z USING (row_number)"""
+
+SQL = {"op1_quality_rules": OP1, "op4_secret_scans": OP4, "op7_warc": OP7, "op8_ngram_jaccard_join": OP8, "op10_suffix_dedup": OP10, "op11_hard_negatives": OP11, "op13_sharding": OP13}

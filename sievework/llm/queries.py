@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import decontaminate, jaccard, language, oracles, packing, quality, repeats, secrets, store, tokenfiles, toxicity, warc
+from sievework.llm import alignment, decontaminate, jaccard, language, negatives, oracles, packing, quality, repeats, secrets, sharding, store, tokenfiles, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +59,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_language_id, op4_secret_scans, op5_token_orc, op6_best_fit_packing, op7_warc, op8_ngram_jaccard_join, op9_toxicity, op10_suffix_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_language_id, op4_secret_scans, op5_token_orc, op6_best_fit_packing, op7_warc, op8_ngram_jaccard_join, op9_toxicity, op10_suffix_dedup, op11_hard_negatives, op12_tokenizer_alignment, op13_sharding)}
 ORACLE_SQL: dict[str, str] = dict(oracles.SQL)

@@ -3,15 +3,17 @@
 The library's BPE never merges across the pieces of its pre-tokenizer, so a text's ids are its
 pieces' ids in a row. A block's pieces are found by array operations on code point classes, named by
 fingerprints, and only pieces that the worker has not met are given to the library. Texts in which
-normalisation could move a piece's bounds are given to it whole.
+normalisation could move a piece's bounds, or that hold an added token's literal, are given to it whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,25 +126,47 @@ def pieces(buf: np.ndarray, off: np.ndarray, byte_level: bool) -> tuple[np.ndarr
 
 
 class Encoder:
-    """A worker's tokenizer with the ids of the pieces that it has met."""
+    """A worker's tokenizer with the ids of the pieces that it has met.
 
-    _loaded: dict[str, Encoder] = {}
+    literals: an added token's string in a text is that token, as by the library's default; such texts
+    are given to it whole. Otherwise it is plain text.
+    """
 
-    def __init__(self, path: str):
+    _loaded: dict[tuple, Encoder] = {}
+
+    def __init__(self, path: str, literals: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.untouched = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.untouched.get_added_tokens_decoder().values()] if literals else []
+        self.literals = re.compile(b"|".join(re.escape(t.encode()) for t in added), re.IGNORECASE) if added else None
         self.byte_level = self.tokenizer.normalizer is None
         self._forget()
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+    def of(cls, path: str, **settings: bool) -> Encoder:
+        key = (cls.__name__, path, *settings.items())
+        if key not in cls._loaded:
+            cls._loaded[key] = cls(path, **settings)
+        return cls._loaded[key]
+
+    def lengths(self) -> np.ndarray:
+        """Bytes of each id's token, of a byte-level vocabulary."""
+        if not hasattr(self, "_lengths"):
+            vocabulary = self.tokenizer.get_vocab()
+            self._lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self._lengths[i] = len(token)  # a character stands for a byte
+        return self._lengths
+
+    def _bounds(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return pieces(buf, off, self.byte_level)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
         self.names, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -152,9 +176,9 @@ class Encoder:
         """names: sorted fingerprints that are not known yet."""
         if len(self.names) > CACHE_PIECES:
             self._forget()
-        new = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        new = self._encoded(texts)
         count = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter((i for e in new for i in e), np.uint32, int(count.sum()))
+        flat = np.fromiter(chain.from_iterable(new), np.uint32, int(count.sum()))
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate((self.ids, flat))
         place = np.searchsorted(self.names, names)
@@ -162,7 +186,7 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents in a row, the n+1 bounds of each document's)."""
-        start, end = pieces(buf, off, self.byte_level)
+        start, end = self._bounds(buf, off)
         names = K.RangeHash(buf).of(start, end)
         unique, one, which = np.unique(names, return_index=True, return_inverse=True)
         raw = buf.tobytes()
@@ -176,26 +200,70 @@ class Encoder:
         bounds = np.concatenate(([0], np.cumsum(count)))
         ids = self.ids[np.repeat(first - bounds[:-1], count) + np.arange(bounds[-1])]
         doc_bounds = bounds[np.searchsorted(start, off)]
-        if not self.byte_level:
-            ids, doc_bounds = self._whole_where_needed(raw, off, ids, doc_bounds)
-        return ids, doc_bounds
+        return self._whole_where_needed(raw, off, ids, doc_bounds)
 
     def _known(self, names: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
         return self.names[place] == names if len(self.names) else np.zeros(len(names), bool)
 
+    def _moves(self, text: str) -> bool:
+        """Whether normalisation could move a piece's bounds."""
+        return not self.byte_level and (not unicodedata.is_normalized("NFC", text) or "İ" in text)
+
     def _whole_where_needed(self, raw: bytes, off: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        text = raw.decode()
-        if unicodedata.is_normalized("NFC", text) and "İ" not in text:
+        literal = self.literals is not None and self.literals.search(raw) is not None
+        if not literal and (self.byte_level or not self._moves(raw.decode())):
             return ids, bounds
         parts = []
         for d in range(len(off) - 1):
-            text = raw[off[d] : off[d + 1]].decode()
-            whole = not unicodedata.is_normalized("NFC", text) or "İ" in text
-            parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) if whole else ids[bounds[d] : bounds[d + 1]])
+            one = raw[off[d] : off[d + 1]]
+            found = literal and self.literals.search(one) is not None
+            if found or self._moves(one.decode()):
+                given = self.untouched if self.literals is not None else self.tokenizer
+                parts.append(np.array(given.encode(one.decode(), add_special_tokens=False).ids, np.uint32))
+            else:
+                parts.append(ids[bounds[d] : bounds[d + 1]])
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
+class PieceEncoder(Encoder):
+    """The same of a sentence-piece BPE over space + text, the space being the one that the library adds.
+
+    No piece of the vocabulary has a space after another character, so texts are cut before each run of
+    spaces. A cut whose pieces' bytes aren't its own gets the one id ``lost``.
+    """
+
+    lost = np.uint32(0xFFFFFFFF)
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.tokenizer = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.tokenizer.id_to_piece(i) for i in range(self.tokenizer.get_piece_size())]
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.tokenizer.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        if any("\u2581" in p.lstrip("\u2581") for p in pieces):
+            raise ValueError("pieces of this vocabulary run over spaces")
+        self.byte_level, self.literals = True, None
+        self._forget()
+
+    def lengths(self) -> np.ndarray:
+        if not hasattr(self, "_lengths"):
+            self._lengths = np.array([len(b) for b in self.bytes], np.int64)
+        return self._lengths
+
+    def _bounds(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        space = buf == 0x20
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[off[:-1][np.diff(off) > 0]] = True
+        start = np.flatnonzero(first)
+        return start, np.append(start[1:], len(buf))[: len(start)]
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        found = self.tokenizer.encode([t[1:] for t in texts], num_threads=1)
+        return [ids if b"".join([self.bytes[i] for i in ids]) == t.encode() else [0xFFFFFFFF] for t, ids in zip(texts, found, strict=True)]
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with an end id after each document."""
     n = len(bounds) - 1
