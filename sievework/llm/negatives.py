@@ -39,7 +39,7 @@ STRIPS, STRIP_LEAST = 24, 2048
 #: Queries that are scored at once.
 QUERIES = 128
 _EXACT = float(1 << 47)
-_BOX = "strip long, n int, dim int, ids binary, labels binary, vecs binary, dists binary, lo binary, hi binary, nq int, q binary, q_dists binary, tau binary"
+_BOX = "strip long, n int, dim int, ids binary, labels binary, vecs binary, dists binary, lo binary, hi binary, nq int, q_ids binary, q_labels binary, q_vecs binary, q_dists binary, tau binary"
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -187,22 +187,20 @@ def _pack_kernel(space: Space, every: int, positives: int):
         return pa.table({
             "strip": pa.array(values[:1], pa.int64()), "n": pa.array(values[1:2], pa.int32()), "dim": pa.array(values[2:], pa.int32()),
             "ids": blob(ids, np.int64), "labels": blob(labels, np.int64), "vecs": blob(_packed(x)), "dists": blob(d, float), "lo": blob(low, float), "hi": blob(high, float),
-            "nq": pa.array([len(at)], pa.int32()), "q": blob(at, np.int64), "q_dists": blob(space.of_anchors(x[at]), float), "tau": blob(tau, float),
+            "nq": pa.array([len(at)], pa.int32()), "q_ids": blob(ids[at], np.int64), "q_labels": blob(labels[at], np.int64), "q_vecs": blob(_packed(x[at])), "q_dists": blob(space.of_anchors(x[at]), float), "tau": blob(tau, float),
         })
 
     return pack
 
 
 class _Block:
-    """A block of queries, as a joined row has it."""
+    """A block of queries, as a joined row has it; a query is named by its strip and its place in the block."""
 
     def __init__(self, row: dict):
-        n, dim = row["q_n"], row["q_dim"]
-        self.strip, at = row["q_strip"], np.frombuffer(row["q"], np.int64)
-        self.at = at
-        self.ids, self.labels = (np.frombuffer(row[c], np.int64)[at] for c in ("q_ids", "q_labels"))
-        self.x = _unpacked(row["q_vecs"], n, dim)[at]
-        self.dists = np.frombuffer(row["q_dists"], float).reshape(len(at), -1)
+        self.strip = row["q_strip"]
+        self.ids, self.labels = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "q_labels"))
+        self.x = _unpacked(row["q_vecs"], len(self.ids), row["dim"])
+        self.dists = np.frombuffer(row["q_dists"], float).reshape(len(self.ids), -1)
         self.tau = np.frombuffer(row["tau"], float)
 
 
@@ -215,7 +213,7 @@ class _Strip:
         self.lo, self.hi = (np.frombuffer(row[c], float)[None, :] for c in ("lo", "hi"))
 
 
-_PAIR = ("q_strip", "q_n", "q_dim", "q_ids", "q_labels", "q_vecs", "q", "q_dists", "tau", "n", "dim", "ids", "labels", "vecs", "dists", "lo", "hi")
+_PAIR = ("q_strip", "q_ids", "q_labels", "q_vecs", "q_dists", "tau", "n", "dim", "ids", "labels", "vecs", "dists", "lo", "hi")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, _Block, _Strip]]:
@@ -245,7 +243,7 @@ def _positive_kernel(space: Space, k: int):
                 for j, q in enumerate(rows):
                     own = np.flatnonzero(reach[j, some])
                     for at in own[best(scores[j, own], strip.ids[some[own]], k)]:
-                        out.append((block.strip, int(block.at[q]), int(strip.ids[some[at]]), int(scores[j, at])))
+                        out.append((block.strip, int(q), int(strip.ids[some[at]]), int(scores[j, at])))
             if out:
                 yield _rows(out, ("q_strip", "at", "positive_id", "positive_score"), ("int64", "int32", "int64", "int64"))
 
@@ -263,10 +261,9 @@ def _negative_kernel(space: Space, k: int, low: int, high: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block, strip in _pairs(batches):
             out: list[tuple] = []
-            place = {int(at): i for i, at in enumerate(block.at)}
             wanted: dict[int, list[tuple[int, int, int]]] = {}
             for w in row["wanted"]:
-                wanted.setdefault(place[w["at"]], []).append((w["place"], w["positive_id"], w["positive_score"]))
+                wanted.setdefault(w["at"], []).append((w["place"], w["positive_id"], w["positive_score"]))
             rows = np.array(sorted(wanted), np.int64)
             least = np.array([min(low * p[2] for p in wanted[q]) / 100 for q in rows.tolist()])
             most = np.array([max(high * p[2] for p in wanted[q]) / 100 for q in rows.tolist()])
@@ -287,7 +284,7 @@ def _negative_kernel(space: Space, k: int, low: int, high: int):
                     s, ids = s[order], ids[order]
                     for number, positive, score in wanted[q]:
                         inside = np.flatnonzero((100 * s <= high * score) & (100 * s >= low * score))[:k]
-                        out += [(block.strip, int(block.at[q]), number, int(block.ids[q]), positive, score, int(ids[t]), int(s[t])) for t in inside]
+                        out += [(block.strip, int(q), number, int(block.ids[q]), positive, score, int(ids[t]), int(s[t])) for t in inside]
             if out:
                 yield _rows(out, ("q_strip", "at", "place", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"), ("int64", "int32", "int32", "int64", "int64", "int64", "int64", "int64"))
 
@@ -296,7 +293,7 @@ def _negative_kernel(space: Space, k: int, low: int, high: int):
 
 def _joined(blocks: DataFrame, strips: DataFrame, numbers: Column, *more: str) -> DataFrame:
     """Blocks of queries beside the strips that ``numbers`` names, joined on the strip's number."""
-    left = blocks.select(F.col("strip").alias("q_strip"), F.col("n").alias("q_n"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("labels").alias("q_labels"), F.col("vecs").alias("q_vecs"), "q", "q_dists", "tau", *more, F.explode(numbers).alias("strip"))
+    left = blocks.select(F.col("strip").alias("q_strip"), "q_ids", "q_labels", "q_vecs", "q_dists", "tau", *more, F.explode(numbers).alias("strip"))
     return left.join(strips.select("strip", "n", "dim", "ids", "labels", "vecs", "dists", "lo", "hi"), "strip").select(*_PAIR, *more)
 
 

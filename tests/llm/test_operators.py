@@ -306,7 +306,6 @@ def tokenizer(name: str):
 
     path = public_tokenizers.path(name)
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     return path, lambda t: found.encode(t or "", add_special_tokens=False).ids
 
 
