@@ -32,6 +32,8 @@ from sievework.llm import textkit as K
 HEAVY = 1 << 18
 TOKENS = "doc_id long, a array<int>, len_a array<int>, end_a array<int>, b array<int>, len_b array<int>, end_b array<int>"
 _BLOCK = 1 << 20
+#: Pieces that a worker remembers of each tokenizer.
+_PIECES = 1_000_000
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -48,7 +50,7 @@ def _measured(ids: np.ndarray, bounds: np.ndarray, lengths: np.ndarray) -> tuple
 
 def _token_kernel(path_a: str, path_b: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = tokens.Encoder.of(path_a, literals=False), tokens.PieceEncoder.of(path_b)
+        first, second = tokens.Encoder.of(path_a, literals=False, most=_PIECES), tokens.PieceEncoder.of(path_b, most=_PIECES)
         for rows, buf, off in K.blocks(batches, "spaced", _BLOCK):
             a, bounds_a = first.encode(buf, off)
             b, bounds_b = second.encode(buf, off)
@@ -90,11 +92,15 @@ def _ids(s: Column, name: str, index: str, cuts: Column, k: Column, c: Column) -
 def aligned(token_rows: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups (text) and links (a pair's ids as one number, A's in the upper half)."""
     # What lambdas read is bound by an outer lambda: they would else evaluate it anew for each element.
-    bound = F.struct("a", "b", F.col("a").cast("array<string>").alias("sa"), F.col("b").cast("array<string>").alias("sb"), _index("len_a").alias("ia"), _index("len_b").alias("ib"), F.array_intersect("end_a", "end_b").alias("cuts"), F.array_union("end_a", "end_b").alias("ends"))
+    bound = F.struct("a", "b", "len_a", "len_b", F.col("a").cast("array<string>").alias("sa"), F.col("b").cast("array<string>").alias("sb"), _index("len_a").alias("ia"), _index("len_b").alias("ib"), F.array_intersect("end_a", "end_b").alias("cuts"), F.array_union("end_a", "end_b").alias("ends"))
 
     def both(s: Column) -> Column:
         links = F.transform(s["ends"], lambda e: F.shiftleft(s["a"][s["ia"][e - 1]].cast("long"), 32) + s["b"][s["ib"][e - 1]])
-        groups = F.transform(s["cuts"], lambda c, k: F.concat(_ids(s, "sa", "ia", s["cuts"], k, c), F.lit("|"), _ids(s, "sb", "ib", s["cuts"], k, c)))
+        # Two tokens of equal length that end together are a group; most are, and need no slices.
+        alone = lambda c: s["len_a"][s["ia"][c - 1]] == s["len_b"][s["ib"][c - 1]]
+        one = lambda c: F.concat(s["sa"][s["ia"][c - 1]], F.lit("|"), s["sb"][s["ib"][c - 1]])
+        many = lambda c, k: F.concat(_ids(s, "sa", "ia", s["cuts"], k, c), F.lit("|"), _ids(s, "sb", "ib", s["cuts"], k, c))
+        groups = F.transform(s["cuts"], lambda c, k: F.when(alone(c), one(c)).otherwise(many(c, k)))
         return F.struct(links.alias("links"), F.array_join(groups, ";").alias("groups"), F.size(s["cuts"]).cast("long").alias("n_groups"))
 
     done = F.transform(F.array(bound), both)[0]

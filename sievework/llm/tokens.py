@@ -134,20 +134,21 @@ class Encoder:
 
     _loaded: dict[tuple, Encoder] = {}
 
-    def __init__(self, path: str, literals: bool = True):
+    def __init__(self, path: str, literals: bool = True, most: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.untouched = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.most, self.untouched = path, most, None
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        added = [t.content for t in self.untouched.get_added_tokens_decoder().values()] if literals else []
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if literals else []
         self.literals = re.compile(b"|".join(re.escape(t.encode()) for t in added), re.IGNORECASE) if added else None
         self.byte_level = self.tokenizer.normalizer is None
         self._forget()
 
     @classmethod
-    def of(cls, path: str, **settings: bool) -> Encoder:
+    def of(cls, path: str, **settings: int) -> Encoder:
         key = (cls.__name__, path, *settings.items())
         if key not in cls._loaded:
             cls._loaded[key] = cls(path, **settings)
@@ -174,7 +175,7 @@ class Encoder:
 
     def _learn(self, names: np.ndarray, texts: list[str]) -> None:
         """names: sorted fingerprints that are not known yet."""
-        if len(self.names) > CACHE_PIECES:
+        if len(self.names) > self.most:
             self._forget()
         new = self._encoded(texts)
         count = np.fromiter(map(len, new), np.int64, len(new))
@@ -190,7 +191,7 @@ class Encoder:
         names = K.RangeHash(buf).of(start, end)
         unique, one, which = np.unique(names, return_index=True, return_inverse=True)
         raw = buf.tobytes()
-        if len(self.names) > CACHE_PIECES:
+        if len(self.names) > self.most:
             self._forget()
         unknown = np.flatnonzero(~self._known(unique))
         if len(unknown):
@@ -210,6 +211,12 @@ class Encoder:
         """Whether normalisation could move a piece's bounds."""
         return not self.byte_level and (not unicodedata.is_normalized("NFC", text) or "İ" in text)
 
+    def _given(self, literal: bool):  # noqa: ANN202
+        """The tokenizer for a whole text; that of literals is loaded when one is met."""
+        if literal and self.untouched is None:
+            self.untouched = type(self.tokenizer).from_file(self.path)
+        return self.untouched if literal else self.tokenizer
+
     def _whole_where_needed(self, raw: bytes, off: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         literal = self.literals is not None and self.literals.search(raw) is not None
         if not literal and (self.byte_level or not self._moves(raw.decode())):
@@ -219,8 +226,7 @@ class Encoder:
             one = raw[off[d] : off[d + 1]]
             found = literal and self.literals.search(one) is not None
             if found or self._moves(one.decode()):
-                given = self.untouched if self.literals is not None else self.tokenizer
-                parts.append(np.array(given.encode(one.decode(), add_special_tokens=False).ids, np.uint32))
+                parts.append(np.array(self._given(found).encode(one.decode(), add_special_tokens=False).ids, np.uint32))
             else:
                 parts.append(ids[bounds[d] : bounds[d + 1]])
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
@@ -235,7 +241,7 @@ class PieceEncoder(Encoder):
 
     lost = np.uint32(0xFFFFFFFF)
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         import sentencepiece
 
         self.tokenizer = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -243,7 +249,7 @@ class PieceEncoder(Encoder):
         self.bytes = [bytes([int(p[3:5], 16)]) if self.tokenizer.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         if any("\u2581" in p.lstrip("\u2581") for p in pieces):
             raise ValueError("pieces of this vocabulary run over spaces")
-        self.byte_level, self.literals = True, None
+        self.byte_level, self.literals, self.most = True, None, most
         self._forget()
 
     def lengths(self) -> np.ndarray:
