@@ -118,5 +118,10 @@ def warmup_linear(step: Column, total: int, warmup_share: float = 0.06) -> Colum
     return F.when(step < warm, rise).otherwise(fall)
 
 
+def optimizer_steps(rows: Column, batch: int = 16, accumulation: int = 2) -> Column:
+    """Steps of an epoch: batches, the last one short, gathered ``accumulation`` at a time."""
+    return F.ceil(F.ceil(rows / batch) / accumulation)
+
+
 def winner(ours: Column, theirs: Column) -> Column:
     return F.when(ours > theirs, "baseline").when(theirs > ours, "candidate").otherwise("tie")

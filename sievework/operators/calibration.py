@@ -112,23 +112,41 @@ def invariant(rows: DataFrame, scores: Column, temperature: float) -> DataFrame:
     return rows.agg(F.bool_and(stats.first_of_top(a) == stats.first_of_top(b)).alias("argmax_unchanged"), F.bool_and(rank(a) == rank(b)).alias("top_two_unchanged"))
 
 
-def fit_temperature(rows: DataFrame, scores: Column, label: Column, tolerance: float = 1e-8, grid: int = 24) -> dict[str, float]:
+def fit_temperature(rows: DataFrame, scores: Column, label: Column, tolerance: float = 1e-8, rounds: int = 100) -> dict[str, float]:
     """The temperature of least mean loss within bounds, its logarithm to ``tolerance``; an error where that is a bound.
 
-    Each round is one aggregation over a grid of temperatures around the last best one.
+    The loss is convex in the inverse temperature a: its slope is the mean of E[s] - s_label and the slope's that of Var[s], the class
+    probabilities at a being the weights. Each round is one aggregation of both; a Newton step that leaves the
+    bracket is replaced by its middle.
     """
-    lo, hi = math.log(LOWEST), math.log(HIGHEST)
     base = rows.select(scores.cast("array<double>").alias("_s"), label.cast("int").alias("_l"))
-    best = (math.inf, 0.0)
-    while hi - lo > tolerance:
-        points = [lo + (hi - lo) * i / grid for i in range(grid + 1)]
-        found = base.agg(*[F.avg(stats.log_loss(F.col("_s"), F.col("_l"), math.exp(x))).alias(str(i)) for i, x in enumerate(points)]).first()
-        losses = [found[i] for i in range(len(points))]
-        if any(x is None or not math.isfinite(x) for x in losses):
+    zero = F.lit(0.0)
+
+    def at(x: float) -> tuple[float, float, float]:
+        weighed = F.zip_with(stats.softmax(F.col("_s"), math.exp(x)), "_s", lambda p, s: F.struct(p.alias("p"), s.alias("s")))
+        mean = F.aggregate(weighed, zero, lambda t, w: t + w["p"] * w["s"])
+        square = F.aggregate(weighed, zero, lambda t, w: t + w["p"] * w["s"] * w["s"])
+        each = base.select(mean.alias("m"), square.alias("q"), F.get(F.col("_s"), F.col("_l")).alias("own"), stats.log_loss(F.col("_s"), F.col("_l"), math.exp(x)).alias("nll"))
+        found = tuple(each.agg(F.avg(F.col("m") - F.col("own")), F.avg(F.col("q") - F.col("m") * F.col("m")), F.avg("nll")).first())
+        if any(v is None or not math.isfinite(v) for v in found):
             raise ValueError("calibration_scores_invalid")
-        at = min(range(len(points)), key=losses.__getitem__)
-        best = (losses[at], points[at])
-        lo, hi = points[max(at - 1, 0)], points[min(at + 1, grid)]
-    if min(best[1] - math.log(LOWEST), math.log(HIGHEST) - best[1]) <= 1e-6:
+        return found
+
+    lo, hi = math.log(LOWEST), math.log(HIGHEST)
+    x = min(max(0.0, lo), hi)
+    for _ in range(rounds):
+        slope, curve, nll = at(x)
+        if slope > 0:  # too sure of themselves: a hotter temperature
+            lo = x
+        else:
+            hi = x
+        a = math.exp(-x)
+        step = a - slope / curve if curve > 0 else 0.0
+        ahead = -math.log(step) if step > 0 else math.inf
+        after = ahead if lo < ahead < hi else (lo + hi) / 2
+        if slope == 0 or abs(after - x) <= tolerance or hi - lo <= tolerance:
+            break
+        x = after
+    if min(x - math.log(LOWEST), math.log(HIGHEST) - x) <= 1e-6:
         raise ValueError("calibration_temperature_at_bound")
-    return {"temperature": math.exp(best[1]), "nll": best[0]}
+    return {"temperature": math.exp(x), "nll": nll}

@@ -67,20 +67,37 @@ class SmoothIDF(IDF):
         return ElementwiseProduct(scalingVec=DenseVector(model.idf.toArray() + 1.0), inputCol=self.getInputCol(), outputCol=self.getOutputCol())
 
 
-def fit(train: DataFrame, text: str, label: str, *, c: float = 1.0, balanced: bool = False, max_iter: int = 200, tol: float = 1e-3, min_df: int = 5) -> tuple[PipelineModel, bool]:
-    """A multinomial logistic regression on TF-IDF features, and whether it converged."""
-    index = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc")
-    n = train.count()
-    rows = train
-    if balanced:
-        counts = train.groupBy(label).agg(F.count("*").alias("_n"))
-        k = counts.count()
-        rows = train.join(F.broadcast(counts), label).withColumn("weight", F.lit(n) / (k * F.col("_n")))  # a row for each label
+def _regression(rows: DataFrame, n: int, label: str, c: float, balanced: bool, max_iter: int, tol: float) -> tuple[LogisticRegression, DataFrame]:
     model = LogisticRegression(featuresCol="features", labelCol="label_id", family="multinomial", regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
-    if balanced:
-        model = model.setWeightCol("weight")
-    fitted = Pipeline(stages=[*vectorizer(text, min_df=min_df), index, model]).fit(rows)
-    return fitted, fitted.stages[-1].summary.totalIterations < max_iter
+    if not balanced:
+        return model, rows
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    weighed = rows.join(F.broadcast(counts), label).withColumn("weight", F.lit(n) / (counts.count() * F.col("_n")))  # a row for each label
+    return model.setWeightCol("weight"), weighed
+
+
+def fit_all(train: DataFrame, text: str, label: str, candidates: Mapping[str, tuple[float, bool]], *, max_iter: int = 200, tol: float = 1e-3, min_df: int = 5) -> dict[str, tuple[PipelineModel, bool]]:
+    """A multinomial logistic regression on TF-IDF features for each candidate, and whether it converged.
+
+    Texts are cut into terms and the vocabulary is counted once; all candidates learn from the same stored vectors.
+    """
+    index = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc")
+    prepared = Pipeline(stages=[*vectorizer(text, min_df=min_df), index]).fit(train)
+    rows = prepared.transform(train).select(label, "label_id", "features").persist()
+    try:
+        n, found = rows.count(), {}
+        for name, (c, balanced) in candidates.items():
+            estimator, weighed = _regression(rows, n, label, c, balanced, max_iter, tol)
+            model = estimator.fit(weighed)
+            found[name] = PipelineModel([*prepared.stages, model]), model.summary.totalIterations < max_iter
+    finally:
+        rows.unpersist()
+    return found
+
+
+def fit(train: DataFrame, text: str, label: str, *, c: float = 1.0, balanced: bool = False, max_iter: int = 200, tol: float = 1e-3, min_df: int = 5) -> tuple[PipelineModel, bool]:
+    """The same of one candidate."""
+    return fit_all(train, text, label, {"one": (c, balanced)}, max_iter=max_iter, tol=tol, min_df=min_df)["one"]
 
 
 def search(train: DataFrame, validation: DataFrame, text: str, label: str, labels: list[str], *, candidates: Mapping[str, tuple[float, bool]] = CANDIDATES, max_iter: int = 200, min_df: int = 5) -> tuple[PipelineModel, DataFrame]:
@@ -88,16 +105,16 @@ def search(train: DataFrame, validation: DataFrame, text: str, label: str, label
 
     A smoke run is the same over few rows, with one candidate and a small ``max_iter`` and ``min_df``.
     """
-    models, rows = {}, None
+    models, rows = fit_all(train, text, label, candidates, max_iter=max_iter, min_df=min_df), None
     for name, (c, balanced) in candidates.items():
-        models[name], converged = fit(train, text, label, c=c, balanced=balanced, max_iter=max_iter, min_df=min_df)
-        classes = metrics.per_class(metrics.confusion(predictions(models[name], validation), label, "predicted", labels))
+        model, converged = models[name]
+        classes = metrics.per_class(metrics.confusion(predictions(model, validation), label, "predicted", labels))
         row = metrics.summary(classes).select(F.lit(name).alias("candidate_id"), F.lit(float(c)).alias("c"), F.lit(balanced).alias("balanced"), F.lit(converged).alias("converged"), "*")
         rows = row if rows is None else rows.unionByName(row)
     best = metrics.select_candidate(rows).first()
     if best is None:
         raise ValueError("no_candidate_converged")
-    return models[best["candidate_id"]], rows
+    return models[best["candidate_id"]][0], rows
 
 
 def label_ids(label: Column, labels: list[str]) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +101,23 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return rows.withColumn("shuffle_rank", stats.spread(F.col(key), seed))
 
 
+def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int, cell_rows: int = 1 << 20) -> DataFrame:
+    """Rows with ``position``, a dense shuffled order from 0 that follows from keys, seed and epoch alone, not from
+    partitions; rows of equal keys take neighbouring positions.
+
+    The order is that of a keyed hash. Rows are dealt to cells of hash ranges, a position being the rows of
+    the cells before, one number a cell, and the rank inside the cell, so no task orders all rows.
+    """
+    cells = max(1, -(-rows.count() // cell_rows))
+    drawn = rows.withColumn("_draw", stats.spread(F.concat_ws("/", F.col(key), F.lit(epoch)), seed))
+    width = -(-(1 << 60) // cells)
+    drawn = drawn.withColumn("_cell", F.call_function("div", F.col("_draw"), F.lit(width)))
+    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = drawn.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_draw", key)) - 1
+    return drawn.withColumn("_place", place).join(F.broadcast(before), "_cell").withColumn("position", F.col("_before") + F.col("_place")).drop("_draw", "_cell", "_place", "_before")
+
+
 def length_groups(rows: DataFrame, key: str, length: str, *, batch: int = 32, pool: int = 1024, seed: int = 42) -> DataFrame:
     """pool_id, batch_id and place of each row: pools of about ``pool`` rows, batches of similar lengths.
 
@@ -142,28 +159,23 @@ def collated(groups: DataFrame, ids: str, limit: int = 384, pad: int = 0) -> Dat
 
 
 def buffer_shuffled(rows: DataFrame, buffer: int = 8192, seed: int = 42) -> DataFrame:
-    """Rows in another order, none lost: within each partition a row leaves a full buffer at random as another
-    comes, so memory is bounded by the buffer. The order depends on the partitions and the seed alone."""
+    """Rows in another order, none lost: within each partition rows wait in a buffer, and when it holds twice ``buffer`` a random half
+    of them leaves, so memory is bounded. The order depends on the partitions and the seed alone; ``epoch_order`` doesn't depend on partitions."""
 
     def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        dice = random.Random(seed * 1_000_003 + TaskContext.get().partitionId())
-        held: list[dict] = []
-        schema = None
+        dice = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        held: pa.Table | None = None
         for batch in batches:
-            schema, out = batch.schema, []
-            for row in batch.to_pylist():
-                held.append(row)
-                if len(held) > buffer:
-                    place = dice.randrange(buffer)
-                    held[place], held[-1] = held[-1], held[place]
-                    out.append(held.pop())
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
-        dice.shuffle(held)
-        for a in range(0, len(held), 4096):
-            yield pa.RecordBatch.from_pylist(held[a : a + 4096], schema)
+            come = pa.Table.from_batches([batch])
+            held = come if held is None else pa.concat_tables([held, come])
+            if len(held) >= 2 * buffer:
+                held = held.take(dice.permutation(len(held)))
+                yield from held.slice(buffer).combine_chunks().to_batches()
+                held = held.slice(0, buffer).combine_chunks()
+        if held is not None and len(held):
+            yield from held.take(dice.permutation(len(held))).combine_chunks().to_batches()
 
     return rows.mapInArrow(mixed, rows.schema)
 

@@ -164,9 +164,15 @@ def e113_month_keys(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("first"))
 
 
-@query("SELECT strftime(m, '%Y-%m') AS month, CAST(m AS DATE) AS lo, CAST(m + INTERVAL 1 MONTH AS DATE) AS hi, CAST(m AS DATE) AS request_min, CAST(m + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS request_max FROM range(TIMESTAMP '2023-09-01', TIMESTAMP '2025-01-01', INTERVAL 1 MONTH) AS t(m)")
+@query("""WITH b AS (SELECT date_trunc('month', min(o_orderdate)) AS lo, date_trunc('month', max(o_orderdate)) + INTERVAL 1 MONTH AS hi FROM orders),
+m AS (SELECT unnest(generate_series(lo, hi - INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS m FROM b)
+SELECT strftime(m, '%Y-%m') AS month, CAST(m AS DATE) AS lo, CAST(m + INTERVAL 1 MONTH AS DATE) AS hi, count(o_orderkey) AS n FROM m LEFT JOIN orders ON o_orderdate >= m AND o_orderdate < m + INTERVAL 1 MONTH GROUP BY m""")
 def e114_month_shards(spark, d):
-    return sources.monthly_shards(spark, "2023-09-01", "2025-01-01")
+    """The shards that a table's days need, each with its rows."""
+    orders = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderdate").cast("date").alias("day"))
+    lo, hi = orders.agg(F.trunc(F.min("day"), "month"), F.add_months(F.trunc(F.max("day"), "month"), 1)).first()
+    counts = orders.groupBy("month").agg(F.count("*").alias("n"))
+    return sources.monthly_shards(spark, str(lo), str(hi)).join(counts, "month", "left").select("month", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT type AS kind, count(*) AS n FROM (SELECT CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' ELSE 'other' END AS type FROM events) GROUP BY 1")
@@ -515,17 +521,21 @@ def e080_per_class_calibration(spark, d):
     return rounded(calibration.per_class(scored_embeddings(spark, d), 10), "prevalence", "mean_probability", "prevalence_gap", "brier")
 
 
-@query(f"WITH {_SCORES_SQL}, f AS (SELECT vec_id, label, CASE WHEN vec_id % 10 = 3 THEN p + 1 ELSE p END AS p FROM q), g AS (SELECT vec_id % 4 AS part, vec_id, max(label) AS label, count(*) AS n, min(p) AS lo, max(p) AS hi, sum(p) AS total FROM f GROUP BY 1, 2) SELECT part, bool_and(n = 10) AS whole, bool_and(lo >= 0 AND hi <= 1) AS in_range, max(abs(total - 1)) <= 1e-9 AS sums_to_one, bool_and(label < CASE WHEN part = 1 THEN 9 ELSE 10 END) AS labels_in_range FROM g GROUP BY 1")
+@query(f"WITH {_SCORES_SQL}, f AS (SELECT vec_id, label, CASE WHEN vec_id % 10 = 3 THEN p + 1 ELSE p END AS p FROM q), g AS (SELECT vec_id % 4 AS part, vec_id, max(label) AS label, count(*) AS n, min(p) AS lo, max(p) AS hi, sum(p) AS total FROM f GROUP BY 1, 2) SELECT part, bool_and(n = CASE WHEN part = 1 THEN 9 ELSE 10 END) AS whole, bool_and(lo >= 0 AND hi <= 1) AS in_range, max(abs(total - 1)) <= 1e-9 AS sums_to_one, bool_and(label < CASE WHEN part = 1 THEN 9 ELSE 10 END) AS labels_in_range FROM g GROUP BY 1")
 def e081_probability_checks(spark, d):
-    # Some arrays are no probabilities, and one part has a class too few.
+    # Some arrays are no probabilities, and one part has a class too few, so its arrays aren't whole.
     rows = scored_embeddings(spark, d)
     rows = rows.withColumn("probabilities", F.when(F.col("vec_id") % 10 == 3, F.transform("probabilities", lambda p: p + 1)).otherwise(F.col("probabilities")))
-    parts = [calibration.checks(rows.where(F.col("vec_id") % 4 == k), 10, 1e-9).select(F.lit(k).cast("long").alias("part"), "*") for k in (0, 2, 3)]
-    few = rows.where("vec_id % 4 = 1")
-    parts.append(calibration.checks(few, 9, 1e-9).select(F.lit(1).cast("long").alias("part"), F.lit(True).alias("whole"), "in_range", "sums_to_one", "labels_in_range"))
+    parts = [calibration.checks(rows.where(F.col("vec_id") % 4 == k), 9 if k == 1 else 10, 1e-9).select(F.lit(k).cast("long").alias("part"), "*") for k in range(4)]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
+@query(f"WITH {_SCORES_SQL}, t AS (SELECT vec_id, list(i ORDER BY p DESC, i)[1:2] AS hot, count(*) AS n FROM q GROUP BY 1) SELECT bool_and(hot[1] IS NOT NULL) AS argmax_unchanged, bool_and(len(hot) = 2) AS top_two_unchanged FROM t")
+def e081_invariance(spark, d):
+    """No temperature moves the largest classes; one that did would fail both."""
+    return calibration.invariant(table(spark, d, "embeddings"), F.slice("embedding", 1, 10), 2.5)
+
+
 _SWEEP_SQL = f"""{_SCORES_SQL}, g AS (SELECT CAST(t AS DOUBLE) AS threshold FROM (VALUES {", ".join(f"({t})" for t in abstention.THRESHOLDS)}) AS x(t)),
 w AS (SELECT threshold, count(*) AS total, count(*) FILTER (WHERE confidence >= threshold) AS suggested, count(*) FILTER (WHERE confidence >= threshold AND predicted = label) AS correct FROM v CROSS JOIN g GROUP BY 1)"""
 
@@ -608,9 +618,10 @@ def e126_url_checks(spark, d):
     return table(spark, d, "pages").select("page_id", X.url_accepted(F.expr(_ADDRESS), "example.org").alias("accepted"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS step, " + r("CASE WHEN i < 6 THEN i / 6.0 ELSE greatest(0.0, (100 - i) / 94.0) END AS factor") + " FROM range(100) AS t(i)")
+@query("SELECT o_orderkey, " + r("CASE WHEN o_orderkey % 100 < 6 THEN (o_orderkey % 100) / 6.0 ELSE greatest(0.0, (100 - o_orderkey % 100) / 94.0) END AS factor") + " FROM orders")
 def e127_learning_rate(spark, d):
-    return rounded(spark.range(100).select(F.col("id").alias("step"), stats.warmup_linear(F.col("id"), 100).cast("double").alias("factor")), "factor")
+    step = F.col("o_orderkey") % 100
+    return rounded(table(spark, d, "orders").select("o_orderkey", stats.warmup_linear(step, 100).cast("double").alias("factor")), "factor")
 
 
 @query("SELECT 'quantity_positive' AS rule, count(*) FILTER (WHERE NOT (l_quantity > 0)) AS n_violations FROM lineitem UNION ALL SELECT 'ships_by_1998', count(*) FILTER (WHERE NOT (l_shipdate < TIMESTAMP '1998-01-01')) FROM lineitem")

@@ -12,7 +12,7 @@ from sievework.functions import text as X
 from sievework.operators import evidence, staging
 from sievework.plans import workflows
 from sievework.plans.catalog import query, table
-from sievework.sources import acquisition, documents, trends
+from sievework.sources import acquisition, arrays, documents, trends
 from sievework.sources.tables import Store
 
 
@@ -108,6 +108,12 @@ def e004_exports(spark, d):
     return _fields(documents.export_rows(conversation_documents(spark, d, False)))
 
 
+@query(_ITEMS)
+def e004_split_exports(spark, d):
+    """The same read in pieces, as if a split held five closing braces."""
+    return _fields(arrays.source_rows(arrays.elements(arrays.fragments_of(conversation_documents(spark, d, False), 5))))
+
+
 @query("""SELECT count(*) AS record_count, count(DISTINCT o_custkey) AS unique_ids, count(*) - count(DISTINCT o_custkey) AS duplicate_ids, CAST(0 AS BIGINT) AS missing_ids, count(*) FILTER (WHERE o_orderstatus <> 'P') AS narratives, count(*) FILTER (WHERE trim(o_orderpriority) <> '') AS labelled,
 min(CAST(o_orderdate AS DATE)) AS first_date, max(CAST(o_orderdate AS DATE)) AS last_date, count(*) FILTER (WHERE NOT (o_orderdate >= TIMESTAMP '1993-01-01' AND o_orderdate < TIMESTAMP '1997-01-01')) AS outside_bounds FROM orders""")
 def e005_export_inspection(spark, d):

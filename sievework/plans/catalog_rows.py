@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import stats
 from sievework.functions import text as X
-from sievework.operators import abstention, calibration, evidence, features, metrics, profile, rules, split, staging
+from sievework.operators import abstention, asof, calibration, evidence, features, language, metrics, profile, rules, split, staging, wordpiece
 from sievework.plans.catalog import _BINS_SQL, _CONF_SQL, _FLAGS, _FP, _GROUPS_SQL, _SCORES_SQL, _SWEEP_SQL, flagged, query, r, rounded, scored_embeddings, spread_sql, table
 from sievework.sources import documents as sources
 
@@ -177,10 +177,12 @@ def e104_early_stopping(spark, d):
     return runs.select("l_orderkey", metrics.early_stopping(F.col("e.x")).alias("s")).select("l_orderkey", "s.*")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(CAST(l_discount AS DOUBLE) * 7 / 3, 6) AS score FROM lineitem WHERE l_discount * 7 / 3 <= 1 AND l_discount >= 0")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount * 7 / 3 BETWEEN 0 AND 1 THEN round(CAST(l_discount AS DOUBLE) * 7 / 3, 6) END AS score, NOT coalesce(l_discount * 7 / 3 BETWEEN 0 AND 1, false) AS refused FROM lineitem")
 def e118_metric_rounding(spark, d):
+    """Every row: a value outside [0, 1] is refused, not dropped."""
     value = F.col("l_discount").cast("double") * 7 / 3
-    return table(spark, d, "lineitem").where(value.between(0, 1)).select("l_orderkey", "l_linenumber", "l_partkey", stats.metric(value).alias("score"))
+    sound = F.coalesce(value.between(0, 1), F.lit(False))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(sound, stats.metric(value)).alias("score"), (~sound).alias("refused"))
 
 
 @query("SELECT p_partkey, round(CAST(p_retailprice AS DOUBLE) / CAST(nullif(p_size % 5, 0) AS DOUBLE), 6) AS ratio FROM part")
@@ -222,9 +224,57 @@ def e129_json_validity(spark, d):
     return judged.groupBy("kind").agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) + 2 AS INTEGER) AS tokens FROM documents")
+#: Pieces: the words of the benchmark's texts, and every character of the documents at a word's beginning and inside.
+_PIECES_SQL = r"""words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{P}\p{S}]|[^\s\p{P}\p{S}]+')) AS word FROM documents),
+chars AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM words), common AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{P}\p{S}]|[^\s\p{P}\p{S}]+')) AS c FROM benchmark),
+vocabulary AS (SELECT piece, row_number() OVER (ORDER BY encode(piece)) - 1 AS id FROM (SELECT c AS piece FROM chars UNION SELECT concat('##', c) FROM chars WHERE c < 'm' UNION SELECT c FROM common UNION SELECT concat('##', c) FROM common UNION SELECT unnest(['[CLS]', '[SEP]', '[UNK]'])))"""
+
+
+@query(f"""WITH RECURSIVE {_PIECES_SQL}, kinds AS (SELECT DISTINCT word FROM words),
+sizes AS (SELECT DISTINCT starts_with(piece, '##') AND length(piece) > 2 AS inside, length(piece) - CASE WHEN starts_with(piece, '##') AND length(piece) > 2 THEN 2 ELSE 0 END AS m FROM vocabulary),
+steps AS (SELECT word, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total, length(word) > 100 AS lost FROM kinds UNION ALL
+SELECT word, pos + coalesce(best.m, 0), n + 1, total + coalesce(best.id, 0), best.m IS NULL FROM (
+ SELECT s.word, s.pos, s.n, s.total, max(CASE WHEN v.id IS NOT NULL THEN struct_pack(m := z.m, id := v.id) END) AS best FROM steps s LEFT JOIN sizes z ON z.inside = (pos > 0) AND z.m <= length(word) - pos
+ LEFT JOIN vocabulary v ON v.piece = CASE WHEN pos > 0 THEN '##' ELSE '' END || substr(word, pos + 1, z.m) WHERE pos < length(word) AND NOT lost GROUP BY 1, 2, 3, 4)),
+done AS (SELECT word, CASE WHEN bool_or(lost) THEN 1 ELSE max(n) END AS n, CASE WHEN bool_or(lost) THEN (SELECT id FROM vocabulary WHERE piece = '[UNK]') ELSE max(total) END AS total FROM steps GROUP BY 1),
+sums AS (SELECT doc_id, sum(n) AS n, sum(total) AS total FROM words JOIN done USING (word) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) + 2 AS INTEGER) AS tokens, CAST(coalesce(total, 0) + (SELECT sum(id) FROM vocabulary WHERE piece IN ('[CLS]', '[SEP]')) AS BIGINT) AS id_sum FROM documents LEFT JOIN sums USING (doc_id)""")
 def e136_token_lengths(spark, d):
-    return table(spark, d, "documents").select("doc_id", features.whitespace_length("text").alias("tokens"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    of = lambda name: table(spark, d, name).select(F.explode(wordpiece.words(F.col("text"))).alias("c")).distinct()
+    chars = of("documents").select(F.explode(F.split("c", "")).alias("c")).distinct()
+    common = of("benchmark")
+    special = spark.createDataFrame([(x,) for x in (wordpiece.CLS, wordpiece.SEP, wordpiece.UNKNOWN)], "piece string")
+    inner = lambda df: df.select(F.concat(F.lit("##"), "c").alias("piece"))
+    pieces = chars.select(F.col("c").alias("piece")).union(inner(chars.where("c < 'm'"))).union(common).union(inner(common)).union(special).distinct()
+    vocabulary = pieces.select("piece", (F.row_number().over(Window.orderBy("piece")) - 1).alias("id"))  # as many rows as pieces
+    ids = wordpiece.encode(docs, "doc_id", "text", vocabulary, limit=1 << 30)
+    return ids.select("doc_id", F.size("input_ids").alias("tokens"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
+
+#: Trigrams of every second document teach; all are named.
+@query(r"""WITH p AS (SELECT doc_id, lang, concat(' ', trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')), ' ') AS s FROM documents),
+g AS (SELECT doc_id, lang, substr(s, i, 3) AS gram FROM (SELECT doc_id, lang, s, unnest(range(1, CAST(length(s) AS BIGINT) - 1)) AS i FROM p)),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY 1, 2), t AS (SELECT lang, sum(n) AS total, count(*) AS kinds FROM c GROUP BY 1),
+k AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(gram)) AS r FROM c) WHERE r <= 2000),
+m AS (SELECT k.gram, t.lang, ln((coalesce(n, 0) + 1) / (total + kinds)) AS loglik FROM k CROSS JOIN t LEFT JOIN c ON c.lang = t.lang AND c.gram = k.gram),
+s AS (SELECT doc_id, m.lang, avg(loglik) AS score, count(*) AS n FROM g JOIN m USING (gram) GROUP BY 1, 2),
+b AS (SELECT doc_id, arg_max(lang, score) AS best, max(n) AS n, max(score) - list_sort(list(score), 'DESC')[2] AS lead FROM s GROUP BY 1)
+SELECT doc_id, CASE WHEN n >= 5 AND lead >= 0.05 THEN best END AS language FROM documents LEFT JOIN b USING (doc_id)""")
+def e135_languages(spark, d):
+    docs = table(spark, d, "documents")
+    return language.scored(docs, "doc_id", "text", language.train(docs.where("doc_id % 2 = 0"), "text", "lang"))
+
+
+@query("""WITH p AS (SELECT user_id, ts, max(event_type) AS predicted FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2), v AS (SELECT * FROM events WHERE event_id % 3 = 0)
+SELECT v.event_type, count(*) AS reviews, count(predicted) AS judged, count(*) FILTER (WHERE predicted <> v.event_type) AS corrected, round(count(*) FILTER (WHERE predicted <> v.event_type) / nullif(count(predicted), 0), 6) AS correction_rate
+FROM v ASOF LEFT JOIN p ON v.user_id = p.user_id AND v.ts >= p.ts GROUP BY 1""")
+def e218_correction_rates(spark, d):
+    """Reviews (every third event) against the prediction valid at their time, of the same user."""
+    events = table(spark, d, "events")
+    predicted = events.where("event_id % 3 <> 0").select("user_id", "ts", F.col("event_type").alias("predicted"))
+    found = asof.as_of(events.where("event_id % 3 = 0").select("user_id", "ts", "event_type"), predicted, "user_id", "ts")
+    return rounded(asof.correction_rates(found, F.col("matched.predicted"), F.col("event_type"), ["event_type"]), "correction_rate")
 
 
 @query("SELECT label, label <> 3 AS whole, NOT bool_or(vec_id % 50 = 7) AS finite, label < 9 AS labels_in_range, count(*) AS n FROM embeddings GROUP BY label")
@@ -345,9 +395,11 @@ def e133_collated_batches(spark, d):
     return profile.collated(groups, "ids").select("pool_id", "batch_id", F.size("input_ids").alias("rows"), F.size(F.element_at("input_ids", 1)).alias("width"), real.alias("real"))
 
 
-@query(f"SELECT doc_id, {spread_sql('doc_id', 42)} AS shuffle_rank FROM documents")
+@query("SELECT doc_id, e AS epoch, row_number() OVER (PARTITION BY e ORDER BY " + spread_sql("concat(doc_id, '/', e)", 42) + ", doc_id) - 1 AS position FROM documents CROSS JOIN (VALUES (0), (1)) AS x(e)")
 def e130_reproducible_shuffle(spark, d):
-    return profile.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 42)
+    """Dense positions of two epochs, in cells of 100 rows."""
+    docs = table(spark, d, "documents").select("doc_id")
+    return profile.epoch_order(docs, "doc_id", 42, 0, 100).withColumn("epoch", F.lit(0)).union(profile.epoch_order(docs, "doc_id", 42, 1, 100).withColumn("epoch", F.lit(1))).select("doc_id", "epoch", "position")
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS model, avg(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS b FROM orders GROUP BY 1),
@@ -360,10 +412,9 @@ def e158_evidence(spark, d):
     return evidence.evaluated(rows).select("model", F.array_join("failed_gates", ",").alias("failed"), "passed")
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, CAST(ceil(ceil(n / 16.0) / 2.0) AS BIGINT) AS steps FROM (VALUES (394564), (33), (1)) AS v(n)")
+@query("SELECT lang, count(*) AS n, CAST(ceil(ceil(count(*) / 16.0) / 2.0) AS BIGINT) AS steps FROM documents GROUP BY 1")
 def e127_optimizer_steps(spark, d):
-    rows = spark.createDataFrame([(394564,), (33,), (1,)], "n long")
-    return rows.select("n", F.ceil(F.ceil(F.col("n") / 16) / 2).alias("steps"))
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).withColumn("steps", stats.optimizer_steps(F.col("n")))
 
 
 @query("SELECT CASE WHEN n_chars < 500 THEN 'chars-1-499' WHEN n_chars < 1000 THEN 'chars-500-999' WHEN n_chars < 2000 THEN 'chars-1000-1999' WHEN n_chars < 4000 THEN 'chars-2000-3999' ELSE 'chars-4000-plus' END AS band, count(*) AS record_count, " + r("avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS accuracy") + " FROM documents GROUP BY 1")

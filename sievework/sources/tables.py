@@ -1,9 +1,11 @@
-"""Append-only Parquet tables: a version is written once, its header last."""
+"""Append-only Parquet tables: a version is written once, and is there once it is committed."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ class IdentityConflict(Exception):
 class Store:
     """Tables under a root, by schema, name and identity. Nothing written is ever changed.
 
-    A batch counts as stored once its header is there, so readers never see half of one: rows go
-    first, the header, which is the commit mark, last.
+    Rows and header of an attempt go to folders of its own; a commit, made last and only if there is none of that
+    identity yet, names them. Readers follow commits alone, so they never see half a batch, nor the rows of an attempt that
+    failed or came second.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -28,14 +31,23 @@ class Store:
         return f"{self.root}/{table.replace('.', '/')}" + (f"/identity={identity}" if identity else "")
 
     def exists(self, table: str, identity: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table, identity))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        """Whether a version is committed, or, as ``none``, an empty table laid down."""
+        if identity == "none":
+            return _there(self.spark, self.path(table, identity))
+        return bool(self._attempts(table, identity))
+
+    def _attempts(self, table: str, identity: str | None = None) -> list[str]:
+        """The folders of a table's committed rows: one for each version, so as many names as batches."""
+        path = f"{self.root}/_commits/{table}"
+        if not _there(self.spark, path if identity is None else f"{path}/{identity}"):
+            return []
+        return [r.value for r in self.spark.read.text(path if identity is None else f"{path}/{identity}").select(F.get_json_object("value", f"$['{table}']").alias("value")).collect() if r.value]
 
     def read(self, table: str, identity: str | None = None) -> DataFrame:
-        """A table with its exact schema; partitions of other identities are pruned."""
-        if identity:
-            return self.spark.read.schema(S.TABLES[table]).parquet(self.path(table, identity))
-        return self.spark.read.schema(S.TABLES[table]).option("recursiveFileLookup", "true").parquet(self.path(table))
+        """A table with its exact schema; only the folders of the identity are listed."""
+        reader = self.spark.read.schema(S.TABLES[table])
+        found = self._attempts(table, identity)
+        return reader.parquet(*[f"{self.root}/{x}" for x in found]) if found else self.spark.createDataFrame([], S.TABLES[table])
 
     def _fit(self, table: str, df: DataFrame) -> DataFrame:
         have = set(df.columns)
@@ -45,8 +57,7 @@ class Store:
         """Lay down the tables that aren't there, empty and with their schemas; returns their names."""
         made = []
         for name, schema in S.TABLES.items():
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            if not _there(self.spark, self.path(name)):
                 self.spark.createDataFrame([], schema).write.parquet(f"{self.path(name)}/identity=none")
                 made.append(name)
         return made
@@ -58,8 +69,7 @@ class Store:
             if not self.read(name).isEmpty():
                 raise IdentityConflict(name)
         for name in there:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name))
         return there
 
     def append(self, rows_table: str, rows: DataFrame, header_table: str, header: DataFrame, identity: str) -> bool:
@@ -73,15 +83,67 @@ class Store:
             if not stored.exceptAll(fitted).isEmpty() or not fitted.exceptAll(stored).isEmpty():
                 raise IdentityConflict(identity)
             kept = [c for c in rows.columns if not c.endswith("_at")]
+            # A writer that was lost between its two commits left the second one to be made.
+            claim(self.spark, f"{self.root}/_commits/{rows_table}/{identity}", self.spark.read.text(f"{self.root}/_commits/{header_table}/{identity}").first()[0])
             if _digest(self.read(rows_table, identity).select(*kept)) != _digest(self._fit(rows_table, rows).select(*kept)):
                 raise IdentityConflict(identity)
             return False
-        # Rows without a header are of a run that failed; they aren't stored yet and are replaced.
-        self._fit(rows_table, rows).write.mode("overwrite").parquet(self.path(rows_table, identity))
-        self._fit(header_table, header).write.mode("errorifexists").parquet(self.path(header_table, identity))
+        attempt = uuid.uuid4().hex
+        places = {t: f"{t.replace('.', '/')}/identity={identity}/attempt={attempt}" for t in (rows_table, header_table)}
+        self._fit(rows_table, rows).write.mode("errorifexists").parquet(f"{self.root}/{places[rows_table]}")
+        self._fit(header_table, header).write.mode("errorifexists").parquet(f"{self.root}/{places[header_table]}")
+        # The header's commit decides; that of the rows repeats it for readers of rows.
+        text = json.dumps(places, sort_keys=True)
+        if not claim(self.spark, f"{self.root}/_commits/{header_table}/{identity}", text):
+            for place in places.values():
+                _delete(self.spark, f"{self.root}/{place}")
+            return self.append(rows_table, rows, header_table, header, identity)
+        claim(self.spark, f"{self.root}/_commits/{rows_table}/{identity}", text)
         return True
 
 
+def _system(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    system, target = _system(spark, path)
+    return system.exists(target)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, target = _system(spark, path)
+    system.delete(target, True)
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file with its whole content unless it is there; of several writers one gets True.
+
+    The text goes to a name of its own first. On a local disk a hard link then makes the file or fails; elsewhere
+    a rename does, as HDFS refuses to rename onto what is there.
+    """
+    system, target = _system(spark, path)
+    jvm = spark.sparkContext._jvm
+    partial = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}.{uuid.uuid4().hex}")
+    out = system.create(partial, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if system.getScheme() == "file":
+            paths = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, partial)]
+            try:
+                jvm.java.nio.file.Files.createLink(*paths)
+            except Py4JJavaError as problem:
+                if "FileAlreadyExists" not in str(problem.java_exception.toString()):
+                    raise
+                return False
+            return True
+        return not system.exists(target) and system.rename(partial, target)
+    finally:
+        system.delete(partial, False)
+
+
 def _digest(rows: DataFrame) -> tuple:
     """What equal rows have in common, in whatever order."""
     h = F.xxhash64(F.to_json(F.struct(*rows.columns)))
@@ -93,23 +155,17 @@ def canonical(report: dict) -> str:
 
 
 def publish(spark: SparkSession, path: str, report: dict) -> str:
-    """Write a report once by Hadoop's file system: to a temporary name, then renamed. Equal bytes that
+    """Write a report once by Hadoop's file system: to a name of its own, then claimed. Equal bytes that
     are there are fine; others are a conflict."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(conf)
+    system, target = _system(spark, path)
     text = canonical(report) + "\n"
     if system.exists(target):
         stored = spark.read.text(path, wholetext=True).first()[0]
         if stored.rstrip("\n") != text.rstrip("\n"):
             raise IdentityConflict(path)
         return path
-    partial = jvm.org.apache.hadoop.fs.Path(path + ".partial")
-    out = system.create(partial, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if not system.rename(partial, target):
-        raise IdentityConflict(path)
+    if not claim(spark, path, text):
+        return publish(spark, path, report)
     return path
 
 
