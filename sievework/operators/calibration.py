@@ -144,7 +144,7 @@ def fit_temperature(rows: DataFrame, scores: Column, label: Column, tolerance: f
         step = a - slope / curve if curve > 0 else 0.0
         ahead = -math.log(step) if step > 0 else math.inf
         after = ahead if lo < ahead < hi else (lo + hi) / 2
-        if slope == 0 or abs(after - x) <= tolerance or hi - lo <= tolerance:
+        if (slope == 0 and curve > 0) or abs(after - x) <= tolerance or hi - lo <= tolerance:
             break
         x = after
     if min(x - math.log(LOWEST), math.log(HIGHEST) - x) <= 1e-6:
