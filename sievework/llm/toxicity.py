@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
-Voters look at a text's words: ``VOTERS`` lexicons vote when one of their words occurs, and patterns when
-several do. The words are fixed ones and those that labels find typical of toxic documents. Words are counted by label over all
+Voters look at a text's words: a few lexicons vote when one of their words occurs, and patterns when
+several do. The words are those that labels find typical of toxic documents; no word is given. Words are counted by label over all
 labelled documents, and every word that passes a test joins the lexicon: it is in more than 9 toxic
-documents for a clean one, and its count is beyond chance at a rate ``FALSE`` of false discoveries
+documents for a clean one, and its count is beyond chance at some rate of false discoveries
 (Benjamini and Hochberg's steps over the words of some least number of documents, that by which most pass).
 Words are dealt to the lexicons in turn, so that voters stay few however many words there are, and each
 holds words of all languages: lexicons of one language each would not be independent given the class.
+The rate and the number of lexicons are those of ``CHOICES`` by which posteriors fit labels best in ``FOLDS`` folds of
+the labelled documents, each judged by words, votes and rates learned from the others.
 
 A generative label model takes the votes' first and second moments over all documents: covariances of
 voters that are independent given the class factor into accuracies (the triplet identity), what the
@@ -20,7 +22,7 @@ any, where none is labelled), the smallest by a hash of doc_id. The driver gets
 ``WIDTH`` a document however long it is, beside the learned words and a few thousand sums.
 
 Defined cases: a null or empty text gets the classifier's bias; without labels of both kinds the
-posterior is that of the fixed lexicon's voters; a null doc_id is scored and never learned from;
+posterior is the share of toxic ones, as there are no words; a null doc_id is scored and never learned from;
 repeated rows get equal scores, and of rows of one doc_id the least text is in the sample; of equal
 counts of words the order is that of their fingerprints; a very long text is scored whole; empty tables
 of documents or labels are allowed, the first giving no rows; labels with nulls or of unknown documents
@@ -46,19 +48,13 @@ from sievework.llm.language import held_out
 SAMPLE = 6000
 #: No label is held for truer than 1 less this.
 TRUST = 0.02
-#: Lexicons that the words are dealt to.
-VOTERS = 12
-#: The share of learned words that may be typical by chance.
-FALSE = 0.1
+#: Rates of false discoveries, and lexicons that words are dealt to, to choose from.
+CHOICES = tuple((rate, voters) for rate in (0.02, 0.1) for voters in (6, 12, 24))
+FOLDS = 3
 #: Hashed word features.
 WIDTH = 1 << 14
 #: The score from which a document counts as toxic.
 THRESHOLD = 0.7
-#: Insults of common English; fixed values.
-LEXICON = (
-    "loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid",
-    "dumb", "fool", "jerk", "garbage", "ugly", "filthy", "vermin", "imbecile", "retard", "bastard",
-)
 PATTERNS = ("two_insults", "three_insults", "insult_density", "second_person_insult")
 
 _WORD = np.zeros(256, bool)
@@ -73,7 +69,6 @@ def name_of(word: str) -> int:
     return int(K.RangeHash(raw).of(np.array([0]), np.array([len(raw)]))[0])
 
 
-FIXED = tuple(name_of(w) for w in LEXICON)
 YOU = np.array(sorted(name_of(w) for w in _YOU), np.uint64)
 
 
@@ -98,29 +93,33 @@ class Lexicon:
     size: int
 
     @classmethod
-    def of(cls, learned: list[int]) -> Lexicon:
-        """The fixed entries, and learned ones by rank, dealt in turn."""
-        fixed = list(dict.fromkeys(FIXED))
-        more = [x for x in dict.fromkeys(learned) if x not in set(fixed)]
-        names = np.array([*fixed, *more], np.uint64)
-        voter = np.concatenate((np.arange(len(fixed)) % VOTERS, np.arange(len(more)) % VOTERS))
+    def of(cls, learned: list[int], size: int) -> Lexicon:
+        """Words by rank, dealt in turn."""
+        names = np.array(learned, np.uint64)
         order = np.argsort(names)
-        return cls(names[order], voter[order], VOTERS)
+        return cls(names[order], order % size, size)
 
+    def hits(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the words that it holds, their places in it)."""
+        if not len(self.names):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        at = np.flatnonzero(self.names[place] == names)
+        return at, place[at]
 
-def votes(doc: np.ndarray, names: np.ndarray, n: int, lexicon: Lexicon) -> np.ndarray:
+
+def votes(doc: np.ndarray, names: np.ndarray, n: int, lexicon: Lexicon, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """n x (voters and patterns) matrix of 0 and 1."""
     out = np.zeros((n, lexicon.size + len(PATTERNS)), np.float32)
-    place = np.minimum(np.searchsorted(lexicon.names, names), len(lexicon.names) - 1)
-    hit = np.flatnonzero(lexicon.names[place] == names)
-    out[doc[hit], lexicon.voter[place[hit]]] = 1
+    hit, place = found or lexicon.hits(names)
+    out[doc[hit], lexicon.voter[place]] = 1
     insults = K.per_doc(doc[hit], n)
     words = np.maximum(K.per_doc(doc, n), 1)
     near = hit[hit > 0]
     led = near[(doc[near - 1] == doc[near]) & _isin(names[near - 1], YOU)] if len(near) else near
     out[:, -4] = insults >= 2
     out[:, -3] = insults >= 3
-    out[:, -2] = insults * 100 >= words
+    out[:, -2] = (insults > 0) & (insults * 100 >= words)
     out[:, -1] = K.per_doc(doc[led], n) > 0
     return out
 
@@ -158,17 +157,20 @@ def _moments(df: DataFrame, lexicon: Lexicon, size: int) -> np.ndarray:
 
 
 def _counts_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label by word."""
+    """Documents of either label by word and fold."""
     for rows, buf, off in K.blocks(batches):
         doc, names = block_words(buf, off)
-        toxic = rows.column("toxic").to_numpy(zero_copy_only=False)
+        toxic, fold = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "fold"))
         order = np.lexsort((names, doc))
         doc, names = doc[order], names[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (names[1:] != names[:-1])
-        unique, which = np.unique(names[new], return_inverse=True)
-        bad = np.bincount(which, toxic[doc[new]] == 1, len(unique)).astype(np.int64) if len(unique) else np.zeros(0, np.int64)
-        yield K.table(name=unique.view(np.int64), toxic=bad, clean=(np.bincount(which, minlength=len(unique)) - bad if len(unique) else bad))
+        doc, names = doc[new], names[new]
+        cells = fold[doc].astype(np.int64) * 2 + (toxic[doc] == 1)
+        unique, which = np.unique(names, return_inverse=True)
+        counts = np.bincount(which * 2 * FOLDS + cells, minlength=2 * FOLDS * len(unique)).reshape(-1, 2 * FOLDS) if len(unique) else np.zeros((0, 2 * FOLDS), np.int64)
+        columns = {f"{kind}{k}": counts[:, 2 * k + bad].astype(np.int64) for k in range(FOLDS) for bad, kind in enumerate(("clean", "toxic"))}
+        yield K.table(name=unique.view(np.int64), **columns)
 
 
 @dataclass
@@ -276,7 +278,7 @@ def evidence(toxic: float, clean: float, prior: float) -> float:
     return toxic * math.log(toxic / (n * prior)) + (clean * math.log(clean / (n * (1 - prior))) if clean else 0.0)
 
 
-def typical_shapes(shapes: dict[tuple[int, int], int], totals: dict[int, int], prior: float) -> list[tuple[int, int]]:
+def typical_shapes(shapes: dict[tuple[int, int], int], totals: dict[int, int], prior: float, rate: float = 0.1) -> list[tuple[int, int]]:
     """The (toxic, clean) whose words are typical, most evidence first. shapes: words by (toxic, clean),
     of the candidates; totals: words by documents, of all."""
     ranked = sorted(((evidence(*shape, prior), shape, n) for shape, n in shapes.items()), reverse=True)
@@ -289,34 +291,99 @@ def typical_shapes(shapes: dict[tuple[int, int], int], totals: dict[int, int], p
         own = [(value, shape, n) for value, shape, n in ranked if sum(shape) >= least]
         for i, (value, _, n) in enumerate(own):
             found += n
-            if value >= math.log(n_tests / FALSE / found):
+            if value >= math.log(n_tests / rate / found):
                 passed, kept = found, i + 1
         if passed > best[0]:
             best = (passed, [shape for _, shape, _ in own[:kept]])
-        if -least * math.log(prior) >= math.log(n_tests / FALSE):
+        if -least * math.log(prior) >= math.log(n_tests / rate):
             break  # every pure word passes from here on
     return best[1]
 
 
-def typical_words(labelled: DataFrame) -> tuple[list[int], float]:
-    """Fingerprints of all words that are typical of toxic documents, most evidence first, and the share of
-    toxic documents; nothing and 0 without labels of both kinds."""
-    words = K.map_blocks(labelled.select("text", "toxic"), _counts_kernel, "name long, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    words = store.written(words, "words")
-    n = {bool(r["toxic"]): r["n"] for r in labelled.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return [], 0.0
-    prior = n[True] / (n[True] + n[False])
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """A row for each word: toxic and clean documents of each fold that hold it."""
+    columns = [f"{kind}{k}" for k in range(FOLDS) for kind in ("toxic", "clean")]
+    counted = K.map_blocks(labelled.select("text", "toxic", "fold"), _counts_kernel, "name long, " + ", ".join(f"{c} long" for c in columns))
+    return store.written(counted.groupBy("name").agg(*[F.sum(c).alias(c) for c in columns]), "words")
+
+
+def typical_words(words: DataFrame, n: dict[tuple[int, bool], int], rates: list[float], without: int | None = None) -> dict[float, list[int]]:
+    """Fingerprints of all words that are typical of toxic documents, most evidence first, for each rate of false
+    discoveries; n: documents by fold and label; ``without``: a fold that is left out."""
+    folds = [k for k in range(FOLDS) if k != without]
+    toxic, clean = (sum(n.get((k, bad), 0) for k in folds) for bad in (True, False))
+    if not toxic or not clean:
+        return {rate: [] for rate in rates}
+    prior = toxic / (toxic + clean)
+    total = lambda kind: sum((F.col(f"{kind}{k}") for k in folds[1:]), F.col(f"{kind}{folds[0]}")).alias(kind)
+    words = words.select("name", total("toxic"), total("clean")).where("toxic + clean > 0")
     candidates = words.where("toxic > 9 * clean")
     shapes = {(r["toxic"], r["clean"]): r["n"] for r in candidates.groupBy("toxic", "clean").agg(F.count("*").alias("n")).collect()}
     totals = {r["total"]: r["n"] for r in words.groupBy(F.least(F.col("toxic") + F.col("clean"), F.lit(100_000)).alias("total")).agg(F.count("*").alias("n")).collect()}
-    kept = typical_shapes(shapes, totals, prior)
-    if not kept:
-        return [], prior
-    rank = labelled.sparkSession.createDataFrame([(*shape, i) for i, shape in enumerate(kept)], "toxic long, clean long, rank int")
-    found = candidates.join(F.broadcast(rank), ["toxic", "clean"]).select("rank", "name").collect()
-    store.discard(words)
-    return [int(np.int64(name).view(np.uint64)) for _, name in sorted((r["rank"], r["name"]) for r in found)], prior
+    kept = {rate: {shape: i for i, shape in enumerate(typical_shapes(shapes, totals, prior, rate))} for rate in rates}
+    if not any(kept.values()):
+        return {rate: [] for rate in rates}
+    some = labels_frame(words, sorted(set().union(*kept.values())))
+    found = [((r["toxic"], r["clean"]), r["name"]) for r in candidates.join(F.broadcast(some), ["toxic", "clean"]).collect()]
+    return {rate: [int(np.int64(name).view(np.uint64)) for _, name in sorted((rank[shape], name) for shape, name in found if shape in rank)] for rate, rank in kept.items()}
+
+
+def labels_frame(words: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    return words.sparkSession.createDataFrame(shapes, "toxic long, clean long")
+
+
+def _folds_kernel(lexicons: dict[tuple[float, int], list[int]], models: list[LabelModel] | None):
+    """For each choice, over documents whose fold the words weren't learned from: sums of products of votes, with a leading 1
+    and the label as last voter; or, given models, the sum of posteriors' log losses."""
+    ready = {key: Lexicon.of(words, 1) for key, words in lexicons.items()}
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        ranks = {key: {int(x): i for i, x in enumerate(words)} for key, words in lexicons.items()}
+        order = {key: np.array([ranks[key][int(x)] for x in ready[key].names], np.int64) for key in ready}
+        for rows, buf, off in K.blocks(batches):
+            doc, names = block_words(buf, off)
+            toxic, fold = rows.column("toxic").to_numpy(zero_copy_only=False) == 1, rows.column("fold").to_numpy(zero_copy_only=False)
+            for k in range(FOLDS):
+                own = np.flatnonzero(fold == k)
+                if not len(own):
+                    continue
+                place = np.full(len(off) - 1, -1)
+                place[own] = np.arange(len(own))
+                mine = place[doc] >= 0
+                d, w = place[doc[mine]], names[mine]
+                hits = {rate: ready[rate, k].hits(w) for rate in {r for r, _ in CHOICES}}
+                for i, (rate, size) in enumerate(CHOICES):
+                    lexicon = Lexicon(ready[rate, k].names, order[rate, k] % size, size)
+                    ballots = votes(d, w, len(own), lexicon, hits[rate]).astype(np.float64)
+                    if models is None:
+                        x = np.column_stack((np.ones(len(own)), ballots, toxic[own]))
+                        sums[i] = sums.get(i, 0) + x.T @ x
+                    else:
+                        p = models[i].posterior(ballots).clip(1e-9, 1 - 1e-9)
+                        sums[i] = sums.get(i, 0) - np.log(np.where(toxic[own], p, 1 - p)).sum(keepdims=True)
+        for i, x in sums.items():
+            at = np.flatnonzero(x)
+            yield K.table(choice=np.full(len(at), i, np.int32), at=at.astype(np.int32), x=x.ravel()[at])
+
+    return kernel
+
+
+def choose(labelled: DataFrame, words: DataFrame, n: dict[tuple[int, bool], int], prior: float) -> tuple[float, int]:
+    """The choice of the least log loss over folds; of equal ones the first."""
+    rates = sorted({r for r, _ in CHOICES})
+    lexicons = {(rate, k): found for k in range(FOLDS) for rate, found in typical_words(words, n, rates, k).items()}
+    rows = labelled.select("text", "toxic", "fold")
+    schema = "choice int, at int, x double"
+    sums = [np.zeros((v + len(PATTERNS) + 2) ** 2) for _, v in CHOICES]
+    for r in K.map_blocks(rows, _folds_kernel(lexicons, None), schema).groupBy("choice", "at").agg(F.sum("x").alias("x")).collect():
+        sums[r["choice"]][r["at"]] = r["x"]
+    models = []
+    for x in sums:
+        side = math.isqrt(len(x))
+        models.append(fit_label_model(x.reshape(side, side)[:-1, :-1], prior))
+    losses = {r["choice"]: r["x"] for r in K.map_blocks(rows, _folds_kernel(lexicons, models), schema).groupBy("choice").agg(F.sum("x").alias("x")).collect()}
+    return CHOICES[min(range(len(CHOICES)), key=lambda i: (round(losses.get(i, math.inf), 6), i))]
 
 
 def _features_kernel(lexicon: Lexicon):
@@ -355,9 +422,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     """Fit on ``labels`` (doc_id, toxic) and ``docs`` (doc_id, text)."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Labels grow with the corpus, so the join has one form at all sizes: texts that may be labelled are dealt once.
-    labelled = store.written(docs.join(known.hint("merge"), "doc_id").select("doc_id", "text", "toxic"), "labelled")
-    found, prior = typical_words(labelled)
-    lexicon = Lexicon.of(found)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    labelled = store.written(docs.join(known.hint("merge"), "doc_id").select("doc_id", "text", "toxic", fold.alias("fold")), "labelled")
+    n = {(r["fold"], r["toxic"]): r["n"] for r in labelled.groupBy("fold", (F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    toxic, clean = (sum(v for (_, bad), v in n.items() if bad == kind) for kind in (True, False))
+    prior = toxic / (toxic + clean) if toxic and clean else 0.0
+    found, voters = [], CHOICES[0][1]
+    if prior:
+        words = word_counts(labelled)
+        rate, voters = choose(labelled, words, n, prior)
+        found = typical_words(words, n, [rate])[rate]
+        store.discard(words)
+    lexicon = Lexicon.of(found, voters)
     m = lexicon.size + len(PATTERNS) + 1
     judged = _moments(labelled.select("text", "toxic"), lexicon, m + 1) if prior else None
     model = fit_label_model(_moments(docs.select("text"), lexicon, m), prior, judged)
