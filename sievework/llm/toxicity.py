@@ -169,7 +169,7 @@ def _counts_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         cells = fold[doc].astype(np.int64) * 2 + (toxic[doc] == 1)
         unique, which = np.unique(names, return_inverse=True)
         counts = np.bincount(which * 2 * FOLDS + cells, minlength=2 * FOLDS * len(unique)).reshape(-1, 2 * FOLDS) if len(unique) else np.zeros((0, 2 * FOLDS), np.int64)
-        columns = {f"{kind}{k}": counts[:, 2 * k + bad].astype(np.int64) for k in range(FOLDS) for bad, kind in enumerate(("clean", "toxic"))}
+        columns = {f"{kind}{k}": counts[:, 2 * k + bad].astype(np.int64) for k in range(FOLDS) for kind, bad in (("toxic", 1), ("clean", 0))}
         yield K.table(name=unique.view(np.int64), **columns)
 
 

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,18 +220,41 @@ def test_decontamination(spark, docs, none):
     held = spark.createDataFrame([(1, "before " + item.translate({v: k for k, v in LOWER.items()}).replace(" ", "\n") + " after"), (2, edited), (3, prose(rng, 80)), (4, None), (None, item)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, item), (8, None), (9, "short"), (None, item), (7, item), (10, " \n"), (11, "")], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(held, bench).collect()}
-    assert set(found) == {(1, 7), (2, 7), (None, 7)} and 0 < found[2, 7] <= 6 and found[None, 7] == found[1, 7] == 0
+    assert set(found) == {(d, i) for d in (1, 2, None) for i in (7, None)} and 0 < found[2, 7] <= 6 and found[None, 7] == found[1, 7] == 0
     assert {r.doc_id for r in decontaminate.clean_stage(held, bench).collect()} == {3, 4}
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.where("false")).count() == 0
     assert decontaminate.clean_stage(docs, bench.where("false")).columns == docs.columns
 
 
-def test_short_items_lie_between_white_space(spark):
+@pytest.mark.parametrize(("few", "size"), [(decontaminate.FEW, 110), (1, 110), (1, None)])
+def test_items_of_a_template(monkeypatch, few, size):
+    """Items that share an opening: counting their grams at once finds what checking each finds, and soon."""
+    rng = random.Random(21)
+    opening = "which of the following statements about the passage is true: "
+    monkeypatch.setattr(decontaminate, "FEW", few)
+    items = [(i, decontaminate.normal(opening + prose(rng, 16 if size else 8))[:size]) for i in range(3000 if size else 300)]
+    docs = [f"{prose(rng, 9)} {opening}{prose(rng, 9)}" for _ in range(12)]
+    for i in (5, 70, 299):
+        text = items[i][1].decode(errors="replace")
+        docs += [f"x {text} y", f"{text[:30]}??{text[31:]}"]
+    raw = [decontaminate.normal(d) for d in docs]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    matcher = decontaminate.Matcher(items)
+    began = time.perf_counter()
+    found = set(matcher.find(buf, off))
+    took = time.perf_counter() - began
+    monkeypatch.setattr(decontaminate, "SHARED", 10**9)
+    began = time.perf_counter()
+    assert found == set(decontaminate.Matcher(items).find(buf, off)) and {n for _, n, _ in found} >= {5, 70, 299}
+    assert size is None or took < (time.perf_counter() - began) / 2
+
+
+def test_short_items_lie_between_word_bounds(spark):
     texts = ["a Short\ttext", "shortest", "unshort", "short", "so short.", "in\nshort", "", None, "sh ort", "short short"]
     held = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame([(1, " short "), (2, "x" * 39), (3, "y")], "item_id long, text string")
-    assert {tuple(r) for r in decontaminate.leaks(held, bench).collect()} == {(i, 1, 0) for i in (0, 3, 5, 9)}
-    assert {r.doc_id for r in decontaminate.clean_stage(held, bench).collect()} == {1, 2, 4, 6, 7, 8}
+    assert {tuple(r) for r in decontaminate.leaks(held, bench).collect()} == {(i, 1, 0) for i in (0, 3, 4, 5, 9)}
+    assert {r.doc_id for r in decontaminate.clean_stage(held, bench).collect()} == {1, 2, 6, 7, 8}
 
 
 def test_items_in_blocks(spark, monkeypatch):
