@@ -5,8 +5,8 @@ counts, however many pieces there are. The driver plans on that histogram by bra
 decreasing of the whole histogram is the first incumbent, so no plan is worse; a branch fills the bin of
 the largest remaining length (with least waste, or with the largest lengths) as often as the counts
 allow, ends when a lower bound says that it can't beat the incumbent, and the last pieces are solved one
-by one. The search ends at the bound, or after ``BRANCH_NODES`` fillings beyond its first descent, so a
-plan above the bound needn't be the best one.
+by one. The search ends at the bound, after ``BRANCH_NODES`` fillings beyond its first descent, or when
+``PLAN_STEPS`` are spent, so a plan above the bound needn't be the best one.
 Tasks then look up each piece's bin from its rank among equal lengths.
 
 Ranks are counted within tasks and shifted by the counts of the tasks before, so a length that a
@@ -38,6 +38,8 @@ from sievework.llm import textkit as K
 CAPACITY = 4096
 #: Steps that the search for one bin's completion, and that for the last bins, may take.
 COMPLETION_STEPS, TAIL_STEPS = 4000, 60_000
+#: Steps of all such searches of a plan together, which bounds the time that the driver plans for.
+PLAN_STEPS = 800_000
 #: Fillings that are weighed for each of the last bins.
 WIDTH = 200
 #: Fillings that are tried after the first descent.
@@ -48,6 +50,22 @@ TAIL_PIECES = 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
+class Steps:
+    """What is left of the steps of a plan."""
+
+    def __init__(self, left: int = PLAN_STEPS):
+        self.left = left
+
+    def grant(self, wanted: int) -> int:
+        """At most ``wanted`` steps; what isn't used comes back by ``back``."""
+        given = min(wanted, self.left)
+        self.left -= given
+        return given
+
+    def back(self, unused: int) -> None:
+        self.left += max(unused, 0)
+
+
 class Histogram:
     """Counts of the remaining lengths, with the largest length up to a bound."""
 
@@ -74,7 +92,7 @@ class Histogram:
             self.counts[length] = self.counts.get(length, 0) + n * times
 
 
-def completion(left: Histogram, room: int, first: int) -> dict[int, int]:
+def completion(left: Histogram, room: int, first: int, budget: Steps) -> dict[int, int]:
     """Lengths that fill ``room`` beside ``first`` with the least waste that the search finds.
 
     Larger lengths are tried first, so a filling dominated by one that holds a single length in place
@@ -82,7 +100,7 @@ def completion(left: Histogram, room: int, first: int) -> dict[int, int]:
     left of the room can't lower the waste.
     """
     best: tuple[int, dict[int, int]] = (room, {})
-    steps = COMPLETION_STEPS
+    steps = budget.grant(COMPLETION_STEPS)
     spare = dict(left.counts)
     spare[first] -= 1
     order = left.order
@@ -106,6 +124,7 @@ def completion(left: Histogram, room: int, first: int) -> dict[int, int]:
         return False
 
     fill(room, len(order), {})
+    budget.back(steps)
     return best[1]
 
 
@@ -125,11 +144,12 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def solve_tail(lengths: list[int], capacity: int) -> list[list[int]]:
+def solve_tail(lengths: list[int], capacity: int, budget: Steps | None = None) -> list[list[int]]:
     """Few pieces in as few bins as branch and bound finds within its steps."""
     incumbent = best_fit(lengths, capacity)
     least = -(-sum(lengths) // capacity)
-    steps = TAIL_STEPS
+    budget = budget or Steps(TAIL_STEPS)
+    steps = budget.grant(TAIL_STEPS)
 
     def fillings(items: list[int], room: int) -> Iterator[list[int]]:
         """Fillings of ``room`` from ``items`` (largest first), none of which holds another's rest."""
@@ -163,6 +183,7 @@ def solve_tail(lengths: list[int], capacity: int) -> list[list[int]]:
             descend(after, [*done, [largest, *filling]], waste + capacity - largest - sum(filling))
 
     descend(sorted(lengths, reverse=True), [], 0)
+    budget.back(steps)
     return incumbent
 
 
@@ -215,12 +236,12 @@ def fillings(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     left, remaining = Histogram(counts), sum(counts.values())
     done: list[tuple[dict[int, int], int]] = []
     others: list[list[tuple[dict[int, int], int]]] = []
-    n_done, nodes, reached = 0, BRANCH_NODES, False
+    n_done, nodes, reached, budget = 0, BRANCH_NODES, False, Steps()
 
     def choices() -> list[tuple[dict[int, int], int]]:
         """The filling of least waste; the one of largest lengths; the first for half the bins."""
         largest = int(left.order[-1])
-        tight = completion(left, capacity - largest, largest) if largest < capacity else {}
+        tight = completion(left, capacity - largest, largest, budget) if largest < capacity else {}
         tight[largest] = tight.get(largest, 0) + 1
         wide, room = {largest: 1}, capacity - largest
         for length in left.up_to(room):
@@ -237,7 +258,7 @@ def fillings(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
 
     while n_best > least:
         if remaining <= TAIL_PIECES and n_done + least_bins(left.counts, capacity) < n_best:
-            tail = solve_tail([k for k, n in left.counts.items() for _ in range(n)], capacity)
+            tail = solve_tail([k for k, n in left.counts.items() for _ in range(n)], capacity, budget)
             if n_done + len(tail) < n_best:
                 best, n_best = [*done, *((dict(Counter(b)), 1) for b in tail)], n_done + len(tail)
             reached, ways = True, []
@@ -252,7 +273,7 @@ def fillings(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
             remaining += times * sum(filling.values())
             ways = others.pop()
         nodes -= reached  # the first descent is free
-        if not ways or nodes < 0:
+        if not ways or nodes < 0 or not budget.left:
             break
         filling, times = ways.pop(0)
         left.take(filling, times)
