@@ -324,6 +324,22 @@ def test_secrets(spark, docs, none):
     assert again.where("rule != 'hex@2'").count() == first
 
 
+def test_secrets_of_one_text_in_blocks(spark):
+    words = [hashlib.sha256(str(i).encode()).hexdigest()[:32] + "é" * (i % 7 == 0) + f" token={'a' * (i % 9)}" * (i % 5 == 0) + f" secret={'b' * 30}" * (i % 11 == 0) for i in range(4 * secrets.BLOCK)]
+    cases = {1: " ".join(words), 2: " ".join(words[: secrets.BLOCK]), 3: "f" * 24, 4: "", 5: "none", 6: f"token={'c' * 40} x"}
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in cases.items()], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in secrets.secrets_query(docs).collect()}
+    clean = {r.doc_id: r for r in secrets.redact_stage(docs).collect()}
+    for i, t in cases.items():
+        found = base_spans(t)
+        assert got[i].spans == ",".join(f"{kind}:{a}:{e}" for a, _, e, kind in found)
+        out, at = "", 0
+        for a, _, e, _ in found:
+            out += t[at:a] + "[secret]" if a >= at else ""
+            at = max(at, e)
+        assert (clean[i].text, clean[i].n_chars) == (out + t[at:], len(out + t[at:]))
+
+
 def tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -403,6 +419,39 @@ def test_plans_reach_the_bound():
         assert runs["n_bins"] <= max(-(-int(lengths.sum()) // 4096), int((lengths > 2048).sum())) * 1.05 + 1
 
 
+def fewest_bins(lengths: list[int], capacity: int) -> int:
+    """The least number of bins, by all sets of pieces: (bins, room used of the last one) of each set."""
+    best = {0: (1, 0)}
+    for chosen in range(1, 1 << len(lengths)):
+        ways = []
+        for i, length in enumerate(lengths):
+            if chosen >> i & 1:
+                bins, used = best[chosen ^ 1 << i]
+                ways.append((bins, used + length) if used + length <= capacity else (bins + 1, length))
+        best[chosen] = min(ways)
+    return best[(1 << len(lengths)) - 1][0]
+
+
+def test_small_plans_are_optimal():
+    rng = random.Random(11)
+    for trial in range(60):
+        low = rng.choice((1, 600, 1100, 1400))
+        lengths = [rng.randrange(low, rng.choice((1500, 2100, 4097))) for _ in range(rng.randrange(1, 11))]
+        if trial % 3 == 0:  # perfect triplets
+            pairs = [(rng.randrange(1100, 1500), rng.randrange(1000, 1400)) for _ in range(3)]
+            lengths = [x for a, b in pairs for x in (a, b, 4096 - a - b)]
+        assert packing.plan(dict(Counter(lengths)))["n_bins"] == fewest_bins(lengths, 4096)
+
+
+def test_planning_ends_within_its_steps():
+    rng = random.Random(12)
+    for low, high, n in ((1024, 2048, 600), (1100, 1901, 1000)):
+        counts = dict(Counter(rng.choices(range(low, high), k=n)))
+        began = time.monotonic()
+        assert packing.least_bins(counts, 4096) <= packing.plan(counts)["n_bins"] <= len(packing.best_fit([k for k, m in counts.items() for _ in range(m)], 4096))
+        assert time.monotonic() - began < 30  # some 3 s; without a bound on all searches over 80
+
+
 def test_plans_are_no_worse_than_best_fit():
     rng = random.Random(10)
     cases = [{2049: 100, 1366: 100, 89: 2300}]
