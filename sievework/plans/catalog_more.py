@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from sievework.plans import workflows
 from sievework.plans.catalog import query, table
 from sievework.sources import acquisition, arrays, documents, trends
 from sievework.sources.tables import Store
+from sievework.streaming import stateful
 
 
 def scratch_store(spark: SparkSession) -> Store:
@@ -254,3 +256,54 @@ def e158_benchmark_pairs(spark, d):
     own = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     one = lambda name: own.where(F.col("event_type") == name).select(F.lit("h").alias("host"), "n", "mean")
     return evidence.benchmark_pairs(one("click"), one("view"), ["host"], ["n", "mean"])
+
+
+@query("""WITH b AS (SELECT concat(user_id, '-', event_type) AS key, event_id AS id, epoch_us(ts) AS "at", lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)
+SELECT key, id, "at", CASE WHEN before IS NULL OR "at" - before >= 43200000000 THEN 'first' ELSE 'repeat' END AS status FROM b""")
+def e210_expiring_first_seen(spark, d):
+    events = table(spark, d, "events").withColumn("key", F.concat_ws("-", "user_id", "event_type"))
+    return stateful.expiring_first_seen(events, "key", "ts", "event_id", timedelta(hours=12))
+
+
+#: What a document's record must be like: a closed object of an id, a language, a source and sizes.
+RECORD = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["id", "lang", "sizes"],
+    "properties": {
+        "id": {"type": "string", "pattern": "^[0-9]+$"},
+        "lang": {"enum": ["en", "de", "es", "fr"]},
+        "source": {"$ref": "#/$defs/name"},
+        "sizes": {"type": "array", "minItems": 1, "items": {"type": "integer", "minimum": 1, "maximum": 20000}},
+    },
+    "$defs": {"name": {"type": ["string", "null"], "minLength": 3}},
+}
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 7 AS fault, n_chars, lang, source FROM documents),
+p AS (SELECT doc_id, concat_ws(',',
+ CASE WHEN fault = 3 THEN '$.lang: required' END,
+ CASE WHEN fault = 4 THEN '$.more: additionalProperties' END,
+ CASE WHEN fault = 1 THEN '$.id: type' END,
+ CASE WHEN fault <> 3 AND (lang IS NULL OR lang NOT IN ('en', 'de', 'es', 'fr')) THEN '$.lang: enum' END,
+ CASE WHEN source IS NOT NULL AND length(source) < 3 THEN '$.source: minLength' END,
+ CASE WHEN fault = 5 THEN '$.sizes: minItems' END,
+ CASE WHEN fault = 6 THEN '$.sizes[0]: type' END,
+ CASE WHEN fault NOT IN (5, 6) AND n_chars < 1 THEN '$.sizes[0]: minimum' END,
+ CASE WHEN fault NOT IN (5, 6) AND n_chars > 20000 THEN '$.sizes[0]: maximum' END) AS problems FROM d WHERE fault <> 2
+ UNION ALL SELECT doc_id, '$: json' FROM d WHERE fault = 2)
+SELECT doc_id, problems, nullif(split_part(problems, ',', 1), '') AS first_problem FROM p""")
+def e001_contract_problems(spark, d):
+    fault = F.col("doc_id") % 7
+    size = F.when(fault == 6, F.concat(F.lit('"'), F.col("n_chars").cast("string"), F.lit('"'))).when(fault == 5, F.lit("")).otherwise(F.col("n_chars").cast("string"))
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    parts = [
+        F.concat(F.lit('"id":'), F.when(fault == 1, F.col("doc_id").cast("string")).otherwise(quoted(F.col("doc_id").cast("string")))),
+        F.when(fault != 3, F.concat(F.lit('"lang":'), quoted(F.col("lang")))),
+        F.concat(F.lit('"source":'), quoted(F.col("source"))),
+        F.concat(F.lit('"sizes":['), size, F.lit("]")),
+        F.when(fault == 4, F.lit('"more":1')),
+        F.when(fault == 2, F.lit('"id":NaN')),
+    ]
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("document"))
+    return documents.contract_problems(rows, RECORD).select("doc_id", F.array_join("problems", ",").alias("problems"), "first_problem")

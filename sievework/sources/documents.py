@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions import contracts
 from sievework.functions import text as X
 
 
@@ -142,6 +143,22 @@ MANIFEST: dict[str, tuple[type, str]] = {
 }
 
 
+def contract_problems(documents: DataFrame, schema: Mapping, column: str = "document") -> DataFrame:
+    """The rows with ``problems`` (each ``place: keyword``) and ``first_problem`` of a JSON text under a schema."""
+    parsed = documents.withColumn("_parsed", F.try_parse_json(column))
+    found = parsed.withColumn("problems", contracts.problems(F.col("_parsed"), schema)).drop("_parsed")
+    return found.withColumn("first_problem", F.get("problems", F.lit(0)))
+
+
+def read_contracted(spark: SparkSession, path: str, root: str, schema: Mapping) -> dict:
+    """A JSON document under a trusted root that keeps to a schema, or an error that names the first problem."""
+    document = read_document(path, root, {})
+    row = contract_problems(spark.createDataFrame([(json.dumps(document, ensure_ascii=False),)], "document string"), schema).first()
+    if row["first_problem"] is not None:
+        raise SourceError("manifest_invalid", fields=row["first_problem"])
+    return document
+
+
 def field_problems(document: Mapping, fields: Mapping[str, tuple[type, str]]) -> list[str]:
     """The places of a document whose value is missing, of another type, negative, or not of the pattern."""
     out = []
