@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sievework import schemas as S
 from sievework.plans import workflows as W
 from sievework.session import session
+from sievework.sources import migrations
 from sievework.sources.acquisition import git_lineage
 from sievework.sources.documents import SourceError, read_document, read_manifest
 from sievework.sources.tables import IdentityConflict, Store
@@ -29,7 +30,7 @@ COMMANDS: dict[str, tuple[str, tuple[str, ...], Callable]] = {
     "stage-raw-batch": ("cleanse a raw batch", ("root", "batch"), lambda s, a: W.stage_batch(Store(s, a.root), a.batch)),
     "report-population": ("assess a staged batch", ("root", "batch"), lambda s, a: W.report_population(Store(s, a.root), a.batch)),
     "report-real-run": ("reconcile all layers", ("root",), lambda s, a: W.report_layers(Store(s, a.root))),
-    "build-temporal-split": ("isolate duplicates and split by date", ("root", "run", "commit", "manifest_sha256"), lambda s, a: W.build_split(Store(s, a.root), a.run, a.commit, a.manifest_sha256)),
+    "build-temporal-split": ("isolate duplicates and split by date; repository: the clean checkout that runs; manifest: the run's", ("root", "run", "repository", "manifest"), lambda s, a: W.build_split_here(Store(s, a.root), a.run, a.repository, a.manifest)),
     "evaluate-majority-baseline": ("metrics of the majority label; rows: split_assignment, label", ("rows",), lambda s, a: W.majority_baseline(_rows(s, a), "split_assignment", "label")),
     "analyze-errors": ("slices of errors; rows: actual, predicted, received, chars; training: label, n", ("rows", "training"), lambda s, a: W.error_analysis(_rows(s, a), list(S.LABELS), s.read.parquet(a.training))),
     "profile-tokens": ("length quantiles and truncation; rows: length, label", ("rows",), lambda s, a: W.token_profile(_rows(s, a), "length", "label")),
@@ -38,6 +39,10 @@ COMMANDS: dict[str, tuple[str, tuple[str, ...], Callable]] = {
     "analyze-abstention": ("coverage and risk by threshold; rows: actual, predicted, confidence", ("rows",), lambda s, a: W.analyse_abstention(_rows(s, a), list(range(len(S.LABELS))))),
     "compare-models": ("per-class wins of two models; each: label, support, f1", ("rows", "other"), lambda s, a: W.compare_models(_rows(s, a), s.read.parquet(a.other))),
     "profile-taxonomy": ("labels by month of an aggregate response", ("path",), lambda s, a: W.taxonomy(s, a.path)),
+    "fetch-taxonomy": ("labels by month of an aggregate response over HTTPS", ("url",), lambda s, a: W.fetch_taxonomy(s, a.url)),
+    "draw-figures": ("reliability and risk-coverage figures; rows: scores, label_id, partition (fit or evaluation)", ("rows", "root"), lambda s, a: W.draw_figures(_rows(s, a), F.col("scores"), F.col("label_id"), list(range(len(S.LABELS))), F.col("partition") == "fit", a.root)),
+    "migrate": ("bring a store's tables to a revision, or to base", ("root", "revision"), lambda s, a: W.migrate(Store(s, a.root), a.revision)),
+    "migration-sql": ("the statements between two revisions; nothing is run", ("root", "start", "revision"), lambda s, a: {"statements": migrations.statements(a.start, a.revision, a.root)}),
     "publish-shard": ("a downloaded file as an artifact named by its content", ("path", "root"), lambda s, a: W.publish_shard(a.path, a.root)),
     "acquire-run": ("download every month; counts: a JSON file of records by month", ("root", "run", "base", "counts"), lambda s, a: W.acquire(s, a.root, a.run, a.base, read_document(a.counts, ".", {}))),
     "retention-checkpoint": ("whether raw data is due for removal", ("deadline", "now"), lambda s, a: W.retention_checkpoint(s, a.deadline, a.now)),

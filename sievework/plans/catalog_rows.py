@@ -139,6 +139,20 @@ def e161_reliability_points(spark, d):
     return rounded(calibration.equal_width(scored_embeddings(spark, d)).where("n > 0").select("bin", "mean_confidence"), "mean_confidence")
 
 
+@query("""WITH z AS (SELECT vec_id, label, t, CAST(unnest(embedding[1:10]) AS DOUBLE) / t AS z, generate_subscripts(embedding[1:10], 1) - 1 AS i FROM embeddings CROSS JOIN (VALUES (CAST(1.0 AS DOUBLE)), (CAST(0.4 AS DOUBLE))) AS x(t)),
+e AS (SELECT *, max(z) OVER (PARTITION BY vec_id, t) AS top, exp(z - max(z) OVER (PARTITION BY vec_id, t)) AS ez FROM z),
+v AS (SELECT vec_id, t, label, 1 / sum(ez) AS confidence, min(i) FILTER (WHERE z = top) AS predicted FROM e GROUP BY ALL),
+b AS (SELECT t, CAST(least(floor(confidence * 15), 14) AS INTEGER) AS bin, avg(confidence) AS c, avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END) AS a FROM v GROUP BY 1, 2)
+SELECT CASE WHEN t = 1 THEN 'before' ELSE 'after' END AS series, bin, round(70 + c * 570, 4) AS x, round(400 - a * 350, 4) AS y FROM b""")
+def e161_reliability_curves(spark, d):
+    """The points of the reliability figure, before and after a temperature."""
+    from sievework.sources import figures
+
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    bins = {name: calibration.equal_width(calibration.scored(rows, F.slice("embedding", 1, 10), F.col("label"), heat)) for name, heat in (("before", 1.0), ("after", 0.4))}
+    return rounded(figures.reliability_points(bins), "x", "y", digits=4)
+
+
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS events_of_user FROM events")
 def e092_partition_count(spark, d):
     return staging.with_copies(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "events_of_user")

@@ -6,8 +6,10 @@ result; one that would differ raises ``IdentityConflict``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import urlsplit
+import json
+from collections.abc import Callable, Iterator
+from functools import wraps
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,24 @@ from pyspark.sql import functions as F
 from sievework import schemas as S
 from sievework.functions import text as X
 from sievework.operators import abstention, calibration, evidence, features, metrics, profile, rules, split, staging
-from sievework.sources import acquisition, http, trends
+from sievework.sources import acquisition, figures, http, migrations, tables, trends
 from sievework.sources import documents as sources
 from sievework.sources.tables import Store
 
 
+def reported(*fields: str) -> Callable[[Callable[..., dict]], Callable[..., dict]]:
+    """A command whose report has exactly these fields; an error where it hasn't."""
+
+    def wrap(f: Callable[..., dict]) -> Callable[..., dict]:
+        @wraps(f)
+        def run(*args: object, **kwargs: object) -> dict:
+            return tables.closed(f(*args, **kwargs), set(fields))
+
+        return run
+
+    return wrap
+
+
 def row_report(df: DataFrame) -> dict:
     """A one-row table as a report."""
     first = df.first()
@@ -57,6 +72,7 @@ def ingest(store: Store, manifest: dict, files: str) -> dict:
     return {"batch_id": batch, "written": written, **{k: str(v) if k.endswith("date") else v for k, v in seen.items()}}
 
 
+@reported("batch_id", "written", "counts", "reasons")
 def stage_batch(store: Store, batch: str) -> dict:
     raw = store.read("raw.complaints", batch)
     flag = staging.guaranteed_batches(store.read("raw.ingestion_batches", batch)).first()
@@ -67,6 +83,7 @@ def stage_batch(store: Store, batch: str) -> dict:
     return {"batch_id": batch, "written": written, "counts": row_report(staging.stage_header(stored)), "reasons": table_report(staging.reason_counts(stored, "quarantine_reasons").orderBy("reason"))}
 
 
+@reported("batch_id", "written", "counts", "reasons", "languages")
 def report_population(store: Store, batch: str, identify: staging.Identifier = staging.stop_word_language, detector: str = "stop-words") -> dict:
     outcomes = staging.assess(store.read("staging.complaint_outcomes", batch), identify)
     counts = staging.population_header(outcomes)
@@ -81,6 +98,7 @@ def report_layers(store: Store) -> dict:
     return row_report(rules.layer_report(store.read("raw.complaints"), store.read("staging.complaint_outcomes"), store.read("analytical.population_outcomes")))
 
 
+@reported("run_id", "written", "counts", "checks", "constraints")
 def build_split(store: Store, run: str, commit: str, manifest_sha256: str, fingerprint: Column | None = None) -> dict:
     """The duplicate-isolated temporal split of all eligible rows, stored under a run id."""
     population, staged = store.read("analytical.population_outcomes"), store.read("staging.complaint_outcomes")
@@ -103,6 +121,15 @@ def build_split(store: Store, run: str, commit: str, manifest_sha256: str, finge
     return {"run_id": run, "written": written, "counts": row_report(split.split_counts(out)), "checks": row_report(checks), "constraints": table_report(rules.table_violations(store.read("analytical.split_outcomes", run), "analytical.split_outcomes").orderBy("rule"))}
 
 
+def build_split_here(store: Store, run: str, repository: str, manifest: str, fingerprint: Column | None = None) -> dict:
+    """``build_split`` under the lineage that is there: the commit that is checked out, which must be clean, and the manifest's hash."""
+    commit, clean = acquisition.git_lineage(repository)
+    if not clean:
+        raise sources.SourceError("lineage_not_clean")
+    return build_split(store, run, commit, acquisition.file_sha256(manifest), fingerprint)
+
+
+@reported("label", "metrics")
 def majority_baseline(rows: DataFrame, split_column: str, label: str) -> dict:
     """The training majority label's metrics on every split."""
     counts = rows.groupBy(F.col(split_column).alias("split"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
@@ -112,6 +139,7 @@ def majority_baseline(rows: DataFrame, split_column: str, label: str) -> dict:
     return {"label": best, "metrics": table_report(metrics.summary(metrics.per_class(matrix, ["split"]), ["split"]).orderBy("split"))}
 
 
+@reported("overall", "per_class", "top_confusions", "months", "lengths", "rarity", "weakest")
 def error_analysis(rows: DataFrame, labels: list[str], training: DataFrame) -> dict:
     """rows: actual, predicted, received (date), chars; training: label, n."""
     matrix = metrics.confusion(rows, "actual", "predicted", labels)
@@ -134,6 +162,7 @@ def error_analysis(rows: DataFrame, labels: list[str], training: DataFrame) -> d
     }
 
 
+@reported("lengths", "truncation")
 def token_profile(rows: DataFrame, length: str, label: str) -> dict:
     hist = profile.histogram(rows, length, label)
     return {"lengths": table_report(profile.length_profile(hist).orderBy("label")), "truncation": table_report(profile.truncation(hist).orderBy("label", "max_length"))}
@@ -143,6 +172,7 @@ def dataset_shapes(rows: DataFrame, key: str, length: str) -> dict:
     return row_report(profile.collation(profile.length_groups(rows, key, length), length))
 
 
+@reported("temperature", "nll", "before", "after", "checks")
 def calibrate(rows: DataFrame, scores: Column, label: Column, classes: int, fit_on: Column) -> dict:
     """Fit a temperature on one part of the rows and measure the other before and after."""
     fitted = calibration.fit_temperature(rows.where(fit_on), scores, label)
@@ -156,20 +186,63 @@ def calibrate(rows: DataFrame, scores: Column, label: Column, classes: int, fit_
     return {**fitted, "before": measured(1.0), "after": measured(fitted["temperature"]), "checks": row_report(calibration.checks(checked, classes)) | row_report(calibration.invariant(rest, scores, fitted["temperature"]))}
 
 
+@reported("temperature", "figures")
+def draw_figures(rows: DataFrame, scores: Column, label: Column, labels: list, fit_on: Column, root: str) -> dict:
+    """Reliability before and after scaling, and risk by coverage after it, of the rows that the temperature isn't fitted on.
+    Each figure is published once."""
+    heat = calibration.fit_temperature(rows.where(fit_on), scores, label)["temperature"]
+    before, after = (calibration.scored(rows.where(~fit_on), scores, label, t) for t in (1.0, heat))
+    swept = abstention.sweep(after.select(F.col("_label").alias("actual"), "predicted", "confidence"), labels)
+    drawn = {
+        "reliability.svg": figures.reliability_svg({"before scaling": calibration.equal_width(before), "after scaling": calibration.equal_width(after)}),
+        "risk-coverage.svg": figures.risk_coverage_svg(swept),
+    }
+    return {"temperature": heat, "figures": [tables.publish_text(rows.sparkSession, f"{root.rstrip('/')}/{name}", text) for name, text in drawn.items()]}
+
+
+@reported("from", "to", "steps")
+def migrate(store: Store, to: str) -> dict:
+    """Bring a store's tables to a revision, up or down."""
+    at = migrations.current(store)
+    up = all(way == "up" for way, _ in migrations.planned(at, to))
+    return {"from": at, "to": to, "steps": migrations.upgrade(store, to) if up else migrations.downgrade(store, to)}
+
+
+@reported("thresholds", "selection", "blocking")
 def analyse_abstention(rows: DataFrame, labels: list) -> dict:
     """rows: actual, predicted, confidence."""
     swept = abstention.sweep(rows, labels)
     return {"thresholds": table_report(swept.orderBy("threshold")), "selection": row_report(abstention.select_threshold(swept)), "blocking": table_report(abstention.blocking(swept).orderBy("threshold"))}
 
 
+@reported("labels", "wins")
 def compare_models(ours: DataFrame, theirs: DataFrame, metric: str = "f1") -> dict:
     comparison = metrics.compared(ours, theirs, metric)
     return {"labels": table_report(comparison.orderBy("label")), "wins": table_report(metrics.win_counts(comparison).orderBy("winner"))}
 
 
+def fetched_trends(spark: SparkSession, url: str, scheme: str = "https") -> DataFrame:
+    """The aggregate response of a URL that asks for no rows, of ``trends.TREND_BYTES`` at most."""
+    if set(parse_qs(urlsplit(url).query, keep_blank_values=True)) & trends.ROW_PARAMETERS:
+        raise sources.SourceError("url_refused")
+    spark.dataSource.register(http.BoundedHttp)
+    options = {"urls": json.dumps([url]), "host": urlsplit(url).hostname or "", "scheme": scheme, "maxbytes": str(trends.TREND_BYTES)}
+    return spark.read.format("bounded_http").options(**options).load().select("document")
+
+
+def fetch_taxonomy(spark: SparkSession, url: str, start: str = S.WINDOW_START[:7], end: str = S.WINDOW_END[:7], scheme: str = "https") -> dict:
+    """``taxonomy`` of a response over HTTP, asked for once and never written."""
+    document = fetched_trends(spark, url, scheme).first()["document"]  # one response, its bytes bounded
+    return taxonomy_of(spark.createDataFrame([(document,)], "document string"), start, end)
+
+
 def taxonomy(spark: SparkSession, path: str, start: str = S.WINDOW_START[:7], end: str = S.WINDOW_END[:7]) -> dict:
+    return taxonomy_of(spark.read.text(path, wholetext=True).withColumnRenamed("value", "document"), start, end)
+
+
+@reported("checks", "labels")
+def taxonomy_of(documents: DataFrame, start: str, end: str) -> dict:
     """Labels by month of an aggregate response, and its checks against the taxonomy."""
-    documents = spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
     months = trends.trend_months(documents)
     checks = trends.trend_checks(months, trends.trend_totals(documents), start, end, S.LABELS, S.LEGACY_LABELS)
     return {"checks": row_report(checks), "labels": table_report(months.groupBy("label").agg(F.sum("n").alias("n"), F.min("month").alias("first"), F.max("month").alias("last")).orderBy("label"))}
@@ -180,6 +253,7 @@ def publish_shard(path: str, root: str) -> dict:
     return vars(acquisition.stream_artifact(acquisition.file_chunks(path), root))
 
 
+@reported("run_id", "shards", "records")
 def acquire(spark: SparkSession, root: str, run: str, base: str, counts: dict[str, int], *, start: str = S.WINDOW_START, end: str = S.WINDOW_END, scheme: str = "https", pause: float = 35.0) -> dict:
     """Download every month's export, inspect it, and publish the run's manifest; all of it or nothing."""
     months = {r["month"]: r for r in sources.monthly_shards(spark, start, end).orderBy("month").collect()}
@@ -204,18 +278,21 @@ def acquire(spark: SparkSession, root: str, run: str, base: str, counts: dict[st
     return {"run_id": run, "shards": len(shards), "records": sum(int(s["returned_record_count"]) for s in shards)}  # type: ignore[call-overload]
 
 
+@reported("status", "days_left", "cleanup_required")
 def retention_checkpoint(spark: SparkSession, deadline: str, now: str) -> dict:
     at = lambda x: F.lit(x).cast("timestamp")
     found = row_report(spark.range(1).select(sources.retention(at(deadline), at(now)).alias("r")).select("r.*"))
     return {**found, "cleanup_required": found["status"] == "overdue"}
 
 
+@reported("run_id", "executed", "artifacts")
 def cleanup_run(root: str, manifest: dict, execute: bool = False, confirmation: str | None = None) -> dict:
     """What a run's artifacts are; with ``execute`` and the run's id, their removal."""
     shards = [{"relative_path": s["artifact_relative_path"], "sha256": s["artifact_sha256"]} for s in manifest["shards"]]
     return {"run_id": manifest["run_id"], "executed": execute, "artifacts": acquisition.cleanup(root, manifest["run_id"], shards, execute=execute, confirmation=confirmation)}
 
 
+@reported("model", "selected", "candidates")
 def train(rows: DataFrame, text: str, label: str, labels: list[str], path: str, *, candidates: dict | None = None, max_iter: int = 200, min_df: int = 5) -> dict:
     """Search the candidates on the train and validation rows (split_assignment) and save the best model once."""
     of = lambda name: rows.where(F.col("split_assignment") == name)
@@ -232,6 +309,7 @@ def smoke(spark: SparkSession, path: str) -> dict:
     return train(table, "text", "label", ["a", "b"], path, candidates={"c1.0-none": (1.0, False)}, max_iter=50, min_df=1)
 
 
+@reported("choice", "candidates")
 def select_model(candidates: DataFrame, limits: dict[str, str] | None = None) -> dict:
     """The operational model: candidates with evidence of quality and calibration, and CPU measures.
 

@@ -43,6 +43,10 @@ class Store:
             return []
         return [r.value for r in self.spark.read.text(path if identity is None else f"{path}/{identity}").select(F.get_json_object("value", f"$['{table}']").alias("value")).collect() if r.value]
 
+    def versions(self, table: str) -> int:
+        """How many versions of a table are committed."""
+        return len(self._attempts(table))
+
     def read(self, table: str, identity: str | None = None) -> DataFrame:
         """A table with its exact schema; only the folders of the identity are listed."""
         reader = self.spark.read.schema(S.TABLES[table])
@@ -155,17 +159,21 @@ def canonical(report: dict) -> str:
 
 
 def publish(spark: SparkSession, path: str, report: dict) -> str:
-    """Write a report once by Hadoop's file system: to a name of its own, then claimed. Equal bytes that
+    """Write a report once, as canonical JSON."""
+    return publish_text(spark, path, canonical(report) + "\n")
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> str:
+    """Write a text once by Hadoop's file system: to a name of its own, then claimed. Equal bytes that
     are there are fine; others are a conflict."""
     system, target = _system(spark, path)
-    text = canonical(report) + "\n"
     if system.exists(target):
         stored = spark.read.text(path, wholetext=True).first()[0]
         if stored.rstrip("\n") != text.rstrip("\n"):
             raise IdentityConflict(path)
         return path
     if not claim(spark, path, text):
-        return publish(spark, path, report)
+        return publish_text(spark, path, text)
     return path
 
 

@@ -9,6 +9,8 @@ from sievework.functions import text as X
 
 #: Bytes of an aggregate response at most; fixed value.
 TREND_BYTES = 3_000_000
+#: Parameters of requests for rows, which a request for aggregates must not have; fixed values.
+ROW_PARAMETERS = {"format", "frm", "no_aggs", "search_term", "size"}
 
 
 def required(value: Column, kind: str, place: str) -> Column:
