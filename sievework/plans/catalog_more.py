@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as X
-from sievework.operators import evidence, staging
+from sievework.operators import evidence, similar, staging
 from sievework.plans import workflows
 from sievework.plans.catalog import query, table
 from sievework.sources import acquisition, arrays, documents, trends
@@ -265,6 +265,19 @@ def e210_expiring_first_seen(spark, d):
     return stateful.expiring_first_seen(events, "key", "ts", "event_id", timedelta(hours=12))
 
 
+@query("""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END)) AS s FROM w),
+c AS (SELECT doc_id, len(s) AS n, s, min(doc_id) OVER (PARTITION BY s) AS class_id FROM s WHERE s IS NOT NULL),
+k AS MATERIALIZED (SELECT class_id, any_value(n) AS n, unnest(any_value(s)) AS x FROM c GROUP BY class_id),
+l AS MATERIALIZED (SELECT a.class_id AS a, b.class_id AS b FROM k a JOIN k b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT DISTINCT class_id AS a, class_id AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+g AS (SELECT a AS class_id, min(b) AS group_id FROM r GROUP BY 1)
+SELECT s.doc_id AS id, coalesce(n, 0) AS n_shingles, coalesce(c.class_id, s.doc_id) AS class_id, coalesce(group_id, s.doc_id) AS group_id FROM s LEFT JOIN c ON c.doc_id = s.doc_id LEFT JOIN g ON g.class_id = c.class_id""")
+def e219_similar_narratives(spark, d):
+    """The SQL compares all pairs; MinHash may miss one link in some hundreds (none on these tables' smaller sizes)."""
+    return similar.similar_narratives(table(spark, d, "documents"), "doc_id", "text")
+
+
 #: What a document's record must be like: a closed object of an id, a language, a source and sizes.
 RECORD = {
     "type": "object",
