@@ -4,8 +4,9 @@ A text's set is its distinct shingles of five words (lower-cased, by white space
 row each and no pair. A class has ``BANDS`` keys of ``ROWS`` minima each; classes of one key are candidates, and a candidate is a link
 if 100 * common >= 80 * union, counted on the whole sets. Two sets at 0.8 meet with probability 1 - (1 - 0.8^4)^10 = 0.995.
 
-A key that more than ``HOT`` classes have is cut, never paired in full: its classes are candidates of the key's least class, and are paired
-inside finer keys, which add two minima of the next band; a finer key that is hot too is cut by a hash of the class into cells of about
+Links are found twice: first each class against the least class of its keys, a pair at most for each key it has; then, in keys whose classes these
+links haven't joined, all pairs of different groups. A key that more than ``HOT`` classes have is never paired in full: its classes are
+paired inside finer keys, which add two minima of the next band; a finer key that is hot too is cut by a hash of the class into cells of about
 half of ``HOT``, and has a least class of its own. So candidates grow with the classes, and links inside a large group are those that join it.
 
 Defined cases: a null or blank text has no set, is in no class of others and linked with nothing; one of fewer than five words is one shingle;
@@ -25,6 +26,8 @@ PERCENT = 80
 BANDS, ROWS = 10, 4
 #: Classes that a key may have to be paired in full.
 HOT = 32
+#: Classes of candidates whose names (of 32 bytes) are broadcast at most.
+WANTED = 1 << 20
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -62,38 +65,63 @@ def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return each.groupBy("kind", "n_shingles").agg(*least).select("kind", "n_shingles", F.array(*[f"m{k}" for k in range(bands * rows)]).alias("m"))
 
 
-def _sized(members: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Members of keys of 2 to ``hot`` classes, and those of larger ones with their number and least class."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct("kind", "n_shingles")).alias("_least")).where("_n > 1")
-    both = _cut(members.join(sizes, "key"))  # a key's members meet one row: the larger side of a hot key can be split
-    return both.where(F.col("_n") <= hot).select(*members.columns), both.where(F.col("_n") > hot)
+def members(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """kind, n_shingles, key and finer of each class in each band; finer adds two minima of the next band."""
+    at = lambda k: F.get("m", F.lit(k % (bands * rows)))
+    hashed = lambda b, n: F.xxhash64(F.lit(b), *[at(b * rows + r) for r in range(n)])
+    return signed.select("kind", "n_shingles", F.inline(F.array(*[F.struct(hashed(b, rows).alias("key"), hashed(b, rows + 2).alias("finer")) for b in range(bands)])))
 
 
-def _paired(members: DataFrame) -> DataFrame:
-    a, b = (members.select("key", F.col("kind").alias(x), F.col("n_shingles").alias(f"n_{x}")) for x in ("a", "b"))
-    return a.join(b, "key").where("a < b").drop("key")
+def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
 
 
-def _led(members: DataFrame) -> DataFrame:
+def _led(sized: DataFrame) -> DataFrame:
     """Every member with its key's least class."""
-    led = members.select(F.col("_least.kind").alias("a"), F.col("_least.n_shingles").alias("n_a"), F.col("kind").alias("b"), F.col("n_shingles").alias("n_b"))
+    led = sized.select(F.col("_least.kind").alias("a"), F.col("_least.n_shingles").alias("n_a"), F.col("kind").alias("b"), F.col("n_shingles").alias("n_b"))
     return led.where("a < b")
 
 
-def candidates(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, hot: int = HOT, percent: int = PERCENT) -> DataFrame:
-    """Distinct pairs a < b of classes that meet in a band and whose sizes allow a link."""
-    at = lambda k: F.get("m", F.lit(k % (bands * rows)))
-    # A band's key, and one that adds two minima of the next band.
-    keys = [F.struct(F.xxhash64(F.lit(b), *[at(b * rows + r) for r in range(rows)]).alias("key"), F.xxhash64(F.lit(b), *[at(b * rows + r) for r in range(rows + 2)]).alias("finer")) for b in range(bands)]
-    members = signed.select("kind", "n_shingles", F.inline(F.array(*keys)))
-    few, many = _sized(members, hot)
-    finer = many.select("kind", "n_shingles", F.xxhash64("key", "finer").alias("key"))
+def led_pairs(own: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Each class with the least class of its keys: one pair at most for each member."""
+    least = own.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct("kind", "n_shingles")).alias("_least")).where("_n > 1")
+    return _fitting(_led(own.join(least, "key")), percent)
+
+
+def _sized(own: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Members of keys of 2 to ``hot`` classes that aren't all joined yet, and those of larger ones with their number and least class."""
+    sizes = own.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct("kind", "n_shingles")).alias("_least"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").drop("_lo", "_hi")
+    both = _cut(own.join(sizes, "key"))  # a key's members meet one row: the larger side of a hot key can be split
+    return both.where(F.col("_n") <= hot).select(*own.columns), both.where(F.col("_n") > hot)
+
+
+def _paired(own: DataFrame) -> DataFrame:
+    a, b = (own.select("key", F.col("kind").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    return a.join(b, "key").where("a < b AND root_a != root_b").drop("key", "root_a", "root_b")
+
+
+def candidates(own: DataFrame, hot: int = HOT, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs a < b of classes of different roots that meet in a key and whose sizes allow a link.
+
+    own: ``members`` with root, what earlier links join a class to (the class itself where there is none)."""
+    few, many = _sized(own, hot)
+    finer = many.select("kind", "n_shingles", "root", F.xxhash64("key", "finer").alias("key"))
     few_finer, many_finer = _sized(finer, hot)
     cell = F.pmod(F.xxhash64("kind", "key"), F.ceil(F.col("_n") / F.lit(max(1, hot // 2))))
-    cells = many_finer.select("kind", "n_shingles", F.xxhash64("key", cell).alias("key"))
-    found = _paired(few.drop("finer")).unionByName(_paired(few_finer)).unionByName(_paired(cells)).unionByName(_led(many)).unionByName(_led(many_finer))
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return found.where(fits).select("a", "b").distinct()
+    cells = many_finer.select("kind", "n_shingles", "root", F.xxhash64("key", cell).alias("key"))
+    found = _paired(few.drop("finer")).unionByName(_paired(few_finer)).unionByName(_paired(cells)).unionByName(_led(many_finer))
+    return _fitting(found, percent)
+
+
+def sets_of(rows: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
+    """kind and set of the classes in pairs, made anew from the texts, so that sets of no candidate are never written or shuffled.
+
+    The kinds are broadcast where they are ``WANTED`` at most; beyond that, sets meet them in a shuffle."""
+    kinds = _cut(pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct())
+    texts = rows.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(text)
+    every = classes(texts.withColumn("_none", F.lit(None)), "_none", text).select(F.coalesce("kind", F.lit("")).alias("kind"), "set")  # never null, so that no filter computes it first
+    bounded = kinds.count() <= WANTED
+    return every.join(F.broadcast(kinds) if bounded else kinds, "kind", "left_semi").groupBy("kind").agg(F.first("set").alias("set"))
 
 
 def links(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -121,15 +149,23 @@ def grouped(found: DataFrame) -> DataFrame:
         roots = after.select("kind", "root")
 
 
+def _rooted(own: DataFrame, roots: DataFrame) -> DataFrame:
+    return own.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
+
+
 def similar_narratives(rows: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, class_id (least id of an equal set) and group_id (least id that links reach) of every row."""
-    own = _cut(classes(rows, key, text))
-    sets = _cut(own.where("kind IS NOT NULL").groupBy("kind").agg(F.first("n_shingles").alias("n_shingles"), F.first("set").alias("set")))
-    roots = grouped(links(sets, candidates(signatures(sets), percent=percent), percent))
-    named = own.where("kind IS NOT NULL").groupBy("kind").agg(F.min("id").alias("class_id")).join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
-    named = _cut(named)
+    whole = classes(rows, key, text)
+    own = _cut(whole.select("id", "kind", "n_shingles"))
+    met = _cut(members(signatures(whole.where("kind IS NOT NULL"))))
+    first = _cut(led_pairs(met, percent))
+    near = _cut(links(sets_of(rows, text, first), first, percent))
+    rest = _cut(candidates(_rooted(met, grouped(near)), percent=percent))
+    far = links(sets_of(rows, text, rest), rest, percent)
+    roots = grouped(near.unionByName(far))
+    named = _cut(_rooted(own.where("kind IS NOT NULL").groupBy("kind").agg(F.min("id").alias("class_id")), roots))
     heads = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
     found = named.join(heads, "root").select("kind", "class_id", "group_id")
-    out = own.select("id", "kind", "n_shingles").join(found, "kind", "left")
+    out = own.join(found, "kind", "left")
     alone = F.col("kind").isNull()
     return out.select("id", "n_shingles", *[F.when(alone, F.col("id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "group_id")])

@@ -80,10 +80,15 @@ def test_large_groups_are_cut_and_stay_whole(spark, hot, monkeypatch):
             own[dice.randrange(len(own))] = dice.choice(words)
             texts.append(" ".join(own))
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4)
-    sets = similar._cut(similar.classes(rows, "id", "text").select("kind", "n_shingles", "set").dropDuplicates(["kind"]))
-    made = similar.candidates(similar.signatures(sets), hot=hot).count()
+    met = similar._cut(similar.members(similar.signatures(similar.classes(rows, "id", "text"))))
+    pairs = similar._cut(similar.candidates(met.withColumn("root", F.col("kind")), hot=hot))
+    made = pairs.count()
     assert made <= similar.BANDS * (hot + 2) * len(texts) and (hot > 4 or made < 0.25 * 400 * 399 / 2)
-    got = dict(similar.grouped(similar.links(sets, similar.candidates(similar.signatures(sets), hot=hot))).collect())
+    first = similar._cut(similar.led_pairs(met))
+    assert first.count() <= similar.BANDS * len(texts)
+    monkeypatch.setattr(similar, "WANTED", 0 if hot == 4 else similar.WANTED)  # a shuffled join of the sets, and a broadcast one
+    both = pairs.unionByName(first).distinct()
+    got = dict(similar.grouped(similar.links(similar.sets_of(rows, "text", both), both)).collect())
     kinds = {r.id: r.kind for r in similar.classes(rows, "id", "text").collect()}
     true = groups(len(texts), linked(sets_of(texts)))
     roots = {}
