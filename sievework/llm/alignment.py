@@ -1,28 +1,29 @@
 """Cross-tokenizer alignment: two tokenizers' tokens of one text, grouped and linked by byte offsets.
 
-Python tokenises: it gives each document's ids, their lengths in bytes and their end offsets, for a byte-level BPE (A) and
-a sentence-piece BPE (B) over space + text. All else is Spark's higher-order functions: ``array_intersect`` of the end arrays
-are the cuts between groups, ``array_union`` has one end for each overlap of an A and a B token (two tokens overlap in one
-run of bytes, which ends where the first of them ends), and arrays that map a byte to its token's index
-(``transform``, ``array_repeat``, ``flatten``) turn ends into tokens. All are linear in the text.
+A text is aligned where it is tokenised: both tokenizers' ids and their ends in bytes, for a byte-level BPE (A) and a
+sentence-piece BPE (B) over space + text, become arrays of a block of documents. Ends that both have are the cuts between
+groups, and two tokens overlap in one run of bytes, which ends where the first of them ends, so each end is one link. All
+is linear in the text. A document leaves as its counts, the digest of its groups and its links, each a pair's ids as one
+number, A's in the upper half.
 
-A pair's count is the number of documents that hold it; counts combine before the shuffle. Pairs are
+A pair's count is the number of documents that hold it; Spark counts, and combines before the shuffle. Pairs are
 joined back with every link in two ways: the ``HEAVY`` most frequent at most, by powers of two, are broadcast,
 the rest, few links, meet by a shuffled join.
 
 Defined cases: a null or empty text, and one whose joined token bytes differ from space + text (U+2581 in it, say), has
 no tokens: zeros and an empty groups_sha256; a null doc_id is returned like any other; repeated rows count as documents
 of their own; ties for the best count all count; an empty table gives no rows; other columns aren't read. Texts are
-tokenised whole; a task's memory follows its longest text, some 40 bytes for each of its bytes.
+tokenised whole; a task's memory follows its longest text, some 100 bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import store, tokens
@@ -30,81 +31,84 @@ from sievework.llm import textkit as K
 
 #: Pairs that are broadcast at most.
 HEAVY = 1 << 18
-TOKENS = "doc_id long, a array<int>, len_a array<int>, end_a array<int>, b array<int>, len_b array<int>, end_b array<int>"
+ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>"
 _BLOCK = 1 << 20
 #: Pieces that a worker remembers of each tokenizer.
 _PIECES = 1_000_000
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
+def _measured(ids: np.ndarray, bounds: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each token, bytes of each document)."""
+    size = lengths[np.minimum(ids, len(lengths) - 1)]
+    return size, np.diff(np.concatenate(([0], np.cumsum(size)))[bounds])
 
 
-def _measured(ids: np.ndarray, bounds: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of each token, its end inside its document, bytes of each document)."""
-    size = lengths[np.minimum(ids, len(lengths) - 1)]
-    total = np.concatenate(([0], np.cumsum(size)))
-    start = total[bounds]
-    return size, total[1:] - np.repeat(start[:-1], np.diff(bounds)), np.diff(start)
+def _per_doc(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate(([0], np.cumsum(marks)))[bounds])
+
+
+def _decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each number's digits and a byte for what follows it, in rows of one width, and the number of digits."""
+    texts = np.arange(most).astype(np.bytes_)
+    digits = np.zeros((most, texts.dtype.itemsize + 1), np.uint8)
+    digits[:, :-1] = texts.view(np.uint8).reshape(most, -1)
+    return digits, np.char.str_len(texts)
 
 
-def _token_kernel(path_a: str, path_b: str):
+def _digests(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, bounds_a: np.ndarray, bounds_b: np.ndarray, decimals: tuple[np.ndarray, np.ndarray]) -> list[str]:
+    """groups_sha256 of each document; ``cut_a`` and ``cut_b`` mark the tokens that end a group."""
+    digits, width = decimals
+    # A token's place: after all of its own kind before it, and the other kind's of groups before (of A's own, too, for B's).
+    ends_a, ends_b = np.flatnonzero(cut_a) + 1, np.flatnonzero(cut_b) + 1
+    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    ids, after = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    at_a = np.arange(len(a)) + np.concatenate(([0], ends_b))[group_a]
+    at_b = np.arange(len(b)) + ends_a[group_b]
+    ids[at_a], ids[at_b] = a, b
+    after[at_a], after[at_b] = np.where(cut_a, ord("|"), ord(",")), np.where(cut_b, ord(";"), ord(","))
+    rows = digits[ids]
+    rows[np.arange(len(ids)), -1] = after
+    text = rows[rows != 0].tobytes()
+    ends = np.concatenate(([0], np.cumsum(width[ids] + 1)))[bounds_a + bounds_b].tolist()
+    return [hashlib.sha256(text[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _kernel(path_a: str, path_b: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = tokens.Encoder.of(path_a, literals=False, most=_PIECES), tokens.PieceEncoder.of(path_b, most=_PIECES)
+        decimals = _decimals(max(len(first.lengths()), len(second.lengths())))
         for rows, buf, off in K.blocks(batches, "spaced", _BLOCK):
             a, bounds_a = first.encode(buf, off)
             b, bounds_b = second.encode(buf, off)
-            size_a, end_a, whole_a = _measured(a, bounds_a, first.lengths())
-            size_b, end_b, whole_b = _measured(b, bounds_b, second.lengths())
-            lost = np.add.reduceat(np.append(b == second.lost, False), bounds_b[:-1]) if len(b) else np.zeros(len(off) - 1, int)
-            lost[np.diff(bounds_b) == 0] = 0
-            good = (whole_a == np.diff(off)) & (whole_b == np.diff(off)) & (lost == 0)
-            out = [rows.column("doc_id")]
-            for ids, size, end, bounds in ((a, size_a, end_a, bounds_a), (b, size_b, end_b, bounds_b)):
-                if not good.all():
-                    keep = np.repeat(good, np.diff(bounds))
-                    ids, size, end = ids[keep], size[keep], end[keep]
-                    bounds = np.concatenate(([0], np.cumsum(np.where(good, np.diff(bounds), 0))))
-                out += [_lists(ids, bounds), _lists(size, bounds), _lists(end, bounds)]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "a", "len_a", "end_a", "b", "len_b", "end_b"])
+            size_a, whole_a = _measured(a, bounds_a, first.lengths())
+            size_b, whole_b = _measured(b, bounds_b, second.lengths())
+            good = (whole_a == np.diff(off)) & (whole_b == np.diff(off)) & (_per_doc(b == second.lost, bounds_b) == 0)
+            n_a, n_b = np.where(good, np.diff(bounds_a), 0), np.where(good, np.diff(bounds_b), 0)
+            if not good.all():
+                keep_a, keep_b = np.repeat(good, np.diff(bounds_a)), np.repeat(good, np.diff(bounds_b))
+                a, size_a, b, size_b = a[keep_a], size_a[keep_a], b[keep_b], size_b[keep_b]
+                bounds_a, bounds_b = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
+            # What is left of both kinds covers the same bytes: those of the documents that have tokens.
+            end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+            is_a, is_b = (np.zeros(int(size_a.sum()) + 1, bool) for _ in range(2))
+            is_a[end_a], is_b[end_b] = True, True
+            cut_a, cut_b, ends = is_b[end_a], is_a[end_b], np.flatnonzero(is_a | is_b)
+            of_a, of_b = is_a[ends], is_b[ends]
+            links = a.astype(np.int64)[np.cumsum(of_a) - of_a] << 32 | b.astype(np.int64)[np.cumsum(of_b) - of_b]
+            n_groups = _per_doc(cut_a, bounds_a)
+            bounds = np.concatenate(([0], np.cumsum(n_a + n_b - n_groups)))  # an end of both kinds is one link
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (n_a, n_b, n_groups)), pa.array(_digests(a, b, cut_a, cut_b, bounds_a, bounds_b, decimals), pa.string()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(links))],
+                ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"],
+            )
 
     return kernel
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Ids, lengths and end offsets of both tokenizers over space + text."""
+def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, groups_sha256 and links of both tokenizers over space + text."""
     spaced = F.when(F.col("text") != "", F.concat(F.lit(" "), "text"))
-    return K.map_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced.alias("spaced")), _token_kernel(path_a, path_b), TOKENS)
-
-
-def _index(lengths: str) -> Column:
-    """For each byte the index of its token."""
-    return F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n)))
-
-
-def _ids(s: Column, name: str, index: str, cuts: Column, k: Column, c: Column) -> Column:
-    """The decimal ids of the tokens of group k, comma-joined."""
-    last = s[index][c - 1]
-    before = F.when(k == 0, F.lit(-1)).otherwise(s[index][cuts[k - 1] - 1])
-    return F.array_join(F.slice(s[name], before + 2, last - before), ",")
-
-
-def aligned(token_rows: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, groups (text) and links (a pair's ids as one number, A's in the upper half)."""
-    # What lambdas read is bound by an outer lambda: they would else evaluate it anew for each element.
-    bound = F.struct("a", "b", "len_a", "len_b", F.col("a").cast("array<string>").alias("sa"), F.col("b").cast("array<string>").alias("sb"), _index("len_a").alias("ia"), _index("len_b").alias("ib"), F.array_intersect("end_a", "end_b").alias("cuts"), F.array_union("end_a", "end_b").alias("ends"))
-
-    def both(s: Column) -> Column:
-        links = F.transform(s["ends"], lambda e: F.shiftleft(s["a"][s["ia"][e - 1]].cast("long"), 32) + s["b"][s["ib"][e - 1]])
-        # Two tokens of equal length that end together are a group; most are, and need no slices.
-        alone = lambda c: s["len_a"][s["ia"][c - 1]] == s["len_b"][s["ib"][c - 1]]
-        one = lambda c: F.concat(s["sa"][s["ia"][c - 1]], F.lit("|"), s["sb"][s["ib"][c - 1]])
-        many = lambda c, k: F.concat(_ids(s, "sa", "ia", s["cuts"], k, c), F.lit("|"), _ids(s, "sb", "ib", s["cuts"], k, c))
-        groups = F.transform(s["cuts"], lambda c, k: F.when(alone(c), one(c)).otherwise(many(c, k)))
-        return F.struct(links.alias("links"), F.array_join(groups, ";").alias("groups"), F.size(s["cuts"]).cast("long").alias("n_groups"))
-
-    done = F.transform(F.array(bound), both)[0]
-    return token_rows.select("doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), done.alias("done")).select("doc_id", "n_a", "n_b", "done.n_groups", "done.groups", "done.links")
+    return K.map_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced.alias("spaced")), _kernel(path_a, path_b), ALIGNED)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -127,9 +131,7 @@ def _heavy(counts: DataFrame) -> int:
 
 def alignment(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document."""
-    rows = aligned(tokenised(docs, path_a, path_b))
-    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    rows = rows.select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links", F.monotonically_increasing_id().alias("row"))
+    rows = aligned(docs, path_a, path_b).withColumn("row", F.monotonically_increasing_id())
     rows = store.written(rows, "align-links")
     weights = store.written(pair_counts(rows), "align-weights")
     least = min(_heavy(weights), (1 << 62))

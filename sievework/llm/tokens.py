@@ -3,7 +3,8 @@
 The library's BPE never merges across the pieces of its pre-tokenizer, so a text's ids are its
 pieces' ids in a row. A block's pieces are found by array operations on code point classes, named by
 fingerprints, and only pieces that the worker has not met are given to the library. Texts in which
-normalisation could move a piece's bounds, or that hold an added token's literal, are given to it whole.
+normalisation could move a piece's bounds, or that hold an added token's literal or a code point of no known
+class, are given to it whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from sievework.llm import textkit as K
 #: Pieces that a worker remembers before it starts anew.
 CACHE_PIECES = 2_000_000
 
-_SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
+_SPACE, _LETTER, _NUMBER, _OTHER, _UNASSIGNED = 0, 1, 2, 3, 4
 #: White space of the Unicode standard; fixed values.
 _WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Contractions that are pieces of their own; fixed values.
@@ -39,7 +40,7 @@ def _kind_of(points: np.ndarray) -> np.ndarray:
     if (found == 255).any():
         for p in np.unique(points[found == 255]).tolist():
             major = unicodedata.category(chr(p))[0]
-            table[p] = _SPACE if p in _WHITE else _LETTER if major == "L" else _NUMBER if major == "N" else _OTHER
+            table[p] = _SPACE if p in _WHITE else _LETTER if major == "L" else _NUMBER if major == "N" else _UNASSIGNED if unicodedata.category(chr(p)) == "Cn" else _OTHER
         found = table[points]
     return found
 
@@ -50,6 +51,11 @@ def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), at
 
 
+def unassigned(buf: np.ndarray) -> bool:
+    """Whether a code point is none of this Python's Unicode version; the library's may be a later one, so its class isn't known."""
+    return bool((buf >= 0x80).any()) and bool((_kind_of(code_points(buf)[0]) == _UNASSIGNED).any())
+
+
 def letters(buf: np.ndarray) -> np.ndarray:
     """Which bytes begin a letter of any alphabet."""
     points, at = code_points(buf)
@@ -68,7 +74,7 @@ def pieces(buf: np.ndarray, off: np.ndarray, byte_level: bool) -> tuple[np.ndarr
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = _kind_of(points)
+    kind = np.minimum(_kind_of(points), _OTHER)
     bound = np.zeros(n + 1, bool)
     bound[np.searchsorted(at, off)] = True  # documents begin there
     change = np.concatenate(([True], kind[1:] != kind[:-1], [True])) | bound
@@ -218,14 +224,14 @@ class Encoder:
         return self.untouched if literal else self.tokenizer
 
     def _whole_where_needed(self, raw: bytes, off: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        literal = self.literals is not None and self.literals.search(raw) is not None
-        if not literal and (self.byte_level or not self._moves(raw.decode())):
+        literal, unsure = self.literals is not None and self.literals.search(raw) is not None, unassigned(np.frombuffer(raw, np.uint8))
+        if not literal and not unsure and (self.byte_level or not self._moves(raw.decode())):
             return ids, bounds
         parts = []
         for d in range(len(off) - 1):
             one = raw[off[d] : off[d + 1]]
             found = literal and self.literals.search(one) is not None
-            if found or self._moves(one.decode()):
+            if found or (unsure and unassigned(np.frombuffer(one, np.uint8))) or self._moves(one.decode()):
                 parts.append(np.array(self._given(found).encode(one.decode(), add_special_tokens=False).ids, np.uint32))
             else:
                 parts.append(ids[bounds[d] : bounds[d + 1]])
@@ -236,7 +242,8 @@ class PieceEncoder(Encoder):
     """The same of a sentence-piece BPE over space + text, the space being the one that the library adds.
 
     No piece of the vocabulary has a space after another character, so texts are cut before each run of
-    spaces. A cut whose pieces' bytes aren't its own gets the one id ``lost``.
+    spaces. A cut whose pieces' bytes aren't its own gets the one id ``lost``. The library takes an empty text for
+    no piece at all, so a lone space, which ends a text, is its own piece's id.
     """
 
     lost = np.uint32(0xFFFFFFFF)
@@ -250,6 +257,7 @@ class PieceEncoder(Encoder):
         if any("\u2581" in p.lstrip("\u2581") for p in pieces):
             raise ValueError("pieces of this vocabulary run over spaces")
         self.byte_level, self.literals, self.most = True, None, most
+        self.space = self.tokenizer.piece_to_id("\u2581")
         self._forget()
 
     def lengths(self) -> np.ndarray:
@@ -265,8 +273,11 @@ class PieceEncoder(Encoder):
         start = np.flatnonzero(first)
         return start, np.append(start[1:], len(buf))[: len(start)]
 
+    def _whole_where_needed(self, raw: bytes, off: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return ids, bounds  # spaces are the same in all versions
+
     def _encoded(self, texts: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode([t[1:] for t in texts], num_threads=1)
+        found = [ids if t != " " else [self.space] for t, ids in zip(texts, self.tokenizer.encode([t[1:] for t in texts], num_threads=1), strict=True)]
         return [ids if b"".join([self.bytes[i] for i in ids]) == t.encode() else [0xFFFFFFFF] for t, ids in zip(texts, found, strict=True)]
 
 

@@ -213,6 +213,14 @@ def test_alignment_of_odd_texts(spark, monkeypatch, heavy):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_alignment_of_a_space_at_the_end_and_unassigned_code_points(spark):
+    """A text that ends with one space has tokens; a code point that this Python's Unicode version lacks is a letter for the library."""
+    texts = ["a ", "I ", "one two ", "\t ", "trail  ", "a \u1c89\u1c89's \ua7cb", "x\U000105c0b's", "\U000e0fff's", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, alignment.alignment(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")).collect()))
+    assert got == [(i, *x) for i, x in enumerate(plain_alignment(texts))] and all(r[1] > 0 for r in got)
+
+
 def test_alignment_of_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = sorted(map(tuple, queries.QUERIES["op12_tokenizer_alignment"](spark, small).collect()))
