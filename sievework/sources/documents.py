@@ -220,9 +220,10 @@ def preflight(shards: DataFrame, counts: DataFrame, limit: int = 100_000) -> Dat
 
 
 def retention(expires: Column, now: Column, due_days: int = 30) -> Column:
-    """scheduled, due_soon or overdue, and whole days left, rounded up."""
-    left = F.unix_timestamp(expires) - F.unix_timestamp(now)
-    days = F.ceil(left / 86400)
+    """scheduled, due_soon or overdue, and whole days left, rounded up: a microsecond more than a day is two days."""
+    left = F.unix_micros(expires.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))
+    day = F.lit(86_400_000_000)
+    days = F.call_function("div", left + F.pmod(-left, day), day)
     return F.struct(F.when(left < 0, "overdue").when(days <= due_days, "due_soon").otherwise("scheduled").alias("status"), F.greatest(days, F.lit(0)).alias("days_left"))
 
 

@@ -145,3 +145,11 @@ def test_run_manifest(spark, tmp_path):
     (tmp_path / "z.json").write_text("{}")
     stated = spark.createDataFrame([("z.json", 2, "0" * 64), ("q.json", 2, "0" * 64)], "relative_path string, byte_count long, sha256 string")
     assert {r.relative_path: r.action for r in D.cleanup_inventory(spark, str(tmp_path), stated).collect()} == {"z.json": "differs", "q.json": "absent"}
+
+
+def test_retention_of_parts_of_seconds(spark):
+    """Whole days are rounded up to the microsecond."""
+    now = "2024-01-15 06:00:00"
+    cases = {"2024-01-16 06:00:00": ("due_soon", 1), "2024-01-16 06:00:00.000001": ("due_soon", 2), "2024-02-14 06:00:00.4": ("scheduled", 31), "2024-02-14 06:00:00": ("due_soon", 30), "2024-01-15 06:00:00.5": ("due_soon", 1), "2024-01-15 05:59:59.9": ("overdue", 0)}
+    rows = spark.createDataFrame([(x,) for x in cases], "x string").select("x", D.retention(F.col("x").cast("timestamp"), F.lit(now).cast("timestamp")).alias("r"))
+    assert {r.x: tuple(r.r) for r in rows.collect()} == cases
