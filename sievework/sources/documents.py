@@ -212,10 +212,11 @@ def monthly_shards(spark: SparkSession, start: str, end: str) -> DataFrame:
     return months.select(F.date_format("lo", "yyyy-MM").alias("month"), "lo", F.add_months("lo", 1).alias("hi"), F.col("lo").alias("request_min"), F.last_day("lo").alias("request_max"))
 
 
-def preflight(shards: DataFrame, counts: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Each month's count and what is wrong with it: missing, below 1, at the export's limit, or unexpected."""
+def preflight(shards: DataFrame, counts: DataFrame, limit: int | None = 100_000) -> DataFrame:
+    """Each month's count and what is wrong with it: missing, below 1, at the export's limit (None: it has none), or unexpected."""
     both = shards.select("month", F.lit(True).alias("_wanted")).join(counts.select("month", "n"), "month", "full_outer")
-    problem = F.when(F.col("_wanted").isNull(), "unexpected").when(F.col("n").isNull(), "missing").when(F.col("n") < 1, "count_invalid").when(F.col("n") >= limit, "export_limit_reached")
+    problem = F.when(F.col("_wanted").isNull(), "unexpected").when(F.col("n").isNull(), "missing").when(F.col("n") < 1, "count_invalid")
+    problem = problem if limit is None else problem.when(F.col("n") >= limit, "export_limit_reached")
     return both.select("month", "n", problem.alias("problem"))
 
 

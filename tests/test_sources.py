@@ -153,3 +153,15 @@ def test_retention_of_parts_of_seconds(spark):
     cases = {"2024-01-16 06:00:00": ("due_soon", 1), "2024-01-16 06:00:00.000001": ("due_soon", 2), "2024-02-14 06:00:00.4": ("scheduled", 31), "2024-02-14 06:00:00": ("due_soon", 30), "2024-01-15 06:00:00.5": ("due_soon", 1), "2024-01-15 05:59:59.9": ("overdue", 0)}
     rows = spark.createDataFrame([(x,) for x in cases], "x string").select("x", D.retention(F.col("x").cast("timestamp"), F.lit(now).cast("timestamp")).alias("r"))
     assert {r.x: tuple(r.r) for r in rows.collect()} == cases
+
+
+def test_months_of_a_table_have_no_export_limit(spark, tmp_path):
+    import duckdb
+
+    from sievework.plans import catalog
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE orders AS SELECT range AS o_orderkey, TIMESTAMP '1995-01-02' AS o_orderdate FROM range(100001)")
+    con.execute(f"COPY orders TO '{tmp_path}/orders.parquet'")
+    got = {(r.month, r.n, r.problem) for r in catalog.QUERIES["e151_preflight"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(catalog.ORACLE_SQL["e151_preflight"]).fetchall()) and ("1995-01", 100001, None) in got
