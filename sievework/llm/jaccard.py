@@ -413,8 +413,8 @@ def linked_classes(entries: DataFrame, sizes: DataFrame, percent: int = PERCENT)
     return roots
 
 
-def _classes(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, hash of the text, n_shingles and root (the class that names the component) of every row."""
+def linked_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, hash of the text, n_shingles, kind (the class of equal sets) and root (the class that names the component) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     entries = _entries(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")))
     K.bound_batches(docs.sparkSession)
@@ -424,7 +424,11 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
     roots = linked_classes(entries, sizes, percent)
     store.discard(entries)
     joined = own.join(roots.select(F.col("node").alias("kind"), "root"), "kind", "left")
-    return joined.select("doc_id", "hash", "n_shingles", F.coalesce("root", "kind").alias("root"))
+    return joined.select("doc_id", "hash", "n_shingles", "kind", F.coalesce("root", "kind").alias("root"))
+
+
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
+    return linked_rows(docs, percent).drop("kind")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

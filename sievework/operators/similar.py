@@ -1,13 +1,13 @@
-"""Near-duplicate narratives: MinHash bands in SQL functions, exact checks of what meets in a band, and the groups that links join.
+"""Near-duplicate narratives: classes of equal sets, and the groups that links join, all exact.
 
-A text's set is its distinct shingles of five words (lower-cased, by white space). Texts of equal sets are one class, so copies cost a
-row each and no pair. A class has ``BANDS`` keys of ``ROWS`` minima each; classes of one key are candidates, and a candidate is a link
-if 100 * common >= 80 * union, counted on the whole sets. Two sets at 0.8 meet with probability 1 - (1 - 0.8^4)^10 = 0.995.
+A text's set is its distinct shingles of five words (lower-cased, by white space). Texts of equal sets are one class. Two classes are
+linked if 100 * common >= 80 * union; the links are those of the exact join of ``llm.jaccard`` (no link is lost), over the lower-cased texts.
 
-Links are found twice: first each class against the least class of its keys, a pair at most for each key it has; then, in keys whose classes these
-links haven't joined, all pairs of different groups. A key that more than ``HOT`` classes have is never paired in full: its classes are
+MinHash bands give candidates alone, for callers to whom a share of the links is enough (two sets at 0.8 meet with probability
+1 - (1 - 0.8^4)^10 = 0.995). A class has ``BANDS`` keys of ``ROWS`` minima each; classes of one key are candidates (``candidates``), or each
+class and the least class of its keys (``led_pairs``). A key that more than ``HOT`` classes have is never paired in full: its classes are
 paired inside finer keys, which add two minima of the next band; a finer key that is hot too is cut by a hash of the class into cells of about
-half of ``HOT``, and has a least class of its own. So candidates grow with the classes, and links inside a large group are those that join it.
+half of ``HOT``, and has a least class of its own. ``links`` counts on the whole sets.
 
 Defined cases: a null or blank text has no set, is in no class of others and linked with nothing; one of fewer than five words is one shingle;
 repeated rows are in one class; a null id is returned with the ids of its class and group, null where none has one; of ties the least
@@ -21,6 +21,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm import jaccard, store
+
 WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 10, 4
@@ -149,23 +151,12 @@ def grouped(found: DataFrame) -> DataFrame:
         roots = after.select("kind", "root")
 
 
-def _rooted(own: DataFrame, roots: DataFrame) -> DataFrame:
-    return own.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
-
-
 def similar_narratives(rows: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, class_id (least id of an equal set) and group_id (least id that links reach) of every row."""
-    whole = classes(rows, key, text)
-    own = _cut(whole.select("id", "kind", "n_shingles"))
-    met = _cut(members(signatures(whole.where("kind IS NOT NULL"))))
-    first = _cut(led_pairs(met, percent))
-    near = _cut(links(sets_of(rows, text, first), first, percent))
-    rest = _cut(candidates(_rooted(met, grouped(near)), percent=percent))
-    far = links(sets_of(rows, text, rest), rest, percent)
-    roots = grouped(near.unionByName(far))
-    named = _cut(_rooted(own.where("kind IS NOT NULL").groupBy("kind").agg(F.min("id").alias("class_id")), roots))
-    heads = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    found = named.join(heads, "root").select("kind", "class_id", "group_id")
-    out = own.join(found, "kind", "left")
+    """id, n_shingles, class_id (least id of an equal set) and group_id (least id that links reach) of every row; ids are whole numbers."""
+    named = jaccard.linked_rows(rows.select(F.col(key).cast("long").alias("doc_id"), F.lower(text).alias("text")), percent)
+    own = store.written(named.select(F.col("doc_id").cast(rows.schema[key].dataType).alias("id"), "n_shingles", "kind", "root"), "similar")
+    heads = store.written(own.where("kind IS NOT NULL").groupBy("kind", "root").agg(F.min("id").alias("class_id")), "similar-classes")
+    groups = heads.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    found = heads.join(groups, "root").select("kind", "class_id", "group_id")
     alone = F.col("kind").isNull()
-    return out.select("id", "n_shingles", *[F.when(alone, F.col("id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "group_id")])
+    return own.join(found, "kind", "left").select("id", "n_shingles", *[F.when(alone, F.col("id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "group_id")])

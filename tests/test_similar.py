@@ -108,3 +108,16 @@ def test_defined_cases(spark):
         (1, 0, 1, 1), (2, 0, 2, 2), (3, 296, 3, 3), (5, 296, 3, 3), (5, 296, 3, 3), (7, 1, 7, 7), (8, 1, 7, 7), (9, 297, 9, 3), (10, 1, 10, 10), (11, 1, 11, 11), (None, 0, None, None), (None, 2, None, None),
     ]
     assert similar.similar_narratives(rows.where("false"), "doc", "text").count() == 0
+
+
+def test_no_link_is_lost(spark):
+    """Hundreds of pairs that lie just at the bound: the groups are those of all pairs."""
+    dice = random.Random(11)
+    texts = []
+    for k in range(1500):
+        base = [f"w{k}x{i}" for i in range(dice.randrange(40, 120))]
+        texts += [" ".join(base), " ".join(base[: round(len(base) * dice.uniform(0.8, 0.86))])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4)
+    got = {r.id: r.group_id for r in similar.similar_narratives(rows, "id", "text").collect()}
+    true = groups(len(texts), linked(sets_of(texts)))
+    assert [got[i] for i in range(len(texts))] == true and len(set(true)) < 2900
