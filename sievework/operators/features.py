@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer, feature
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.llm import store
 from sievework.operators import metrics
 
+#: Characters of a word.
+WORD = r"[\p{L}\p{M}\p{N}_]{2,}"
+#: Terms that are broadcast at most.
+HEAVY = 1 << 18
+#: Characters of text in a partition that a model learns from, about.
+PART_CHARS = 32 << 20
 #: Candidates by id: inverse regularisation, and whether classes are balanced; fixed values.
 CANDIDATES = {"c0.5-none": (0.5, False), "c1.0-none": (1.0, False), "c0.5-balanced": (0.5, True), "c1.0-balanced": (1.0, True)}
 
@@ -42,6 +51,78 @@ def vectorizer(text: str = "text", *, min_df: int = 5, max_df: float = 0.995, si
     ]
 
 
+def tallied(terms: Column) -> Column:
+    """Each distinct term of an array with its number: the runs of the sorted terms."""
+    # What lambdas read is bound by an outer lambda: they would else evaluate it anew for each element.
+    bound = lambda x: F.array(x)
+    begun = lambda t: F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1) != x), i)), lambda i: i.isNotNull())
+    both = F.transform(bound(F.sort_array(terms)), lambda t: F.struct(t.alias("t"), begun(t).alias("at")))
+    run = lambda s: F.transform(s["at"], lambda i, k: F.struct(F.get(s["t"], i).alias("term"), (F.coalesce(F.get(s["at"], k + 1), F.size(s["t"])) - i).alias("tf")))
+    return F.get(F.transform(both, run), F.lit(0))
+
+
+def _bounds(low: float, high: float, n: int) -> tuple[int, int]:
+    """Numbers of documents from counts, or from shares below 1."""
+    at = lambda x, whole: Decimal(str(x)) * (1 if whole else n)
+    return math.ceil(at(low, low >= 1)), min(n, math.floor(at(high, high > 1)))
+
+
+class CountVectorizer(feature.CountVectorizer):
+    """The vocabulary by a count of terms that combines before its shuffle, without a stored copy of every text's terms.
+
+    The ``vocabSize`` most frequent terms stay; of equal ones the first in order."""
+
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+        low, high = _bounds(self.getMinDF(), self.getMaxDF(), dataset.count())
+        runs = dataset.select(F.explode(tallied(F.col(self.getInputCol()))).alias("r")).select("r.*")
+        counts = store.written(runs.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).where(F.col("df").between(low, high)).drop("df"), "vocabulary")
+        least, left = 0, self.getVocabSize()
+        # Numbers of terms by count, from the most frequent down, until the size is reached: a row for each count there is.
+        for row in counts.groupBy("n").agg(F.count("*").alias("terms")).orderBy(F.desc("n")).toLocalIterator():
+            if row.terms > left:
+                least = row.n
+                break
+            left -= row.terms
+        top = counts.where(F.col("n") > least).collect()  # vocabSize at most
+        last = counts.where(F.col("n") == least).orderBy("term").limit(left).collect() if least and left else []
+        store.discard(counts)
+        words = [r.term for r in sorted(top, key=lambda r: (-r.n, r.term)) + last]
+        return CountVectorizerModel.from_vocabulary(words, self.getInputCol(), self.getOutputCol(), minTF=self.getMinTF(), binary=self.getBinary())
+
+
+def terms(text: Column) -> Column:
+    """Lower-cased words and pairs of neighbours, in order; none of a null text."""
+    words = F.array(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))
+    return F.get(F.transform(words, lambda w: F.concat(w, F.transform(F.slice(w, F.lit(2), F.size(w)), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))), F.lit(0))
+
+
+def tfidf_sums(rows: DataFrame, key: str, text: str, min_df: float = 5, max_df: float = 0.995) -> DataFrame:
+    """key, and the number of terms, sum and largest weight of each row's TF-IDF vector of unit length, over every term of the corpus.
+
+    The ``HEAVY`` most frequent terms at most, by powers of two, are broadcast to the rows; the rest, fewer occurrences, meet by a shuffled join.
+    """
+    own = store.written(rows.select(key, tallied(terms(F.col(text))).alias("tally")).withColumn("_row", F.monotonically_increasing_id()), "tfidf-rows")
+    n = own.count()
+    low, high = _bounds(min_df, max_df, n)
+    each = own.select("_row", F.inline("tally"))
+    known = store.written(each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(low, high)), "tfidf-terms")
+    by_power = {r.power: r.n for r in known.groupBy(F.floor(F.log2("df")).alias("power")).agg(F.count("*").alias("n")).collect()}
+    power, total = 63, 0
+    while power > 0 and total + by_power.get(power - 1, 0) <= HEAVY:
+        power -= 1
+        total += by_power.get(power, 0)
+    least = (1 << power) if power < 63 else (1 << 62)
+    heavy = F.broadcast(known.where(F.col("df") >= least))
+    value = (1 + F.log("tf")) * (1 + F.log((1.0 + F.lit(n)) / (1 + F.col("df"))))
+    sums = [F.count("*").alias("terms"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"), F.max("v").alias("largest")]
+    weighed = lambda found: found.select("_row", value.alias("v")).groupBy("_row").agg(*sums)
+    often = weighed(each.join(heavy, "term"))
+    seldom = weighed(each.join(heavy.select("term"), "term", "left_anti").join(known.where(F.col("df") < least), "term"))
+    both = often.unionByName(seldom).groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("terms", "total", "squares")], F.max("largest").alias("largest"))
+    unit = lambda c: F.coalesce(F.col(c) / F.sqrt("squares"), F.lit(0.0)).alias(c)
+    return own.select("_row", key).join(both, "_row", "left").select(key, F.coalesce("terms", F.lit(0)).cast("int").alias("terms"), unit("total"), unit("largest"))
+
+
 class Sublinear(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """1 + ln(count) of each entry of ``_counts``. Vectors have no SQL functions, so this is a Python function."""
 
@@ -79,8 +160,11 @@ def _regression(rows: DataFrame, n: int, label: str, c: float, balanced: bool, m
 def fit_all(train: DataFrame, text: str, label: str, candidates: Mapping[str, tuple[float, bool]], *, max_iter: int = 200, tol: float = 1e-3, min_df: int = 5) -> dict[str, tuple[PipelineModel, bool]]:
     """A multinomial logistic regression on TF-IDF features for each candidate, and whether it converged.
 
-    Texts are cut into terms and the vocabulary is counted once; all candidates learn from the same stored vectors.
+    Texts are cut into terms and the vocabulary is counted once; all candidates learn from the same stored vectors,
+    in partitions of about ``PART_CHARS`` of text, so what a task reads doesn't grow with the table.
     """
+    chars = train.agg(F.sum(F.length(text))).first()[0] or 0
+    train = train.repartition(max(chars // PART_CHARS + 1, train.sparkSession.sparkContext.defaultParallelism))
     index = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc")
     prepared = Pipeline(stages=[*vectorizer(text, min_df=min_df), index]).fit(train)
     rows = prepared.transform(train).select(label, "label_id", "features").persist()

@@ -169,3 +169,37 @@ def test_candidates_share_one_vectoriser(spark, monkeypatch):
     weights = lambda m: dict(zip(m.stages[3].vocabulary, m.stages[-1].coefficientMatrix.toArray().T.round(4).tolist(), strict=True))
     one, two = weights(both["y"][0]), weights(alone)
     assert one.keys() == two.keys() and all(np.allclose(one[t], two[t], atol=2e-3) for t in one)
+
+
+@pytest.mark.parametrize("heavy", [features.HEAVY, 3])
+def test_tfidf_sums_equal_the_sql(spark, tmp_path, monkeypatch, heavy):
+    """Words with numbers such as a raised 2 count, as in the SQL; frequent terms and rare ones meet by different joins."""
+    import duckdb
+    import parity
+
+    from sievework.plans import catalog
+
+    monkeypatch.setattr(features, "HEAVY", heavy)
+    rng = random.Random(3)
+    words = "m² alpha beta_1 Über a b ½½ x̂y gamma delta".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(60)] + [None, "", "once only", "a"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (SELECT unnest($1) AS doc_id, unnest($2) AS text)", [list(range(len(texts))), texts])
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    got = catalog.QUERIES["e137_tfidf_weights"](spark, str(tmp_path))
+    cursor = con.execute(catalog.ORACLE_SQL["e137_tfidf_weights"])
+    assert parity.rows(got.columns, got.collect()) == parity.rows([c[0] for c in cursor.description], cursor.fetchall())
+
+
+def test_vocabulary_and_partitions_of_a_model(spark, monkeypatch):
+    """The most frequent terms stay, of equal ones the first in order; partitions follow the texts' size."""
+    rows = spark.createDataFrame([("bb aa cc dd bb",), ("aa bb cc",), ("zz aa dd",)], "text string").selectExpr("split(text, ' ') AS t")
+    fitted = lambda **p: features.CountVectorizer(inputCol="t", outputCol="c", **p).fit(rows).vocabulary
+    assert fitted() == ["aa", "bb", "cc", "dd", "zz"] and fitted(vocabSize=3) == ["aa", "bb", "cc"] and fitted(vocabSize=1) == ["aa"]
+    assert fitted(minDF=2.0, maxDF=2.0) == ["bb", "cc", "dd"] and fitted(minDF=0.5) == ["aa", "bb", "cc", "dd"] and fitted(maxDF=0.9) == ["bb", "cc", "dd", "zz"]
+    monkeypatch.setattr(features, "PART_CHARS", 100)
+    parts, made = [], features._regression
+    monkeypatch.setattr(features, "_regression", lambda rows, *a: parts.append(rows.rdd.getNumPartitions()) or made(rows, *a))
+    texts = spark.createDataFrame([(f"alpha beta {y}{y} word", y) for y in "ab" * 60], "text string, label string").coalesce(1)
+    features.fit(texts, "text", "label", max_iter=3)
+    assert parts[0] >= 15
