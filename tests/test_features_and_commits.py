@@ -203,3 +203,36 @@ def test_vocabulary_and_partitions_of_a_model(spark, monkeypatch):
     texts = spark.createDataFrame([(f"alpha beta {y}{y} word", y) for y in "ab" * 60], "text string, label string").coalesce(1)
     features.fit(texts, "text", "label", max_iter=3)
     assert parts[0] >= 15
+
+
+def test_trigrams_of_texts_are_scored_in_blocks(spark):
+    """No row for each trigram is made: a text's trigrams are counted and looked up where it is read."""
+    texts = ["the cat and the hat", "der Hund und die Katze", "𝒳𝒴𝒵 ab", None, "", "a", "é è ê the the"]
+    rows = spark.createDataFrame([(i, t, "de" if i == 1 else "en") for i, t in enumerate(texts)], "id long, text string, lang string")
+    model = language.train(rows, "text", "lang")
+    got = {(r.lang, r.gram): r.loglik for r in model.collect()}
+    plain = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    grams = {t: [plain(t)[i : i + 3] for i in range(len(plain(t)) - 2)] for t in texts if t is not None}
+    counts = {"en": {}, "de": {}}
+    for i, t in enumerate(texts):
+        for g in grams.get(t, []):
+            own = counts["de" if i == 1 else "en"]
+            own[g] = own.get(g, 0) + 1
+    every = set(counts["en"]) | set(counts["de"])
+    want = {(x, g): math.log((c.get(g, 0) + 1) / (sum(c.values()) + len(c))) for x, c in counts.items() for g in every}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    out = language.scored(rows, "id", "text", model)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.language for r in out.collect()} == {0: "en", 1: "de", 2: "en", 3: None, 4: None, 5: None, 6: "en"}
+
+
+def test_word_pieces_forget(monkeypatch):
+    """What a worker remembers is bounded, and long words are never kept."""
+    import pyarrow as pa
+
+    pieces = wordpiece.Pieces({"[UNK]": 0, "a": 1, "##a": 2, "b": 3, "##b": 4})
+    monkeypatch.setattr(wordpiece, "KNOWN", 3, raising=False)
+    for n in range(1, 12):
+        ids, bounds = pieces.batch(pa.array([["a" * n, "b" * 101], ["ba"]], pa.list_(pa.string())))
+        assert ids.tolist() == [1] + [2] * (n - 1) + [0, 3, 2] and bounds.tolist() == [0, n + 1, n + 3]
+        assert len(pieces.known) <= 5 and "b" * 101 not in pieces.known
