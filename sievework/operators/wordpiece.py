@@ -14,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm import textkit as K
+
 #: Characters of a word that is matched at most; fixed value.
 LONGEST = 100
 CLS, SEP, UNKNOWN = "[CLS]", "[SEP]", "[UNK]"
+#: Words that a worker remembers.
+KNOWN = 1 << 17
 #: Pieces of a vocabulary at most, so that it can be sent to all tasks.
 VOCABULARY = 500_000
 
@@ -57,9 +61,10 @@ class Pieces:
     def batch(self, column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, the n + 1 bounds of each row's); each distinct word is matched once."""
         coded = column.flatten().dictionary_encode()
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
-        found = [self.known.get(w) or self.known.setdefault(w, self.of(w)) for w in coded.dictionary.to_pylist()]
+        keep = lambda w: self.known.setdefault(w, self.of(w)) if len(w) <= LONGEST else [self.unknown]
+        found = [self.known.get(w) or keep(w) for w in coded.dictionary.to_pylist()]
         count = np.array([len(x) for x in found], np.int64)
         first = np.cumsum(count) - count
         flat = np.array([i for x in found for i in x], np.int32)
@@ -94,4 +99,5 @@ def encode(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, limit: i
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))], [key, "input_ids"])
 
     kind = rows.schema[key].dataType.simpleString()
+    K.bound_batches(rows.sparkSession)
     return rows.select(key, words(F.col(text)).alias("words")).mapInArrow(kernel, f"{key} {kind}, input_ids array<int>")
