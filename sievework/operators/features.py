@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer, feature
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm import store
-from sievework.operators import metrics
+from sievework.llm import store, textkit
+from sievework.operators import metrics, regression
 
 #: Characters of a word.
 WORD = r"[\p{L}\p{M}\p{N}_]{2,}"
 #: Terms that are broadcast at most.
 HEAVY = 1 << 18
 #: Characters of text in a partition that a model learns from, about.
-PART_CHARS = 32 << 20
+PART_CHARS = 256 << 20
+#: Characters of text whose terms a task adds up, about.
+COUNT_CHARS = 16 << 20
 #: Candidates by id: inverse regularisation, and whether classes are balanced; fixed values.
 CANDIDATES = {"c0.5-none": (0.5, False), "c1.0-none": (1.0, False), "c0.5-balanced": (0.5, True), "c1.0-balanced": (1.0, True)}
 
@@ -70,24 +78,42 @@ def _bounds(low: float, high: float, n: int) -> tuple[int, int]:
 class CountVectorizer(feature.CountVectorizer):
     """The vocabulary by a count of terms that combines before its shuffle, without a stored copy of every text's terms.
 
-    The ``vocabSize`` most frequent terms stay; of equal ones the first in order."""
+    The ``vocabSize`` most frequent terms stay; of equal ones the first in order. The model knows ``df``, the rows that hold each term."""
+
+    #: Where a column of words is named, terms are those and their pairs of neighbours, without a column of them.
+    words: str | None = None
+    #: Parts that terms are dealt to; as many as the cluster has cores if 0.
+    parts = 0
 
     def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
         low, high = _bounds(self.getMinDF(), self.getMaxDF(), dataset.count())
-        runs = dataset.select(F.explode(tallied(F.col(self.getInputCol()))).alias("r")).select("r.*")
-        counts = store.written(runs.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).where(F.col("df").between(low, high)).drop("df"), "vocabulary")
+        parts = self.parts or dataset.sparkSession.sparkContext.defaultParallelism
+        counts = store.written(regression.term_counts(dataset, self.words or self.getInputCol(), self.words is not None, low, high, parts), "vocabulary")
         least, left = 0, self.getVocabSize()
         # Numbers of terms by count, from the most frequent down, until the size is reached: a row for each count there is.
-        for row in counts.groupBy("n").agg(F.count("*").alias("terms")).orderBy(F.desc("n")).toLocalIterator():
-            if row.terms > left:
-                least = row.n
+        for n, found in zip(*counts.groupBy("n").agg(F.count("*").alias("terms")).toArrow().sort_by([("n", "descending")]).to_pydict().values(), strict=True):
+            if found > left:
+                least = n
                 break
-            left -= row.terms
-        top = counts.where(F.col("n") > least).collect()  # vocabSize at most
-        last = counts.where(F.col("n") == least).orderBy("term").limit(left).collect() if least and left else []
+            left -= found
+        chosen = counts.where(F.col("n") > least).toArrow()  # vocabSize at most
+        if least and left:
+            chosen = pa.concat_tables([chosen, counts.where(F.col("n") == least).orderBy("term").limit(left).toArrow()])
         store.discard(counts)
-        words = [r.term for r in sorted(top, key=lambda r: (-r.n, r.term)) + last]
-        return CountVectorizerModel.from_vocabulary(words, self.getInputCol(), self.getOutputCol(), minTF=self.getMinTF(), binary=self.getBinary())
+        chosen = chosen.sort_by([("n", "descending"), ("term", "ascending")])
+        model = self._of(chosen["term"].to_pylist())
+        model.df = chosen["df"].to_numpy()
+        return model
+
+
+    def _of(self, words: list[str]) -> CountVectorizerModel:
+        """The model of a vocabulary, which goes to the JVM as one string: a call for each term takes longer than counting them."""
+        own = {"minTF": self.getMinTF(), "binary": self.getBinary()}
+        if not words or any("\0" in w for w in words):
+            return CountVectorizerModel.from_vocabulary(words, self.getInputCol(), self.getOutputCol(), **own)
+        parts = SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile("\0", 16).split("\0".join(words), -1)
+        model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", parts)
+        return model._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), vocabSize=len(words), **own)
 
 
 def terms(text: Column) -> Column:
@@ -123,11 +149,15 @@ def tfidf_sums(rows: DataFrame, key: str, text: str, min_df: float = 5, max_df:
     return own.select("_row", key).join(both, "_row", "left").select(key, F.coalesce("terms", F.lit(0)).cast("int").alias("terms"), unit("total"), unit("largest"))
 
 
+def smooth_idf(df: np.ndarray, n: int) -> np.ndarray:
+    """1 + ln((n + 1) / (df + 1)) of each term."""
+    return np.log((n + 1) / (df + 1)) + 1.0
+
+
 class Sublinear(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """1 + ln(count) of each entry of ``_counts``. Vectors have no SQL functions, so this is a Python function."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        import numpy as np
         from pyspark.ml.linalg import SparseVector, VectorUDT
 
         @F.udf(VectorUDT())
@@ -142,40 +172,49 @@ class SmoothIDF(IDF):
     stage is a plain scaling of vectors."""
 
     def _fit(self, dataset: DataFrame) -> ElementwiseProduct:
-        from pyspark.ml.linalg import DenseVector
-
         model = super()._fit(dataset)
         return ElementwiseProduct(scalingVec=DenseVector(model.idf.toArray() + 1.0), inputCol=self.getInputCol(), outputCol=self.getOutputCol())
 
 
-def _regression(rows: DataFrame, n: int, label: str, c: float, balanced: bool, max_iter: int, tol: float) -> tuple[LogisticRegression, DataFrame]:
-    model = LogisticRegression(featuresCol="features", labelCol="label_id", family="multinomial", regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
-    if not balanced:
-        return model, rows
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    weighed = rows.join(F.broadcast(counts), label).withColumn("weight", F.lit(n) / (counts.count() * F.col("_n")))  # a row for each label
-    return model.setWeightCol("weight"), weighed
+def _regression(rows: DataFrame, counts: list[int], idf: np.ndarray, c: float, balanced: bool, max_iter: int, tol: float) -> tuple[LogisticRegressionModel, bool]:
+    """The model of one candidate on blocks of rows, and whether it converged."""
+    weights, bias, steps = regression.learned(rows, np.array(counts, float), idf, c, balanced, max_iter, tol)
+    context = rows.sparkSession.sparkContext
+    parts = [_py2java(context, x) for x in (DenseMatrix(*weights.shape, weights.ravel(), True), DenseVector(bias))]
+    made = context._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"logreg_{uuid.uuid4().hex[:12]}", *parts, len(counts), True)
+    return LogisticRegressionModel(made), steps < max_iter
 
 
 def fit_all(train: DataFrame, text: str, label: str, candidates: Mapping[str, tuple[float, bool]], *, max_iter: int = 200, tol: float = 1e-3, min_df: int = 5) -> dict[str, tuple[PipelineModel, bool]]:
     """A multinomial logistic regression on TF-IDF features for each candidate, and whether it converged.
 
-    Texts are cut into terms and the vocabulary is counted once; all candidates learn from the same stored vectors,
-    in partitions of about ``PART_CHARS`` of text, so what a task reads doesn't grow with the table.
+    Texts are cut into words twice, for the vocabulary and for their vectors; all candidates learn from the same stored blocks of
+    vectors, in partitions of about ``PART_CHARS`` of text, so what a task reads doesn't grow with the table.
     """
-    chars = train.agg(F.sum(F.length(text))).first()[0] or 0
-    train = train.repartition(max(chars // PART_CHARS + 1, train.sparkSession.sparkContext.defaultParallelism))
-    index = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc")
-    prepared = Pipeline(stages=[*vectorizer(text, min_df=min_df), index]).fit(train)
-    rows = prepared.transform(train).select(label, "label_id", "features").persist()
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    sizes = [r.chars or 0 for r in train.groupBy(F.spark_partition_id()).agg(F.sum(F.length(text)).alias("chars")).collect()]
+    train = train.select(text, label)
+    if max(sizes, default=0) * cores > 2 * sum(sizes):  # a few tasks would read most of the texts
+        train = train.repartition(max(cores, sum(sizes) // PART_CHARS + 1))
+    index = StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc").fit(train)
+    tokenizer, pairs, both, counter, grown, scaled, unit = vectorizer(text, min_df=min_df)
+    counter.words, counter.parts = "_words", cores + sum(sizes) // COUNT_CHARS
+    rows = index.transform(tokenizer.transform(train)).select("_words", F.col("label_id").cast("int").alias("label_id"))
+    of_label = {r.label_id: r.n for r in rows.groupBy("label_id").agg(F.count("*").alias("n")).collect()}
+    counts = [of_label[i] for i in range(len(index.labels))]
+    vocabulary = counter.fit(both.transform(pairs.transform(rows)))
+    idf = smooth_idf(vocabulary.df, sum(counts))
+    scaled = ElementwiseProduct(scalingVec=DenseVector(idf), inputCol=scaled.getInputCol(), outputCol=scaled.getOutputCol())
+    stored = regression.blocks(rows, "_words", "label_id", vocabulary.vocabulary, idf)
+    stored = stored.repartition(max(cores, sum(sizes) // PART_CHARS + 1)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n, found = rows.count(), {}
+        found = {}
         for name, (c, balanced) in candidates.items():
-            estimator, weighed = _regression(rows, n, label, c, balanced, max_iter, tol)
-            model = estimator.fit(weighed)
-            found[name] = PipelineModel([*prepared.stages, model]), model.summary.totalIterations < max_iter
+            model, converged = _regression(stored, counts, idf, c, balanced, max_iter, tol)
+            model.set(model.featuresCol, "features")
+            found[name] = PipelineModel([tokenizer, pairs, both, vocabulary, grown, scaled, unit, index, model]), converged
     finally:
-        rows.unpersist()
+        stored.unpersist()
     return found
 
 
@@ -207,12 +246,20 @@ def label_ids(label: Column, labels: list[str]) -> Column:
 
 
 def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Rows with probabilities (array) and predicted label."""
-    from pyspark.ml.functions import vector_to_array
-
-    names = model.stages[-2].labels
-    out = model.transform(rows).withColumn("probabilities", vector_to_array("probability"))
-    return out.withColumn("predicted", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int") + 1))
+    """Rows with probabilities (array) and predicted label; the stages' parameters are applied to blocks of words."""
+    tokenizer, _, _, vocabulary, _, scaled, _, index, classifier = model.stages
+    weights, bias = classifier.coefficientMatrix.toArray().T.copy(), classifier.interceptVector.toArray()
+    shared = rows.sparkSession.sparkContext.broadcast((regression.Lookup(vocabulary.vocabulary), scaled.getScalingVec().toArray(), weights, bias))
+    textkit.bound_batches(rows.sparkSession)
+
+    @F.arrow_udf("array<double>")
+    def shares(words: pa.Array) -> pa.Array:
+        found = regression.probabilities(*shared.value, words)
+        return pa.ListArray.from_arrays(pa.array(range(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.ravel()))
+
+    out = tokenizer.transform(rows).withColumn("probabilities", shares("_words")).drop("_words")
+    largest = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
+    return out.withColumn("predicted", F.element_at(F.array(*[F.lit(n) for n in index.labels]), largest))
 
 
 def tokenized(rows: DataFrame, text: str, tokenizer: Callable[[list[str]], list[list[int]]], limit: int = 384) -> DataFrame:

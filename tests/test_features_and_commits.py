@@ -205,6 +205,31 @@ def test_vocabulary_and_partitions_of_a_model(spark, monkeypatch):
     assert parts[0] >= 15
 
 
+@pytest.mark.parametrize("balanced", [False, True])
+def test_regression_reaches_its_optimum(spark, monkeypatch, balanced):
+    """Rare words beside frequent ones: the loss has no slope left, a few passes do, and predictions equal those of the model's stages."""
+    for name in ("COUNTED", "BLOCK", "CHUNK"):
+        monkeypatch.setattr(features.regression, name, 50)
+    passes, passed = [], features.regression._passed
+    monkeypatch.setattr(features.regression, "_passed", lambda *a: passes.append(1) or passed(*a))
+    rng = random.Random(6)
+    texts = [(" ".join(rng.choice(["the", "a b", "ΟΔΟΣ", f"{y}{y}", f"rare{rng.randrange(150)}"]) for _ in range(rng.randrange(2, 40))), y) for y in "abbccc" * 15] + [("", "a"), ("- !", "c")]
+    rows = spark.createDataFrame(texts, "text string, label string")
+    model, converged = features.fit(rows, "text", "label", balanced=balanced, min_df=2)
+    assert converged and len(passes) < 45
+    found = features.predictions(model, rows).collect()
+    made = model.transform(rows).collect()
+    assert [(r.text, r.label) for r in found] == [(r.text, r.label) for r in made] and [r.predicted for r in found] == ["abc"[int(r.prediction)] for r in made]
+    assert np.allclose([r.probabilities for r in found], [r.probability.toArray() for r in made], atol=1e-9)
+    x, y = np.array([r.features.toArray() for r in made]), np.eye(3)[[int(r.label_id) for r in made]]
+    terms = {t for r in made for t in r._terms if sum(t in o._terms for o in made) >= 2 and sum(t in o._terms for o in made) <= 0.995 * len(made)}
+    assert set(model.stages[3].vocabulary) == terms and np.allclose(np.linalg.norm(x, axis=1), [bool(terms & set(r._terms)) for r in made])
+    weight = (len(y) / 3 / y.sum(0))[y.argmax(1)] if balanced else np.ones(len(y))
+    slope = (np.array([r.probabilities for r in found]) - y) * weight[:, None] / len(y)
+    w = model.stages[-1].coefficientMatrix.toArray()
+    assert np.linalg.norm(slope.T @ x + w / len(y)) < 5e-4 and np.linalg.norm(slope.sum(0)) < 5e-4
+
+
 def test_trigrams_of_texts_are_scored_in_blocks(spark):
     """No row for each trigram is made: a text's trigrams are counted and looked up where it is read."""
     texts = ["the cat and the hat", "der Hund und die Katze", "𝒳𝒴𝒵 ab", None, "", "a", "é è ê the the"]
